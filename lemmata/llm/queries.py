@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmata.llm import mixing, ogg
+from lemmata.llm import mixing, ogg, secrets, warc
 from lemmata.llm.common import table
 
 
@@ -51,9 +51,29 @@ def op4_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ogg.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
+OP9_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, html, max(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes,
+       (SELECT string_agg('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(bits[(i * 5 + 1):(i * 5 + 5)]::BIT::INT) + 1], '' ORDER BY i)
+        FROM range(32) t(i)) AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM (SELECT *, (unhex(sha1(html))::BIT)::VARCHAR AS bits FROM d)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media}
+    return {"op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media, "op5_secret_scan": op5_secret_scan, "op9_warc_segments": op9_warc_segments}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL}
+    return {"op3_mix_sources": OP3_SQL, "op9_warc_segments": OP9_SQL}
