@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lemmata.llm import mixing, ogg, packing, secrets, warc
+from lemmata.llm import langid, mixing, ogg, packing, secrets, warc
 from lemmata.llm.common import table
 
 
@@ -59,6 +59,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -76,7 +80,7 @@ FROM (SELECT *, (unhex(sha1(html))::BIT)::VARCHAR AS bits FROM d)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media, "op5_secret_scan": op5_secret_scan, "op6_best_fit_packing": op6_best_fit_packing, "op9_warc_segments": op9_warc_segments}
+    return {"op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media, "op5_secret_scan": op5_secret_scan, "op6_best_fit_packing": op6_best_fit_packing, "op8_language_id": op8_language_id, "op9_warc_segments": op9_warc_segments}
 
 
 def oracle_sql() -> dict[str, str]:
