@@ -94,3 +94,30 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+_BASE = np.uint64(0x100000001B3)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+
+
+def powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. base ** n modulo 2**64."""
+    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base)]))
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each maximal run of ``own`` bytes within a text, and a 64-bit hash of the run's bytes."""
+    begin, stop = own.copy(), own.copy()
+    begin[1:] &= ~own[:-1]
+    stop[:-1] &= ~own[1:]
+    edges = offsets[:-1][np.diff(offsets) > 0]  # a run ends with its text
+    begin[edges] = own[edges]
+    if len(edges) > 1:
+        stop[edges[1:] - 1] = own[edges[1:] - 1]
+    start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
+    if not len(start):
+        return start, end, np.zeros(0, np.uint64)
+    # a polynomial of the bytes, each run's from one running sum
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data) - 1), out=sums[1:])
+    return start, end, mix64((sums[end] - sums[start]) * powers(_INVERSE, len(data))[start] + (end - start).astype(np.uint64))
