@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmata.llm import ann, langid, mixing, ogg, packing, secrets, toxicity, warc
+from lemmata.llm import ann, langid, mixing, neardup, ogg, packing, secrets, toxicity, warc
 from lemmata.llm.common import table
 
 
@@ -64,6 +64,10 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, similarity=80)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -104,7 +108,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media, "op5_secret_scan": op5_secret_scan, "op6_best_fit_packing": op6_best_fit_packing, "op8_language_id": op8_language_id, "op9_warc_segments": op9_warc_segments, "op10_one_bit_neighbours": op10_one_bit_neighbours}
+    return {"op2_toxicity": op2_toxicity, "op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media, "op5_secret_scan": op5_secret_scan, "op6_best_fit_packing": op6_best_fit_packing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_language_id": op8_language_id, "op9_warc_segments": op9_warc_segments, "op10_one_bit_neighbours": op10_one_bit_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
