@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmata.shipping import map_arrow, ship
+
 CODE_FACTOR, QUERY_BITS, EPSILON, SEED = 4, 6, 3.0, 20240
 #: Vectors that a block of the index holds on average, and queries of a query block.
 BLOCK, QUERIES = 8192, 1024
@@ -147,6 +149,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     repeated vectors count each. Index and queries are dealt into blocks of bounded size, and every query block meets
     every index block of its length; what is dealt is one row for each such pair.
     """
+    ship(vectors.sparkSession)
     v, q = usable(vectors), usable(queries)
     sizes = {r["dim"]: r["n"] for r in v.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = max(sizes.values(), default=1)
@@ -156,6 +159,6 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     asked = pack(q, blocks, False).select("dim", F.col("g").alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
     asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
     met = asked.join(index, ["dim", "g"]).select("block", "query_ids", "queries", "ids", "vectors", "codes", "f")
-    found = met.mapInArrow(_search(k), "block long, place long, query_id long, vec_id long, score double")
+    found = met.transform(map_arrow, _search(k), "block long, place long, query_id long, vec_id long, score double")
     order = Window.partitionBy("block", "place", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmata.llm.common import fold, slices, text_buffers
+from lemmata.shipping import map_arrow
 
 WINDOW, EMBED, WIDTHS, FILTERS = 160, 8, (2, 3, 4), 16
 #: The bounded sample that is learned from: documents of a language, characters of each, languages.
@@ -182,7 +183,7 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     model = model or fit(docs)
-    out = docs.select("doc_id", "text").mapInArrow(_runner(model, "lang_pred", "score"), "doc_id long, text string, lang_pred string, score double")
+    out = docs.select("doc_id", "text").transform(map_arrow, _runner(model, "lang_pred", "score"), "doc_id long, text string, lang_pred string, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "lang_pred", "score")
 
 
@@ -190,5 +191,5 @@ def recognised(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The rows of ``docs`` whose text has letters and a language with a probability of at least ``least``."""
     model = fit(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.mapInArrow(_runner(model, "_lang", "_score"), f"{schema}, _lang string, _score double")
+    out = docs.transform(map_arrow, _runner(model, "_lang", "_score"), f"{schema}, _lang string, _score double")
     return out.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)

@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmata.llm.common import forget, keep, mix64, runs, slices, text_buffers
+from lemmata.shipping import map_arrow
 
 #: Coordinates of a sketch and of a band. A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 BINS, BAND = 128, 4
@@ -179,7 +180,7 @@ def links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) ->
         return None
     wanted = bucket.select("class").distinct().join(classes, "class").select("class", "rep")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("class", "text")
-    sets = texts.mapInArrow(_setter(width), "class binary, is binary, shingles binary").filter("class = is").dropDuplicates(["class"]).select("class", "shingles")
+    sets = texts.transform(map_arrow, _setter(width), "class binary, is binary, shingles binary").filter("class = is").dropDuplicates(["class"]).select("class", "shingles")
     sets = keep(sets, "sets")
     failed: DataFrame | None = None
     found: DataFrame | None = None  # (class, label) so far
@@ -195,7 +196,7 @@ def links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) ->
             pairs = pairs.join(failed, ["a", "b"], "left_anti")
         with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("a_set")), "a")
         with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("b_set")), "b")
-        tried = keep(with_b.select("a", "b", "a_set", "b_set").mapInArrow(_confirm(similarity), "a binary, b binary, linked boolean"), "tried")
+        tried = keep(with_b.select("a", "b", "a_set", "b_set").transform(map_arrow, _confirm(similarity), "a binary, b binary, linked boolean"), "tried")
         wrong = tried.filter("not linked").select("a", "b")
         failed = wrong if failed is None else failed.unionByName(wrong)
         linked = tried.filter("linked").select("a", "b")
@@ -229,7 +230,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, similarity: int = 80) ->
     rows that repeat an id share its component where their texts are linked. Extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketched = keep(docs.mapInArrow(_sketcher(width), "doc_id long, n long, class binary, bands array<long>"), "sketches")
+    sketched = keep(docs.transform(map_arrow, _sketcher(width), "doc_id long, n long, class binary, bands array<long>"), "sketches")
     found = links(docs, sketched, width, similarity)
     least = sketched.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
     if found is not None:

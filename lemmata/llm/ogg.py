@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmata.shipping import map_arrow
+
 #: Samples to a block; payloads are whole blocks.
 BLOCK = 192
 #: Samples to a packet, logical streams, samples a second.
@@ -199,7 +201,7 @@ def digests(docs: DataFrame) -> DataFrame:
 
     A null text counts as empty: one block of spaces. A null id stays null. Extra columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_digest, _MEDIA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, _digest, _MEDIA)
 
 
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +212,7 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_column(docs: DataFrame) -> DataFrame:
     """doc_id and a binary column ``media`` with the text's payload as Ogg."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_store, "doc_id long, media binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, _store, "doc_id long, media binary")
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,4 +230,4 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_media(media: DataFrame) -> DataFrame:
     """doc_id, payload, error of a table (doc_id, media); a damaged stream has a null payload and says why."""
-    return media.select(F.col("doc_id").cast("long"), "media").mapInArrow(_read, "doc_id long, payload binary, error string")
+    return media.select(F.col("doc_id").cast("long"), "media").transform(map_arrow, _read, "doc_id long, payload binary, error string")

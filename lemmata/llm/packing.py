@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmata.llm.common import keep, slices
+from lemmata.shipping import map_arrow
 
 ROOM = 2048
 #: Rows that one task numbers of a length; characters of text tokenised at once; entries of a worker's token cache.
@@ -114,7 +115,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, room: int = ROOM) -> D
                 cols = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, _PIECES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, run, _PIECES)
 
 
 class _Sums:
@@ -251,4 +252,4 @@ def pack(docs: DataFrame, *, tokenizer: str | None = None, room: int = ROOM) ->
                     sequence[own], offset[own] = row[:, 1] + rank[own] - row[:, 0], row[:, 2]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(sequence), pa.array(offset)], names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    return ranked.mapInArrow(look_up, _PACKED)
+    return ranked.transform(map_arrow, look_up, _PACKED)

@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmata.llm import ann, langid, mixing, neardup, ogg, packing, secrets, toxicity, warc
+from lemmata.llm import ann, langid, mixing, neardup, ogg, packing, secrets, suffix, toxicity, warc
 from lemmata.llm.common import table
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -108,7 +112,7 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_toxicity": op2_toxicity, "op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media, "op5_secret_scan": op5_secret_scan, "op6_best_fit_packing": op6_best_fit_packing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_language_id": op8_language_id, "op9_warc_segments": op9_warc_segments, "op10_one_bit_neighbours": op10_one_bit_neighbours}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media, "op5_secret_scan": op5_secret_scan, "op6_best_fit_packing": op6_best_fit_packing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_language_id": op8_language_id, "op9_warc_segments": op9_warc_segments, "op10_one_bit_neighbours": op10_one_bit_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmata.shipping import map_arrow
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
@@ -209,7 +211,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A null or empty text has none. A null id stays null; repeated rows give repeated results. Extra columns are ignored.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(_report, _REPORT)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, _report, _REPORT)
 
 
 def redact_text(text: str, mark: str = "[secret]") -> str:
@@ -235,4 +237,4 @@ def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
 
     if "n_chars" in docs.columns:
         docs = docs.withColumn("n_chars", F.col("n_chars").cast("long"))
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_arrow, run, docs.schema)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmata.llm.common import fold, mix64, runs, slices, text_buffers
+from lemmata.shipping import map_arrow
 
 WINDOW, STRIDE, INPUT, HIDDEN, ATTENTION = 48, 24, 16, 8, 8
 GRAMS, GRAM_ROWS, LEAST_DOCS, MOST_WORDS = (3, 4), 1 << 13, 3, 20_000
@@ -281,5 +282,5 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.7, model: Model |
             for batch in slices(whole, "text", 2 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores(model, batch.column("text")), pa.float64())], names=["doc_id", "score"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, run, "doc_id long, score double")
     return out.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))

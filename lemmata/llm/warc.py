@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmata.llm.common import keep
+from lemmata.shipping import map_arrow
 
 #: Bytes to a segment's block, to a chunk of the body, and to an archive.
 SEGMENT, CHUNK, ARCHIVE = 32768, 8192, 4 << 20
@@ -159,7 +160,7 @@ def archives(pages: DataFrame, *, least: int = 0, segment: int = SEGMENT) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _write(batches, segment)
 
-    return with_refers(pages, least).mapInArrow(run, _ARCHIVE)
+    return with_refers(pages, least).transform(map_arrow, run, _ARCHIVE)
 
 
 _READ = "origin string, page_id long, record_type string, digest string, refers_to long, segment int, total long, block binary, payload_bytes long, payload_digest string"
@@ -226,9 +227,9 @@ def read(stored: DataFrame) -> DataFrame:
     A group is one page's segments, so it is as large as one page. A missing or repeated segment, a wrong total length,
     a broken chunk or a wrong digest is an error that names the record.
     """
-    parsed = stored.select("data").mapInArrow(_parse, _READ)
+    parsed = stored.select("data").transform(map_arrow, _parse, _READ)
     parts = F.sort_array(F.collect_list(F.struct("segment", "page_id", "record_type", "digest", "refers_to", "total", "block", "payload_bytes", "payload_digest")))
-    return parsed.groupBy("origin").agg(parts.alias("parts")).mapInArrow(_assemble, _PAGES)
+    return parsed.groupBy("origin").agg(parts.alias("parts")).transform(map_arrow, _assemble, _PAGES)
 
 
 def round_trip(pages: DataFrame, *, least: int = 0, segment: int = SEGMENT) -> DataFrame:
