@@ -5,10 +5,11 @@ rounds before; in rounds BINS .. 2 BINS - 1 every element goes to bin i - BINS.
 rounds for all but tiny sets, and agreeing coordinates concentrate as those of independent MinHash do. Bands of the sketch
 give buckets, and every link is confirmed on the full sets.
 
-Equal sets are one class from the start. In a bucket of many classes no list of all pairs is made: in each round the class
-that shares most buckets is the bucket's centre, it is compared with all members that are not yet in its component, and
-leaves. A bucket is done when what is left of it is one component, so every two members of a bucket are compared or known
-to be connected, and a group of m near copies costs about m comparisons.
+Equal sets are one class from the start. In a bucket of many classes no list of all pairs is made. First, STARS times, the
+class that shares most buckets is the bucket's centre and is compared with the members that are not yet in its component;
+a group of m near copies becomes one component with about m comparisons. What then lies between different components in a
+bucket is compared by whole sketches, in blocks of bounded size and in the first bucket that two classes share; only pairs
+whose sketches agree as those of a link do, but for five standard deviations, are confirmed on their sets.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from lemmata.shipping import map_arrow
 
 #: Coordinates of a sketch and of a band. A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 BINS, BAND = 128, 4
+#: Rounds of centres, and rows of a bucket in one block.
+STARS, BLOCK = 2, 4096
 _SHIFT = np.uint64(64 - 7)
 _is_word = np.ones(256, bool)
 _is_word[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -126,7 +129,8 @@ def _setter(width: int):
             for batch in slices(whole, "text", 2 << 20):
                 code, offsets = shingle_sets(batch.column("text"), width)
                 sets = [code[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(_class(code, offsets), pa.binary()), pa.array(sets, pa.binary())], names=["class", "is", "shingles"])
+                low = sketches(code, offsets).astype(np.uint16)
+                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(_class(code, offsets), pa.binary()), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())], names=["class", "is", "shingles", "sketch"])
 
     return run
 
@@ -165,60 +169,87 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def agreeing(similarity: int, bins: int = BINS) -> int:
+    """Coordinates that agree at least, but for five standard deviations, where the similarity is enough."""
+    p = similarity / 100
+    return int(bins * p - 5 * (bins * p * (1 - p)) ** 0.5)
+
+
+def _compare(least: int):
+    """Pairs of different components in one block of a bucket whose sketches agree enough, in their first common band."""
+
+    def run(block: pa.Table) -> pa.Table:
+        asks = np.asarray(block.column("asks"))
+        sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint16).reshape(block.num_rows, -1)
+        names, label = block.column("class").to_pylist(), np.unique(block.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
+        band = int(block.column("band")[0].as_py())
+        ask, all_ = np.flatnonzero(asks), np.flatnonzero(~asks)
+        out_a, out_b = [], []
+        for i in ask:
+            other = all_[label[all_] != label[i]]
+            for part in np.array_split(other, max(1, len(other) // 1024)):
+                same = sketch[part] == sketch[i]
+                part, same = part[enough := same.sum(axis=1) >= least], same[enough]
+                if not len(part):
+                    continue
+                bands = same.reshape(len(part), -1, BAND).all(axis=2)
+                for j in part[bands.argmax(axis=1) == band]:
+                    out_a.append(min(names[i], names[j]))
+                    out_b.append(max(names[i], names[j]))
+        return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
+
+    return run
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """The pairs (a, b) of classes that are linked."""
+    with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("a_set")), "a")
+    with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("b_set")), "b")
+    return keep(with_b.select("a", "b", "a_set", "b_set").transform(map_arrow, _confirm(similarity), "a binary, b binary, linked boolean").filter("linked").select("a", "b"), "linked")
+
+
 def links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) -> DataFrame | None:
-    """(class, label) of the classes that are linked with another; None if there is no candidate."""
-    classes = sketched.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
-    # one row of each class gives the bands; equal sets have equal bands
-    bands = sketched.filter("class is not null").join(classes.select(F.col("class").alias("c"), "rep"), (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("class", "n", F.explode("bands").alias("key"))
+    """(class, label) of the classes that are linked with another; None if there is none."""
+    classes = sketched.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    # one row of each class gives the bands: equal sets have equal bands
+    bands = sketched.filter("class is not null").join(classes.select(F.col("class").alias("c"), "rep"), (F.col("class") == F.col("c")) & F.col("doc_id").eqNullSafe(F.col("rep"))).select("class", "n", F.posexplode("bands").alias("band", "key"))
     shared = bands.groupBy("key").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     # a class whose id is on several rows comes several times here; distinct takes it once
-    held = keep(bands.join(shared, "key").select("key", "class", "n", "m").distinct(), "buckets")
+    held = keep(bands.join(shared, "key").select("key", "band", "class", "n", "m").distinct(), "buckets")
     weight = held.groupBy("class").agg(F.sum("m").alias("w"))
-    bucket = keep(held.join(weight, "class").select("key", "class", "n", "w", F.col("class").alias("label")), "buckets")
+    bucket = keep(held.join(weight, "class").select("key", "band", "class", "n", "w", F.col("class").alias("label")), "buckets")
     forget(held)
     if bucket.isEmpty():
         return None
     wanted = bucket.select("class").distinct().join(classes, "class").select("class", "rep")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("class", "text")
-    sets = texts.transform(map_arrow, _setter(width), "class binary, is binary, shingles binary").filter("class = is").dropDuplicates(["class"]).select("class", "shingles")
+    sets = texts.transform(map_arrow, _setter(width), "class binary, is binary, shingles binary, sketch binary").filter("class = is").dropDuplicates(["class"]).select("class", "shingles", "sketch")
     sets = keep(sets, "sets")
-    failed: DataFrame | None = None
-    found: DataFrame | None = None  # (class, label) so far
-    while True:
+    found: DataFrame | None = None  # the links so far
+    for _ in range(STARS):
         top = bucket.groupBy("key").agg(F.max(F.struct("w", "class", "label", "n")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", F.col("c.class").alias("c_class"), F.col("c.label").alias("c_label"), F.col("c.n").alias("c_n"))
-        rest = keep(bucket.join(top, "key").filter("class <> c_class"), "buckets")
-        forget(bucket)
-        if rest.isEmpty():
-            return found
         sized = (100 * F.least("n", "c_n")) >= similarity * F.greatest("n", "c_n")
-        pairs = rest.filter((F.col("label") != F.col("c_label")) & sized).select(F.least("class", "c_class").alias("a"), F.greatest("class", "c_class").alias("b")).distinct()
-        if failed is not None:
-            pairs = pairs.join(failed, ["a", "b"], "left_anti")
-        with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("a_set")), "a")
-        with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("b_set")), "b")
-        tried = keep(with_b.select("a", "b", "a_set", "b_set").transform(map_arrow, _confirm(similarity), "a binary, b binary, linked boolean"), "tried")
-        wrong = tried.filter("not linked").select("a", "b")
-        failed = wrong if failed is None else failed.unionByName(wrong)
-        linked = tried.filter("linked").select("a", "b")
-        if linked.isEmpty():
-            bucket = keep(rest.select("key", "class", "n", "w", "label"), "buckets")
-            forget(rest)
-            continue
-        if found is not None:  # links between components so far
-            known = found
-            for side in ("a", "b"):
-                own = known.select(F.col("class").alias(f"{side}_c"), F.col("label").alias(f"{side}_l"))
-                linked = linked.join(own, linked[side] == own[f"{side}_c"], "left").withColumn(side, F.coalesce(f"{side}_l", side)).select("a", "b")
-            linked = linked.filter("a <> b")
-        merged = components(linked)
-        step = merged.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        grown = merged.select(F.col("node").alias("class"), "label")
-        if found is not None:
-            old = found.join(step, "label", "left").select("class", F.coalesce("to", "label").alias("label"))
-            grown = old.unionByName(grown.join(old.select("class"), "class", "left_anti"))
-        found = keep(grown, "found")
-        bucket = keep(rest.select("key", "class", "n", "w", "label").join(step, "label", "left").select("key", "class", "n", "w", F.coalesce("to", "label").alias("label")), "buckets")
-        forget(rest)
+        pairs = bucket.join(top, "key").filter((F.col("label") != F.col("c_label")) & sized).select(F.least("class", "c_class").alias("a"), F.greatest("class", "c_class").alias("b")).distinct()
+        linked = _confirmed(pairs, sets, similarity)
+        found = linked if found is None else found.unionByName(linked)
+        label = components(found).withColumnRenamed("node", "class")
+        # the centre has been compared with all of its bucket, and leaves
+        rest = bucket.join(top.select("key", "c_class"), "key").filter("class <> c_class").drop("label", "c_class")
+        bucket = keep(rest.join(label, "class", "left").withColumn("label", F.coalesce("label", "class")), "buckets")
+    by_label = bucket.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
+    split = by_label.groupBy("key").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("n_all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    split = split.select("key", F.col("most.label").alias("main"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n_all") - F.col("most.m")) / BLOCK).cast("int").alias("ask_blocks"))
+    rows = bucket.join(split, "key").join(sets.select("class", "sketch"), "class")
+    spread = lambda blocks: F.pmod(F.xxhash64("class"), F.col(blocks)).cast("int")
+    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+    own = ["key", "band", "class", "label", "sketch"]
+    told = rows.select(*own, F.lit(False).alias("asks"), spread("all_blocks").alias("x"), each("ask_blocks").alias("y"))
+    asking = rows.filter("label <> main").select(*own, F.lit(True).alias("asks"), each("all_blocks").alias("x"), spread("ask_blocks").alias("y"))
+    pairs = told.unionByName(asking).groupBy("key", "x", "y").applyInArrow(_compare(agreeing(similarity)), "a binary, b binary").distinct()
+    found = found.unionByName(_confirmed(pairs, sets, similarity))
+    if found.isEmpty():
+        return None
+    return components(found).withColumnRenamed("node", "class")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, similarity: int = 80) -> DataFrame:
