@@ -22,8 +22,8 @@ from lemmata.shipping import map_arrow
 WINDOW, STRIDE, INPUT, HIDDEN, ATTENTION = 48, 24, 16, 8, 8
 GRAMS, GRAM_ROWS, LEAST_DOCS, MOST_WORDS = (3, 4), 1 << 13, 3, 20_000
 #: The bounded sample that is learned from: toxic and other labelled documents, and the longest text among them.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 5000, 8000
-STEPS, BATCH, RATE = 700, 96, 6e-3
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4500, 6000
+STEPS, BATCH, RATE = 450, 96, 8e-3
 
 _word_byte = np.zeros(256, bool)
 for _a, _b in (("a", "z"), ("A", "Z"), ("0", "9")):
@@ -157,7 +157,7 @@ class Model:
         g["look"] = np.einsum("tbi,tbj->ij", s, d_mid)
         d_s = (d_s + d_mid @ p["look"].T).reshape(t_all, b, 2, HIDDEN).transpose(0, 2, 1, 3)
         d_h, g["own"] = np.zeros((2, b, HIDDEN), np.float32), np.zeros_like(p["own"])
-        d_into = np.zeros((2, len(x) + 1, 3 * HIDDEN), np.float32)
+        d_gates = np.zeros((2, t_all, b, 3 * HIDDEN), np.float32)
         for t in range(t_all - 1, -1, -1):
             h, z, r, n, un = k["kept"][t]
             d_h = d_h + np.stack([d_s[t, 0], d_s[t_all - 1 - t, 1]])
@@ -168,8 +168,12 @@ class Model:
             d_a = np.concatenate([d_z, d_r, d_n], axis=2)
             g["own"] += h.transpose(0, 2, 1) @ d_u
             d_h = d_h * z + d_u @ p["own"].transpose(0, 2, 1)
-            np.add.at(d_into[0], step[t], d_a[0])
-            np.add.at(d_into[1], step[t_all - 1 - t], d_a[1])
+            d_gates[0, t], d_gates[1, t_all - 1 - t] = d_a
+        d_into = np.zeros((2, len(x) + 1, 3 * HIDDEN), np.float32)
+        order = np.argsort(step, axis=None, kind="stable")  # the gates' gradients summed by word
+        own, lead = np.unique(step.reshape(-1)[order], return_index=True)
+        for d in (0, 1):
+            d_into[d, own] = np.add.reduceat(d_gates[d].reshape(-1, 3 * HIDDEN)[order], lead)
         d_into = d_into[:, :-1]
         g["bias"] = d_into.sum(axis=1)
         g["in"] = np.einsum("ui,duj->dij", x, d_into)
@@ -209,7 +213,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Model:
     first, second = {k: np.zeros_like(v) for k, v in m.p.items()}, {k: np.zeros_like(v) for k, v in m.p.items()}
     pool_bad, pool_hard = bad, good
     for i in range(1, STEPS + 1):
-        if i in (STEPS // 4, STEPS // 2, STEPS * 3 // 4):
+        if i in (STEPS // 4, STEPS * 5 // 8):
             z = m.logits(w, step)
             best = np.full(len(texts), -np.inf, np.float32)
             np.maximum.at(best, whose, z)
@@ -255,12 +259,16 @@ def scores(m: Model | None, texts: pa.Array) -> np.ndarray:
 
 
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the documents to learn from; the rows of both classes that come first by a hash of the id."""
+    """text, toxic of the documents to learn from; the labels of both classes that come first by a hash of the id.
+
+    The labels are chosen first; at most SAMPLE_TOXIC + SAMPLE_CLEAN of them are sent to the scan of the texts.
+    """
     learn = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 3) != 1)).distinct()
+    learn = learn.withColumn("_o", F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")))
+    part = lambda label, n: learn.filter(F.col("toxic") == label).orderBy("_o", "doc_id").limit(n)
+    chosen = part(1, SAMPLE_TOXIC).unionByName(part(0, SAMPLE_CLEAN)).select("doc_id", "toxic")
     short = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
-    some = short.join(learn, "doc_id").withColumn("_o", F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")))
-    part = lambda label, n: some.filter(F.col("toxic") == label).orderBy("_o", "doc_id", "text").limit(n)
-    return part(1, SAMPLE_TOXIC).unionByName(part(0, SAMPLE_CLEAN)).select("text", "toxic")
+    return short.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model | None:
