@@ -1,15 +1,519 @@
-"""The catalogue of registered queries and of the SQL each is held against."""
+"""The catalogue of registered queries and of the SQL each is held against.
+
+The engine's own data are questions and policies; here its operators run on the test tables, each over whole tables.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lemmata.functions import text as T
+from lemmata.operators import bridging as B
+from lemmata.operators import clauses as C
+from lemmata.operators import fixpoint as X
+from lemmata.operators import outline as H
+from lemmata.operators import prompting as P
+from lemmata.operators import prover
+from lemmata.operators import scoring as S
+from lemmata.sources import records
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _norm(x: str) -> str:
+    """The SQL of a normalised answer; the boundaries are written out, and applied twice, as neighbours share one."""
+    article = r"'(^|[^\p{L}\p{N}_])(a|an|the)($|[^\p{L}\p{N}_])', '\1 \3', 'g'"
+    plain = rf"regexp_replace(lower({x}), '[!-/:-@\[-`{{-~]', '', 'g')"
+    return rf"trim(regexp_replace(regexp_replace(regexp_replace({plain}, {article}), {article}), '\s+', ' ', 'g'))"
+
+
+def _tokens(x: str) -> str:
+    return f"list_filter(string_split({_norm(x)}, ' '), lambda t: t <> '')"
+
+
+def _no_conditions():
+    return F.array().cast("array<string>").alias("conditions")
+
+
+# scores
+
+
+@query(f"SELECT item_id, {_norm('text')} AS norm FROM benchmark")
+def norm_answer(spark, d):
+    return _t(spark, d, "benchmark").select("item_id", T.normalized_answer(F.col("text")).alias("norm"))
+
+
+@query(f"SELECT item_id, len(t)::BIGINT AS n_tokens, len(list_distinct(t))::BIGINT AS n_distinct FROM (SELECT item_id, {_tokens('text')} AS t FROM benchmark)")
+def answer_tokens(spark, d):
+    t = T.answer_tokens(F.col("text"))
+    return _t(spark, d, "benchmark").select("item_id", F.size(t).cast("long").alias("n_tokens"), F.size(F.array_distinct(t)).cast("long").alias("n_distinct"))
+
+
+@query(f"""
+WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n, {_norm('text')} AS gold, {_tokens('text')} AS g FROM benchmark),
+p AS (SELECT doc_id, {_norm('text')} AS pred, {_tokens('text')} AS p FROM documents),
+j AS (SELECT doc_id, pred, gold, p, g FROM p JOIN b ON doc_id % n = k),
+tp AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(p) AS w FROM j) GROUP BY ALL),
+tg AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(g) AS w FROM j) GROUP BY ALL),
+shared AS (SELECT doc_id, sum(least(tp.c, tg.c)) AS n_shared FROM tp JOIN tg USING (doc_id, w) GROUP BY doc_id)
+SELECT doc_id, (pred = gold)::DOUBLE AS em,
+  round(CASE WHEN len(p) = 0 OR len(g) = 0 THEN (len(p) = 0 AND len(g) = 0)::DOUBLE ELSE 2.0 * coalesce(n_shared, 0) / (len(p) + len(g)) END, 6)::DOUBLE AS f1
+FROM j LEFT JOIN shared USING (doc_id)""")
+def pair_em_f1(spark, d):
+    b = _t(spark, d, "benchmark")
+    n = b.count()
+    b = records.chunked(b, 1, "item_id").select(F.col("chunk").alias("k"), F.col("rows")[0]["text"].alias("gold"))
+    docs = _t(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % n).alias("k"))
+    m = S.pair_metrics(F.struct(F.col("text").alias("answer"), _no_conditions()), F.struct(F.col("gold").alias("answer"), _no_conditions()))
+    return docs.join(b, "k").withColumn("m", m).select("doc_id", "m.em", F.round("m.f1", 6).alias("f1"))
+
+
+@query("""
+WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS c FROM part),
+j AS (SELECT a.p_partkey, list_distinct(a.c) AS x, list_distinct(b.c) AS y FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1)
+SELECT p_partkey, round(2.0 * len(list_intersect(x, y)) / (len(x) + len(y)), 6)::DOUBLE AS f1 FROM j""")
+def condition_f1(spark, d):
+    p = _t(spark, d, "part").select("p_partkey", F.split("p_name", " ").alias("x"))
+    nxt = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("x").alias("y"))
+    return p.join(nxt, "p_partkey").select("p_partkey", F.round(S.condition_f1(F.col("x"), F.col("y")), 6).alias("f1"))
+
+
+def _turns(spark, d):
+    """conv_id and the assistant's turns in order as answers."""
+    c = _t(spark, d, "conversations").filter("role = 'assistant'")
+    return c.groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: F.struct(x["text"].alias("answer"), _no_conditions())).alias("a"))
+
+
+@query(f"""
+WITH a AS (SELECT conv_id, turn, {_norm('text')} AS n, {_tokens('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) - 1 AS preds FROM conversations WHERE role = 'assistant'),
+j AS (SELECT p.conv_id, p.turn, p.n = r.n AS same, len(p.t) AS lp, len(r.t) AS lr, p.preds FROM a p JOIN a r ON p.conv_id = r.conv_id AND p.k > 1 AND r.k = 1),
+w AS (SELECT conv_id, turn, k, w, count(*) AS c FROM (SELECT conv_id, turn, k, unnest(t) AS w FROM a) GROUP BY ALL),
+shared AS (SELECT p.conv_id, p.turn, sum(least(p.c, r.c)) AS n_shared FROM w p JOIN w r ON p.conv_id = r.conv_id AND p.w = r.w AND p.k > 1 AND r.k = 1 GROUP BY ALL),
+m AS (SELECT j.*, CASE WHEN lp = 0 OR lr = 0 THEN (lp = 0 AND lr = 0)::DOUBLE ELSE 2.0 * coalesce(n_shared, 0) / (lp + lr) END AS f1 FROM j LEFT JOIN shared USING (conv_id, turn))
+SELECT conv_id, round(max(same::INT) * exp(1.0 - max(preds)), 6)::DOUBLE AS em, round(max(f1) * exp(1.0 - max(preds)), 6)::DOUBLE AS f1 FROM m GROUP BY conv_id""")
+def best_match_single_ref(spark, d):
+    t = _turns(spark, d).filter(F.size("a") > 1).select("conv_id", F.slice("a", 2, F.size("a") - 1).alias("p"), F.col("a")[0].alias("r"))
+    return t.withColumn("m", S.best_for_one_reference(F.col("p"), F.col("r"))).select("conv_id", F.round("m.em", 6).alias("em"), F.round("m.f1", 6).alias("f1"))
+
+
+@query()
+def assignment_multi_ref(spark, d):
+    t = _turns(spark, d).filter(F.size("a") > 2).select("conv_id", F.slice("a", 3, F.size("a") - 2).alias("p"), F.slice("a", 1, 2).alias("r"))
+    return S.answers_metrics(t, "p", "r").select("conv_id", *[F.round(m, 6).alias(m) for m in S.METRICS])
+
+
+@query("""
+WITH s AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'not_answerable' WHEN quality = 1 THEN 'yesno' ELSE 'value' END AS question_type, toxic = 1 AS conditional, (quality = 1 - toxic)::DOUBLE AS em, quality / 2.0::DOUBLE AS f1 FROM labels),
+b AS (SELECT 'total' AS bucket, em, f1 FROM s UNION ALL SELECT question_type, em, f1 FROM s UNION ALL SELECT 'conditional', em, f1 FROM s WHERE conditional),
+e AS (SELECT unnest(['total', 'yesno', 'value', 'not_answerable', 'conditional']) AS bucket)
+SELECT bucket, count(em) AS n, round(coalesce(avg(em), 0), 6)::DOUBLE AS em, round(coalesce(avg(f1), 0), 6)::DOUBLE AS f1 FROM e LEFT JOIN b USING (bucket) GROUP BY bucket""")
+def metric_buckets(spark, d):
+    kind = F.when(F.col("doc_id") % 3 == 0, "not_answerable").when(F.col("quality") == 1, "yesno").otherwise("value")
+    em, f1 = (F.col("quality") == 1 - F.col("toxic")).cast("double"), F.col("quality") / 2.0
+    x = _t(spark, d, "labels").select(kind.alias("question_type"), (F.col("toxic") == 1).alias("conditional"), em.alias("em"), em.alias("em_cond"), f1.alias("f1"), f1.alias("f1_cond"))
+    return S.metric_buckets(x).select("bucket", "n", F.round("em", 6).alias("em"), F.round("f1", 6).alias("f1"))
+
+
+@query("""
+WITH s AS (SELECT 'type' || doc_id % 3 AS question_type, toxic = 0 AS p, quality = 1 AS c FROM labels),
+g AS (SELECT coalesce(question_type, 'total') AS bucket, count(*) FILTER (p AND c) AS tp, count(*) FILTER (p AND NOT c) AS fp, count(*) FILTER (NOT p AND c) AS fn, count(*) FILTER (NOT p AND NOT c) AS tn FROM s GROUP BY GROUPING SETS ((), (question_type))),
+r AS (SELECT *, CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp)::DOUBLE END AS p, CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn)::DOUBLE END AS r FROM g)
+SELECT bucket, tp, fp, fn, tn, round(p, 6)::DOUBLE AS precision, round(r, 6)::DOUBLE AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6)::DOUBLE AS f1 FROM r""")
+def confusion_prf(spark, d):
+    x = _t(spark, d, "labels").withColumn("question_type", F.concat(F.lit("type"), (F.col("doc_id") % 3).cast("string")))
+    c = S.confusion(x, F.col("toxic") == 0, F.col("quality") == 1)
+    return c.select("bucket", "tp", "fp", "fn", "tn", *[F.round(k, 6).alias(k) for k in ("precision", "recall", "f1")])
+
+
+@query("""SELECT event_type AS question_type, count(*) AS total, count(*) FILTER (value < 40) AS entailed, count(*) FILTER (value >= 40 AND value < 80) AS not_entailed, count(*) FILTER (value >= 80 OR value IS NULL) AS error FROM events GROUP BY event_type""")
+def outcome_breakdown(spark, d):
+    v = F.when(F.col("value") < 40, True).when(F.col("value") < 80, False)
+    return S.outcome_breakdown(_t(spark, d, "events").select(F.col("event_type").alias("question_type"), v.alias("entails")))
+
+
+def _verdicts(spark, d):
+    o = _t(spark, d, "orders")
+    entails = F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False)
+    kind = F.element_at(F.array(F.lit("yesno"), F.lit("value"), F.lit("not_answerable")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    return o.select("o_orderkey", "o_custkey", entails.alias("entails"), kind.alias("question_type"))
+
+
+_VERDICT_SQL = "v AS (SELECT o_orderkey, o_custkey, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS entails, ['yesno', 'value', 'not_answerable'][o_orderkey % 3 + 1] AS question_type FROM orders)"
+
+
+@query(f"""
+WITH {_VERDICT_SQL}, x AS (SELECT *, o_custkey % 2 = 0 AS context_found, CASE WHEN entails THEN 'yes' WHEN NOT entails THEN 'no' END AS predicted, CASE WHEN o_custkey % 3 = 0 THEN 'yes' ELSE 'no' END AS gold FROM v)
+SELECT count(*) AS total, count(*) FILTER (context_found) AS context_found, count(*) FILTER (entails) AS entailed, count(*) FILTER (NOT entails) AS not_entailed, count(*) FILTER (entails IS NULL) AS undecided,
+ count(*) FILTER (question_type = 'yesno') AS yesno, count(*) FILTER (question_type = 'yesno' AND predicted = gold) AS yesno_right,
+ floor(100 * count(*) FILTER (question_type = 'yesno' AND predicted = gold) / count(*) FILTER (question_type = 'yesno'))::BIGINT AS yesno_percent,
+ count(*) FILTER (question_type = 'value' AND entails) AS value_entailed, count(*) FILTER (question_type = 'not_answerable' AND NOT coalesce(entails, false)) AS rejected FROM x""")
+def answer_summary(spark, d):
+    x = _verdicts(spark, d).withColumn("context_found", F.col("o_custkey") % 2 == 0).withColumn("predicted", F.when(F.col("entails"), "yes").when(~F.col("entails"), "no")).withColumn("gold", F.when(F.col("o_custkey") % 3 == 0, "yes").otherwise("no"))
+    return S.answer_summary(x)
+
+
+@query(f"""WITH {_VERDICT_SQL}, x AS (SELECT *, CASE WHEN o_custkey % 4 = 0 THEN ['v' || o_custkey] ELSE [] END AS vals FROM v)
+SELECT o_orderkey, question_type, array_to_string(CASE WHEN entails AND len(vals) > 0 THEN vals WHEN entails THEN ['yes'] WHEN NOT entails AND question_type = 'not_answerable' THEN ['not answerable'] WHEN NOT entails THEN ['no'] END, '|') AS predicted,
+ CASE WHEN entails AND len(vals) > 0 THEN 1 WHEN entails THEN 1 WHEN NOT entails AND question_type <> 'not_answerable' THEN 1 ELSE 0 END::BIGINT AS n_answers FROM x""")
+def verdict_to_prediction(spark, d):
+    values = F.when(F.col("o_custkey") % 4 == 0, F.array(F.concat(F.lit("v"), F.col("o_custkey").cast("string")))).otherwise(F.array().cast("array<string>"))
+    x = _verdicts(spark, d).withColumn("p", S.prediction(F.col("entails"), values, F.col("question_type")))
+    return x.select("o_orderkey", "question_type", F.array_join("p", "|").alias("predicted"), F.size(S.as_answers(F.col("p"))).cast("long").alias("n_answers"))
+
+
+def _gold(spark, d):
+    """Labels as questions: answers from their flags, some of them words."""
+    yes = lambda c, v: F.struct(F.when(F.col(c) == v, F.lit("Yes")).otherwise(F.lit(" no")).alias("answer"), F.when(F.col("toxic") == 1, F.array(F.lit("if"))).otherwise(F.array().cast("array<string>")).alias("conditions"))
+    plain = lambda t: F.struct(F.lit(t).alias("answer"), _no_conditions())
+    k = F.col("doc_id") % 5
+    answers = F.when(k == 0, F.array(yes("quality", 1))).when(k == 1, F.array(yes("quality", 1), plain("yes"))).when(k == 2, F.array(plain("ten days"), yes("toxic", 1))).when(k == 3, F.array(plain("a form"))).otherwise(F.from_json(F.lit("[]"), S.ANSWERS))
+    return _t(spark, d, "labels").select("doc_id", answers.alias("answers"), (k == 4).alias("not_answerable"))
+
+
+_GOLD_SQL = """g AS (SELECT doc_id, doc_id % 5 AS k, toxic, CASE WHEN quality = 1 THEN 'Yes' ELSE ' no' END AS q, CASE WHEN toxic = 1 THEN 'Yes' ELSE ' no' END AS x FROM labels),
+a AS (SELECT doc_id, k = 4 AS na, toxic, k, CASE k WHEN 0 THEN [q] WHEN 1 THEN [q, 'yes'] WHEN 2 THEN ['ten days', x] WHEN 3 THEN ['a form'] ELSE []::VARCHAR[] END AS l FROM g)"""
+
+
+@query(f"""WITH {_GOLD_SQL}
+SELECT doc_id, CASE WHEN na THEN 'not_answerable' WHEN len(l) > 0 AND len(list_filter(l, lambda v: lower(trim(v)) NOT IN ('yes', 'no'))) = 0 THEN 'yesno' ELSE 'value' END AS question_type,
+ len(l) > 0 AND len(list_filter(l, lambda v: v IN ('yes', 'no'))) > 0 AS official_yesno, toxic = 1 AND k IN (0, 1, 2) AS conditional, coalesce(lower(l[1]) IN ('yes', 'no'), false) AS first_yesno FROM a""")
+def question_type(spark, d):
+    g, a = _gold(spark, d), F.col("answers")
+    o = S.official_types(a)
+    return g.select("doc_id", S.question_type(a, F.col("not_answerable")).alias("question_type"), o["yesno"].alias("official_yesno"), o["conditional"].alias("conditional"), S.first_is_yes_no(a).alias("first_yesno"))
+
+
+@query(f"""WITH {_GOLD_SQL}
+SELECT doc_id, CASE WHEN len(list_filter(l, lambda v: lower(trim(v)) = 'yes')) > 0 THEN 'yes' ELSE 'no' END AS any_yes, list_filter(list_transform(l, lambda v: lower(v)), lambda v: v IN ('yes', 'no'))[1] AS first_yes_no FROM a""")
+def gold_yesno_variants(spark, d):
+    return _gold(spark, d).select("doc_id", S.gold_any_yes(F.col("answers")).alias("any_yes"), S.gold_first_yes_no(F.col("answers")).alias("first_yes_no"))
+
+
+@query(r"""WITH c AS (SELECT conv_id, turn, trim(lower(text)) AS t FROM conversations), w AS (SELECT *, left(t, 60) AS s, regexp_extract(t, '^\s*(\S*)', 1) AS f FROM c)
+SELECT conv_id, turn, CASE WHEN regexp_matches(t, '(^|[^\p{L}\p{N}_])not[_\s]answerable($|[^\p{L}\p{N}_])') THEN 'not answerable'
+ WHEN starts_with(t, 'yes') OR regexp_matches(s, '(^|[^\p{L}\p{N}_])yes($|[^\p{L}\p{N}_])') THEN 'yes' WHEN starts_with(t, 'no') OR regexp_matches(s, '(^|[^\p{L}\p{N}_])no($|[^\p{L}\p{N}_])') THEN 'no'
+ WHEN contains(f, 'yes') THEN 'yes' WHEN contains(f, 'no') THEN 'no' ELSE 'not answerable' END AS parsed FROM w""")
+def llm_parse(spark, d):
+    return _t(spark, d, "conversations").select("conv_id", "turn", T.parsed_answer(F.col("text")).alias("parsed"))
+
+
+# lookups and records
+
+
+@query("SELECT source, max(doc_id) AS doc_id, max_by(lang, doc_id) AS lang FROM documents WHERE source <> '' GROUP BY source")
+def context_last_wins(spark, d):
+    return records.last_of_each(_t(spark, d, "documents").select("source", "doc_id", "lang"), "source", "doc_id")
+
+
+@query("SELECT l.doc_id, d.lang, d.doc_id IS NOT NULL AS context_found, coalesce(d.source, '') AS source FROM labels l LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d USING (doc_id)")
+def question_context_left_join(spark, d):
+    c = _t(spark, d, "documents").filter("lang = 'en'").select("doc_id", "lang", "source", F.lit(True).alias("found"))
+    return _t(spark, d, "labels").join(c, "doc_id", "left").select("doc_id", "lang", F.coalesce("found", F.lit(False)).alias("context_found"), F.coalesce("source", F.lit("")).alias("source"))
+
+
+@query("""SELECT count(*) FILTER (l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS both, count(*) FILTER (d.doc_id IS NULL) AS only_a, count(*) FILTER (l.doc_id IS NULL) AS only_b
+FROM (SELECT DISTINCT doc_id FROM labels) l FULL JOIN (SELECT DISTINCT doc_id FROM documents WHERE lang <> 'fr') d USING (doc_id)""")
+def coverage_sets(spark, d):
+    return S.coverage(_t(spark, d, "labels"), _t(spark, d, "documents").filter("lang <> 'fr'"), "doc_id")
+
+
+@query("WITH r AS (SELECT item_id, (row_number() OVER (ORDER BY item_id) - 1) // 7 AS chunk FROM benchmark) SELECT chunk, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id) AS ids FROM r GROUP BY chunk")
+def chunk_batches(spark, d):
+    c = records.chunked(_t(spark, d, "benchmark"), 7, "item_id")
+    return c.select("chunk", F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda r: r["item_id"].cast("string")), ",").alias("ids"))
+
+
+@query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def resume_remaining(spark, d):
+    return records.remaining(_t(spark, d, "documents").select("doc_id", "lang"), _t(spark, d, "labels"), "doc_id")
+
+
+@query()
+def kb_roundtrip(spark, d):
+    """Records written indented with blank lines, and read back."""
+    path = X.scratch_path(spark, "records")
+    b = _t(spark, d, "benchmark").select("item_id", "text")
+    records.write(b, path)
+    return records.read(spark, path, "item_id long, text string")
+
+
+# markup
+
+
+@query(r"SELECT page_id, left(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 3000) AS text FROM pages")
+def strip_html_truncate(spark, d):
+    return _t(spark, d, "pages").select("page_id", T.context_text(F.array("html")).alias("text"))
+
+
+_TAGS = ("h1", "p", "li", "table")
+
+
+@query("SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '(?i)<{t}[\\s>]'))::BIGINT AS n_{t}" for t in _TAGS) + " FROM pages")
+def heading_outline(spark, d):
+    return _t(spark, d, "pages").select("page_id", *[F.regexp_count("html", F.lit(rf"(?i)<{t}[\s>]")).cast("long").alias(f"n_{t}") for t in _TAGS])
+
+
+@query(r"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(li|p|h[1-4]|table)[\s>]', 1)) AS tag, generate_subscripts(regexp_extract_all(html, '(?i)<(li|p|h[1-4]|table)[\s>]', 1), 1) AS k FROM pages),
+r AS (SELECT *, tag = 'li' AND coalesce(lag(tag) OVER (PARTITION BY page_id ORDER BY k), '') <> 'li' AS begins FROM e)
+SELECT page_id, count(*) FILTER (tag = 'li') AS n_items, count(*) FILTER (begins) AS n_runs FROM r GROUP BY page_id""")
+def list_runs(spark, d):
+    tags = F.regexp_extract_all("html", F.lit(r"(?i)<(li|p|h[1-4]|table)[\s>]"), F.lit(1))
+    runs = F.size(F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (F.element_at("t", i) == "li") & ((i == 1) | (F.element_at("t", F.greatest(i - 1, F.lit(1))) != "li"))))
+    p = _t(spark, d, "pages").select("page_id", tags.alias("t")).filter(F.size("t") > 0)
+    return p.select("page_id", F.size(F.filter("t", lambda x: x == "li")).cast("long").alias("n_items"), runs.cast("long").alias("n_runs"))
+
+
+@query(r"""WITH s AS (SELECT doc_id, lower(text) AS t FROM documents)
+SELECT doc_id, CASE WHEN regexp_matches(t, '(?s)\b(either of the following apply|any of the following apply|one of the following)\b') THEN 'ANY' WHEN regexp_matches(t, '(?s)\b(all of the following apply|both of the following apply)\b') THEN 'ALL' END AS operator,
+ regexp_matches(t, '\b(you can (only )?make a new claim|you can claim|you can apply)\b') OR regexp_matches(t, '(usually,\s*)?you will not|get .* if|cannot\b') AS rule, CASE WHEN regexp_matches(t, '(usually,\s*)?you will not|get .* if|cannot\b') THEN 'NOT_ELIGIBLE' ELSE 'ELIGIBLE' END AS outcome, regexp_matches(t, '\b(unless|except)\b') AS exception FROM s""")
+def semantic_rules(spark, d):
+    t = F.col("text")
+    return _t(spark, d, "documents").select("doc_id", T.list_operator(t).alias("operator"), T.is_rule_intro(t).alias("rule"), T.outcome(t).alias("outcome"), T.is_exception(t).alias("exception"))
+
+
+@query()
+def page_tree(spark, d):
+    pages = _t(spark, d, "pages").select(F.col("page_id").alias("doc"), F.array("html").alias("contents"))
+    return H.semantic_tree(pages).withColumn("rows", F.to_json("rows"))
+
+
+@query()
+def render_tree(spark, d):
+    """Pages, and a policy with introductions, exceptions and bare table rows, as text."""
+    lines = ["<h1>Help with rent</h1>", "<p>You can apply if any of the following apply:</p>", "<li>you rent</li>", "<li>you work, unless you study</li>", "<h2>Rates</h2>", "<p>Paid weekly.</p>", "<tr>Rate | Amount</tr>", "<tr>Low | 10</tr>"]
+    policy = spark.createDataFrame([(-1, lines)], "doc long, contents array<string>")
+    pages = _t(spark, d, "pages").select(F.col("page_id").alias("doc"), F.array("html").alias("contents"))
+    return H.rendered(H.semantic_tree(pages.unionByName(policy)))
+
+
+# names and bridges
+
+
+def _phrases(spark, d):
+    """Distinct part names as predicates, in order of name."""
+    names = _t(spark, d, "part").select(F.regexp_replace("p_name", " ", "_").alias("name")).distinct()
+    return names.select(F.lit("parts").alias("kb"), "name", F.lit(2).alias("arity"), F.lit(0).alias("place"))
+
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in T.STOP_TOKENS) + "]"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT 'CanGet' || upper(p_name[1]) || replace(substr(p_name, 2), ' ', 'For') AS camel FROM part),
+s AS (SELECT camel, lower(regexp_replace(regexp_replace(camel, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) AS snake FROM n)
+SELECT camel, snake, CASE WHEN len(list_filter(string_split(snake, '_'), lambda t: t <> '' AND NOT list_contains({_STOP}, t))) = 0 THEN snake ELSE array_to_string(list_filter(string_split(snake, '_'), lambda t: t <> '' AND NOT list_contains({_STOP}, t)), '_') END AS norm FROM s""")
+def pred_from_phrase(spark, d):
+    camel = F.concat(F.lit("CanGet"), F.upper(F.substring("p_name", 1, 1)), F.regexp_replace(F.expr("substring(p_name, 2)"), " ", "For"))
+    n = _t(spark, d, "part").select(camel.alias("camel")).distinct().withColumn("snake", T.snake_case(F.col("camel")))
+    return n.select("camel", "snake", T.normalized_name(F.col("snake")).alias("norm"))
+
+
+@query("""WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS c FROM part) SELECT 'can_get_' || c AS name, c AS ctx_name FROM n""")
+def normalized_bridge(spark, d):
+    ctx = _phrases(spark, d)
+    hyp = ctx.withColumn("name", F.concat(F.lit("can_get_"), F.col("name")))
+    return B.normalized_matches(hyp, ctx).select("name", "ctx_name")
+
+
+def _jaccard_sql(k: int, columns: str) -> str:
+    return f"""WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part), t AS (SELECT name, string_split(name, '_') AS t FROM n),
+p AS (SELECT 'new_' || a.name AS name, b.name AS ctx_name, len(list_intersect(list_distinct('new' || a.t), list_distinct(b.t))) AS i, len(list_distinct(list_concat(['new'], a.t))) AS x, len(list_distinct(b.t)) AS y FROM (SELECT name, list_concat(['new'], t) AS t0, t FROM t) a, t b),
+s AS (SELECT name, ctx_name, round(i / (x + y - i)::DOUBLE, 6)::DOUBLE AS score, i / (x + y - i)::DOUBLE AS s FROM p WHERE i / (x + y - i)::DOUBLE >= 0.2),
+r AS (SELECT name, ctx_name, score, row_number() OVER (PARTITION BY name ORDER BY s DESC, ctx_name)::INT AS rank FROM s) SELECT {columns} FROM r WHERE rank <= {k}""".replace("list_intersect(list_distinct('new' || a.t), list_distinct(b.t))", "list_intersect(list_distinct(a.t0), list_distinct(b.t))")
+
+
+def _jaccard(spark, d, k):
+    ctx = _phrases(spark, d)
+    return B.jaccard_matches(ctx.withColumn("name", F.concat(F.lit("new_"), F.col("name"))), ctx, 0.2, k)
+
+
+@query(_jaccard_sql(1, "name, ctx_name, score"))
+def jaccard_top1(spark, d):
+    return _jaccard(spark, d, 1).select("name", "ctx_name", F.round("score", 6).alias("score"))
+
+
+@query(_jaccard_sql(3, "name, ctx_name, score, rank"))
+def jaccard_topk(spark, d):
+    return _jaccard(spark, d, 3).select("name", "ctx_name", F.round("score", 6).alias("score"), "rank")
+
+
+@query(_jaccard_sql(1, "name || '(_A0, _A1) :- ' || ctx_name || '(_A0, _A1).' AS rule"))
+def bridge_rules(spark, d):
+    return _jaccard(spark, d, 1).select(C.bridge_rule(F.col("name"), F.col("arity"), F.col("ctx_name"), F.col("ctx_arity")).alias("rule"))
+
+
+@query("""WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part)
+SELECT name, E':- x.\\n' || name || E'(a).\\n\\n% --- aliases ---\\nholds(_A0, _A1) :- ' || name || '(_A0).' AS program FROM n""")
+def alias_bridges(spark, d):
+    p = _phrases(spark, d).select("name", F.concat(F.lit(":- x.\n"), F.col("name"), F.lit("(a).")).alias("program"), F.lit("holds(me, X)").alias("goal"))
+    held = F.get(F.filter(C.defined_predicates(F.col("program")), lambda x: x["name"] == F.col("name")), F.lit(0))["arity"]
+    asked = F.get(C.goal_predicates(F.col("goal")), F.lit(0))
+    return p.select("name", C.with_rules(F.col("program"), F.array(C.bridge_rule(asked["name"], asked["arity"], F.col("name"), held)), "aliases").alias("program"))
+
+
+@query("""SELECT c_custkey, 'lives_in(' || CASE WHEN c_custkey % 2 = 0 THEN '_' ELSE 'c' || c_custkey END || ', n' || c_nationkey || ').' AS fact FROM customer""")
+def typed_constants(spark, d):
+    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    kinds = F.array(F.struct(name.alias("id"), F.when(F.col("c_custkey") % 2 == 0, "person").otherwise("object").alias("type"), F.lit("").alias("gloss")))
+    fact = F.concat(F.lit("lives_in("), name, F.lit(", n"), F.col("c_nationkey").cast("string"), F.lit(")."))
+    return _t(spark, d, "customer").select("c_custkey", C.fact_with_wildcards(fact, C.typed_constants(kinds)).alias("fact"))
+
+
+@query("SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size < 2)")
+def undefined_predicates(spark, d):
+    small = _t(spark, d, "part").filter("p_size < 2").select(F.lit("parts").alias("kb"), F.regexp_replace("p_name", " ", "_").alias("name"))
+    return B.undefined(_phrases(spark, d), small).select("name")
+
+
+# proofs
+
+
+def _geography(spark, d) -> DataFrame:
+    """Who lives in which nation and which nation is part of which region, as facts."""
+    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    fact = lambda df, pred, a, b: df.select(F.lit("world").alias("kb"), F.lit(pred).alias("pred"), F.lit(2).alias("arity"), F.array(a, b).alias("args"))
+    people = fact(_t(spark, d, "customer"), "lives_in", s("c", "c_custkey"), s("n", "c_nationkey"))
+    firms = fact(_t(spark, d, "supplier"), "sells_in", s("s", "s_suppkey"), s("n", "s_nationkey"))
+    nations = fact(_t(spark, d, "nation"), "part_of", s("n", "n_nationkey"), s("r", "n_regionkey"))
+    return people.unionByName(firms).unionByName(nations)
+
+
+_L = X.Literal
+_IN_REGION = X.Rule(_L("in_region", ("C", "R")), (_L("lives_in", ("C", "N")), _L("part_of", ("N", "R"))))
+_SELLS = X.Rule(_L("sells_in_region", ("S", "R")), (_L("sells_in", ("S", "N")), _L("part_of", ("N", "R"))))
+
+
+def _region_goals(spark, d) -> DataFrame:
+    c = _t(spark, d, "customer")
+    return c.select("c_custkey", F.lit("world").alias("kb"), F.lit("in_region").alias("pred"), F.lit(2).alias("arity"), F.array(F.concat(F.lit("c"), F.col("c_custkey").cast("string")), F.concat(F.lit("r"), (F.col("c_custkey") % 5).cast("string"))).alias("args"))
+
+
+@query("SELECT c_custkey, c_custkey % 5 AS region, n_regionkey = c_custkey % 5 AS entails FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def entail_ground(spark, d):
+    facts = X.closure(_geography(spark, d), [_IN_REGION]).filter("pred = 'in_region'")
+    return X.entailed(_region_goals(spark, d), facts).select("c_custkey", (F.col("c_custkey") % 5).alias("region"), "entails")
+
+
+@query("""WITH s AS (SELECT c_custkey, n_regionkey = c_custkey % 5 AS right_ FROM customer JOIN nation ON c_nationkey = n_nationkey),
+x AS (SELECT CASE WHEN right_ = (c_custkey % 2 = 0) THEN 1.0 ELSE 0.0 END AS em FROM s), b AS (SELECT unnest(['total', 'yesno', 'value', 'not_answerable', 'conditional']) AS bucket)
+SELECT bucket, CASE WHEN bucket IN ('total', 'yesno') THEN count(em) ELSE 0 END AS n, CASE WHEN bucket IN ('total', 'yesno') THEN round(avg(em), 6) ELSE 0 END::DOUBLE AS em FROM b, x GROUP BY bucket""")
+def entail_scored(spark, d):
+    """Is each customer in a region? Answered by a rule, and scored against yes for every other customer."""
+    facts = X.closure(_geography(spark, d), [_IN_REGION]).filter("pred = 'in_region'")
+    v = X.entailed(_region_goals(spark, d), facts)
+    predicted = S.as_answers(S.prediction(F.col("entails"), F.array().cast("array<string>"), F.lit("yesno")))
+    gold = F.struct(F.when(F.col("c_custkey") % 2 == 0, "yes").otherwise("no").alias("answer"), _no_conditions())
+    m = v.withColumn("m", S.best_for_one_reference(predicted, gold)).select(F.lit("yesno").alias("question_type"), F.lit(False).alias("conditional"), "m.*")
+    return S.metric_buckets(m).select("bucket", "n", F.round("em", 6).alias("em"))
+
+
+@query("""WITH big AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_quantity >= 45), open AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O')
+SELECT c_custkey, c_custkey IN (SELECT o_custkey FROM open JOIN big ON o_orderkey = l_orderkey) AS entails FROM customer""")
+def entail_rules(spark, d):
+    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    fact = lambda df, pred, *a: df.select(F.lit("shop").alias("kb"), F.lit(pred).alias("pred"), F.lit(len(a)).alias("arity"), F.array(*a).alias("args"))
+    o = _t(spark, d, "orders")
+    facts = fact(o, "placed", s("c", "o_custkey"), s("o", "o_orderkey")).unionByName(fact(o.filter("o_orderstatus = 'O'"), "open", s("o", "o_orderkey"))).unionByName(fact(_t(spark, d, "lineitem").filter("l_quantity >= 45").select("l_orderkey").distinct(), "big", s("o", "l_orderkey")))
+    rule = X.Rule(_L("eligible", ("C",)), (_L("placed", ("C", "O")), _L("open", ("O",)), _L("big", ("O",))))
+    goals = _t(spark, d, "customer").select("c_custkey", F.lit("shop").alias("kb"), F.lit("eligible").alias("pred"), F.lit(1).alias("arity"), F.array(s("c", "c_custkey")).alias("args"))
+    return X.entailed(goals, X.closure(facts, [rule]).filter("pred = 'eligible'")).select("c_custkey", "entails")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_totalprice > 200000)")
+def entail_negation(spark, d):
+    s = lambda c: F.array(F.col(c).cast("string"))
+    fact = lambda df, pred, a: df.select(F.lit("shop").alias("kb"), F.lit(pred).alias("pred"), F.lit(1).alias("arity"), a.alias("args"))
+    facts = fact(_t(spark, d, "customer"), "customer", s("c_custkey")).unionByName(fact(_t(spark, d, "orders").filter("o_orderstatus = 'P' and o_totalprice > 200000").select("o_custkey").distinct(), "buyer", s("o_custkey")))
+    rule = X.Rule(_L("idle", ("C",)), (_L("customer", ("C",)), _L("buyer", ("C",), negated=True)))
+    return X.closure(facts, [rule]).filter("pred = 'idle'").select(F.col("args")[0].cast("long").alias("c_custkey"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT conv_id, turn AS a, turn - 1 AS b FROM conversations WHERE turn > 0), r AS (SELECT * FROM e UNION SELECT e.conv_id, e.a, r.b FROM e JOIN r ON e.conv_id = r.conv_id AND e.b = r.a) SELECT conv_id, a, b FROM r""")
+def entail_recursive(spark, d):
+    """Which turn of a conversation answers, directly or not, which."""
+    t = _t(spark, d, "conversations").filter("turn > 0")
+    facts = t.select(F.col("conv_id").cast("string").alias("kb"), F.lit("replies").alias("pred"), F.lit(2).alias("arity"), F.array(F.col("turn").cast("string"), (F.col("turn") - 1).cast("string")).alias("args"))
+    rules = [X.Rule(_L("follows", ("A", "B")), (_L("replies", ("A", "B")),)), X.Rule(_L("follows", ("A", "C")), (_L("replies", ("A", "B")), _L("follows", ("B", "C"))))]
+    out = X.closure(facts, rules).filter("pred = 'follows'")
+    return out.select(F.col("kb").cast("long").alias("conv_id"), F.col("args")[0].cast("long").alias("a"), F.col("args")[1].cast("long").alias("b"))
+
+
+@query("""SELECT r_regionkey AS region, string_agg(DISTINCT 's' || s_suppkey, ',' ORDER BY 's' || s_suppkey) AS suppliers FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_regionkey""")
+def goal_bindings(spark, d):
+    facts = X.closure(_geography(spark, d), [_SELLS]).filter("pred = 'sells_in_region'")
+    by_region = facts.select(F.col("args")[1].alias("kb"), "pred", "arity", "args")
+    b = X.bindings(by_region, _L("sells_in_region", ("S", "_")))
+    return b.select(F.substring("kb", 2, 9).cast("int").alias("region"), F.array_join("values", ",").alias("suppliers"))
+
+
+@query("""SELECT n_nationkey, 'lives_in_nation(X, ' || lower(r_name) || ', ' || lower(n_name) || ')' AS goal FROM nation JOIN region ON n_regionkey = r_regionkey""")
+def fol_to_goal(spark, d):
+    n = _t(spark, d, "nation").join(_t(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    h = F.concat(F.lit("Exists(x) LivesInNation(x, "), F.lower("r_name"), F.lit(", "), F.lower("n_name"), F.lit(")"))
+    return n.select("n_nationkey", T.fol_goal(h).alias("goal"))
+
+
+_LEMMAS = [("die", "verb", "die.v", 1), ("drown", "verb", "drown.v", 1), ("kill", "verb", "kill.v", 1), ("murder", "verb", "murder.v", 1), ("sleep", "verb", "sleep.v", 1), ("snore", "verb", "snore.v", 1), ("change", "verb", "change.v", 1)]
+_EDGES = [("drown.v", "die.v", "hypernym"), ("die.v", "change.v", "hypernym"), ("murder.v", "kill.v", "hypernym"), ("kill.v", "die.v", "cause"), ("snore.v", "sleep.v", "entailment")]
+
+
+@query("""WITH s(general, specific, score) AS (VALUES ('die', 'die', 1.0), ('die', 'drown', 0.8), ('change', 'drown', 0.6), ('change', 'die', 0.8), ('die', 'kill', 0.9), ('die', 'murder', 0.72), ('kill', 'murder', 0.8), ('sleep', 'snore', 0.9)),
+w AS (SELECT unnest(['die', 'drown', 'kill', 'murder', 'sleep', 'snore', 'change']) AS w)
+SELECT a.w AS general, b.w AS specific, CASE WHEN a.w = b.w THEN 1.0 ELSE coalesce(s.score, 0.0) END::DOUBLE AS score FROM w a CROSS JOIN w b LEFT JOIN s ON s.general = a.w AND s.specific = b.w""")
+def hypernym_score(spark, d):
+    lemmas = spark.createDataFrame(_LEMMAS, "lemma string, pos string, synset string, rank int")
+    edges = spark.createDataFrame(_EDGES, "src string, dst string, kind string")
+    words = [x[0] for x in _LEMMAS]
+    pairs = spark.createDataFrame([(a, b) for a in words for b in words], "general string, specific string")
+    return B.entailment_scores(pairs, lemmas, edges).select("general", "specific", F.round("score", 6).alias("score"))
+
+
+@query()
+def prover_answers(spark, d):
+    """One small program for each nation, with compound terms and negation, proved by search."""
+    n = _t(spark, d, "nation")
+    name = F.concat(F.lit("n"), F.col("n_nationkey").cast("string"))
+    facts = F.array(F.concat(F.lit("home(at("), name, F.lit(", r"), F.col("n_regionkey").cast("string"), F.lit("))")))
+    scenario = F.struct(F.array(F.lit("adult(Person)")).alias("facts"), F.array(F.lit("abroad(X) :- adult(me), home(at(_, X)), \\+ X = r1")).alias("rules"), F.array().cast("array<string>").alias("optional_rules"))
+    context = F.struct(facts.alias("facts"), F.array().cast("array<string>").alias("rules"), F.array().cast("array<string>").alias("optional_rules"))
+    return prover.answered(n.select("n_nationkey", C.program(context, scenario).alias("program"), F.lit("?- abroad(X).").alias("goal"))).select("n_nationkey", "entails", F.array_join("values", ",").alias("found"), "error")
+
+
+# prompts
+
+
+@query(r"""SELECT doc_id, '### Item ' || doc_id || E'\n\n' || CASE WHEN lang <> 'en' THEN E'Known predicates:\n- written_in/2 — ' || lang || E'\n\n' ELSE '' END || E'Text:\n' || left(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 200) AS prompt FROM documents""")
+def prompt_blocks(spark, d):
+    known = F.when(F.col("lang") != "en", P.predicate_lines(F.array(F.struct(F.lit("written_in").alias("name"), F.lit(2).alias("arity"), F.col("lang").alias("gloss"))))).otherwise("")
+    return _t(spark, d, "documents").select("doc_id", P.prompt_block(F.col("doc_id"), P.answer_input(F.array("text"), 200), predicates=known).alias("prompt"))
+
+
+@query(f"""SELECT conv_id, turn, '{P.SYSTEM_ANSWER}' AS system, E'Policy:\\n' || role || E'\\n\\nQuestion:\\n' || conv_id || E'\\n' || text AS question, 2::BIGINT AS n FROM conversations""")
+def chat_messages(spark, d):
+    m = P.chat_messages(F.col("role"), F.col("conv_id").cast("string"), F.col("text"))
+    return _t(spark, d, "conversations").withColumn("m", m).select("conv_id", "turn", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("question"), F.size("m").cast("long").alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
