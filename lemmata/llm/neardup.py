@@ -9,7 +9,9 @@ Equal sets are one class from the start. In a bucket of many classes no list of
 class that shares most buckets is the bucket's centre and is compared with the members that are not yet in its component;
 a group of m near copies becomes one component with about m comparisons. What then lies between different components in a
 bucket is compared by whole sketches, in blocks of bounded size and in the first bucket that two classes share; only pairs
-whose sketches agree as those of a link do, but for five standard deviations, are confirmed on their sets.
+whose sketches agree as those of a link do, but for five standard deviations, are confirmed on their sets. That is done twice:
+first with the FEW partners of each class that agree most, which joins nearly all that is linked; then with all that still
+lie in different components.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from lemmata.shipping import map_arrow
 #: Coordinates of a sketch and of a band. A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 BINS, BAND = 128, 4
 #: Rounds of centres, and rows of a bucket in one block.
-STARS, BLOCK = 2, 4096
+STARS, BLOCK, FEW = 2, 4096, 2
 _SHIFT = np.uint64(64 - 7)
 _is_word = np.ones(256, bool)
 _is_word[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -175,8 +177,11 @@ def agreeing(similarity: int, bins: int = BINS) -> int:
     return int(bins * p - 5 * (bins * p * (1 - p)) ** 0.5)
 
 
-def _compare(least: int):
-    """Pairs of different components in one block of a bucket whose sketches agree enough, in their first common band."""
+def _compare(least: int, few: int | None):
+    """Pairs of different components in one block of a bucket whose sketches agree enough, in their first common band.
+
+    With ``few``, only so many of each asking class, those that agree most.
+    """
 
     def run(block: pa.Table) -> pa.Table:
         asks = np.asarray(block.column("asks"))
@@ -187,15 +192,21 @@ def _compare(least: int):
         out_a, out_b = [], []
         for i in ask:
             other = all_[label[all_] != label[i]]
+            near, agree = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for part in np.array_split(other, max(1, len(other) // 1024)):
                 same = sketch[part] == sketch[i]
-                part, same = part[enough := same.sum(axis=1) >= least], same[enough]
-                if not len(part):
+                count = same.sum(axis=1)
+                enough = np.flatnonzero(count >= least)
+                if not len(enough):
                     continue
-                bands = same.reshape(len(part), -1, BAND).all(axis=2)
-                for j in part[bands.argmax(axis=1) == band]:
-                    out_a.append(min(names[i], names[j]))
-                    out_b.append(max(names[i], names[j]))
+                bands = same[enough].reshape(len(enough), -1, BAND).all(axis=2)
+                enough = enough[bands.argmax(axis=1) == band]
+                near.append(part[enough])
+                agree.append(count[enough])
+            near, agree = np.concatenate(near), np.concatenate(agree)
+            for j in near[np.argsort(-agree, kind="stable")[:few]]:
+                out_a.append(min(names[i], names[j]))
+                out_b.append(max(names[i], names[j]))
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
     return run
@@ -236,6 +247,21 @@ def links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) ->
         # the centre has been compared with all of its bucket, and leaves
         rest = bucket.join(top.select("key", "c_class"), "key").filter("class <> c_class").drop("label", "c_class")
         bucket = keep(rest.join(label, "class", "left").withColumn("label", F.coalesce("label", "class")), "buckets")
+    for few in (FEW, None):
+        found = found.unionByName(_confirmed(_apart(bucket, sets, agreeing(similarity), few), sets, similarity))
+        if found.isEmpty():
+            return None
+        label = components(found).withColumnRenamed("node", "class")
+        if few is not None:
+            bucket = bucket.drop("label").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
+    return label
+
+
+def _apart(bucket: DataFrame, sets: DataFrame, least: int, few: int | None) -> DataFrame:
+    """Pairs (a, b) that share a bucket, lie in different components and have sketches that agree enough.
+
+    The rows of a bucket's main component are asked by all others, in blocks of at most about BLOCK rows each.
+    """
     by_label = bucket.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     split = by_label.groupBy("key").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("n_all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     split = split.select("key", F.col("most.label").alias("main"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n_all") - F.col("most.m")) / BLOCK).cast("int").alias("ask_blocks"))
@@ -245,11 +271,7 @@ def links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) ->
     own = ["key", "band", "class", "label", "sketch"]
     told = rows.select(*own, F.lit(False).alias("asks"), spread("all_blocks").alias("x"), each("ask_blocks").alias("y"))
     asking = rows.filter("label <> main").select(*own, F.lit(True).alias("asks"), each("all_blocks").alias("x"), spread("ask_blocks").alias("y"))
-    pairs = told.unionByName(asking).groupBy("key", "x", "y").applyInArrow(_compare(agreeing(similarity)), "a binary, b binary").distinct()
-    found = found.unionByName(_confirmed(pairs, sets, similarity))
-    if found.isEmpty():
-        return None
-    return components(found).withColumnRenamed("node", "class")
+    return told.unionByName(asking).groupBy("key", "x", "y").applyInArrow(_compare(least, few), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, similarity: int = 80) -> DataFrame:
