@@ -78,13 +78,13 @@ def transform_classes(symbols: np.ndarray, least: int = LEAST) -> tuple[np.ndarr
     ``symbols`` are small integers; prefixes that meet the end go round, which callers exclude.
     """
     n = len(symbols)
-    kinds, dense = np.unique(symbols, return_inverse=True)
-    dense = dense.astype(np.int64)
-    bits = max(1, int(len(kinds) - 1).bit_length())
-    have = max(1, 62 // bits)
+    used = np.bincount(symbols) > 0
+    dense = (np.cumsum(used) - 1)[symbols]
+    bits = max(1, int(used.sum() - 1).bit_length())
     key, have = dense, 1
     while have * 2 * bits <= 62 and have * 2 <= least:
         key, have = (key << (bits * have)) | np.roll(key, -have), have * 2
+    wide = max(1, int(n - 1).bit_length())
     while True:
         order = np.argsort(key)
         ordered = key[order]
@@ -93,7 +93,10 @@ def transform_classes(symbols: np.ndarray, least: int = LEAST) -> tuple[np.ndarr
         if have >= least:
             break
         step = min(have, least - have)  # the next symbols, or the last of the wanted ones
-        key, have = (rank << 31) | np.roll(rank, -step), have + step
+        key, have = (rank << wide) | np.roll(rank, -step), have + step
+        if 3 * wide <= 63 and have < least:  # three ranks fit one key
+            last = min(step, least - have)
+            key, have = (key << wide) | np.roll(rank, -(have - step + last)), have + last
     before = dense[order - 1]  # the transform: the symbol before each suffix
     by_symbol = np.argsort(before.astype(np.uint16), kind="stable")
     back = np.empty(n, np.int64)  # where the suffix that is one symbol longer stands
