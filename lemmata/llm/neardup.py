@@ -8,10 +8,9 @@ give buckets, and every link is confirmed on the full sets.
 Equal sets are one class from the start. In a bucket of many classes no list of all pairs is made. First, STARS times, the
 class that shares most buckets is the bucket's centre and is compared with the members that are not yet in its component;
 a group of m near copies becomes one component with about m comparisons. What then lies between different components in a
-bucket is compared by whole sketches, in blocks of bounded size and in the first bucket that two classes share; only pairs
-whose sketches agree as those of a link do, but for five standard deviations, are confirmed on their sets. That is done twice:
-first with the FEW partners of each class that agree most, which joins nearly all that is linked; then with all that still
-lie in different components.
+bucket is compared in blocks of bounded size, in the first bucket that two classes share: by whole sketches, and where these agree
+as those of a link do, but for five standard deviations, on the full sets. A block gives links between components that it
+does not know to be connected yet, so no more of them than it has components.
 """
 
 from __future__ import annotations
@@ -29,7 +28,7 @@ from lemmata.shipping import map_arrow
 #: Coordinates of a sketch and of a band. A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 BINS, BAND = 128, 4
 #: Rounds of centres, and rows of a bucket in one block.
-STARS, BLOCK, FEW = 2, 4096, 2
+STARS, BLOCK = 2, 2048
 _SHIFT = np.uint64(64 - 7)
 _is_word = np.ones(256, bool)
 _is_word[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -142,9 +141,7 @@ def _confirm(similarity: int):
         for batch in batches:
             ok = []
             for a, b in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
-                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(100 * both >= similarity * (len(x) + len(y) - both))
+                ok.append(_linked(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), similarity))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
     return run
@@ -177,20 +174,24 @@ def agreeing(similarity: int, bins: int = BINS) -> int:
     return int(bins * p - 5 * (bins * p * (1 - p)) ** 0.5)
 
 
-def _compare(least: int, few: int | None):
-    """Pairs of different components in one block of a bucket whose sketches agree enough, in their first common band.
+def _linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= similarity * (len(x) + len(y) - both)
 
-    With ``few``, only so many of each asking class, those that agree most.
-    """
+
+def _compare(similarity: int):
+    """Links between different components in one block of a bucket, of pairs whose first common band is the bucket's."""
+    least = agreeing(similarity)
 
     def run(block: pa.Table) -> pa.Table:
         asks = np.asarray(block.column("asks"))
         sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint16).reshape(block.num_rows, -1)
+        sets = [np.frombuffer(x.as_py(), np.uint64) for x in block.column("shingles")]
         names, label = block.column("class").to_pylist(), np.unique(block.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
         band = int(block.column("band")[0].as_py())
-        ask, all_ = np.flatnonzero(asks), np.flatnonzero(~asks)
+        all_ = np.flatnonzero(~asks)
         out_a, out_b = [], []
-        for i in ask:
+        for i in np.flatnonzero(asks):
             other = all_[label[all_] != label[i]]
             near, agree = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for part in np.array_split(other, max(1, len(other) // 1024)):
@@ -204,9 +205,11 @@ def _compare(least: int, few: int | None):
                 near.append(part[enough])
                 agree.append(count[enough])
             near, agree = np.concatenate(near), np.concatenate(agree)
-            for j in near[np.argsort(-agree, kind="stable")[:few]]:
-                out_a.append(min(names[i], names[j]))
-                out_b.append(max(names[i], names[j]))
+            for j in near[np.argsort(-agree, kind="stable")]:
+                if label[j] != label[i] and _linked(sets[i], sets[j], similarity):
+                    label[label == label[j]] = label[i]
+                    out_a.append(min(names[i], names[j]))
+                    out_b.append(max(names[i], names[j]))
         return pa.table({"a": pa.array(out_a, pa.binary()), "b": pa.array(out_b, pa.binary())})
 
     return run
@@ -247,31 +250,25 @@ def links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) ->
         # the centre has been compared with all of its bucket, and leaves
         rest = bucket.join(top.select("key", "c_class"), "key").filter("class <> c_class").drop("label", "c_class")
         bucket = keep(rest.join(label, "class", "left").withColumn("label", F.coalesce("label", "class")), "buckets")
-    for few in (FEW, None):
-        found = found.unionByName(_confirmed(_apart(bucket, sets, agreeing(similarity), few), sets, similarity))
-        if found.isEmpty():
-            return None
-        label = components(found).withColumnRenamed("node", "class")
-        if few is not None:
-            bucket = bucket.drop("label").join(label, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    return label
+    found = found.unionByName(keep(_apart(bucket, sets, similarity), "linked"))
+    return None if found.isEmpty() else components(found).withColumnRenamed("node", "class")
 
 
-def _apart(bucket: DataFrame, sets: DataFrame, least: int, few: int | None) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and have sketches that agree enough.
+def _apart(bucket: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links (a, b) of classes that share a bucket and lie in different components.
 
     The rows of a bucket's main component are asked by all others, in blocks of at most about BLOCK rows each.
     """
     by_label = bucket.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
     split = by_label.groupBy("key").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("n_all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     split = split.select("key", F.col("most.label").alias("main"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n_all") - F.col("most.m")) / BLOCK).cast("int").alias("ask_blocks"))
-    rows = bucket.join(split, "key").join(sets.select("class", "sketch"), "class")
+    rows = bucket.join(split, "key").join(sets, "class")
     spread = lambda blocks: F.pmod(F.xxhash64("class"), F.col(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    own = ["key", "band", "class", "label", "sketch"]
+    own = ["key", "band", "class", "label", "sketch", "shingles"]
     told = rows.select(*own, F.lit(False).alias("asks"), spread("all_blocks").alias("x"), each("ask_blocks").alias("y"))
     asking = rows.filter("label <> main").select(*own, F.lit(True).alias("asks"), each("all_blocks").alias("x"), spread("ask_blocks").alias("y"))
-    return told.unionByName(asking).groupBy("key", "x", "y").applyInArrow(_compare(least, few), "a binary, b binary").distinct()
+    return told.unionByName(asking).groupBy("key", "x", "y").applyInArrow(_compare(similarity), "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, similarity: int = 80) -> DataFrame:
