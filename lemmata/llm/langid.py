@@ -123,24 +123,23 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """text, lang of the documents to learn from: at most SAMPLE_DOCS of a language, in order of a hash of the id."""
-    known = docs.filter(F.col("lang").isNotNull() & (fold(F.col("doc_id"), 5) != 0) & (F.length("text") > 0))
+    """text, lang of the documents to learn from: at most SAMPLE_DOCS of a language, in order of a hash of the id.
+
+    If there are more than SAMPLE_LANGS languages, those with most documents are learned. Ids are chosen first; the texts
+    of at most SAMPLE_DOCS * SAMPLE_LANGS of them are then picked from a scan, without a shuffle of texts.
+    """
+    known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0) & (F.length("text") > 0))
+    ids = known.select("doc_id", "lang")
+    most = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).select("lang")
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), "doc_id")
-    return known.select("doc_id", "lang", F.substring("text", 1, SAMPLE_CHARS).alias("text")).withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE_DOCS).select("text", "lang", F.xxhash64("text", "lang").alias("_o"))
+    chosen = ids.join(F.broadcast(most), "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()
+    return known.join(F.broadcast(chosen), ["doc_id", "lang"]).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
 
 
 def fit(docs: DataFrame, seed: int = 7) -> Model | None:
-    """The model, or None where no document has a label to learn from.
-
-    If there are more than SAMPLE_LANGS languages, those with the most documents in the sample are learned.
-    """
-    rows = sample(docs).orderBy("lang", "_o").limit(SAMPLE_DOCS * SAMPLE_LANGS * 4).collect()
-    counts: dict[str, int] = {}
-    for r in rows:
-        counts[r["lang"]] = counts.get(r["lang"], 0) + 1
-    kept = set(sorted(counts, key=lambda k: (-counts[k], k))[:SAMPLE_LANGS])
-    rows = [r for r in rows if r["lang"] in kept]
-    return train([r["text"].encode() for r in rows], [r["lang"] for r in rows], seed) if rows else None
+    """The model, or None where no document has a label to learn from."""
+    rows = sorted((r["lang"], r["text"]) for r in sample(docs).collect())
+    return train([t.encode() for _, t in rows], [k for k, _ in rows], seed) if rows else None
 
 
 def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
