@@ -28,7 +28,10 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "signed_token", "der_key", "ssh_key", "wrapped")
 
-BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-](?:[A-Za-z0-9+/_-]|\r?\n(?=[A-Za-z0-9+/]{16,}))*={0,2}")
+#: Runs of each base64 alphabet with whatever line ends lie within; '-' of armour is in the second alphabet only.
+RUNS = tuple(re.compile(rf"(?<![A-Za-z0-9+/_-]){c}++(?:\r?\n{c}++)*+={{0,2}}") for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
+LINE = re.compile(r"[^\r\n]+")
+ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[ \t\r\n]*+([A-Za-z0-9+/ \t\r\n]++={0,2})[ \t\r\n]*+-----END ")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
 #: A run with no break that is long enough to be a candidate; texts without one need no base64 scan.
 LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
@@ -56,7 +59,7 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 def unbase64(text: str) -> bytes | None:
     """Strict decoding of either alphabet, padded or not; None if it is not base64."""
-    body = re.sub(r"[\r\n]", "", text).rstrip("=")
+    body = re.sub(r"[ \t\r\n]", "", text).rstrip("=")
     if len(body) % 4 == 1 or (set("+/") & set(body) and set("-_") & set(body)):
         return None
     try:
@@ -161,22 +164,95 @@ def confirmed_as(data: bytes) -> str | None:
     return None
 
 
+def key_length(head: bytes) -> int | None:
+    """The length that DER data states for itself; None if it does not start with a sequence."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    if head[1] < 0x80:
+        return 2 + head[1]
+    n = head[1] & 0x7F
+    return 2 + n + int.from_bytes(head[2 : 2 + n], "big") if 1 <= n <= 4 else None
+
+
+def ssh_lengths(data: bytes) -> list[int]:
+    """Where SSH data may end: behind each of its fields, the furthest first."""
+    at, n, out = 15 if data.startswith(b"openssh-key-v1\0") else 0, 0, []
+    container = at > 0
+    while at + 4 <= len(data):
+        at += 4 if container and n == 3 else 4 + int.from_bytes(data[at : at + 4], "big")
+        n += 1
+        if at <= len(data):
+            out.append(at)
+    return out[::-1]
+
+
+def run_spans(text: str, run: re.Match) -> list[Span]:
+    """What is confirmed in a run of base64: lines that belong together, wherever in the run they begin and end."""
+    lines = [(run.start() + m.start(), run.start() + m.end()) for m in LINE.finditer(run[0])]
+    if text[run.end() : run.end() + 1] in ("+", "/", "-", "_") and text[run.end() - 1] != "=" and not text.startswith("-----", run.end()):
+        lines.pop()  # the start of a word of the other alphabet
+    if not lines:
+        return []
+    out: list[Span] = []
+    taken = [False] * len(lines)
+
+    def attempt(i: int, j: int) -> None:
+        if i <= j < len(lines) and lines[j][1] - lines[i][0] >= 24 and not any(taken[i : j + 1]):
+            if (raw := unbase64(text[lines[i][0] : lines[j][1]])) and (kind := confirmed_as(raw)):
+                out.append((lines[i][0], lines[j][1], kind))
+                taken[i : j + 1] = [True] * (j + 1 - i)
+
+    width = [b - a for a, b in lines]
+    # keys state how long they are, so the line that they end with follows from the line that they begin with
+    ends: list[int] = []
+    ends_at: dict[int, int] = {}
+    for i, (a, b) in enumerate(lines):
+        ends.append((ends[-1] if ends else 0) + len(text[a:b].rstrip("=")))
+        ends_at[ends[-1]] = i
+    for i, (a, b) in enumerate(lines if len(lines) > 1 else []):
+        if taken[i] or text[a] not in "MAb":
+            continue
+        head = unbase64(text[a : min(b, a + 40) - (min(b, a + 40) - a) % 4]) or b""
+        base = ends[i - 1] if i else 0
+        if (n := key_length(head)) is not None:
+            j = ends_at.get(base + (n * 8 + 5) // 6)
+            if j is not None:
+                attempt(i, j)
+        elif head.startswith(b"openssh-key-v1\0") or head[4 : 4 + int.from_bytes(head[:4], "big")] in SSH_NAMES:
+            rest = text[a : lines[-1][1]]
+            size = ends[-1] - base
+            raw = unbase64(rest) or unbase64(re.sub(r"[\r\n=]", "", rest)[: size - size % 4]) or b""
+            for n in ssh_lengths(raw):
+                j = ends_at.get(base + (n * 8 + 5) // 6)
+                if j is not None:
+                    attempt(i, j)
+    # other secrets: lines up to a short one, and lines of one width with a shorter last line, with and without what adjoins
+    for starts in ([i for i, w in enumerate(width) if i == 0 or w < 16], [i for i, w in enumerate(width) if i == 0 or w != width[i - 1]]):
+        for i, after in zip(starts, [*starts[1:], len(lines)], strict=True):
+            for first in (i, i + 1):
+                attempt(first, after)
+                attempt(first, after - 1)
+    for i in range(len(lines)):
+        attempt(i, i)
+    return out
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """(start, end, kind) of candidates that decode to something that holds together."""
     out: list[Span] = []
     if "eyJ" in text:
         out += [(m.start(), m.end(), "signed_token") for m in TOKEN.finditer(text) if is_token_header(m[1])]
-    if not LONG_RUN.search(text):
+    armoured = [] if "-----BEGIN " not in text else list(ARMOUR.finditer(text))
+    if not armoured and not LONG_RUN.search(text):
         return ordered(out)
-    for m in BASE64.finditer(text):
-        if m.end() - m.start() < 24:
-            continue
-        if (raw := unbase64(m[0])) and (kind := confirmed_as(raw)):
-            out.append((m.start(), m.end(), kind))
-        elif "\n" in m[0]:  # lines that do not belong together: each by itself
-            for line in re.finditer(r"[^\r\n]{24,}", m[0]):
-                if (raw := unbase64(line[0])) and (kind := confirmed_as(raw)):
-                    out.append((m.start() + line.start(), m.start() + line.end(), kind))
+    for m in armoured:
+        if (raw := unbase64(m[1])) and (kind := confirmed_as(raw)):
+            out.append((m.start(1), m.start(1) + len(m[1].rstrip()), kind))
+    known = [(a, b) for a, b, k in out if k != "signed_token"]
+    for runs in RUNS:
+        for m in runs.finditer(text):
+            if m.end() - m.start() >= 24 and not any(a <= m.start() and m.end() <= b for a, b in known):
+                out += run_spans(text, m)
     for m in ANY_HEX.finditer(text):
         if kind := confirmed_as(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), kind))

@@ -109,6 +109,46 @@ def test_confirmed_secrets():
         assert secrets.confirmed_spans(f"see {other} there") == []
 
 
+def _keys():
+    rng = np.random.default_rng(3)
+    some = lambda n: b"\x01" + rng.bytes(n)
+    string = lambda x: len(x).to_bytes(4, "big") + x
+    rsa = _tlv(0x30, _tlv(2, b"\0"), _tlv(2, some(256)), _tlv(2, b"\1\0\1"), _tlv(2, some(255)), *(_tlv(2, some(128)) for _ in range(5)))
+    pkcs8 = _tlv(0x30, _tlv(2, b"\0"), _tlv(0x30, _tlv(6, b"\x2a\x86\x48\x86\xf7\x0d\1\1\1"), _tlv(5)), _tlv(4, rsa))
+    ec = _tlv(0x30, _tlv(2, b"\1"), _tlv(4, some(31)), _tlv(0xA0, _tlv(6, b"\x2a\x86\x48\xce\x3d\3\1\7")), _tlv(0xA1, _tlv(3, b"\0\4" + some(63))))
+    openssh = b"openssh-key-v1\0" + string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(string(b"ssh-rsa") + string(b"\1\0\1") + string(some(256))) + string(some(700))
+    return (("RSA PRIVATE KEY", rsa, "der_key"), ("PRIVATE KEY", pkcs8, "der_key"), ("EC PRIVATE KEY", ec, "der_key"), ("OPENSSH PRIVATE KEY", openssh, "ssh_key"))
+
+
+@pytest.mark.parametrize("width", [64, 70, 76])
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\n    "])
+def test_wrapped_keys(width, end):
+    import base64
+
+    for name, data, kind in _keys():
+        b64 = base64.b64encode(data).decode()
+        body = end.join(b64[i : i + width] for i in range(0, len(b64), width))
+        text = f"my key{end}-----BEGIN {name}-----{end}{body}{end}-----END {name}-----{end}thanks"
+        at = text.index(body)
+        assert secrets.confirmed_spans(text) == [(at, at + len(body), kind)], name
+        assert secrets.redact_text(text) == text.replace(body, "[secret]")
+        if end != "\n    ":  # no armour; words end the line before and stand alone on the line behind
+            for before, behind in (("", ""), (f"this is my key{end}", ""), (f"key{end}", f"{end}Thanks"), ("key: ", f"{end}Thanks a lot")):
+                text = before + body + behind
+                assert secrets.confirmed_spans(text) == [(len(before), len(before) + len(body), kind)], (name, before, behind)
+
+
+def test_wrapped_keys_with_any_last_line():
+    import base64
+
+    for n in range(100, 170):
+        data = _tlv(0x30, _tlv(2, b"\1"), _tlv(4, np.random.default_rng(n).bytes(n)))
+        b64 = base64.b64encode(data).decode()
+        for body in ("\n".join(b64[i : i + 64] for i in range(0, len(b64), 64)), "\n".join(base64.urlsafe_b64encode(data).decode().rstrip("=")[i : i + 64] for i in range(0, len(b64.rstrip("=")), 64))):
+            assert secrets.confirmed_spans(f"key\n{body}\n") == [(4, 4 + len(body), "der_key")], n
+            assert secrets.confirmed_spans(f"{body}\n{body}") [0] == (0, len(body), "der_key"), n
+
+
 def test_secret_scan_of_odd_rows(spark):
     got = secrets.scan(table(spark, ODD)).collect()
     assert len(got) == len(ODD) and all(r["spans"] == "" for r in got)
