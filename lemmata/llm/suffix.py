@@ -254,7 +254,7 @@ _RANGES = "doc_id long, tag long, start long, stop long"
 
 
 def _judge(batches: Iterator[pa.RecordBatch], least: int, symbols: int) -> Iterator[pa.RecordBatch]:
-    """Ranges of repeats from rows in order of (key, more, doc_id, tag, start)."""
+    """Ranges of repeats from rows in order of (key, more, kind, doc_id, tag, start, stop); equal rows are one."""
 
     def out(doc_id, tag, start, stop) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (doc_id, tag, start, stop)], names=["doc_id", "tag", "start", "stop"])
@@ -269,8 +269,15 @@ def _judge(batches: Iterator[pa.RecordBatch], least: int, symbols: int) -> Itera
         if len(t):
             yield out(pairs[t, 0], pairs[t, 1], a, b)
 
-    held, size, last, last_key = [], 0, (None, None), None
+    held, size, last, last_key, last_row = [], 0, (None, None), None, None
     for batch in batches:
+        if not batch.num_rows:
+            continue
+        row = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in ("key", "more", "kind", "doc_id", "tag", "start", "stop")], axis=1)
+        same = np.concatenate([[last_row is not None and bool((row[0] == last_row).all())], (row[1:] == row[:-1]).all(axis=1)])
+        last_row = row[-1]
+        if same.any():
+            batch = batch.filter(pa.array(~same))
         kind = np.asarray(batch.column("kind"))
         cover = batch.filter(pa.array(kind == _COVER))
         if cover.num_rows:
@@ -352,15 +359,19 @@ def repeat_ranges(docs: DataFrame, least: int = LEAST, k: int = K, group: int =
     ordered = own.orderBy("s", "doc_id", "at")
     whole = F.col("at").bitwiseAND(_WHOLE) == _WHOLE
     found = found.withColumn("first", F.coalesce(F.col("s") != F.lag("s").over(ordered), F.lit(True)))
+    again = F.lit(True)  # the same place of a row that is there several times
+    for c in ("s", "doc_id", "at"):
+        again &= F.col(c) == F.lag(c).over(ordered)
+    found = found.withColumn("again", F.coalesce(again, F.lit(False)))
     found = found.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("contexts", F.sum(F.col("first").cast("int")).over(own))
     # a later row of a context is a repeat; a first one matters if the anchor has other contexts
     kind = F.when(~F.col("first"), _COVER).when(F.col("contexts") > group, _DIGEST).otherwise(_CONTEXT)
-    found = found.filter(whole | ~F.col("first") | (F.col("contexts") > 1)).select("doc_id", F.shiftright("at", 32).alias("tag"), "at", "h", kind.alias("kind"))
+    found = found.filter(~F.col("again") & (whole | ~F.col("first") | (F.col("contexts") > 1))).select("doc_id", F.shiftright("at", 32).alias("tag"), "at", "h", kind.alias("kind"))
     marked = keep(found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "h", "kind")).alias("found")), "anchors")
     _clean(docs.sparkSession)
     texts = docs.join(marked.withColumnRenamed("doc_id", "m_doc").withColumnRenamed("tag", "m_tag"), (F.col("doc_id") == F.col("m_doc")) & (F.col("tag") == F.col("m_tag")))
     parts = texts.select("doc_id", "tag", "text", "found").transform(map_arrow, lambda batches: _cut(batches, least, k), _PARTS)
-    parts = parts.repartition("key").sortWithinPartitions("key", "more", "doc_id", "tag", "start")
+    parts = parts.repartition("key").sortWithinPartitions("key", "more", "kind", "doc_id", "tag", "start", "stop")
     ranges = keep(parts.transform(map_arrow, lambda batches: _judge(batches, least, symbols), _RANGES), "ranges")
     forget(marked)
     _clean(docs.sparkSession)

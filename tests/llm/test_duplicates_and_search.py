@@ -62,6 +62,22 @@ def test_suffix_dedup(spark):
     assert suffix.remove_repeats(table(spark, [(1, None), (2, "short")])).count() == 2
 
 
+def test_suffix_dedup_of_repeated_rows(spark):
+    rng = random.Random(7)
+    text = lambda n: " ".join("".join(rng.choice("abcdef") for _ in range(5)) for _ in range(n))
+    passage, other = text(40), text(40)
+    rows = [(1, text(80))] * 2 + [(2, text(80))] * 5 + [(None, text(80))] * 3  # nowhere else
+    rows += 3 * [(10 + i, text(20) + passage + text(20)) for i in range(12)]  # in part elsewhere, in many contexts
+    rows += [(40, other + text(9))] * 2 + [(41, other)] * 2 + [(39, "x" + other)] * 4 + [(50, "ab" * 300)] * 2
+    want = plain_removal(rows)
+    assert want[1][1] == want[2][1] == want[None][1] == 0 and want[41][1] == len(other)
+    for parts in (1, 7):
+        for how in ({}, {"group": 2}, {"symbols": 500}):
+            got = suffix.remove_repeats(table(spark, rows).repartition(parts), **how).collect()
+            assert len(got) == len(rows)
+            assert [r for r in got if tuple(r)[1:] != want[r["doc_id"]]] == [], (parts, how)
+
+
 def plain_components(rows, width, similarity):
     import re
 
