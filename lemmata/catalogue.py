@@ -505,6 +505,13 @@ def prompt_blocks(spark, d):
     return _t(spark, d, "documents").select("doc_id", P.prompt_block(F.col("doc_id"), P.answer_input(F.array("text"), 200), predicates=known).alias("prompt"))
 
 
+@query(r"""SELECT doc_id, '### Item ' || doc_id || E'\n\n' || CASE WHEN lang <> 'en' THEN E'Known predicates:\n- written_in/2 — ' || lang || E'\n\n' ELSE '' END || E'Text:\n' || trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS prompt FROM documents""")
+def prompt_blocks_whole(spark, d):
+    """Items over whole texts, as the reference makes them; ``prompt_blocks`` shows their first 200 characters."""
+    known = F.when(F.col("lang") != "en", P.predicate_lines(F.array(F.struct(F.lit("written_in").alias("name"), F.lit(2).alias("arity"), F.col("lang").alias("gloss"))))).otherwise("")
+    return _t(spark, d, "documents").select("doc_id", P.prompt_block(F.col("doc_id"), T.without_tags(F.col("text")), predicates=known).alias("prompt"))
+
+
 @query(f"""SELECT conv_id, turn, '{P.SYSTEM_ANSWER}' AS system, E'Policy:\\n' || role || E'\\n\\nQuestion:\\n' || conv_id || E'\\n' || text AS question, 2::BIGINT AS n FROM conversations""")
 def chat_messages(spark, d):
     m = P.chat_messages(F.col("role"), F.col("conv_id").cast("string"), F.col("text"))

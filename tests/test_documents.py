@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from lemmata import catalogue
 from lemmata.operators import models
 from lemmata.operators import outline as H
 from lemmata.sources import records
@@ -62,3 +63,11 @@ def test_chunks_and_remaining(spark):
     got = {r["chunk"]: [x["id"] for x in r["rows"]] for r in records.chunked(df, 4, "id").collect()}
     assert got == {0: [0, 1, 2, 3], 1: [4, 5, 6, 7], 2: [8, 9]}
     assert records.remaining(df, spark.range(8), "id").count() == 2
+
+
+def test_prompts_hold_whole_texts(spark, tmp_path):
+    texts = [" ".join(f"w{i}" for i in range(n)) for n in (1, 100, 3000)]
+    spark.createDataFrame([(i, "fr" if i else "en", f"<p>{t}</p>") for i, t in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["prompt"] for r in catalogue.queries()["prompt_blocks_whole"](spark, str(tmp_path)).collect()}
+    known = "Known predicates:\n- written_in/2 — fr\n\n"
+    assert got == {i: f"### Item {i}\n\n{known if i else ''}Text:\n{t}" for i, t in enumerate(texts)}
