@@ -130,8 +130,9 @@ def _setter(width: int):
             for batch in slices(whole, "text", 2 << 20):
                 code, offsets = shingle_sets(batch.column("text"), width)
                 sets = [code[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                low = sketches(code, offsets).astype(np.uint16)
-                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(_class(code, offsets), pa.binary()), pa.array(sets, pa.binary()), pa.array([x.tobytes() for x in low], pa.binary())], names=["class", "is", "shingles", "sketch"])
+                full = sketches(code, offsets)
+                low, keys = full.astype(np.uint16), band_keys(full)
+                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(_class(code, offsets), pa.binary()), pa.array(sets, pa.binary()), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (low, keys))], names=["class", "is", "shingles", "sketch", "keys"])
 
     return run
 
@@ -186,6 +187,7 @@ def _compare(similarity: int):
     def run(block: pa.Table) -> pa.Table:
         asks = np.asarray(block.column("asks"))
         sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint16).reshape(block.num_rows, -1)
+        keys = np.frombuffer(b"".join(block.column("keys").to_pylist()), np.uint64).reshape(block.num_rows, -1)
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in block.column("shingles")]
         names, label = block.column("class").to_pylist(), np.unique(block.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
         band = int(block.column("band")[0].as_py())
@@ -200,7 +202,7 @@ def _compare(similarity: int):
                 enough = np.flatnonzero(count >= least)
                 if not len(enough):
                     continue
-                bands = same[enough].reshape(len(enough), -1, BAND).all(axis=2)
+                bands = keys[part[enough]] == keys[i]  # what buckets are made by; sketches are cut to 16 bits
                 enough = enough[bands.argmax(axis=1) == band]
                 near.append(part[enough])
                 agree.append(count[enough])
@@ -237,7 +239,7 @@ def links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) ->
         return None
     wanted = bucket.select("class").distinct().join(classes, "class").select("class", "rep")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("class", "text")
-    sets = texts.transform(map_arrow, _setter(width), "class binary, is binary, shingles binary, sketch binary").filter("class = is").dropDuplicates(["class"]).select("class", "shingles", "sketch")
+    sets = texts.transform(map_arrow, _setter(width), "class binary, is binary, shingles binary, sketch binary, keys binary").filter("class = is").dropDuplicates(["class"]).select("class", "shingles", "sketch", "keys")
     sets = keep(sets, "sets")
     found: DataFrame | None = None  # the links so far
     for _ in range(STARS):
@@ -265,7 +267,7 @@ def _apart(bucket: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     rows = bucket.join(split, "key").join(sets, "class")
     spread = lambda blocks: F.pmod(F.xxhash64("class"), F.col(blocks)).cast("int")
     each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    own = ["key", "band", "class", "label", "sketch", "shingles"]
+    own = ["key", "band", "class", "label", "sketch", "keys", "shingles"]
     told = rows.select(*own, F.lit(False).alias("asks"), spread("all_blocks").alias("x"), each("ask_blocks").alias("y"))
     asking = rows.filter("label <> main").select(*own, F.lit(True).alias("asks"), each("all_blocks").alias("x"), spread("ask_blocks").alias("y"))
     return told.unionByName(asking).groupBy("key", "x", "y").applyInArrow(_compare(similarity), "a binary, b binary").distinct()

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,17 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == sorted(plain_components(rows, 1, 80))
 
 
+def test_first_common_band_is_that_of_the_keys():
+    full = np.random.default_rng(2).integers(0, 1 << 63, (1, neardup.BINS)).astype(np.uint64).repeat(2, axis=0)
+    full[1, 0] ^= np.uint64(1 << 40)  # the first band's keys differ, though not in the 16 bits that are kept
+    keys, low = neardup.band_keys(full), full.astype(np.uint16)
+    assert keys[0, 0] != keys[1, 0] and (keys[0, 1:] == keys[1, 1:]).all() and (low[0] == low[1]).all()
+    words = np.arange(50, dtype=np.uint64).tobytes()
+    linked = neardup._compare(80)
+    rows = {"class": [b"a", b"b"], "label": [b"a", b"b"], "asks": [True, False], "sketch": [x.tobytes() for x in low], "keys": [x.tobytes() for x in keys], "shingles": [words, words]}
+    assert [linked(pa.table({**rows, "band": [band] * 2})).num_rows for band in (1, 2)] == [1, 0]
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
     assert neardup.deduplicated(table(spark, [(1, None), (2, ""), (3, "a b c d e f"), (4, "a b c d e f")])).count() == 3
