@@ -13,10 +13,14 @@ import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rounds of a recursion after which what is known is written as one table: plans stay short however many there are.
+COMPACT = 64
+
 FACT = "kb string, pred string, arity int, args array<string>"
 
 
@@ -137,11 +141,12 @@ def _recursive(rules: Sequence[Rule]) -> bool:
     return any(b.pred in heads for r in rules for b in r.body)
 
 
-def closure(facts: DataFrame, rules: Sequence[Rule], *, wildcards: bool = False, most_rounds: int = 1000) -> DataFrame:
+def closure(facts: DataFrame, rules: Sequence[Rule], *, wildcards: bool = False, most_rounds: int | None = None) -> DataFrame:
     """``facts`` and everything that the rules derive from them. Without recursion the whole is one plan.
 
     ``wildcards`` says that facts may hold nulls, which equal anything; joins are then on the knowledge base alone with
-    the arguments as a condition.
+    the arguments as a condition. A recursive rule is followed until nothing is new; where ``most_rounds`` is given and
+    does not suffice, that is an error.
     """
     facts = facts.select("kb", "pred", "arity", "args")
     for group in strata(rules):
@@ -150,7 +155,7 @@ def closure(facts: DataFrame, rules: Sequence[Rule], *, wildcards: bool = False,
             continue
         known = _written(facts.distinct())
         latest: DataFrame = known
-        for _ in range(most_rounds):
+        for done in count(1):
             heads = {r.head.pred for r in group}
             first = latest is known
             parts = []
@@ -165,7 +170,11 @@ def closure(facts: DataFrame, rules: Sequence[Rule], *, wildcards: bool = False,
             latest = _written(new.join(old, (F.col("kb") == F.col("k")) & (F.col("pred") == F.col("p")) & (F.col("arity") == F.col("n")) & F.col("args").eqNullSafe(F.col("a")), "left_anti"))
             if latest.isEmpty():
                 break
+            if done == most_rounds:
+                raise RuntimeError(f"recursive rules still find facts in round {done}")
             known = known.unionByName(latest)
+            if done % COMPACT == 0:
+                known = _written(known)
         facts = known
     return facts
 

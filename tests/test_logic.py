@@ -1,5 +1,7 @@
+import inspect
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lemmata.operators import bridging as B
@@ -44,6 +46,19 @@ def test_fixpoint_agrees_with_prover(spark):
         assert {f"[{a},{b}]" for a, b in two} == set(prover.answer(text, "r2(X,Y)")[1])
 
 
+def test_recursion_ends_when_nothing_is_new(spark, monkeypatch):
+    monkeypatch.setattr(X, "COMPACT", 3)
+    n = 9
+    facts = spark.createDataFrame([("k", "next", 2, [str(i), str(i + 1)]) for i in range(n)], "kb string, pred string, arity int, args array<string>")
+    rules = [X.Rule(X.Literal("far", ("A", "B")), (X.Literal("next", ("A", "B")),)), X.Rule(X.Literal("far", ("A", "C")), (X.Literal("next", ("A", "B")), X.Literal("far", ("B", "C"))))]
+    got = {tuple(r["args"]) for r in X.closure(facts, rules).filter("pred = 'far'").collect()}
+    assert got == {(str(a), str(b)) for a in range(n) for b in range(a + 1, n + 1)}
+    assert X.closure(facts, rules, most_rounds=n + 1).count() == n + len(got)
+    with pytest.raises(RuntimeError):
+        X.closure(facts, rules, most_rounds=4)
+    assert inspect.signature(X.closure).parameters["most_rounds"].default is None  # no end but that
+
+
 def test_wildcard_facts(spark):
     facts = spark.createDataFrame([("k", "pays", 2, [None, "tax"]), ("k", "lives", 1, ["me"])], X.FACT)
     L = X.Literal
