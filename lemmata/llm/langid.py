@@ -18,7 +18,8 @@ from lemmata.llm.common import fold, slices, text_buffers
 from lemmata.shipping import map_arrow
 
 WINDOW, EMBED, WIDTHS, FILTERS = 160, 8, (2, 3, 4), 16
-#: The bounded sample that is learned from: documents of a language, characters of each, languages.
+#: The bounded sample that is learned from: documents of a language, characters of each, and languages beyond which each
+#: has fewer documents and the network more steps.
 SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGS = 500, 2400, 64
 STEPS, BATCH, RATE = 500, 128, 4e-3
 UNKNOWN = "und"
@@ -90,7 +91,8 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
     params = [m.embed, m.filters, m.bias, m.dense, m.dense_bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     by_lang = [np.flatnonzero(y == k) for k in range(len(names)) if (y == k).any()]
-    for step in range(1, STEPS + 1):
+    steps = STEPS * -(-len(names) // SAMPLE_LANGS)
+    for step in range(1, steps + 1):
         pick = np.array([rng.choice(by_lang[k]) for k in rng.integers(0, len(by_lang), BATCH)])
         bx, by = x[pick].copy(), y[pick]
         # some windows lose their end, so that short texts are known too
@@ -114,7 +116,7 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
         for k in range(wide):
             np.add.at(d_embed, padded[np.arange(BATCH)[:, None], at + k], d_in[:, :, k * EMBED : (k + 1) * EMBED])
         grads = [d_embed, d_filters, d_top.sum(axis=0), act.T @ p, p.sum(axis=0)]
-        rate = RATE * min(1.0, 2.0 - 2.0 * step / STEPS + 0.05)
+        rate = RATE * min(1.0, 2.0 - 2.0 * step / steps + 0.05)
         for q, g, v, s in zip(params, grads, first, second, strict=True):
             v += 0.1 * (g - v)
             s += 0.001 * (g * g - s)
@@ -123,16 +125,16 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
 
 
 def sample(docs: DataFrame) -> DataFrame:
-    """text, lang of the documents to learn from: at most SAMPLE_DOCS of a language, in order of a hash of the id.
+    """text, lang of the documents to learn from, of every language: those of each that come first by a hash of the id.
 
-    If there are more than SAMPLE_LANGS languages, those with most documents are learned. Ids are chosen first; the texts
-    of at most SAMPLE_DOCS * SAMPLE_LANGS of them are then picked from a scan, without a shuffle of texts.
+    At most SAMPLE_DOCS of a language; with more than SAMPLE_LANGS languages an equal share of SAMPLE_DOCS * SAMPLE_LANGS,
+    one at least. Ids are chosen first; their texts are then picked from a scan, without a shuffle of texts.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0) & (F.length("text") > 0))
     ids = known.select("doc_id", "lang")
-    most = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(SAMPLE_LANGS).select("lang")
+    each = max(1, SAMPLE_DOCS * SAMPLE_LANGS // max(SAMPLE_LANGS, ids.select("lang").distinct().count()))
     order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), "doc_id")
-    chosen = ids.join(F.broadcast(most), "lang").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE_DOCS).select("doc_id", "lang").distinct()
+    chosen = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each).select("doc_id", "lang").distinct()
     return known.join(F.broadcast(chosen), ["doc_id", "lang"]).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
 
 
@@ -142,12 +144,15 @@ def fit(docs: DataFrame, seed: int = 7) -> Model | None:
     return train([t.encode() for _, t in rows], [k for k, _ in rows], seed) if rows else None
 
 
-def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray]:
-    """Language and its probability for each text; ``und`` and 0 where a text is null or has no letter."""
+def predict(model: Model | None, texts: pa.Array, least: float = 0.35) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, its probability, and the share of letters in windows that have any language with ``least``, of each text.
+
+    ``und``, 0 and 0 where a text is null or has no letter.
+    """
     data, offsets = text_buffers(texts)
     n = len(offsets) - 1
     if model is None or not n:
-        return [UNKNOWN] * n, np.zeros(n)
+        return [UNKNOWN] * n, np.zeros(n), np.zeros(n)
     x, whose = windows(data, offsets)
     p = model.predict(x).astype(np.float64) if len(x) else np.zeros((0, len(model.langs)))
     weight = _letters[x].sum(axis=1).astype(np.float64)
@@ -155,21 +160,22 @@ def predict(model: Model | None, texts: pa.Array) -> tuple[list[str], np.ndarray
     sums = np.stack([np.bincount(whose, weight * p[:, k], n) for k in range(len(model.langs))], axis=1)
     best = sums.argmax(axis=1)
     score = np.where(total > 0, sums[np.arange(n), best] / np.maximum(total, 1), 0.0)
+    known = np.bincount(whose, weight * (p.max(axis=1) >= least), n) / np.maximum(total, 1)
     ascii_letters = np.bincount(whose, _letters[:128][np.minimum(x, 127)].sum(axis=1) if len(x) else None, n) > 0
     langs = [model.langs[k] for k in best]
     for i in np.flatnonzero(~ascii_letters):
         if not any(c.isalpha() for c in texts[int(i)].as_py() or ""):
-            langs[i], score[i] = UNKNOWN, 0.0
-    return langs, np.clip(score, 0, 1)
+            langs[i], score[i], known[i] = UNKNOWN, 0.0, 0.0
+    return langs, np.clip(score, 0, 1), known
 
 
-def _runner(model: Model | None, keep_lang: str, keep_score: str):
+def _runner(model: Model | None, *names: str, least: float = 0.35):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", 4 << 20):
-                langs, score = predict(model, batch.column("text"))
-                cols = batch.columns + [pa.array(langs, pa.string()), pa.array(score, pa.float64())]
-                yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, keep_lang, keep_score])
+                langs, *shares = predict(model, batch.column("text"), least)
+                cols = [pa.array(langs, pa.string()), *(pa.array(x, pa.float64()) for x in shares)][: len(names)]
+                yield pa.RecordBatch.from_arrays(batch.columns + cols, names=[*batch.schema.names, *names])
 
     return run
 
@@ -187,8 +193,12 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def recognised(docs: DataFrame, least: float = 0.35) -> DataFrame:
-    """The rows of ``docs`` whose text has letters and a language with a probability of at least ``least``."""
+    """The rows of ``docs`` whose text has letters and is recognised.
+
+    Either one language has a probability of at least ``least`` over the text, or at least half of its letters are in
+    windows that each have one, whichever languages these are.
+    """
     model = fit(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.transform(map_arrow, _runner(model, "_lang", "_score"), f"{schema}, _lang string, _score double")
-    return out.filter((F.col("_lang") != UNKNOWN) & (F.col("_score") >= least)).select(*docs.columns)
+    out = docs.transform(map_arrow, _runner(model, "_lang", "_score", "_known", least=least), f"{schema}, _lang string, _score double, _known double")
+    return out.filter((F.col("_lang") != UNKNOWN) & ((F.col("_score") >= least) | (F.col("_known") >= 0.5))).select(*docs.columns)

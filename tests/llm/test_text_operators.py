@@ -224,6 +224,25 @@ def test_language_id(spark):
     assert {1000, 1001, 1002}.isdisjoint({r["doc_id"] for r in kept.collect()}) and kept.count() >= 230
 
 
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_LANGS", 2)
+    monkeypatch.setattr(langid, "SAMPLE_DOCS", 60)
+    rows = _corpus(240)
+    rows = [r for r in rows if r[2] != "cc" or r[0] < 120]  # the one with fewest documents
+    got = Counter(r["lang"] for r in langid.sample(table(spark, rows)).collect())
+    assert set(got) == set(WORDS) and max(got.values()) <= 2 * 60 // 3
+    right = [r["lang_pred"] == "cc" for r in langid.identify(table(spark, rows)).collect() if r["doc_id"] % 3 == 2]
+    assert np.mean(right) > 0.9
+
+
+def test_texts_in_several_languages_are_recognised(spark):
+    part = {k: (w + " ") * 20 for k, w in WORDS.items()}
+    mixed = "".join(t[:480] for t in part.values())
+    rows = _corpus(240) + [(5000, mixed, None, "s")]
+    kept = {r["doc_id"] for r in langid.recognised(table(spark, rows)).collect()}
+    assert 5000 in kept
+
+
 def test_windows_cover_whole_texts():
     texts = [b"", b"a" * 159, b"b" * 160, b"c" * 481]
     x, whose = langid.windows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
