@@ -105,6 +105,14 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base)]))
 
 
+def substring_hashes(data: np.ndarray, offsets: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
+    """A 64-bit hash of each of the strings that lie one after another in ``data``."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, max(0, len(data) - 1))[: len(data)], out=sums[1:])
+    back = powers(np.uint64(pow(int(base), -1, 1 << 64)), len(data))
+    return mix64((sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
+
+
 def runs(data: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end of each maximal run of ``own`` bytes within a text, and a 64-bit hash of the run's bytes."""
     begin, stop = own.copy(), own.copy()

@@ -1,5 +1,7 @@
 """Mixing, secrets, packing and language ID against plain versions, and every odd case."""
 
+import itertools
+import random
 import re
 import zlib
 from collections import Counter
@@ -160,8 +162,39 @@ def test_secret_scan_of_odd_rows(spark):
 def test_encoder_is_the_tokenizer():
     e = packing.encoder(packing.default_tokenizer())
     odd = ["a  b", "a   b ", " x", "x ", "a \n b", "don't 'll", "<|endoftext|> a b", "", " ", "\n\n", "a\nb c", "é à\tb", "1 2 3.4 ,x", "  x y", "x  y", "z" * 3000]
-    for texts in (odd, odd[::-1]):
-        assert e(texts) == e.whole(texts)
+    rng = random.Random(5)
+    signs = [" ", "  ", "\n", "\t", "a", "B", "é", "ß", "×", "1", "23", "'s", ".", "\u00a0", "\u2003", "\u3000", "日", "\x1c", "\x85", "<|endoftext|>", " x", "😀", "word", "\r\n", " \n "]
+    made = ["".join(rng.choice(signs) for _ in range(rng.randrange(12))) for _ in range(4000)]
+    for texts in (odd, odd[::-1], made, [None, *made[:5], None], []):
+        ids, offsets = e(pa.array(texts, pa.string()))
+        want = e.encoded([t or "" for t in texts])
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [x.tolist() for x in want]
+
+
+def test_encoder_forgets_and_learns_anew(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 1500)
+    e = packing.Encoder(packing.default_tokenizer())
+    rng = random.Random(6)
+    for _ in range(30):
+        texts = [" ".join(f"w{rng.randrange(60)}" for _ in range(20)) for _ in range(4)]
+        ids, offsets = e(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == [x.tolist() for x in e.encoded(texts)]
+        assert len(e.key) == len(set(e.key.tolist())) <= 120 and (np.diff(e.key) > 0).all()
+
+
+def test_sums_index_every_combination():
+    rng = np.random.default_rng(3)
+    counts = np.zeros(31, np.int64)
+    counts[rng.integers(1, 31, 12)] = 2
+    sums = packing._Sums(counts, 30)
+    for x in [0, *np.flatnonzero(counts)[:5].tolist()]:
+        if x:
+            sums.counts[x] = 0
+            sums._count(x, -1)
+        left = np.flatnonzero(sums.counts)
+        for n, index in ((1, sums.singles), (2, sums.pairs), (3, sums.triples)):
+            want = Counter(sum(c) for c in itertools.combinations_with_replacement(left.tolist(), n))
+            assert {i: int(k) for i, k in enumerate(index) if k} == dict(want)
 
 
 def test_plans_use_every_piece_once():
@@ -183,7 +216,7 @@ def test_pack(spark):
     rows = ODD + [(50 + i, "word " * (i * 7), "en", "s") for i in range(80)]
     got = packing.pack(table(spark, rows)).collect()
     e = packing.encoder(packing.default_tokenizer())
-    ids = {r[0]: e.whole([r[1] or ""])[0] + b"\0\0\0\0" for r in rows}
+    ids = {r[0]: e.encoded([r[1] or ""])[0].tobytes() + b"\0\0\0\0" for r in rows}
     by_sequence = {}
     for r in got:
         assert r["ids_crc32"] == zlib.crc32(ids[r["doc_id"]][4 * r["start"] : 4 * (r["start"] + r["length"])])
@@ -200,6 +233,13 @@ def test_pack(spark):
     assert packing.pack(table(spark, [])).count() == 0
 
 
+def test_pack_of_repeated_rows(spark):
+    rows = [(7, "same text here", "en", "s")] * 300 + [(None, None, None, None)] * 5 + [(8, "word " * 5000, "en", "s")] * 2
+    got = packing.pack(table(spark, rows)).collect()
+    taken = [(r["sequence_id"], r["offset"] + i) for r in got for i in range(r["length"])]
+    assert len(got) == 300 + 5 + 6 and len(set(taken)) == len(taken)
+
+
 WORDS = {"aa": "the and ing tion of to in er", "bb": "der die und ein nicht ung keit sch", "cc": "le la des et une dans pour que"}
 
 
