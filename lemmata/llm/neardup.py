@@ -8,9 +8,10 @@ give buckets, and every link is confirmed on the full sets.
 Equal sets are one class from the start. In a bucket of many classes no list of all pairs is made. First, STARS times, the
 class that shares most buckets is the bucket's centre and is compared with the members that are not yet in its component;
 a group of m near copies becomes one component with about m comparisons. What then lies between different components in a
-bucket is compared in blocks of bounded size, in the first bucket that two classes share: by whole sketches, and where these agree
-as those of a link do, but for five standard deviations, on the full sets. A block gives links between components that it
-does not know to be connected yet, so no more of them than it has components.
+bucket is compared in blocks of bounded rows and bytes, in the first bucket that two classes share, on the full sets. Pairs
+that cannot be links are left out before by sizes and bitmaps: where two bitmaps differ in more bits than the sets of a link
+can differ in shingles, there is no link, whatever the sketches say. A block gives links between components that it does
+not know to be connected yet, so no more of them than it has components.
 """
 
 from __future__ import annotations
@@ -21,14 +22,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from lemmata.llm.common import forget, keep, mix64, runs, slices, text_buffers
-from lemmata.shipping import map_arrow
+from lemmata.shipping import map_arrow, ship
 
 #: Coordinates of a sketch and of a band. A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 BINS, BAND = 128, 4
-#: Rounds of centres, and rows of a bucket in one block.
-STARS, BLOCK = 2, 2048
+#: Rounds of centres; rows and bytes of shingles of a bucket in one block; words of 64 bits in a bitmap.
+STARS, BLOCK, BLOCK_BYTES, WORDS = 2, 2048, 16 << 20, 32
 _SHIFT = np.uint64(64 - 7)
 _is_word = np.ones(256, bool)
 _is_word[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -124,26 +126,56 @@ def _sketcher(width: int):
     return run
 
 
+def bitmaps(code: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """n x words of bits; a bit is set where an odd number of a set's shingles hash to it.
+
+    Sets that differ in d shingles have bitmaps that differ in d bits at most.
+    """
+    n = len(offsets) - 1
+    whose = np.repeat(np.arange(n), np.diff(offsets))
+    bit = (mix64(code, 501) & np.uint64(64 * words - 1)).astype(np.int64)
+    odd = np.bincount(whose * (64 * words) + bit, minlength=n * 64 * words).reshape(n, -1) & 1
+    return np.packbits(odd.astype(bool), axis=1, bitorder="little").view(np.uint64)
+
+
 def _setter(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", 2 << 20):
+            for batch in slices(whole, "text", 1 << 20):
                 code, offsets = shingle_sets(batch.column("text"), width)
-                sets = [code[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                full = sketches(code, offsets)
-                low, keys = full.astype(np.uint16), band_keys(full)
-                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(_class(code, offsets), pa.binary()), pa.array(sets, pa.binary()), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (low, keys))], names=["class", "is", "shingles", "sketch", "keys"])
+                raw = memoryview(code).cast("B")
+                sets = [bytes(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)] if len(code) else [b""] * (len(offsets) - 1)
+                bits, keys = (np.concatenate([f(code, offsets[a : a + 257]) for a in range(0, len(offsets) - 1, 256)]) for f in (_bits_of, _keys_of))
+                yield pa.RecordBatch.from_arrays([batch.column("class"), pa.array(_class(code, offsets), pa.binary()), pa.array(sets, pa.binary()), *(pa.array([x.tobytes() for x in y], pa.binary()) for y in (bits, keys))], names=["class", "is", "shingles", "bits", "keys"])
 
     return run
 
 
+def _bits_of(code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return bitmaps(code[offsets[0] : offsets[-1]], offsets - offsets[0])
+
+
+def _keys_of(code: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    return band_keys(sketches(code[offsets[0] : offsets[-1]], offsets - offsets[0]))
+
+
 def _confirm(similarity: int):
+    """Linked pairs from rows in order of (center, block, member): a centre's own row, which has no member, comes first."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        center, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("a_set"), batch.column("b_set"), strict=True):
-                ok.append(_linked(np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64), similarity))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
+            a, b = [], []
+            for c, m, x in zip(batch.column("center").to_pylist(), batch.column("member").to_pylist(), batch.column("shingles"), strict=True):
+                other = np.frombuffer(x.as_py(), np.uint64)
+                if m is None:
+                    center, own = c, other
+                elif c != center:
+                    raise ValueError("a member without its centre")
+                elif _linked(own, other, similarity):
+                    a.append(min(c, m))
+                    b.append(max(c, m))
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
     return run
 
@@ -169,12 +201,6 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def agreeing(similarity: int, bins: int = BINS) -> int:
-    """Coordinates that agree at least, but for five standard deviations, where the similarity is enough."""
-    p = similarity / 100
-    return int(bins * p - 5 * (bins * p * (1 - p)) ** 0.5)
-
-
 def _linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
     both = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * both >= similarity * (len(x) + len(y) - both)
@@ -182,32 +208,32 @@ def _linked(x: np.ndarray, y: np.ndarray, similarity: int) -> bool:
 
 def _compare(similarity: int):
     """Links between different components in one block of a bucket, of pairs whose first common band is the bucket's."""
-    least = agreeing(similarity)
 
     def run(block: pa.Table) -> pa.Table:
         asks = np.asarray(block.column("asks"))
-        sketch = np.frombuffer(b"".join(block.column("sketch").to_pylist()), np.uint16).reshape(block.num_rows, -1)
-        keys = np.frombuffer(b"".join(block.column("keys").to_pylist()), np.uint64).reshape(block.num_rows, -1)
+        read = lambda name: np.frombuffer(b"".join(block.column(name).to_pylist()), np.uint64).reshape(block.num_rows, -1)
+        bits, keys = read("bits"), read("keys")
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in block.column("shingles")]
+        size = np.array([len(x) for x in sets])
         names, label = block.column("class").to_pylist(), np.unique(block.column("label").to_numpy(zero_copy_only=False), return_inverse=True)[1]
         band = int(block.column("band")[0].as_py())
         all_ = np.flatnonzero(~asks)
         out_a, out_b = [], []
         for i in np.flatnonzero(asks):
             other = all_[label[all_] != label[i]]
-            near, agree = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            other = other[100 * np.minimum(size[other], size[i]) >= similarity * np.maximum(size[other], size[i])]
+            near, apart = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for part in np.array_split(other, max(1, len(other) // 1024)):
-                same = sketch[part] == sketch[i]
-                count = same.sum(axis=1)
-                enough = np.flatnonzero(count >= least)
-                if not len(enough):
+                differ = np.bitwise_count(bits[part] ^ bits[i]).sum(axis=1, dtype=np.int64)
+                # 100 * common >= similarity * union, both written with the number of shingles that are in one set only
+                may = np.flatnonzero((100 + similarity) * differ <= (100 - similarity) * (size[part] + size[i]))
+                if not len(may):
                     continue
-                bands = keys[part[enough]] == keys[i]  # what buckets are made by; sketches are cut to 16 bits
-                enough = enough[bands.argmax(axis=1) == band]
-                near.append(part[enough])
-                agree.append(count[enough])
-            near, agree = np.concatenate(near), np.concatenate(agree)
-            for j in near[np.argsort(-agree, kind="stable")]:
+                may = may[(keys[part[may]] == keys[i]).argmax(axis=1) == band]
+                near.append(part[may])
+                apart.append(differ[may])
+            near, apart = np.concatenate(near), np.concatenate(apart)
+            for j in near[np.argsort(apart, kind="stable")]:
                 if label[j] != label[i] and _linked(sets[i], sets[j], similarity):
                     label[label == label[j]] = label[i]
                     out_a.append(min(names[i], names[j]))
@@ -217,11 +243,33 @@ def _compare(similarity: int):
     return run
 
 
+def _many(rows: str, shingles: str):
+    """In how many blocks so many rows with so many shingles go."""
+    return F.greatest(F.lit(1), F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(shingles) * 8 / BLOCK_BYTES)).cast("int")
+
+
+def _spread(blocks: str):
+    return F.pmod(F.xxhash64("class"), F.col(blocks)).cast("int")
+
+
+def _each(blocks: str):
+    return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """The pairs (a, b) of classes that are linked."""
-    with_a = pairs.join(sets.select(F.col("class").alias("a"), F.col("shingles").alias("a_set")), "a")
-    with_b = with_a.join(sets.select(F.col("class").alias("b"), F.col("shingles").alias("b_set")), "b")
-    return keep(with_b.select("a", "b", "a_set", "b_set").transform(map_arrow, _confirm(similarity), "a binary, b binary, linked boolean").filter("linked").select("a", "b"), "linked")
+    """The pairs (center, class, n) of classes that are linked, as (a, b) in order; n is the size of the class's set.
+
+    A centre's members are dealt into blocks, and its own set is sent once to each block.
+    """
+    pairs = keep(pairs, "pairs")
+    blocks = pairs.groupBy("center").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s")).select("center", _many("m", "s").alias("blocks"))
+    members = pairs.join(blocks, "center").select("center", _spread("blocks").alias("block"), F.col("class").alias("member"))
+    members = members.join(sets.select(F.col("class").alias("member"), "shingles"), "member").select("center", "block", "member", "shingles")
+    centers = blocks.join(sets.select(F.col("class").alias("center"), "shingles"), "center").select("center", _each("blocks").alias("block"), F.lit(None).cast("binary").alias("member"), "shingles")
+    rows = members.unionByName(centers).repartition("center", "block").sortWithinPartitions("center", "block", F.col("member").asc_nulls_first())
+    linked = keep(rows.transform(map_arrow, _confirm(similarity), "a binary, b binary"), "linked")
+    forget(pairs)
+    return linked
 
 
 def links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) -> DataFrame | None:
@@ -233,27 +281,41 @@ def links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) ->
     # a class whose id is on several rows comes several times here; distinct takes it once
     held = keep(bands.join(shared, "key").select("key", "band", "class", "n", "m").distinct(), "buckets")
     weight = held.groupBy("class").agg(F.sum("m").alias("w"))
-    bucket = keep(held.join(weight, "class").select("key", "band", "class", "n", "w", F.col("class").alias("label")), "buckets")
+    # a bucket's rows are dealt by their classes too, so that a large one is not read by one task
+    salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("salt")
+    bucket = keep(held.join(weight, "class").select("key", salt, "band", "class", "n", "w", F.col("class").alias("label"), F.ceil(F.col("m") / BLOCK).cast("int").alias("salts")), "buckets")
     forget(held)
     if bucket.isEmpty():
         return None
     wanted = bucket.select("class").distinct().join(classes, "class").select("class", "rep")
     texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["rep"])).select("class", "text")
-    sets = texts.transform(map_arrow, _setter(width), "class binary, is binary, shingles binary, sketch binary, keys binary").filter("class = is").dropDuplicates(["class"]).select("class", "shingles", "sketch", "keys")
+    sets = texts.transform(map_arrow, _setter(width), "class binary, is binary, shingles binary, bits binary, keys binary").filter("class = is").dropDuplicates(["class"]).select("class", "shingles", "bits", "keys")
     sets = keep(sets, "sets")
     found: DataFrame | None = None  # the links so far
+    tables = []
     for _ in range(STARS):
-        top = bucket.groupBy("key").agg(F.max(F.struct("w", "class", "label", "n")).alias("c"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("key", F.col("c.class").alias("c_class"), F.col("c.label").alias("c_label"), F.col("c.n").alias("c_n"))
+        best = F.max(F.struct("w", "class", "label", "n")).alias("c")
+        by_salt = bucket.groupBy("key", "salt", "salts").agg(best, F.min("label").alias("lo"), F.max("label").alias("hi"))
+        top = by_salt.groupBy("key", "salts").agg(F.max("c").alias("c"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).filter("lo <> hi")
+        top = top.select("key", _each("salts").alias("salt"), F.col("c.class").alias("center"), F.col("c.label").alias("c_label"), F.col("c.n").alias("c_n"))
         sized = (100 * F.least("n", "c_n")) >= similarity * F.greatest("n", "c_n")
-        pairs = bucket.join(top, "key").filter((F.col("label") != F.col("c_label")) & sized).select(F.least("class", "c_class").alias("a"), F.greatest("class", "c_class").alias("b")).distinct()
+        pairs = bucket.join(top, ["key", "salt"]).filter((F.col("label") != F.col("c_label")) & sized).select("center", "class", "n").distinct()
         linked = _confirmed(pairs, sets, similarity)
+        tables.append(linked)
         found = linked if found is None else found.unionByName(linked)
-        label = components(found).withColumnRenamed("node", "class")
+        label = components(found)
         # the centre has been compared with all of its bucket, and leaves
-        rest = bucket.join(top.select("key", "c_class"), "key").filter("class <> c_class").drop("label", "c_class")
-        bucket = keep(rest.join(label, "class", "left").withColumn("label", F.coalesce("label", "class")), "buckets")
-    found = found.unionByName(keep(_apart(bucket, sets, similarity), "linked"))
-    return None if found.isEmpty() else components(found).withColumnRenamed("node", "class")
+        rest = bucket.join(top.select("key", "salt", "center"), ["key", "salt"]).filter("class <> center").drop("label", "center")
+        new = keep(rest.join(label.withColumnRenamed("node", "class"), "class", "left").withColumn("label", F.coalesce("label", "class")), "buckets")
+        forget(bucket)
+        forget(label)
+        bucket = new
+    tables.append(keep(_apart(bucket, sets, similarity), "linked"))
+    found = found.unionByName(tables[-1])
+    out = None if found.isEmpty() else components(found).withColumnRenamed("node", "class")
+    for t in (bucket, sets, *tables):
+        forget(t)
+    return out
 
 
 def _apart(bucket: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
@@ -261,15 +323,15 @@ def _apart(bucket: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
     The rows of a bucket's main component are asked by all others, in blocks of at most about BLOCK rows each.
     """
-    by_label = bucket.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"))
-    split = by_label.groupBy("key").agg(F.max(F.struct("m", "label")).alias("most"), F.sum("m").alias("n_all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
-    split = split.select("key", F.col("most.label").alias("main"), F.ceil(F.col("n_all") / BLOCK).cast("int").alias("all_blocks"), F.ceil((F.col("n_all") - F.col("most.m")) / BLOCK).cast("int").alias("ask_blocks"))
+    by_label = bucket.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    split = by_label.groupBy("key").agg(F.max(F.struct("m", "label", "s")).alias("most"), F.sum("m").alias("m_all"), F.sum("s").alias("s_all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    split = split.withColumn("m_ask", F.col("m_all") - F.col("most.m")).withColumn("s_ask", F.col("s_all") - F.col("most.s"))
+    split = split.select("key", F.col("most.label").alias("main"), _many("m_all", "s_all").alias("all_blocks"), _many("m_ask", "s_ask").alias("ask_blocks"))
     rows = bucket.join(split, "key").join(sets, "class")
-    spread = lambda blocks: F.pmod(F.xxhash64("class"), F.col(blocks)).cast("int")
-    each = lambda blocks: F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
-    own = ["key", "band", "class", "label", "sketch", "keys", "shingles"]
-    told = rows.select(*own, F.lit(False).alias("asks"), spread("all_blocks").alias("x"), each("ask_blocks").alias("y"))
-    asking = rows.filter("label <> main").select(*own, F.lit(True).alias("asks"), each("all_blocks").alias("x"), spread("ask_blocks").alias("y"))
+    own = ["key", "band", "class", "label", "bits", "keys", "shingles"]
+    told = rows.select(*own, F.lit(False).alias("asks"), _spread("all_blocks").alias("x"), _each("ask_blocks").alias("y"))
+    asking = rows.filter("label <> main").select(*own, F.lit(True).alias("asks"), _each("all_blocks").alias("x"), _spread("ask_blocks").alias("y"))
+    ship(bucket.sparkSession)
     return told.unionByName(asking).groupBy("key", "x", "y").applyInArrow(_compare(similarity), "a binary, b binary").distinct()
 
 
@@ -281,25 +343,58 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, similarity: int = 80) ->
     own. A text without words, or null, is linked with nothing. A null id is never the smallest while there is another;
     rows that repeat an id share its component where their texts are linked. Extra columns are ignored.
     """
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    sketched = keep(docs.transform(map_arrow, _sketcher(width), "doc_id long, n long, class binary, bands array<long>"), "sketches")
-    found = links(docs, sketched, width, similarity)
-    least = sketched.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
-    if found is not None:
-        labelled = least.join(found, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
-        reached = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-        least = labelled.join(reached, "label").select("class", "component_id")
-    else:
-        least = least.withColumnRenamed("rep", "component_id")
+    sketched, least = _components(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), width, similarity)
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "class").join(least, "class", "left")
     component = F.when(F.col("class").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _components(docs: DataFrame, width: int, similarity: int) -> tuple[DataFrame, DataFrame]:
+    """The written sketches of the rows, and of each class its component (label) and the smallest id in it."""
+    sketched = keep(docs.transform(map_arrow, _sketcher(width), "doc_id long, n long, class binary, bands array<long>"), "sketches")
+    found = links(docs, sketched, width, similarity)
+    least = sketched.filter("class is not null").groupBy("class").agg(F.min("doc_id").alias("rep"))
+    if found is None:
+        return sketched, least.select("class", F.col("class").alias("label"), F.col("rep").alias("component_id"))
+    labelled = least.join(found, "class", "left").select("class", "rep", F.coalesce("label", "class").alias("label"))
+    reached = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
+    return sketched, labelled.join(reached, "label").select("class", "label", "component_id")
+
+
+def _classes_of(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, "text", 2 << 20):
+                own = pa.array(_class(*shingle_sets(batch.column("text"), width)), pa.binary())
+                yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*batch.schema.names, "class"])
+
+    return run
+
+
 def deduplicated(docs: DataFrame, *, width: int = 5, similarity: int = 80) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, that of the smallest id.
+    """``docs`` with one row of each group of near duplicates, of the smallest id; other columns are as they were.
 
-    Of rows that repeat an id, those stay whose text is not in another's group.
+    Of rows that repeat an id, one stays of those that are linked, and those whose text is in another's group go. Rows
+    without words, or with a null text, are nobody's duplicates and stay. A null id is never the smallest while there is
+    another. An empty table gives an empty table.
     """
-    out = near_duplicates(docs, width=width, similarity=similarity).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(out, docs["doc_id"].cast("long").eqNullSafe(out["_kept"]), "left_semi")
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    sketched, least = _components(given, width, similarity)
+    rows = sketched.select("doc_id", "class").join(least, "class", "left")
+    kept = rows.filter(F.col("class").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # nearly always every id is on one row; rows of the others are told apart by their sets
+    repeated = keep(sketched.groupBy("doc_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        ids = kept.select(F.col("doc_id").alias("k")).distinct()
+        return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["k"]), "left_semi")
+    once = kept.join(repeated.withColumnRenamed("doc_id", "r"), F.col("doc_id").eqNullSafe(F.col("r")), "left_anti").select(F.col("doc_id").alias("k")).distinct()
+    single = docs.join(once, docs["doc_id"].cast("long").eqNullSafe(once["k"]), "left_semi")
+    own = F.struct(*(docs[c] for c in docs.columns)).alias("own")
+    several = docs.join(repeated.withColumnRenamed("doc_id", "r"), docs["doc_id"].cast("long").eqNullSafe(F.col("r")), "left_semi")
+    several = several.select(own).select("own", F.col("own.doc_id").cast("long").alias("doc_id"), F.col("own.text").cast("string").alias("text"))
+    schema = StructType([*several.schema.fields, StructField("class", BinaryType())])
+    several = several.transform(map_arrow, _classes_of(width), schema)
+    known = several.join(least.withColumnRenamed("class", "c"), F.col("class") == F.col("c"), "left")
+    wordless = known.filter("class is null").select("own.*")
+    one = known.filter(F.col("class").isNotNull() & F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id", "label").agg(F.first("own").alias("own")).select("own.*")
+    return single.unionByName(wordless).unionByName(one)

@@ -142,15 +142,32 @@ def test_blocks_of_a_bucket(spark, monkeypatch):
 
 def test_first_common_band_is_that_of_the_keys():
     full = np.random.default_rng(2).integers(0, 1 << 63, (1, neardup.BINS)).astype(np.uint64).repeat(2, axis=0)
-    full[1, 0] ^= np.uint64(1 << 40)  # the first band's keys differ, though not in the 16 bits that are kept
-    keys, low = neardup.band_keys(full), full.astype(np.uint16)
-    assert keys[0, 0] != keys[1, 0] and (keys[0, 1:] == keys[1, 1:]).all() and (low[0] == low[1]).all()
-    words = np.arange(50, dtype=np.uint64).tobytes()
+    full[1, 0] ^= np.uint64(1 << 40)
+    keys, words = neardup.band_keys(full), np.arange(50, dtype=np.uint64).tobytes()
+    assert keys[0, 0] != keys[1, 0] and (keys[0, 1:] == keys[1, 1:]).all()
     linked = neardup._compare(80)
-    rows = {"class": [b"a", b"b"], "label": [b"a", b"b"], "asks": [True, False], "sketch": [x.tobytes() for x in low], "keys": [x.tobytes() for x in keys], "shingles": [words, words]}
+    rows = {"class": [b"a", b"b"], "label": [b"a", b"b"], "asks": [True, False], "bits": [np.zeros(neardup.WORDS, np.uint64).tobytes()] * 2, "keys": [x.tobytes() for x in keys], "shingles": [words, words]}
     assert [linked(pa.table({**rows, "band": [band] * 2})).num_rows for band in (1, 2)] == [1, 0]
 
 
+def test_bitmaps_never_differ_more_than_sets():
+    rng = np.random.default_rng(8)
+    for n in (1, 30, 900, 20000):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[len(a) // 9 :], rng.integers(0, 1 << 63, n // 7).astype(np.uint64)]))
+        bits = neardup.bitmaps(np.concatenate([a, b]), np.array([0, len(a), len(a) + len(b)]))
+        assert int(np.bitwise_count(bits[0] ^ bits[1]).sum()) <= len(np.setxor1d(a, b))
+
+
+def test_one_of_identical_rows_stays(spark):
+    text, other = "a b c d e f g h", "p q r s t u v w"
+    rows = [(5, text), (5, text), (5, other), (6, other), (9, text), (None, "k l m n o p"), (None, "k l m n o p"), (7, None), (7, None), (8, "x y z"), (5, text + " i")]
+    got = neardup.deduplicated(table(spark, rows), width=5, similarity=80).collect()
+    stay = sorted((r["doc_id"] or 0, (r["text"] or "")[:15]) for r in got)  # which of two linked rows stays is free
+    assert stay == [(0, "k l m n o p"), (5, text), (5, other), (7, ""), (7, ""), (8, "x y z")]
+    assert got[0]["label"] == "l" and len(got[0]) == 6
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(table(spark, [])).count() == 0
     assert neardup.deduplicated(table(spark, [(1, None), (2, ""), (3, "a b c d e f"), (4, "a b c d e f")])).count() == 3
