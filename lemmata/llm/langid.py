@@ -13,14 +13,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from lemmata.llm.common import fold, slices, text_buffers
+from lemmata.llm.common import fold, fresh, slices, text_buffers
 from lemmata.shipping import map_arrow
 
 WINDOW, EMBED, WIDTHS, FILTERS = 160, 8, (2, 3, 4), 16
-#: The bounded sample that is learned from: documents of a language, characters of each, and languages beyond which each
-#: has fewer documents and the network more steps.
-SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_LANGS = 500, 2400, 64
+#: The bounded sample that is learned from: documents of a language, windows of each (spread over the whole text), and
+#: languages beyond which each has fewer documents and the network more steps.
+SAMPLE_DOCS, SAMPLE_WINDOWS, SAMPLE_LANGS = 500, 16, 64
 STEPS, BATCH, RATE = 500, 128, 4e-3
 UNKNOWN = "und"
 
@@ -74,15 +75,21 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
-    """Fit the network to labelled texts: cross entropy, Adam, windows drawn evenly over the languages."""
+def train(x: np.ndarray, langs: list[str], seed: int = 7) -> Model | None:
+    """Fit the network to labelled windows: cross entropy, Adam, windows drawn evenly over the languages.
+
+    Windows with fewer than 8 letters teach only a language that has no others. None where no window has a letter.
+    """
     rng = np.random.default_rng(seed)
-    names = sorted(set(langs))
-    y = np.array([names.index(x) for x in langs])
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    x, whose = windows(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
-    enough = _letters[x].sum(axis=1) >= 8
-    x, y = x[enough], y[whose[enough]]
+    y = np.unique(langs, return_inverse=True)[1] if langs else np.zeros(0, np.int64)
+    letters = _letters[x].sum(axis=1)
+    most = np.zeros(len(set(langs)), np.int64)
+    np.maximum.at(most, y, letters)
+    enough = letters >= np.clip(most, 1, 8)[y]
+    if not enough.any():
+        return None
+    names = sorted({langs[i] for i in np.flatnonzero(enough)})
+    x, y = x[enough], np.searchsorted(names, [langs[i] for i in np.flatnonzero(enough)])
     wide, n = max(WIDTHS), len(WIDTHS) * FILTERS
     mask = np.concatenate([np.repeat([[1.0]] * w * EMBED + [[0.0]] * (wide - w) * EMBED, FILTERS, axis=1) for w in WIDTHS], axis=1).astype(np.float32)
     m = Model(names, rng.normal(0, 0.5, (256, EMBED)).astype(np.float32), (rng.normal(0, 0.25, (wide * EMBED, n)) * mask).astype(np.float32), np.zeros(n, np.float32), rng.normal(0, 0.2, (n, len(names))).astype(np.float32), np.zeros(len(names), np.float32))
@@ -90,7 +97,7 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
         return m
     params = [m.embed, m.filters, m.bias, m.dense, m.dense_bias]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
-    by_lang = [np.flatnonzero(y == k) for k in range(len(names)) if (y == k).any()]
+    by_lang = [np.flatnonzero(y == k) for k in range(len(names))]
     steps = STEPS * -(-len(names) // SAMPLE_LANGS)
     for step in range(1, steps + 1):
         pick = np.array([rng.choice(by_lang[k]) for k in rng.integers(0, len(by_lang), BATCH)])
@@ -124,24 +131,44 @@ def train(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
     return m
 
 
+def _spread_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, lang and at most SAMPLE_WINDOWS windows of each text, evenly spread over it."""
+    for whole in batches:
+        for batch in slices(whole, "text", 4 << 20):
+            x, whose = windows(*text_buffers(batch.column("text")))
+            n = np.bincount(whose, minlength=batch.num_rows)
+            first = np.cumsum(n) - n
+            picked = [x[f + np.unique((np.arange(SAMPLE_WINDOWS) + 0.5) * k / SAMPLE_WINDOWS // 1).astype(np.int64)].reshape(-1).tobytes() for f, k in zip(first.tolist(), n.tolist(), strict=True) if k]
+            some = pa.array(n > 0)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").filter(some), batch.column("lang").filter(some), pa.array(picked, pa.binary())], names=["doc_id", "lang", "windows"])
+
+
 def sample(docs: DataFrame) -> DataFrame:
-    """text, lang of the documents to learn from, of every language: those of each that come first by a hash of the id.
+    """lang and windows of the documents to learn from, of every language: those of each that come first by a hash of the id.
 
     At most SAMPLE_DOCS of a language; with more than SAMPLE_LANGS languages an equal share of SAMPLE_DOCS * SAMPLE_LANGS,
-    one at least. Ids are chosen first; their texts are then picked from a scan, without a shuffle of texts.
+    one at least. Ids are chosen first: the hash leaves about three times as many as are wanted, whatever a language holds,
+    and these are ordered. Windows are then cut where the texts are read; of rows that repeat an id one teaches. What comes
+    to the driver is a number for each language, as in the model itself, and the sample.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 5) != 0) & (F.length("text") > 0))
-    ids = known.select("doc_id", "lang")
-    each = max(1, SAMPLE_DOCS * SAMPLE_LANGS // max(SAMPLE_LANGS, ids.select("lang").distinct().count()))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), "doc_id")
-    chosen = ids.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= each).select("doc_id", "lang").distinct()
-    return known.join(F.broadcast(chosen), ["doc_id", "lang"]).select(F.substring("text", 1, SAMPLE_CHARS).alias("text"), "lang")
+    sizes = [(r["lang"], r["n"]) for r in known.groupBy("lang").agg(F.approx_count_distinct("doc_id").alias("n")).collect()]
+    each = max(1, SAMPLE_DOCS * SAMPLE_LANGS // max(SAMPLE_LANGS, len(sizes)))
+    below = docs.sparkSession.createDataFrame([(k, float(min(1.0, (3 * each + 100) / max(1, n)))) for k, n in sizes], "lang string, below double")
+    place = F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid"))
+    ids = known.select("doc_id", "lang").join(F.broadcast(below), "lang").filter(F.pmod(place, F.lit(1 << 30)) < F.col("below") * (1 << 30))
+    ids = ids.select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(place, "doc_id")
+    chosen = ids.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= each).select("doc_id", "lang")
+    picked = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text")
+    return picked.transform(map_arrow, _spread_windows, "doc_id long, lang string, windows binary").groupBy("doc_id", "lang").agg(F.min("windows").alias("windows"))
 
 
 def fit(docs: DataFrame, seed: int = 7) -> Model | None:
-    """The model, or None where no document has a label to learn from."""
-    rows = sorted((r["lang"], r["text"]) for r in sample(docs).collect())
-    return train([t.encode() for _, t in rows], [k for k, _ in rows], seed) if rows else None
+    """The model, or None where no document with a letter has a label to learn from."""
+    rows = sorted((r["lang"], bytes(r["windows"])) for r in sample(docs).collect())
+    x = np.frombuffer(b"".join(w for _, w in rows), np.uint8).reshape(-1, WINDOW)
+    return train(x, [k for k, w in rows for _ in range(len(w) // WINDOW)], seed)
 
 
 def predict(model: Model | None, texts: pa.Array, least: float = 0.35) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -197,8 +224,11 @@ def recognised(docs: DataFrame, least: float = 0.35) -> DataFrame:
 
     Either one language has a probability of at least ``least`` over the text, or at least half of its letters are in
     windows that each have one, whichever languages these are.
+    Rows that repeat stay or go together; other columns are as they were, whatever their names. An empty table gives an
+    empty table.
     """
     model = fit(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs.transform(map_arrow, _runner(model, "_lang", "_score", "_known", least=least), f"{schema}, _lang string, _score double, _known double")
-    return out.filter((F.col("_lang") != UNKNOWN) & ((F.col("_score") >= least) | (F.col("_known") >= 0.5))).select(*docs.columns)
+    lang, score, known = (fresh(docs.columns, x) for x in ("lang_pred", "score", "known"))
+    schema = StructType([*docs.schema.fields, StructField(lang, StringType()), StructField(score, DoubleType()), StructField(known, DoubleType())])
+    out = docs.transform(map_arrow, _runner(model, lang, score, known, least=least), schema)
+    return out.filter((F.col(lang) != UNKNOWN) & ((F.col(score) >= least) | (F.col(known) >= 0.5))).select(*docs.columns)
