@@ -64,6 +64,36 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What op5_secret_scan reports by its base patterns, which SQL can express."""
+    return secrets.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+_ANY_CASE = lambda word: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+_ASSIGN = "(" + "|".join(map(_ANY_CASE, ("password", "passwd", "secret", "token"))) + "|" + _ANY_CASE("api") + "_?" + _ANY_CASE("key") + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+
+SECRET_BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS row, coalesce(text, '') AS t FROM documents),
+found AS (
+  SELECT row, 0 AS k, 'assign' AS kind, regexp_extract_all(t, '{_ASSIGN}') AS hit, string_split_regex(t, '{_ASSIGN}') AS gap,
+         regexp_extract_all(t, '{_ASSIGN}', 2) AS value, 6 AS least FROM d
+  UNION ALL
+  SELECT row, 1, 'access', regexp_extract_all(t, 'AKIA[A-Z0-9]+'), string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), 20 FROM d
+  UNION ALL
+  SELECT row, 2, 'hex', regexp_extract_all(t, '[0-9a-f]{{24,}}'), string_split_regex(t, '[0-9a-f]{{24,}}'), regexp_extract_all(t, '[0-9a-f]{{24,}}'), 24 FROM d),
+spans AS (
+  SELECT row, k, kind, value[i] AS value, least, len(hit[i]) AS n,
+         list_sum(list_transform(gap[1:i], lambda x: len(x))) + coalesce(list_sum(list_transform(hit[1:i - 1], lambda x: len(x))), 0) AS start
+  FROM found, unnest(range(1, len(hit) + 1)) AS u(i)),
+told AS (
+  SELECT row, sum((k = 0)::INT)::BIGINT AS n_assign, sum((k = 1)::INT)::BIGINT AS n_access, sum((k = 2)::INT)::BIGINT AS n_hex,
+         string_agg(kind || ':' || start::BIGINT || ':' || (start + n)::BIGINT, ',' ORDER BY start, k) AS spans
+  FROM spans WHERE len(value) >= least GROUP BY row)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256
+FROM d LEFT JOIN told USING (row)
+"""
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -112,8 +142,8 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media, "op5_secret_scan": op5_secret_scan, "op6_best_fit_packing": op6_best_fit_packing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_language_id": op8_language_id, "op9_warc_segments": op9_warc_segments, "op10_one_bit_neighbours": op10_one_bit_neighbours}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media, "op5_secret_scan": op5_secret_scan, "secret_base": secret_base, "op6_best_fit_packing": op6_best_fit_packing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_language_id": op8_language_id, "op9_warc_segments": op9_warc_segments, "op10_one_bit_neighbours": op10_one_bit_neighbours}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "op9_warc_segments": OP9_SQL, "op10_one_bit_neighbours": OP10_SQL}
+    return {"op3_mix_sources": OP3_SQL, "secret_base": SECRET_BASE_SQL, "op9_warc_segments": OP9_SQL, "op10_one_bit_neighbours": OP10_SQL}

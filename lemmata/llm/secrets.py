@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmata.llm.common import slices
 from lemmata.shipping import map_arrow
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -28,13 +29,12 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "signed_token", "der_key", "ssh_key", "wrapped")
 
-#: Runs of each base64 alphabet with whatever line ends lie within; '-' of armour is in the second alphabet only.
-RUNS = tuple(re.compile(rf"(?<![A-Za-z0-9+/_-]){c}++(?:\r?\n{c}++)*+={{0,2}}") for c in ("[A-Za-z0-9+/]", "[A-Za-z0-9_-]"))
+#: Runs of each base64 alphabet with whatever line ends lie within; '-' of armour is in the second alphabet only. The first
+#: look ahead passes over words: a candidate has 24 characters with its line ends and at most two signs of padding.
+RUNS = tuple(re.compile(rf"(?<![A-Za-z0-9+/_-])(?=[\r\n{c}]{{22}})[{c}]++(?:\r?\n[{c}]++)*+={{0,2}}") for c in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
 LINE = re.compile(r"[^\r\n]+")
 ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[ \t\r\n]*+([A-Za-z0-9+/ \t\r\n]++={0,2})[ \t\r\n]*+-----END ")
 TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-#: A run with no break that is long enough to be a candidate; texts without one need no base64 scan.
-LONG_RUN = re.compile(r"[A-Za-z0-9+/_=-]{24,}")
 ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
@@ -243,8 +243,6 @@ def confirmed_spans(text: str) -> list[Span]:
     if "eyJ" in text:
         out += [(m.start(), m.end(), "signed_token") for m in TOKEN.finditer(text) if is_token_header(m[1])]
     armoured = [] if "-----BEGIN " not in text else list(ARMOUR.finditer(text))
-    if not armoured and not LONG_RUN.search(text):
-        return ordered(out)
     for m in armoured:
         if (raw := unbase64(m[1])) and (kind := confirmed_as(raw)):
             out.append((m.start(1), m.start(1) + len(m[1].rstrip()), kind))
@@ -267,7 +265,7 @@ _REPORT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 st
 
 
 def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
         counts: list[list[int]] = [[], [], []]
         digests, spans = [], []
         for text in batch.column("text").to_pylist():
@@ -301,10 +299,14 @@ def redact_text(text: str, mark: str = "[secret]") -> str:
 
 
 def redact(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
-    """``docs`` with each run of overlapping secrets in ``text`` replaced by ``mark``, ``n_chars`` following."""
+    """``docs`` with each run of overlapping secrets in ``text`` replaced by ``mark``, ``n_chars`` (as long) following.
+
+    Every row stays. A null text stays null and has a null ``n_chars``; null ids, repeated rows and other columns, whatever
+    their names, are as they were. An empty table gives an empty table.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, "text", 4 << 20)):
             text = [t if not t else redact_text(t, mark) for t in batch.column("text").to_pylist()]
             batch = batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(text, pa.string()))
             if (i := batch.schema.get_field_index("n_chars")) >= 0:
