@@ -1,9 +1,11 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-Every document gets a hash-random key. The sizes are summed per source and key range, a window over these sums (a few
-thousand rows a source, whatever the source holds) gives where each range begins, and a window inside each range gives
-where each document begins. So the prefix sums of a source that holds a third of all rows are computed by as many tasks
-as it has ranges. The cut at ``target - epochs * source size`` is exact to one word.
+Every document gets a hash-random key. The sizes are summed per source and key range, where a range is a number of leading
+hexadecimal digits of the key. Prefix sums are made in three steps: over groups of ranges (the first half of the digits),
+over the ranges of a group, and over the documents of a range. With n documents in a source a window of the first two
+steps sees about sqrt(n / RANGE_ROWS) rows and one of the last about RANGE_ROWS, so the sums of a source that holds a third
+of all rows are made by many tasks. The cut at ``target - epochs * source size`` is exact to one word. One row for each
+source, and no more, is ordered by a single task to find the targets.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmata.llm.common import WORD, keep
+from lemmata.llm.common import WORD, fresh, keep
 
 #: Rows that one range of keys should hold.
 RANGE_ROWS = 4096
@@ -68,12 +70,15 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float =
         .withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))),
         "mix-sizes",
     )
-    digits = max(1, math.ceil(math.log(max(1, sized.count()) / RANGE_ROWS, 16))) + 1
+    digits = max(1, math.ceil(math.log(max(1, sized.count()) / RANGE_ROWS, 16)))
     ranged = sized.withColumn("range", F.substring("key", 1, digits))
-    ranges = ranged.groupBy("skey", "range").agg(F.sum("size").alias("range_size"))
-    before = Window.partitionBy("skey").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    aims = targets(sized.groupBy("skey").agg(F.sum("size").alias("source_size")), weights, share, most)
-    starts = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(before), F.lit(0))).join(aims, "skey").select("skey", "range", "start", "source_size", "target")
+    ranges = ranged.groupBy("skey", "range").agg(F.sum("size").alias("range_size")).withColumn("group", F.substring("range", 1, digits // 2))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    groups = ranges.groupBy("skey", "group").agg(F.sum("range_size").alias("group_size"))
+    aims = targets(groups.groupBy("skey").agg(F.sum("group_size").alias("source_size")), weights, share, most)
+    groups = groups.withColumn("group_start", F.coalesce(F.sum("group_size").over(before(["skey"], "group")), F.lit(0))).join(aims, "skey")
+    starts = ranges.withColumn("start", F.coalesce(F.sum("range_size").over(before(["skey", "group"], "range")), F.lit(0))).join(groups, ["skey", "group"])
+    starts = starts.select("skey", "range", (F.col("start") + F.col("group_start")).alias("start"), "source_size", "target")
     inside = Window.partitionBy("skey", "range").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, -1)
     x = ranged.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0))).join(starts, ["skey", "range"])
     budget = F.floor("target")
@@ -86,15 +91,19 @@ def mix(docs: DataFrame, *, weights=(5, 2, 1), share: float = 1.5, most: float =
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: the columns of ``docs``, a row for each time a document is taken.
 
-    The document at a source's cut is taken up to the cut. Documents that the mix takes no word of are left out.
-    Rows that share an id get the largest number of words taken of any of them, cut to their own size.
+    The document at a source's cut is taken up to the cut. Documents that the mix takes no word of are left out, and so
+    are null texts. Rows that share an id get the largest number of words taken of any of them, twice their own size at
+    most. A null id is an id like others. Other columns are as they were, whatever their names. An empty table gives an
+    empty table.
     """
-    taken = mix(docs, **how).groupBy("doc_id").agg(F.max("taken").alias("_taken"))
-    x = docs.join(taken, docs["doc_id"].eqNullSafe(taken["doc_id"])).drop(taken["doc_id"]).withColumn("_size", words(F.col("text"))).filter("_taken > 0 and _size > 0")
-    x = x.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.ceil(F.col("_taken") / F.col("_size")).cast("int"))))
-    left = (F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
+    taken, size, copy, key = (fresh(docs.columns, x) for x in ("taken", "size", "copy", "key"))
+    mixed = mix(docs, **how).groupBy("doc_id").agg(F.max("taken").alias(taken)).withColumnRenamed("doc_id", key)
+    x = docs.join(mixed, F.col("doc_id").eqNullSafe(F.col(key))).withColumn(size, words(F.col("text"))).filter((F.col(taken) > 0) & (F.col(size) > 0))
+    x = x.withColumn(taken, F.least(F.col(taken), 2 * F.col(size)))
+    x = x.withColumn(copy, F.explode(F.sequence(F.lit(1), F.ceil(F.col(taken) / F.col(size)).cast("int"))))
+    left = (F.col(taken) - (F.col(copy) - 1) * F.col(size)).cast("int")
     cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, left), "")
-    x = x.withColumn("text", F.when(left < F.col("_size"), cut).otherwise(F.col("text")))
+    x = x.withColumn("text", F.when(left < F.col(size), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        x = x.withColumn("n_chars", F.length("text").cast("long"))
+        x = x.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return x.select(*docs.columns)
