@@ -1,7 +1,8 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
-Words enter twice: as rows of a word table (those that the training sample holds often enough) and as the mean of rows of
-a table of hashed character n-grams, so that words never seen are read by their letters. Overlapping windows of words go
+Characters enter under the words: filters slide over the embedded bytes of each word, and the largest answer of each filter
+is the word's, so a word that was never seen is read letter by letter; a table of hashed character n-grams gives a second
+reading. Words that the training sample holds often enough have a row of their own besides. Overlapping windows of words go
 through a GRU in each direction, attention pools the states, and a logistic unit scores the window. A text's score is that
 of its highest window, and all windows of all texts are scored.
 """
@@ -19,10 +20,13 @@ from pyspark.sql import functions as F
 from lemmata.llm.common import fold, mix64, runs, slices, text_buffers
 from lemmata.shipping import map_arrow
 
-WINDOW, STRIDE, INPUT, HIDDEN, ATTENTION = 48, 24, 16, 8, 8
+WINDOW, STRIDE, INPUT, HIDDEN, ATTENTION = 48, 16, 16, 8, 8
+#: Numbers to an embedded byte, and bytes that a filter sees.
+BYTE, FILTER = 6, 3
 GRAMS, GRAM_ROWS, LEAST_DOCS, MOST_WORDS = (3, 4), 1 << 13, 3, 20_000
-#: The bounded sample that is learned from: toxic and other labelled documents, and the longest text among them.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 2000, 4500, 6000
+#: The bounded sample that is learned from: toxic and other labelled documents, and windows of each. Of a text with more
+#: windows, runs of RUN windows that are evenly spread over it teach.
+SAMPLE_TOXIC, SAMPLE_CLEAN, TOXIC_WINDOWS, CLEAN_WINDOWS, RUN = 2000, 4500, 384, 96, 8
 STEPS, BATCH, RATE = 450, 96, 8e-3
 
 _word_byte = np.zeros(256, bool)
@@ -72,6 +76,19 @@ def grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, total
 
 
+def characters(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that a filter sees at each place of each distinct word, 0 beyond the word, and where the words begin."""
+    size = w.length
+    whose = np.repeat(np.arange(len(size)), size)
+    k = np.arange(len(whose)) - np.repeat(np.cumsum(size) - size, size)
+    out = np.zeros((len(whose), FILTER), np.uint8)
+    for j in range(FILTER):
+        at = k + j - FILTER // 2
+        inside = (at >= 0) & (at < size[whose])
+        out[inside, j] = w.data[(w.start[whose] + at)[inside]]
+    return out, np.cumsum(size) - size
+
+
 def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Distinct-word numbers by step and window (-1: none), and the text of each window."""
     n = np.diff(w.offsets)
@@ -94,10 +111,18 @@ class Model:
         at = np.minimum(np.searchsorted(self.known, w.hashed), len(self.known) - 1)
         return np.where(self.known[at] == w.hashed, at + 1, 0)
 
-    def inputs(self, rows: np.ndarray, gram: np.ndarray, count: np.ndarray) -> np.ndarray:
+    def inputs(self, rows: np.ndarray, gram: np.ndarray, count: np.ndarray, seen: np.ndarray, begin: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """What each distinct word gives to the network; ``seen`` and ``begin`` as from ``characters``."""
         if not len(rows):
             return np.zeros((0, INPUT), np.float32)
-        return self.p["word"][rows] + np.add.reduceat(self.p["gram"][gram], np.cumsum(count) - count) / count[:, None].astype(np.float32)
+        by_gram = np.add.reduceat(self.p["gram"][gram], np.cumsum(count) - count) / count[:, None].astype(np.float32)
+        by_place = self.p["byte"][seen].reshape(len(seen), -1) @ self.p["filter"]
+        by_letter = np.maximum.reduceat(by_place, begin)
+        if keep is not None:
+            size = np.diff(np.append(begin, len(seen)))
+            place = np.where(by_place == np.repeat(by_letter, size, axis=0), np.arange(len(seen))[:, None], len(seen))
+            keep["place"] = np.minimum.reduceat(place, begin)  # of each word and filter, the place that answers most
+        return self.p["word"][rows] + by_gram + by_letter
 
     def into(self, x: np.ndarray) -> np.ndarray:
         """What each input gives to the gates, by direction; the last row, of no word, closes the gate: the state stays."""
@@ -142,7 +167,7 @@ class Model:
 
     def logits(self, w: Words, step: np.ndarray) -> np.ndarray:
         gram, count = grams(w)
-        into = self.into(self.inputs(self.rows(w), gram, count))
+        into = self.into(self.inputs(self.rows(w), gram, count, *characters(w)))
         return np.concatenate([np.zeros(0, np.float32), *(self.run(into, step[:, a : a + 1024]) for a in range(0, step.shape[1], 1024))])
 
     def gradients(self, x: np.ndarray, step: np.ndarray, k: dict, d_out: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
@@ -180,12 +205,21 @@ class Model:
         return g, np.einsum("duj,dij->ui", d_into, p["in"])
 
 
+    def letter_gradients(self, seen: np.ndarray, place: np.ndarray, d_x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the filters and the embedded bytes: each filter learns at the place of each word that answered most."""
+        at = seen[place]  # words x filters x bytes
+        g_filter = np.einsum("wf,wfi->if", d_x, self.p["byte"][at].reshape(*place.shape, -1))
+        d_byte = (d_x[:, :, None] * self.p["filter"].T[None]).reshape(*at.shape, BYTE)
+        g_byte = np.stack([np.bincount(at.reshape(-1), d_byte[..., j].reshape(-1), 256) for j in range(BYTE)], axis=1)
+        return g_filter, g_byte.astype(np.float32)
+
+
 def _start(rng: np.random.Generator, n_words: int) -> dict[str, np.ndarray]:
     f = lambda scale, *shape: rng.normal(0, scale, shape).astype(np.float32)
     word = f(0.1, n_words + 1, INPUT)
     word[0] = 0
     bias = np.zeros((2, 3 * HIDDEN), np.float32)
-    return {"word": word, "gram": f(0.3, GRAM_ROWS, INPUT), "in": f(0.35, 2, INPUT, 3 * HIDDEN), "bias": bias, "own": f(0.3, 2, HIDDEN, 3 * HIDDEN), "look": f(0.35, 2 * HIDDEN, ATTENTION), "weigh": f(0.5, ATTENTION), "out": f(0.5, 2 * HIDDEN), "out_bias": np.full(1, -1.0, np.float32)}
+    return {"word": word, "gram": f(0.3, GRAM_ROWS, INPUT), "byte": f(0.3, 256, BYTE), "filter": f(0.08, FILTER * BYTE, INPUT), "in": f(0.35, 2, INPUT, 3 * HIDDEN), "bias": bias, "own": f(0.3, 2, HIDDEN, 3 * HIDDEN), "look": f(0.35, 2 * HIDDEN, ATTENTION), "weigh": f(0.5, ATTENTION), "out": f(0.5, 2 * HIDDEN), "out_bias": np.full(1, -1.0, np.float32)}
 
 
 def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Model:
@@ -203,12 +237,14 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Model:
     m = Model(np.sort(w.hashed[often]), {})
     m.p = _start(rng, len(m.known))
     step, whose = windows(w)
-    if not len(whose) or not toxic.any() or toxic.all():
+    if not (toxic[whose] == 1).any() or not (toxic[whose] == 0).any():  # one class, or the other has no word
         m.p["out"][:] = 0
-        m.p["out_bias"][:] = 20.0 if len(toxic) and toxic.all() else -20.0
+        m.p["out_bias"][:] = 20.0 if (toxic[whose] == 1).any() else -20.0
         return m
     gram, count = grams(w)
     gram_at, rows = np.cumsum(count) - count, m.rows(w)
+    seen, seen_at = characters(w)
+    ragged = lambda first, n: np.repeat(first, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     bad, good = np.flatnonzero(toxic[whose] == 1), np.flatnonzero(toxic[whose] == 0)
     first, second = {k: np.zeros_like(v) for k, v in m.p.items()}, {k: np.zeros_like(v) for k, v in m.p.items()}
     pool_bad, pool_hard = bad, good
@@ -225,10 +261,12 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Model:
         local = local.reshape(WINDOW, len(pick)) - (own[0] < 0)
         own = own[own >= 0]
         n = count[own]
-        mine = gram[np.repeat(gram_at[own], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+        mine = gram[ragged(gram_at[own], n)]
+        long = w.length[own]
+        letters = seen[ragged(seen_at[own], long)]
         row = np.where(rng.random(len(own)) < 0.3, 0, rows[own])  # sometimes a word is read by its letters alone
-        x = m.inputs(row, mine, n)
         k: dict = {}
+        x = m.inputs(row, mine, n, letters, np.cumsum(long) - long, k)
         prob = 1 / (1 + np.exp(-m.run(m.into(x), local, k)))
         g, d_x = m.gradients(x, local, k, ((prob - y) / len(pick)).astype(np.float32))
         g["word"] = np.zeros_like(m.p["word"])
@@ -236,6 +274,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Model:
         g["word"][0] = 0
         g["gram"] = np.zeros_like(m.p["gram"])
         np.add.at(g["gram"], mine, np.repeat(d_x / n[:, None].astype(np.float32), n, axis=0))
+        g["filter"], g["byte"] = m.letter_gradients(letters, k["place"], d_x)
         rate = RATE * min(1.0, 2.05 - 2.0 * i / STEPS)
         for name, q in m.p.items():
             first[name] += 0.1 * (g[name] - first[name])
@@ -258,22 +297,44 @@ def scores(m: Model | None, texts: pa.Array) -> np.ndarray:
     return out
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, toxic and the text, or runs of windows evenly spread over it where it has more than may teach."""
+    for whole in batches:
+        for batch in slices(whole, "text", 4 << 20):
+            data, offsets = text_buffers(batch.column("text"))
+            start, end, _ = runs(_lower[data], offsets, _word_byte[data])
+            at = np.searchsorted(start, offsets)
+            out = []
+            for i, label in enumerate(batch.column("toxic").to_pylist()):
+                a, n, most = int(at[i]), int(at[i + 1] - at[i]), TOXIC_WINDOWS if label else CLEAN_WINDOWS
+                if n <= most * STRIDE:
+                    out.append(data[offsets[i] : offsets[i + 1]].tobytes())
+                    continue
+                pieces = most // RUN
+                first = a + (np.arange(pieces) * (n - RUN * STRIDE) // max(1, pieces - 1))
+                out.append(b" ".join(data[start[f] : end[f + RUN * STRIDE - 1]].tobytes() for f in first.tolist()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.binary())], names=["doc_id", "toxic", "taught"])
+
+
 def sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """text, toxic of the documents to learn from; the labels of both classes that come first by a hash of the id.
+    """taught (bytes of text), toxic of the documents to learn from; the labels of both classes that come first by a hash.
 
-    The labels are chosen first; at most SAMPLE_TOXIC + SAMPLE_CLEAN of them are sent to the scan of the texts.
+    The labels are chosen first; at most SAMPLE_TOXIC + SAMPLE_CLEAN of them are sent to the scan of the texts. Of rows that
+    repeat an id one teaches; an id that is labelled both ways teaches nothing.
     """
-    learn = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 3) != 1)).distinct()
-    learn = learn.withColumn("_o", F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")))
-    part = lambda label, n: learn.filter(F.col("toxic") == label).orderBy("_o", "doc_id").limit(n)
+    learn = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), 3) != 1))
+    learn = learn.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("other")).filter("toxic = other")
+    learn = learn.select("doc_id", "toxic", F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")).alias("place"))
+    part = lambda label, n: learn.filter(F.col("toxic") == label).orderBy("place", "doc_id").limit(n)
     chosen = part(1, SAMPLE_TOXIC).unionByName(part(0, SAMPLE_CLEAN)).select("doc_id", "toxic")
-    short = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter((F.length("text") > 0) & (F.length("text") <= SAMPLE_CHARS))
-    return short.join(F.broadcast(chosen), "doc_id").select("text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(F.length("text") > 0)
+    texts = texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    return texts.transform(map_arrow, _spread, "doc_id long, toxic int, taught binary").groupBy("doc_id").agg(F.min("taught").alias("taught"), F.min("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, seed: int = 11) -> Model | None:
-    rows = sorted((r["text"], r["toxic"]) for r in sample(docs, labels).collect())
-    return train([t.encode() for t, _ in rows], np.array([y for _, y in rows]), seed) if rows else None
+    rows = sorted((bytes(r["taught"]), r["toxic"]) for r in sample(docs, labels).select("taught", "toxic").collect())
+    return train([t for t, _ in rows], np.array([y for _, y in rows]), seed) if rows else None
 
 
 def score(docs: DataFrame, labels: DataFrame, least: float = 0.7, model: Model | None = None) -> DataFrame:
