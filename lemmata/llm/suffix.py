@@ -31,7 +31,6 @@ from lemmata.shipping import map_arrow
 LEAST, K = 100, 32
 #: Symbols in one transform, and contexts of one anchor that are given to one task.
 SYMBOLS, GROUP = 1_500_000, 8_000
-_WHOLE = 0xFFFFFFFF
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -162,15 +161,31 @@ def merged(text: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return text[lead], start[lead], np.append(reach[lead[1:] - 1], reach[-1]) - shift[lead]
 
 
-_ANCHORS = "h long, s long, doc_id long, at long"
+_ANCHORS = "h long, s long, doc_id long, at long, sure boolean"
 
 
-def _find(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Anchors of each text; of equal texts that this task sees, those of smaller ids than any before, the rest whole."""
+def _later(h: np.ndarray, s: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Which anchors have the context of another one at an earlier place."""
+    order = np.lexsort((at, doc, s, h))
+    h, s, doc, at = h[order], s[order], doc[order], at[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
+    lead = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(h))))
+    out = np.zeros(len(h), bool)
+    out[order] = (doc != doc[lead]) | (at != at[lead])
+    return out
+
+
+def _find(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
+    """Anchors (hash, context, text, place) and ranges that are surely repeats (``s`` is the end) of each text.
+
+    Of equal texts that this task sees, all but those of smaller ids than any before are such a range; of equal contexts
+    in a slice, all but that at the earliest place make such ranges. So one task has few rows of a passage, however many
+    texts share it.
+    """
     best: dict[bytes, tuple] = {}
 
-    def rows(h, s, doc_id, at) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc_id), pa.array(at)], names=["h", "s", "doc_id", "at"])
+    def rows(h, s, doc_id, at, sure: bool) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(s.view(np.int64)), pa.array(doc_id), pa.array(at), pa.array(np.full(len(h), sure))], names=["h", "s", "doc_id", "at", "sure"])
 
     for whole in batches:
         for batch in slices(whole, "text", 4 << 20):
@@ -184,16 +199,24 @@ def _find(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBa
                     fresh[i] = True
                     best[digest] = own
                 if other is not None and own[0] != other[0]:
-                    gone.append(max(own, other))
+                    gone.append((*max(own, other), int(offsets[i + 1] - offsets[i])))
                 elif other is not None:  # the same row again is judged as the first is
                     fresh[i] = True
             if gone:
-                doc, t = (np.array(x, np.int64) for x in zip(*gone, strict=True))
-                yield rows(mix64(doc.view(np.uint64)), mix64(t.view(np.uint64)), doc, (t << 32) | _WHOLE)
-            place, text, h, s = anchors(data, offsets, least)
+                doc, t, size = (np.array(x, np.int64) for x in zip(*gone, strict=True))
+                yield rows(mix64(doc.view(np.uint64)), size, doc, t << 32, True)
+            place, text, h, s = anchors(data, offsets, least, k)
             mine = fresh[text]
             place, text, h, s = place[mine], text[mine], h[mine], s[mine]
-            yield rows(h, s, ids[text], (tag[text] << 32) | (place - offsets[text]))
+            if not len(place):
+                continue
+            at = (tag[text] << 32) | (place - offsets[text])
+            later = _later(h, s, ids[text], at)
+            t, own = text[later], place[later]
+            t, a, b = merged(t, np.maximum(own - (least - k), offsets[t]), np.minimum(own + least, offsets[t + 1]))
+            if len(t):
+                yield rows(mix64((ids[t] + a).view(np.uint64)), b - offsets[t], ids[t], (tag[t] << 32) | (a - offsets[t]), True)
+            yield rows(h[~later], s[~later], ids[text[~later]], at[~later], False)
 
 
 _PARTS = "key long, more long, kind int, doc_id long, tag long, start long, stop long, context binary"
@@ -204,7 +227,10 @@ def _part(**cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(cols[c], k) for c, k in kinds.items()], names=list(kinds))
 
 
-_COVER, _CONTEXT, _DIGEST = 0, 1, 2
+#: What becomes of an anchor: its context is a repeat, goes to the transform, or its windows go by digests; and a range
+#: that is surely a repeat.
+_COVER, _CONTEXT, _DIGEST, _RANGE = 0, 1, 2, 3
+_PLACE = 0xFFFFFFFF
 
 
 def _cut(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.RecordBatch]:
@@ -219,11 +245,11 @@ def _cut(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.R
             text = np.repeat(np.arange(batch.num_rows), size)
             ids, tag = np.asarray(batch.column("doc_id")), np.asarray(batch.column("tag"))
             base, end_of = offsets[:-1][text], offsets[1:][text]
-            whole_text = (at & _WHOLE) == _WHOLE
-            place = base + (at & _WHOLE)
-            start = np.where(whole_text, base, np.maximum(place - (least - k), base))
-            stop = np.where(whole_text, end_of, np.minimum(place + least, end_of))
-            sure = (kind == _COVER) | whole_text
+            ranged = kind == _RANGE
+            place = base + (at & _PLACE)
+            start = np.where(ranged, place, np.maximum(place - (least - k), base))
+            stop = np.where(ranged, base + h, np.minimum(place + least, end_of))
+            sure = (kind == _COVER) | ranged
             t, a, b = merged(text[sure], start[sure], stop[sure])
             if len(t):
                 yield _part(key=mix64((ids[t] + a).view(np.uint64)).view(np.int64), more=np.zeros(len(t), np.int64), kind=np.full(len(t), _COVER), doc_id=ids[t], tag=tag[t], start=a - offsets[t], stop=b - offsets[t], context=[None] * len(t))
@@ -354,19 +380,19 @@ def _clean(spark) -> None:
 
 def repeat_ranges(docs: DataFrame, least: int = LEAST, k: int = K, group: int = GROUP, symbols: int = SYMBOLS) -> DataFrame:
     """doc_id, tag, start, stop: ranges of bytes to remove, some of them several times. ``docs`` has doc_id, tag, text."""
-    found = docs.transform(map_arrow, lambda batches: _find(batches, least), _ANCHORS)
+    found = docs.transform(map_arrow, lambda batches: _find(batches, least, k), _ANCHORS)
     own = Window.partitionBy("h")
     ordered = own.orderBy("s", "doc_id", "at")
-    whole = F.col("at").bitwiseAND(_WHOLE) == _WHOLE
     found = found.withColumn("first", F.coalesce(F.col("s") != F.lag("s").over(ordered), F.lit(True)))
     again = F.lit(True)  # the same place of a row that is there several times
     for c in ("s", "doc_id", "at"):
         again &= F.col(c) == F.lag(c).over(ordered)
     found = found.withColumn("again", F.coalesce(again, F.lit(False)))
-    found = found.withColumn("n", F.count(F.lit(1)).over(own)).withColumn("contexts", F.sum(F.col("first").cast("int")).over(own))
+    found = found.withColumn("contexts", F.sum(F.col("first").cast("int")).over(own))
     # a later row of a context is a repeat; a first one matters if the anchor has other contexts
-    kind = F.when(~F.col("first"), _COVER).when(F.col("contexts") > group, _DIGEST).otherwise(_CONTEXT)
-    found = found.filter(~F.col("again") & (whole | ~F.col("first") | (F.col("contexts") > 1))).select("doc_id", F.shiftright("at", 32).alias("tag"), "at", "h", kind.alias("kind"))
+    kind = F.when(F.col("sure"), _RANGE).when(~F.col("first"), _COVER).when(F.col("contexts") > group, _DIGEST).otherwise(_CONTEXT)
+    found = found.filter(F.col("sure") | ~F.col("again") & (~F.col("first") | (F.col("contexts") > 1)))
+    found = found.select("doc_id", F.shiftright("at", 32).alias("tag"), "at", F.when(F.col("sure"), F.col("s")).otherwise(F.col("h")).alias("h"), kind.alias("kind"))
     marked = keep(found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "h", "kind")).alias("found")), "anchors")
     _clean(docs.sparkSession)
     texts = docs.join(marked.withColumnRenamed("doc_id", "m_doc").withColumnRenamed("tag", "m_tag"), (F.col("doc_id") == F.col("m_doc")) & (F.col("tag") == F.col("m_tag")))
