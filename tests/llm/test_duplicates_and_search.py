@@ -270,7 +270,51 @@ def test_gradients():
             assert abs((up - down) / (2 * eps) - g[name][at]) < 2e-3 * max(1, abs(g[name][at])) + 2e-3, name
 
 
+def test_letter_gradients():
+    rng = np.random.default_rng(1)
+    text = b"abc zebra a quiz"
+    w = toxicity.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
+    m = toxicity.Model(np.zeros(0, np.uint64), {k: v.astype(np.float64) for k, v in toxicity._start(rng, 0).items()})
+    (gram, count), (seen, begin) = toxicity.grams(w), toxicity.characters(w)
+    assert [bytes(x) for x in seen[begin]] == [b"\0" + bytes(w.data[a : a + 2]) if n > 1 else b"\0" + bytes(w.data[a : a + 1]) + b"\0" for a, n in zip(w.start, w.length, strict=True)]
+    d_x = rng.normal(size=(len(count), toxicity.INPUT))
+    inputs = lambda keep=None: m.inputs(np.zeros(len(count), np.int64), gram, count, seen, begin, keep)
+    keep = {}
+    inputs(keep)
+    found = dict(zip(("filter", "byte"), m.letter_gradients(seen, keep["place"], d_x), strict=True))
+    for name, g in found.items():
+        p = m.p[name]
+        for at in [(0, 0), (3, 2)] if name == "filter" else [(0, 1), (ord("a"), 0), (ord("z"), 3), (ord("q"), 2)]:
+            old, eps = p[at], 1e-5
+            p[at] = old + eps
+            up = float((inputs() * d_x).sum())
+            p[at] = old - eps
+            down = float((inputs() * d_x).sum())
+            p[at] = old
+            assert abs((up - down) / (2 * eps) - g[at]) < 1e-3, (name, at)
+
+
+@pytest.mark.parametrize("toxic", [0, 1])
+def test_toxicity_where_a_class_has_no_words(spark, toxic):
+    docs = [(i, "... !" if i % 2 == toxic else "some words here") for i in range(40)] + [(100, "... ?"), (101, "other words")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(table(spark, docs), labels).collect()}
+    assert got[100] == 0 and (got[101] > 0.99) == (toxic == 0) and (got[101] < 0.01) == (toxic == 1)
+
+
+def test_toxicity_learns_once_from_repeated_rows_and_from_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "CLEAN_WINDOWS", 16)
+    long = " ".join(f"w{i}" for i in range(5000))
+    labels = spark.createDataFrame([(2, 0), (2, 0), (3, 1), (3, 0), (4, 1), (None, 1)], "doc_id long, toxic int")
+    rows = toxicity.sample(table(spark, [(2, long)] * 50 + [(3, "both ways"), (4, "bad words"), (4, None), (None, "x")]), labels).collect()
+    taught = {r["toxic"]: bytes(r["taught"]).decode().split() for r in rows}
+    folds = {i: __import__("zlib").crc32(str(i).encode()) % 3 != 1 for i in (2, 4)}
+    assert len(rows) == sum(folds.values()) and set(taught) == {0 if i == 2 else 1 for i, f in folds.items() if f}
+    if folds[2]:
+        assert len(taught[0]) == 16 * toxicity.STRIDE and taught[0][0] == "w0" and taught[0][-1] == "w4999"
+
+
 def test_windows_overlap_and_cover():
     w = toxicity.words(np.frombuffer(b" ".join(b"w%d" % i for i in range(130)), np.uint8), np.array([0, len(b" ".join(b"w%d" % i for i in range(130)))]))
     step, whose = toxicity.windows(w)
-    assert step.shape == (toxicity.WINDOW, 5) and set(step[step >= 0].tolist()) == set(range(130))
+    assert step.shape == (toxicity.WINDOW, 1 + -(-(130 - toxicity.WINDOW) // toxicity.STRIDE)) and set(step[step >= 0].tolist()) == set(range(130))

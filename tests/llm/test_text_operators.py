@@ -283,6 +283,81 @@ def test_texts_in_several_languages_are_recognised(spark):
     assert 5000 in kept
 
 
+def test_language_id_without_usable_windows(spark):
+    short = [(i, "ab cd" if i % 2 else "xy zw", "aa" if i % 2 else "bb", "s") for i in range(60)] + [(100, "12 34", "cc", "s"), (101, "...", None, None)]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.identify(table(spark, short)).collect()}
+    assert set(got.values()) == {"aa", "bb", "und"} and got[100] == got[101] == "und"
+    none = [(i, "12 34", "cc", "s") for i in range(20)]
+    assert {(r["lang_pred"], r["score"]) for r in langid.identify(table(spark, none)).collect()} == {("und", 0.0)}
+    assert langid.recognised(table(spark, none)).count() == 0
+
+
+def test_language_sample_is_of_whole_texts_and_bounded(spark):
+    long = "a" * (langid.WINDOW * 40) + "z" * langid.WINDOW * 8
+    rows = [(7, long, "aa", "s")] * 30 + [(8, "b" * 50, "bb", "s")] * 2 + [(9, "c" * 50, None, "s")]
+    got = {r["lang"]: bytes(r["windows"]) for r in langid.sample(table(spark, rows)).collect()}
+    folds = {i: zlib.crc32(str(i).encode()) % 5 != 0 for i in (7, 8)}
+    assert set(got) == {{7: "aa", 8: "bb"}[i] for i, f in folds.items() if f}
+    if folds[7]:
+        assert len(got["aa"]) == langid.SAMPLE_WINDOWS * langid.WINDOW and got["aa"][:1] == b"a" and got["aa"][-1:] == b"z"
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    rows = _corpus(120)
+    docs = table(spark, rows)
+    for name in ("lang_pred", "score", "known", "taken", "size", "copy", "_size", "_copy", "_lang", "class", "own"):
+        docs = docs.withColumn(name, F.lit(777))
+    for out in (langid.recognised(docs), mixing.mixed_documents(docs), secrets.redact(docs)):
+        assert out.columns == docs.columns
+        assert {tuple(r) for r in out.select("lang_pred", "score", "known", "taken", "size", "copy", "_size", "_copy", "_lang", "class", "own").collect()} == {(777,) * 11}
+        assert type(out)  # and each runs on no rows
+    empty = docs.limit(0)
+    assert [f(empty).count() for f in (langid.recognised, mixing.mixed_documents, secrets.redact)] == [0, 0, 0]
+
+
+def test_scan_against_planted_and_plain(spark):
+    """Every span is known by construction; counts and digests come from a plain search."""
+    import base64
+    import hashlib
+
+    rng = random.Random(11)
+    filler = lambda n: " ".join(rng.choice(["lorem", "dolor.", "amet,", "élan", "\n", "日本"]) for _ in range(n)) + " "
+    pem = lambda data, width: "\n".join(base64.b64encode(data).decode()[i : i + width] for i in range(0, len(base64.b64encode(data)), width))
+    rows, want = [], {}
+    for i in range(60):
+        text, spans = "", []
+        for _ in range(rng.randrange(5)):
+            text += filler(rng.choice([3, 40, 4000 if i % 10 == 0 else 5])) + "\n"
+            name, data, kind = rng.choice(_keys())
+            what = rng.randrange(4)
+            if what == 0:
+                head, body = f"-----BEGIN {name}-----\n", pem(data, rng.choice([16, 20, 64]))
+                spans.append((len(text + head), len(text + head + body), kind))
+                text += head + body + f"\n-----END {name}-----\n"
+            elif what == 1:
+                body = pem(data, 10**6)
+                spans.append((len(text), len(text + body), kind))
+                text += body + " "
+            elif what == 2:
+                body = 'token: "' + "".join(rng.choice("ghijkGHIJ_") for _ in range(12))
+                spans.append((len(text), len(text + body), "assign"))
+                text += body + '" '
+            else:
+                body = "".join(rng.choice("0123456789abcdef") for _ in range(30))
+                spans.append((len(text), len(text + body), "hex"))
+                text += body + " "
+        rows.append((i, text, "en", "s"))
+        want[i] = secrets.ordered(spans)
+    rows += [(100, None, None, None), (101, "", None, None), rows[3], rows[3]]
+    want |= {100: [], 101: []}
+    for r in secrets.scan(table(spark, rows)).collect():
+        spans = want[r["doc_id"]]
+        base = [s for s in spans if s[2] in secrets.BASE_KINDS]
+        assert r["spans"] == ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(s[2] == k for s in base) for k in secrets.BASE_KINDS]
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in base).encode()).hexdigest()
+
+
 def test_windows_cover_whole_texts():
     texts = [b"", b"a" * 159, b"b" * 160, b"c" * 481]
     x, whose = langid.windows(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
