@@ -32,14 +32,14 @@ def scratch_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
+def keep(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there.
 
     The table goes when the session's JVM ends.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lemmata/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, **options)
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     out = spark.read.schema(df.schema).parquet(path)

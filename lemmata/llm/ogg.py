@@ -19,12 +19,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmata.llm.common import keep, slices
 from lemmata.shipping import map_arrow
 
 #: Samples to a block; payloads are whole blocks.
 BLOCK = 192
 #: Samples to a packet, logical streams, samples a second.
 PACKET, STREAMS, RATE = 4 * BLOCK, 2, 8000
+#: Bytes of a column that are worked on at once.
+SLICE = 8 << 20
 MAGIC = b"PCM8S\x00\x00\x01"
 _HEAD = struct.Struct("<4sBBqIIIB")
 _ID = struct.Struct("<8sBBHIQ")
@@ -180,54 +183,68 @@ def payload_of(text: bytes) -> bytes:
     return text + b" " * (-len(text) % BLOCK if text else BLOCK)
 
 
-_MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+_STORED = "doc_id long, n_bytes long, media binary"
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        cols: list[list] = [[] for _ in range(7)]
-        for text in batch.column("text").cast(pa.large_binary()).to_pylist():
-            text = text or b""
-            media = encode(payload_of(text))
-            got = decode(media)
-            for c, v in zip(cols, (len(text), len(got.payload), hashlib.sha256(got.payload).hexdigest(), zlib.crc32(got.payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(got)), strict=True):
-                c.append(v)
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "text", SLICE):
+            texts = [t or b"" for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
+            media = [encode(payload_of(t)) for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): the stored form's and the read payload's digests and the feature.
+def media_column(docs: DataFrame) -> DataFrame:
+    """doc_id, n_bytes and a binary column ``media`` with the text's payload as Ogg, for every row of ``docs``.
 
-    A null text counts as empty: one block of spaces. A null id stays null. Extra columns are ignored.
+    A null text counts as empty: one block of spaces. Null ids and repeated rows stay; extra columns are ignored. An empty
+    table gives an empty table.
     """
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, _digest, _MEDIA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, _store, _STORED)
 
 
-def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        media = [encode(payload_of(t or b"")) for t in batch.column("text").cast(pa.large_binary()).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(media, pa.binary())], names=["doc_id", "media"])
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "media", SLICE):
+            payload, errors = [], []
+            for m in batch.column("media").to_pylist():
+                try:
+                    payload.append(None if m is None else decode(m).payload)
+                    errors.append(None)
+                except (OggError, struct.error) as e:
+                    payload.append(None)
+                    errors.append(str(e))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(payload, pa.binary()), pa.array(errors, pa.string())], names=["doc_id", "payload", "error"])
 
 
-def media_column(docs: DataFrame) -> DataFrame:
-    """doc_id and a binary column ``media`` with the text's payload as Ogg."""
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, _store, "doc_id long, media binary")
+def read_media(media: DataFrame) -> DataFrame:
+    """doc_id, payload, error of a table (doc_id, media); a damaged stream has a null payload and says why.
+
+    A null medium has a null payload and no error; null ids and repeated rows stay; extra columns are ignored.
+    """
+    return media.select(F.col("doc_id").cast("long"), "media").transform(map_arrow, _read, "doc_id long, payload binary, error string")
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        payload, errors = [], []
-        for m in batch.column("media").to_pylist():
-            try:
-                payload.append(None if m is None else decode(m).payload)
-                errors.append(None)
-            except (OggError, struct.error) as e:
-                payload.append(None)
-                errors.append(str(e))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(payload, pa.binary()), pa.array(errors, pa.string())], names=["doc_id", "payload", "error"])
+_MEDIA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
-def read_media(media: DataFrame) -> DataFrame:
-    """doc_id, payload, error of a table (doc_id, media); a damaged stream has a null payload and says why."""
-    return media.select(F.col("doc_id").cast("long"), "media").transform(map_arrow, _read, "doc_id long, payload binary, error string")
+def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in slices(whole, "media", SLICE):
+            cols: list[list] = [[] for _ in range(6)]
+            for media in batch.column("media").to_pylist():
+                got = decode(media)
+                for c, v in zip(cols, (len(got.payload), hashlib.sha256(got.payload).hexdigest(), zlib.crc32(got.payload[-16:]), len(media), hashlib.sha256(media).hexdigest(), feature(got)), strict=True):
+                    c.append(v)
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+
+
+def digests(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): the stored form's and the read payload's digests and the feature.
+
+    The media column is written as a table in the shared folder, and what is digested is read from there. A null text
+    counts as empty: one block of spaces. A null id stays null; repeated rows give repeated results. Extra columns are
+    ignored. An empty table gives an empty table.
+    """
+    return keep(media_column(docs), "media", compression="zstd").transform(map_arrow, _digest, _MEDIA)
