@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,9 @@ SEGMENT, CHUNK, ARCHIVE = 32768, 8192, 4 << 20
 _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
 
+_HEX = re.compile(rb"[0-9A-Fa-f]+")
+
+
 class WarcError(ValueError):
     pass
 
@@ -48,10 +52,10 @@ def unchunked(body: bytes) -> bytes:
         end = body.find(b"\r\n", at)
         if end < 0:
             raise WarcError("a chunk has no size line")
-        try:
-            size = int(body[at:end].split(b";")[0], 16)
-        except ValueError:
-            raise WarcError("a chunk's size is not hexadecimal") from None
+        digits = body[at:end].split(b";")[0].rstrip(b" \t")
+        if not _HEX.fullmatch(digits):
+            raise WarcError("a chunk's size is not hexadecimal")
+        size = int(digits, 16)
         at = end + 2
         if not size:
             if body.find(b"\r\n\r\n", end) < 0:
@@ -237,5 +241,17 @@ def round_trip(pages: DataFrame, *, least: int = 0, segment: int = SEGMENT) -> D
 
     A null html counts as empty; a null url leaves the target out; a null page_id stays null and, where other pages have
     its payload, revisits the largest of them. Extra columns are ignored.
+    An empty table gives an empty table.
     """
-    return read(keep(archives(pages, least=least, segment=segment), "warc"))
+    return checked(read(keep(archives(pages, least=least, segment=segment), "warc")))
+
+
+def checked(found: DataFrame) -> DataFrame:
+    """What was read, written down; an error unless every revisit has a response of its payload's length and digest."""
+    found = keep(found, "pages")
+    told = found.filter("record_type = 'revisit'").select("refers_to", "payload_bytes", "payload_digest").distinct()
+    held = found.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_bytes", "payload_digest").distinct()
+    lost = told.join(held, ["refers_to", "payload_bytes", "payload_digest"], "left_anti").limit(1).collect()
+    if lost:
+        raise WarcError(f"no response of page {lost[0]['refers_to']} has {lost[0]['payload_bytes']} bytes with digest {lost[0]['payload_digest']}")
+    return found
