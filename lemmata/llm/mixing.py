@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from lemmata.llm.common import WORD, fresh, keep
 
 #: Rows that one range of keys should hold.
-RANGE_ROWS = 4096
+RANGE_ROWS = 512
 
 
 def words(text: Column) -> Column:
