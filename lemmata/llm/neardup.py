@@ -29,8 +29,9 @@ from lemmata.shipping import map_arrow, ship
 
 #: Coordinates of a sketch and of a band. A pair at similarity 0.8 shares no band with probability (1 - 0.8**4)**32 < 1e-7.
 BINS, BAND = 128, 4
-#: Rounds of centres; rows and bytes of shingles of a bucket in one block; words of 64 bits in a bitmap.
-STARS, BLOCK, BLOCK_BYTES, WORDS = 2, 2048, 16 << 20, 32
+#: Rounds of centres; rows and bytes of shingles of a bucket in one block; rows of a bucket that are joined by one key; words
+#: of 64 bits in a bitmap.
+STARS, BLOCK, BLOCK_BYTES, SALT, WORDS = 2, 2048, 16 << 20, 512, 32
 _SHIFT = np.uint64(64 - 7)
 _is_word = np.ones(256, bool)
 _is_word[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = False
@@ -282,8 +283,8 @@ def links(docs: DataFrame, sketched: DataFrame, width: int, similarity: int) ->
     held = keep(bands.join(shared, "key").select("key", "band", "class", "n", "m").distinct(), "buckets")
     weight = held.groupBy("class").agg(F.sum("m").alias("w"))
     # a bucket's rows are dealt by their classes too, so that a large one is not read by one task
-    salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("m") / BLOCK)).cast("int").alias("salt")
-    bucket = keep(held.join(weight, "class").select("key", salt, "band", "class", "n", "w", F.col("class").alias("label"), F.ceil(F.col("m") / BLOCK).cast("int").alias("salts")), "buckets")
+    salt = F.pmod(F.xxhash64("class"), F.ceil(F.col("m") / SALT)).cast("int").alias("salt")
+    bucket = keep(held.join(weight, "class").select("key", salt, "band", "class", "n", "w", F.col("class").alias("label"), F.ceil(F.col("m") / SALT).cast("int").alias("salts")), "buckets")
     forget(held)
     if bucket.isEmpty():
         return None
@@ -323,11 +324,11 @@ def _apart(bucket: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
     The rows of a bucket's main component are asked by all others, in blocks of at most about BLOCK rows each.
     """
-    by_label = bucket.groupBy("key", "label").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
-    split = by_label.groupBy("key").agg(F.max(F.struct("m", "label", "s")).alias("most"), F.sum("m").alias("m_all"), F.sum("s").alias("s_all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    by_label = bucket.groupBy("key", "label", "salts").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("s"))
+    split = by_label.groupBy("key", "salts").agg(F.max(F.struct("m", "label", "s")).alias("most"), F.sum("m").alias("m_all"), F.sum("s").alias("s_all"), F.count(F.lit(1)).alias("k")).filter("k > 1")
     split = split.withColumn("m_ask", F.col("m_all") - F.col("most.m")).withColumn("s_ask", F.col("s_all") - F.col("most.s"))
-    split = split.select("key", F.col("most.label").alias("main"), _many("m_all", "s_all").alias("all_blocks"), _many("m_ask", "s_ask").alias("ask_blocks"))
-    rows = bucket.join(split, "key").join(sets, "class")
+    split = split.select("key", _each("salts").alias("salt"), F.col("most.label").alias("main"), _many("m_all", "s_all").alias("all_blocks"), _many("m_ask", "s_ask").alias("ask_blocks"))
+    rows = bucket.join(split, ["key", "salt"]).join(sets, "class")
     own = ["key", "band", "class", "label", "bits", "keys", "shingles"]
     told = rows.select(*own, F.lit(False).alias("asks"), _spread("all_blocks").alias("x"), _each("ask_blocks").alias("y"))
     asking = rows.filter("label <> main").select(*own, F.lit(True).alias("asks"), _each("all_blocks").alias("x"), _spread("ask_blocks").alias("y"))
