@@ -64,7 +64,7 @@ def test_chunked_framing():
         payload = random.Random(n).randbytes(n)
         assert warc.unchunked(warc.chunked(payload)) == payload
     assert warc.unchunked(b"4;x=y\r\nab\r\n\r\n0\r\nTrailer: 1\r\n\r\n") == b"ab\r\n"
-    for bad in (b"4\r\nabc\r\n0\r\n\r\n", b"zz\r\n", b"0\r\n", b""):
+    for bad in (b"4\r\nabc\r\n0\r\n\r\n", b"zz\r\n", b"0\r\n", b"", b"+4\r\nabcd\r\n0\r\n\r\n", b" 4\r\nabcd\r\n0\r\n\r\n", b"0x4\r\nabcd\r\n0\r\n\r\n", b"0_4\r\nabcd\r\n0\r\n\r\n"):
         with pytest.raises(warc.WarcError):
             warc.unchunked(bad)
 
@@ -94,3 +94,13 @@ def test_lost_segments_are_found(spark):
     for bad in (parts[:-1], parts[1:], parts[:2] + parts[3:], [*parts, parts[2]]):
         with pytest.raises(Exception):
             warc.read(rows(bad)).collect()
+
+
+def test_revisits_need_their_response(spark):
+    rows = lambda p: spark.createDataFrame([("a", bytearray(b"".join(p)))], "archive string, data binary")
+    good = warc.page_records("a-0", 9, "u", b"page") + warc.page_records("a-1", 1, "u", b"page", refers_to=9)
+    assert {r["page_id"] for r in warc.checked(warc.read(rows(good))).collect()} == {1, 9}
+    other = warc.page_records("a-0", 9, "u", b"Page") + warc.page_records("a-1", 1, "u", b"page", refers_to=9)
+    for bad in (other, good[1:]):
+        with pytest.raises(warc.WarcError):
+            warc.checked(warc.read(rows(bad)))
