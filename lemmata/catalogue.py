@@ -18,6 +18,8 @@ from lemmata.operators import outline as H
 from lemmata.operators import prompting as P
 from lemmata.operators import prover
 from lemmata.operators import scoring as S
+from lemmata.plans import answering
+from lemmata.scratch import scratch_path
 from lemmata.sources import records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -68,10 +70,10 @@ def answer_tokens(spark, d):
 
 
 @query(f"""
-WITH b AS (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n, {_norm('text')} AS gold, {_tokens('text')} AS g FROM benchmark),
-p AS (SELECT doc_id, {_norm('text')} AS pred, {_tokens('text')} AS p FROM documents),
-j AS (SELECT doc_id, pred, gold, p, g FROM p JOIN b ON doc_id % n = k),
-tp AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(p) AS w FROM j) GROUP BY ALL),
+WITH b AS MATERIALIZED (SELECT row_number() OVER (ORDER BY item_id) - 1 AS k, count(*) OVER () AS n, {_norm('text')} AS gold FROM benchmark),
+p AS MATERIALIZED (SELECT doc_id, {_norm("coalesce(text, '')")} AS pred FROM documents),
+j AS MATERIALIZED (SELECT doc_id, pred, gold, list_filter(string_split(pred, ' '), lambda t: t <> '') AS p, list_filter(string_split(gold, ' '), lambda t: t <> '') AS g FROM p JOIN b ON doc_id % n = k),
+tp AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(list_filter(p, lambda w: list_contains(g, w))) AS w FROM j) GROUP BY ALL),
 tg AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(g) AS w FROM j) GROUP BY ALL),
 shared AS (SELECT doc_id, sum(least(tp.c, tg.c)) AS n_shared FROM tp JOIN tg USING (doc_id, w) GROUP BY doc_id)
 SELECT doc_id, (pred = gold)::DOUBLE AS em,
@@ -114,7 +116,16 @@ def best_match_single_ref(spark, d):
     return t.withColumn("m", S.best_for_one_reference(F.col("p"), F.col("r"))).select("conv_id", F.round("m.em", 6).alias("em"), F.round("m.f1", 6).alias("f1"))
 
 
-@query()
+@query(f"""
+WITH a AS (SELECT conv_id, turn, {_norm('text')} AS n, {_tokens('text')} AS t, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, count(*) OVER (PARTITION BY conv_id) - 2 AS preds FROM conversations WHERE role = 'assistant'),
+x AS (SELECT conv_id, k, n, t, preds FROM a WHERE preds > 0 UNION ALL SELECT conv_id, 4, '', [], 1 FROM a WHERE preds = 1 AND k = 1),
+w AS (SELECT conv_id, k, w, count(*) AS c FROM (SELECT conv_id, k, unnest(t) AS w FROM x) GROUP BY ALL),
+shared AS (SELECT p.conv_id, p.k, r.k AS ref, sum(least(p.c, r.c)) AS n_shared FROM w p JOIN w r ON p.conv_id = r.conv_id AND p.w = r.w AND p.k > 2 AND r.k < 3 GROUP BY ALL),
+m AS (SELECT p.conv_id, p.k, r.k AS ref, p.preds, (p.n = r.n)::INT AS em, CASE WHEN len(p.t) = 0 OR len(r.t) = 0 THEN (len(p.t) = 0 AND len(r.t) = 0)::DOUBLE ELSE 2.0 * coalesce(s.n_shared, 0) / (len(p.t) + len(r.t)) END AS f1
+ FROM x p JOIN x r ON p.conv_id = r.conv_id AND p.k > 2 AND r.k < 3 LEFT JOIN shared s ON s.conv_id = p.conv_id AND s.k = p.k AND s.ref = r.k),
+best AS (SELECT m.conv_id, max(m.em + o.em) / 2.0 * exp(1.0 - max(greatest(m.preds, 2)) / 2.0) AS em, max(m.f1 + o.f1) / 2.0 * exp(1.0 - max(greatest(m.preds, 2)) / 2.0) AS f1
+ FROM m JOIN m o ON m.conv_id = o.conv_id AND m.k <> o.k AND m.ref = 1 AND o.ref = 2 GROUP BY m.conv_id)
+SELECT conv_id, round(em, 6)::DOUBLE AS em, round(em, 6)::DOUBLE AS em_cond, round(f1, 6)::DOUBLE AS f1, round(f1, 6)::DOUBLE AS f1_cond FROM best""")
 def assignment_multi_ref(spark, d):
     t = _turns(spark, d).filter(F.size("a") > 2).select("conv_id", F.slice("a", 3, F.size("a") - 2).alias("p"), F.slice("a", 1, 2).alias("r"))
     return S.answers_metrics(t, "p", "r").select("conv_id", *[F.round(m, 6).alias(m) for m in S.METRICS])
@@ -225,8 +236,10 @@ def context_last_wins(spark, d):
 
 @query("SELECT l.doc_id, d.lang, d.doc_id IS NOT NULL AS context_found, coalesce(d.source, '') AS source FROM labels l LEFT JOIN (SELECT * FROM documents WHERE lang = 'en') d USING (doc_id)")
 def question_context_left_join(spark, d):
-    c = _t(spark, d, "documents").filter("lang = 'en'").select("doc_id", "lang", "source", F.lit(True).alias("found"))
-    return _t(spark, d, "labels").join(c, "doc_id", "left").select("doc_id", "lang", F.coalesce("found", F.lit(False)).alias("context_found"), F.coalesce("source", F.lit("")).alias("source"))
+    url = F.col("doc_id").cast("string").alias("url")
+    c = _t(spark, d, "documents").filter("lang = 'en'").select(url, F.lit(0).alias("ordinal"), "lang", "source")
+    q = answering.with_context(_t(spark, d, "labels").select("doc_id", url), c, {"lang": "lang", "source": "source"})
+    return q.select("doc_id", "lang", "context_found", F.coalesce("source", F.lit("")).alias("source"))
 
 
 @query("""SELECT count(*) FILTER (l.doc_id IS NOT NULL AND d.doc_id IS NOT NULL) AS both, count(*) FILTER (d.doc_id IS NULL) AS only_a, count(*) FILTER (l.doc_id IS NULL) AS only_b
@@ -241,15 +254,23 @@ def chunk_batches(spark, d):
     return c.select("chunk", F.size("rows").cast("long").alias("n"), F.array_join(F.transform("rows", lambda r: r["item_id"].cast("string")), ",").alias("ids"))
 
 
+@query("WITH r AS (SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS chunk FROM documents) SELECT chunk, count(*) AS n, min(doc_id) AS first, max(doc_id) AS last, sum(doc_id)::BIGINT AS total FROM r GROUP BY chunk")
+def chunk_batches_documents(spark, d):
+    """Chunks of whole documents: every row is in one, and all but the last are full."""
+    ids = lambda r: r["doc_id"]
+    c = records.chunked(_t(spark, d, "documents"), 64, "doc_id").withColumn("ids", F.transform("rows", ids))
+    return c.select("chunk", F.size("rows").cast("long").alias("n"), F.array_min("ids").alias("first"), F.array_max("ids").alias("last"), F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+
+
 @query("SELECT doc_id, lang FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def resume_remaining(spark, d):
     return records.remaining(_t(spark, d, "documents").select("doc_id", "lang"), _t(spark, d, "labels"), "doc_id")
 
 
-@query()
+@query("SELECT item_id, text FROM benchmark")
 def kb_roundtrip(spark, d):
     """Records written indented with blank lines, and read back."""
-    path = X.scratch_path(spark, "records")
+    path = scratch_path(spark, "records")
     b = _t(spark, d, "benchmark").select("item_id", "text")
     records.write(b, path)
     return records.read(spark, path, "item_id long, text string")
@@ -263,22 +284,69 @@ def strip_html_truncate(spark, d):
     return _t(spark, d, "pages").select("page_id", T.context_text(F.array("html")).alias("text"))
 
 
-_TAGS = ("h1", "p", "li", "table")
+def _pages(spark, d):
+    return _t(spark, d, "pages").select(F.col("page_id").alias("doc"), F.array("html").alias("contents"))
+
 
+def _nodes(spark, d):
+    """The outline of every page."""
+    return H.outline(H.events(_t(spark, d, "pages").select(F.col("page_id").alias("doc"), "html"), "html"))
 
-@query("SELECT page_id, " + ", ".join(f"len(regexp_extract_all(html, '(?i)<{t}[\\s>]'))::BIGINT AS n_{t}" for t in _TAGS) + " FROM pages")
+
+# what stands between the tags of kept elements, comments, scripts and styles left out
+_ELEMENTS = r"""WITH clean AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>', ' ', 'g') AS html FROM pages),
+e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)<(h[1-4]|p|li|table)[\s>]', 1)) AS tag, unnest(string_split_regex(html, '(?is)<(?:h[1-4]|p|li|table)[\s>]')[2:]) AS body, generate_subscripts(regexp_extract_all(html, '(?is)<(h[1-4]|p|li|table)[\s>]', 1), 1) AS k FROM clean)"""
+
+
+@query(_ELEMENTS + """
+SELECT page_id, count(*) FILTER (lower(tag) LIKE 'h%') AS n_sections, count(*) FILTER (lower(tag) = 'p') AS n_texts, count(*) FILTER (lower(tag) = 'table') AS n_tables FROM e GROUP BY page_id""")
 def heading_outline(spark, d):
-    return _t(spark, d, "pages").select("page_id", *[F.regexp_count("html", F.lit(rf"(?i)<{t}[\s>]")).cast("long").alias(f"n_{t}") for t in _TAGS])
+    of = lambda k: F.count_if(F.col("type") == k)
+    return _nodes(spark, d).groupBy(F.col("doc").alias("page_id")).agg(of("section").alias("n_sections"), of("text").alias("n_texts"), of("table").alias("n_tables"))
 
 
-@query(r"""WITH e AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<(li|p|h[1-4]|table)[\s>]', 1)) AS tag, generate_subscripts(regexp_extract_all(html, '(?i)<(li|p|h[1-4]|table)[\s>]', 1), 1) AS k FROM pages),
+@query(_ELEMENTS + """,
 r AS (SELECT *, tag = 'li' AND coalesce(lag(tag) OVER (PARTITION BY page_id ORDER BY k), '') <> 'li' AS begins FROM e)
 SELECT page_id, count(*) FILTER (tag = 'li') AS n_items, count(*) FILTER (begins) AS n_runs FROM r GROUP BY page_id""")
 def list_runs(spark, d):
-    tags = F.regexp_extract_all("html", F.lit(r"(?i)<(li|p|h[1-4]|table)[\s>]"), F.lit(1))
-    runs = F.size(F.filter(F.sequence(F.lit(1), F.size("t")), lambda i: (F.element_at("t", i) == "li") & ((i == 1) | (F.element_at("t", F.greatest(i - 1, F.lit(1))) != "li"))))
-    p = _t(spark, d, "pages").select("page_id", tags.alias("t")).filter(F.size("t") > 0)
-    return p.select("page_id", F.size(F.filter("t", lambda x: x == "li")).cast("long").alias("n_items"), runs.cast("long").alias("n_runs"))
+    lists = F.col("type") == "list"
+    return _nodes(spark, d).groupBy(F.col("doc").alias("page_id")).agg(F.coalesce(F.sum(F.when(lists, F.size("items"))), F.lit(0)).cast("long").alias("n_items"), F.count_if(lists).alias("n_runs"))
+
+
+@query("""SELECT n_regionkey AS region, '<p>' || n_regionkey || '</p><table><tr><th>Nation</th><th>Key</th></tr>' || string_agg('<tr><td>' || n_name || '</td><td>' || n_nationkey || '</td></tr>', '' ORDER BY n_nationkey) || '</table><p>end</p>' AS markup FROM nation GROUP BY n_regionkey""")
+def bare_rows(spark, d):
+    """Runs of bare rows between other lines as one table for each region."""
+    n = _t(spark, d, "nation").groupBy("n_regionkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit("<tr>"), x["n_name"], F.lit(" | "), x["n_nationkey"].cast("string"), F.lit("</tr>"))).alias("rows"))
+    lines = F.concat(F.array(F.concat(F.lit("<p>"), F.col("n_regionkey").cast("string"), F.lit("</p>")), F.lit("<tr>Nation | Key</tr>")), F.col("rows"), F.array(F.lit("<p>end</p>")))
+    return n.select(F.col("n_regionkey").alias("region"), F.array_join(H.joined_rows(lines), "").alias("markup"))
+
+
+@query("""SELECT o_orderkey, o_orderkey % 3 = 0 AS row_line FROM orders""")
+def row_lines(spark, d):
+    line = F.when(F.col("o_orderkey") % 3 == 0, "  <TR class=x>a | b</TR>").when(F.col("o_orderkey") % 3 == 1, "<track>").otherwise("a <tr> b")
+    return _t(spark, d, "orders").select("o_orderkey", T.is_row_line(line).alias("row_line"))
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_suppkey % 3 AS k FROM supplier)
+SELECT s_suppkey, CASE k WHEN 0 THEN 'rule' ELSE 'list' END AS type, CASE k WHEN 0 THEN 'ANY' WHEN 1 THEN 'ALL' END AS operator, CASE k WHEN 0 THEN 'ELIGIBLE' END AS outcome,
+ 's' || s_suppkey AS items, CASE WHEN k < 2 THEN 'unless s' || s_suppkey || ' leaves' END AS exceptions FROM s""")
+def bound_lists(spark, d):
+    """A policy for each supplier: a list behind a rule, behind a plain sentence, or by itself."""
+    k, name = F.col("s_suppkey") % 3, F.concat(F.lit("s"), F.col("s_suppkey").cast("string"))
+    intro = F.when(k == 0, "<p>You can apply if any of the following apply:</p>").when(k == 1, "<p>All of the following apply to shops:</p>")
+    items = F.array(F.concat(F.lit("<li>"), name, F.lit("</li>")), F.when(k < 2, F.concat(F.lit("<li>unless "), name, F.lit(" leaves</li>"))))
+    lines = F.array_compact(F.concat(F.array(F.lit("<h1>Shops</h1>"), intro), items))
+    nodes = H.semantic_tree(_t(spark, d, "supplier").select(F.col("s_suppkey").alias("doc"), lines.alias("contents")))
+    return nodes.filter(F.col("items").isNotNull()).select(F.col("doc").alias("s_suppkey"), "type", "operator", "outcome", F.array_join("items", "|").alias("items"), F.array_join("exceptions", "|").alias("exceptions"))
+
+
+@query("""SELECT c_custkey, '# Customer ' || c_custkey || E'\nLives here.\n## Nation\n- n' || c_nationkey || E'\n- key ' || c_custkey AS text FROM customer""")
+def rendered_pages(spark, d):
+    """A page for each customer: title, text, a section with a list."""
+    s = lambda c: F.col(c).cast("string")
+    lines = F.array(F.concat(F.lit("<h1>Customer "), s("c_custkey"), F.lit("</h1>")), F.lit("<p>Lives here.</p>"), F.lit("<h2>Nation</h2>"), F.concat(F.lit("<li>n"), s("c_nationkey"), F.lit("</li>")), F.concat(F.lit("<li>key "), s("c_custkey"), F.lit("</li>")))
+    t = H.rendered(H.semantic_tree(_t(spark, d, "customer").select(F.col("c_custkey").alias("doc"), lines.alias("contents"))))
+    return t.select(F.col("doc").alias("c_custkey"), F.regexp_replace("text", "(?m)^ +", "").alias("text"))
 
 
 @query(r"""WITH s AS (SELECT doc_id, lower(text) AS t FROM documents)
@@ -291,17 +359,13 @@ def semantic_rules(spark, d):
 
 @query()
 def page_tree(spark, d):
-    pages = _t(spark, d, "pages").select(F.col("page_id").alias("doc"), F.array("html").alias("contents"))
-    return H.semantic_tree(pages).withColumn("rows", F.to_json("rows"))
+    return H.semantic_tree(_pages(spark, d)).withColumn("rows", F.to_json("rows"))
 
 
 @query()
 def render_tree(spark, d):
-    """Pages, and a policy with introductions, exceptions and bare table rows, as text."""
-    lines = ["<h1>Help with rent</h1>", "<p>You can apply if any of the following apply:</p>", "<li>you rent</li>", "<li>you work, unless you study</li>", "<h2>Rates</h2>", "<p>Paid weekly.</p>", "<tr>Rate | Amount</tr>", "<tr>Low | 10</tr>"]
-    policy = spark.createDataFrame([(-1, lines)], "doc long, contents array<string>")
-    pages = _t(spark, d, "pages").select(F.col("page_id").alias("doc"), F.array("html").alias("contents"))
-    return H.rendered(H.semantic_tree(pages.unionByName(policy)))
+    """Every page as text."""
+    return H.rendered(H.semantic_tree(_pages(spark, d)))
 
 
 # names and bridges
@@ -360,12 +424,13 @@ def bridge_rules(spark, d):
 
 
 @query("""WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part)
-SELECT name, E':- x.\\n' || name || E'(a).\\n\\n% --- aliases ---\\nholds(_A0, _A1) :- ' || name || '(_A0).' AS program FROM n""")
+SELECT name, E':- x.\\n' || name || E'(a).\\nheld_by(b).\\n\\n% --- aliases ---\\nholds(_A0, _A1) :- held_by(_A0).' AS program FROM n""")
 def alias_bridges(spark, d):
-    p = _phrases(spark, d).select("name", F.concat(F.lit(":- x.\n"), F.col("name"), F.lit("(a).")).alias("program"), F.lit("holds(me, X)").alias("goal"))
-    held = F.get(F.filter(C.defined_predicates(F.col("program")), lambda x: x["name"] == F.col("name")), F.lit(0))["arity"]
-    asked = F.get(C.goal_predicates(F.col("goal")), F.lit(0))
-    return p.select("name", C.with_rules(F.col("program"), F.array(C.bridge_rule(asked["name"], asked["arity"], F.col("name"), held)), "aliases").alias("program"))
+    p = _phrases(spark, d).select("name", F.col("name").alias("kb"), F.concat(F.lit(":- x.\n"), F.col("name"), F.lit("(a).\nheld_by(b).")).alias("program"), F.lit("holds(me, X)").alias("goal"))
+    block = F.struct(F.array(F.lit("held_by(b).")).alias("facts"), F.array().cast("array<string>").alias("rules"))
+    none = F.lit(None).cast("array<struct<id:string,type:string,gloss:string>>")
+    p = p.withColumn("context", block).withColumn("context_constants", none).withColumn("scenario_constants", none)
+    return B.align(p, B.Alignment(aliases={"holds": "held_by"})).select("name", "program")
 
 
 @query("""SELECT c_custkey, 'lives_in(' || CASE WHEN c_custkey % 2 = 0 THEN '_' ELSE 'c' || c_custkey END || ', n' || c_nationkey || ').' AS fact FROM customer""")
@@ -485,7 +550,7 @@ def hypernym_score(spark, d):
     return B.entailment_scores(pairs, lemmas, edges).select("general", "specific", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("""SELECT n_nationkey, n_regionkey <> 1 AS entails, CASE WHEN n_regionkey <> 1 THEN 'r' || n_regionkey ELSE '' END AS found, NULL::VARCHAR AS error FROM nation""")
 def prover_answers(spark, d):
     """One small program for each nation, with compound terms and negation, proved by search."""
     n = _t(spark, d, "nation")
@@ -499,15 +564,8 @@ def prover_answers(spark, d):
 # prompts
 
 
-@query(r"""SELECT doc_id, '### Item ' || doc_id || E'\n\n' || CASE WHEN lang <> 'en' THEN E'Known predicates:\n- written_in/2 — ' || lang || E'\n\n' ELSE '' END || E'Text:\n' || left(trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 200) AS prompt FROM documents""")
-def prompt_blocks(spark, d):
-    known = F.when(F.col("lang") != "en", P.predicate_lines(F.array(F.struct(F.lit("written_in").alias("name"), F.lit(2).alias("arity"), F.col("lang").alias("gloss"))))).otherwise("")
-    return _t(spark, d, "documents").select("doc_id", P.prompt_block(F.col("doc_id"), P.answer_input(F.array("text"), 200), predicates=known).alias("prompt"))
-
-
 @query(r"""SELECT doc_id, '### Item ' || doc_id || E'\n\n' || CASE WHEN lang <> 'en' THEN E'Known predicates:\n- written_in/2 — ' || lang || E'\n\n' ELSE '' END || E'Text:\n' || trim(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')) AS prompt FROM documents""")
-def prompt_blocks_whole(spark, d):
-    """Items over whole texts, as the reference makes them; ``prompt_blocks`` shows their first 200 characters."""
+def prompt_blocks(spark, d):
     known = F.when(F.col("lang") != "en", P.predicate_lines(F.array(F.struct(F.lit("written_in").alias("name"), F.lit(2).alias("arity"), F.col("lang").alias("gloss"))))).otherwise("")
     return _t(spark, d, "documents").select("doc_id", P.prompt_block(F.col("doc_id"), T.without_tags(F.col("text")), predicates=known).alias("prompt"))
 
@@ -518,6 +576,204 @@ def chat_messages(spark, d):
     return _t(spark, d, "conversations").withColumn("m", m).select("conv_id", "turn", F.col("m")[0]["content"].alias("system"), F.col("m")[1]["content"].alias("question"), F.size("m").cast("long").alias("n"))
 
 
+# runs and their parts
+
+
+_SOURCES_SQL = "s AS (SELECT source, max(doc_id) AS doc_id, max_by(lang, doc_id) AS lang FROM documents WHERE source <> '' GROUP BY source)"
+
+
+@query(f"""WITH {_SOURCES_SQL}, t AS (SELECT * FROM documents WHERE doc_id % 2 = 0 AND trim(text, ' ') <> '')
+SELECT t.doc_id::VARCHAR AS id, (row_number() OVER (ORDER BY t.doc_id) - 1)::BIGINT AS index, length(trim(text, ' '))::BIGINT AS chars, CASE WHEN s.source IS NULL THEN '' ELSE '- last/1 — ' || s.lang END AS predicates, CASE WHEN s.source IS NULL THEN '' ELSE 'last(' || s.doc_id || E').\\nused(' || s.lang || ').' END AS rules, CASE WHEN s.source IS NULL THEN '' ELSE '- d' || s.doc_id || ' — ' || s.lang || ' (type: unknown)' END AS constants
+FROM t LEFT JOIN s ON t.source = s.source""")
+def job_rows(spark, d):
+    """A job for every second document, with what is known of its source from the source's last document."""
+    docs = _t(spark, d, "documents")
+    kbs = docs.select(F.col("source").alias("url"), F.col("doc_id").alias("ordinal"), F.col("doc_id").cast("string").alias("k"), F.col("lang"))
+    predicates = P.predicate_lines(F.array(F.struct(F.lit("last").alias("name"), F.lit(1).alias("arity"), F.col("lang").alias("gloss"))))
+    constants = P.constant_lines(F.array(F.struct(F.concat(F.lit("d"), F.col("k")).alias("id"), F.lit(None).cast("string").alias("type"), F.col("lang").alias("gloss"))))
+    rules = F.array_join(F.array(F.concat(F.lit("last("), F.col("k"), F.lit(").")), F.concat(F.lit("used("), F.col("lang"), F.lit(")."))), "\n")
+    contexts = [P.context_strings(kbs, v, n) for n, v in (("predicates", predicates), ("constants", constants), ("rules", rules))]
+    samples = docs.select("doc_id", F.col("doc_id").cast("string").alias("id"), F.col("source").alias("url"), F.array("text").alias("contents"))
+    jobs = P.jobs(samples, P.extractor("context", "contents"), "doc_id", *contexts, where=F.col("doc_id") % 2 == 0)
+    return jobs.select("id", "index", F.length("input_text").cast("long").alias("chars"), "predicates", "rules", "constants")
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN trim(text, ' ') <> '' AND turn % 2 = 0 THEN role || E'\n\n' || trim(text, ' ') END AS asked, CASE turn % 3 WHEN 0 THEN role || E'\n- ' || turn ELSE nullif(trim(text, ' '), '') END AS tree FROM conversations""")
+def sample_texts(spark, d):
+    """Texts of samples: scenario and question, and a tree with the contents behind it."""
+    c = _t(spark, d, "conversations")
+    tree = F.when(F.col("turn") % 3 == 0, F.concat(F.col("role"), F.lit("\n  \n- "), F.col("turn").cast("string"), F.lit("\n"))).otherwise(F.lit(" \n"))
+    return c.select("conv_id", "turn", P.question_text(F.when(F.col("turn") % 2 == 0, F.col("role")).otherwise(F.lit(" ")), F.col("text")).alias("asked"), P.tree_text(tree, F.array("text")).alias("tree"))
+
+
+_FEW = " || '|' || ".join(["''", *["'" + f"Policy:\n{c}\n\nQuestion:\n{q}|{a}".replace("'", "''") + "'" for c, q, a in P.EXAMPLES]])
+
+
+@query(f"""SELECT DISTINCT role, {_FEW.replace(chr(10), chr(10))}::VARCHAR AS shown, {2 + 2 * len(P.EXAMPLES)}::BIGINT AS n FROM conversations""")
+def few_shot_turns(spark, d):
+    m = P.chat_messages(F.col("role"), F.lit(""), F.col("role"), few_shot=True)
+    shown = F.array_join(F.transform(F.slice("m", 2, F.size("m") - 2), lambda x: x["content"]), "|")
+    return _t(spark, d, "conversations").select("role").distinct().withColumn("m", m).select("role", F.concat(F.lit("|"), shown).alias("shown"), F.size("m").cast("long").alias("n"))
+
+
+@query("SELECT l_returnflag, round(100.0 * avg(l_discount), 1) AS value, format('{:.1f}%', round(100.0 * avg(l_discount), 6)) AS shown FROM lineitem GROUP BY l_returnflag")
+def percentages(spark, d):
+    x = _t(spark, d, "lineitem").groupBy("l_returnflag").agg(F.avg("l_discount").alias("v"))
+    return x.select("l_returnflag", F.round(100 * F.col("v"), 1).alias("value"), T.percent(F.round("v", 8)).alias("shown"))
+
+
+@query("""SELECT p_partkey, (p_size % 4)::BIGINT AS commas, CASE WHEN p_size % 4 = 0 THEN 1 ELSE 1 + p_size % 4 END::BIGINT AS arity FROM part""")
+def top_level_commas(spark, d):
+    k = (F.col("p_size") % 4).cast("int")
+    args = F.concat(F.lit("f(a, g(b, c))"), F.repeat(F.concat(F.lit(", h("), F.col("p_partkey").cast("string"), F.lit(", x)")), k))
+    return _t(spark, d, "part").select("p_partkey", C.top_level_commas(args).cast("long").alias("commas"), C.arity(args).cast("long").alias("arity"))
+
+
+@query("""SELECT c_custkey, 'lives_in/2,owes/1' || CASE WHEN c_custkey % 2 = 0 THEN ',rich/0' ELSE '' END || ',knows/' || (1 + c_custkey % 2) AS heads FROM customer""")
+def block_heads(spark, d):
+    """Heads of a block's facts and rules; of one name with two arities the last counts, at the place of the first."""
+    key = F.col("c_custkey").cast("string")
+    rich = F.when(F.col("c_custkey") % 2 == 0, F.lit("rich :- owes(x)."))
+    block = F.struct(F.array_compact(F.array(F.concat(F.lit("lives_in(c"), key, F.lit(", n).")), F.lit("owes(x)."), rich)).alias("facts"), F.array(F.lit("knows(X, Y, Z) :- owes(X)."), F.when(F.col("c_custkey") % 2 == 1, "knows(X, f(Y, Z)) :- owes(X).").otherwise("knows(X) :- owes(X).")).alias("rules"))
+    heads = F.array_join(F.transform(C.block_predicates(block), lambda p: F.concat(p["name"], F.lit("/"), p["arity"].cast("string"))), ",")
+    return _t(spark, d, "customer").select("c_custkey", heads.alias("heads"))
+
+
+@query("""SELECT c_custkey, 'lives_in(' || CASE WHEN c_custkey % 2 = 0 THEN '_' ELSE 'c' || c_custkey END || ', n' || c_nationkey || '), owes(c' || c_custkey || ', X)' AS goal FROM customer""")
+def goal_wildcards(spark, d):
+    name = F.concat(F.lit("c"), F.col("c_custkey").cast("string"))
+    goal = F.concat(F.lit("lives_in("), name, F.lit(", n"), F.col("c_nationkey").cast("string"), F.lit("), owes("), name, F.lit(", X)"))
+    only = F.array(F.struct(F.lit("lives_in").alias("name"), F.lit(2).alias("arity")))
+    return _t(spark, d, "customer").select("c_custkey", C.goal_with_wildcards(goal, F.when(F.col("c_custkey") % 2 == 0, F.array(name)).otherwise(F.array(F.lit("other"))), only).alias("goal"))
+
+
+@query("""SELECT s_suppkey, E':- set_prolog_flag(unknown, fail).\\n:- use_module(library(lists)).\\n' || CASE WHEN s_suppkey % 2 = 0 THEN E'\\n% --- context KB ---\\nsells(s' || s_suppkey || E').\\n% optional: maybe.\\n' ELSE '' END || E'\\n% --- scenario KB ---\\nhome(n' || s_nationkey || E').\\nok(X) :- sells(X).' AS program, 'ok(X), home(Y, X)' AS goal, 'X,Y' AS variables FROM supplier""")
+def merged_programs(spark, d):
+    """Programs of two blocks, cleaned goals and their variables."""
+    none = F.array().cast("array<string>")
+    s = lambda c: F.col(c).cast("string")
+    context = F.when(F.col("s_suppkey") % 2 == 0, F.struct(F.array(F.concat(F.lit("sells(s"), s("s_suppkey"), F.lit(")"))).alias("facts"), F.array(F.lit("  ")).alias("rules"), F.array(F.lit("maybe")).alias("optional_rules")))
+    scenario = F.struct(F.array(F.concat(F.lit("home(n"), s("s_nationkey"), F.lit(")."))).alias("facts"), F.array(F.lit("ok(X) :- sells(X)")).alias("rules"), none.alias("optional_rules"))
+    goal = T.clean_goal(F.concat(F.lit("?- ok(X), home(Y, X).. % of s"), s("s_suppkey")))
+    return _t(spark, d, "supplier").select("s_suppkey", C.program(context, scenario).alias("program"), goal.alias("goal"), F.array_join(T.goal_variables(goal), ",").alias("variables"))
+
+
+@query("""WITH q AS (SELECT s_suppkey, s_nationkey, n_regionkey, s_suppkey % 3 AS k FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_nationkey % 2 = 0)
+SELECT s_suppkey AS id, n_regionkey IS NOT NULL AS context_found, CASE k WHEN 0 THEN 'yesno' WHEN 1 THEN 'value' ELSE 'not_answerable' END AS question_type,
+ CASE k WHEN 0 THEN coalesce(n_regionkey, -1) = 2 WHEN 1 THEN n_regionkey IS NOT NULL ELSE false END AS entails,
+ CASE WHEN k = 0 THEN CASE WHEN n_regionkey = 2 THEN 'yes' ELSE 'no' END WHEN k = 1 THEN coalesce('r' || n_regionkey, 'no') ELSE 'not answerable' END AS predicted FROM q""")
+def proof_answers(spark, d):
+    """Questions of suppliers answered from what their nation's page says; every second nation has a page, in two versions."""
+    block = "struct<facts:array<string>,rules:array<string>,optional_rules:array<string>,hypothesis:string>"
+    s = lambda c: F.col(c).cast("string")
+    none, null = F.array().cast("array<string>"), F.lit(None).cast("string")
+    make = lambda facts, rules, goal: F.struct(facts.alias("facts"), rules.alias("rules"), none.alias("optional_rules"), goal.alias("hypothesis")).cast(block)
+    no_constants = F.lit(None).cast("array<struct<id:string,type:string,gloss:string>>")
+    n = _t(spark, d, "nation").filter("n_nationkey % 2 = 0")
+    page = lambda ordinal, fact: n.select(s("n_nationkey").alias("url"), F.lit(ordinal).alias("ordinal"), make(F.array(fact), none, null).alias("prolog"), no_constants.alias("constants"))
+    pages = page(1, F.lit("lies_in(r9)")).unionByName(page(2, F.concat(F.lit("lies_in(r"), s("n_regionkey"), F.lit(")"))))
+    k = F.col("s_suppkey") % 3
+    goal = F.when(k == 0, "sells_in(r2)").when(k == 1, "sells_in(X)").otherwise("sells_in(r9)")
+    answers = F.when(k == 0, F.array(F.struct(F.lit("yes").alias("answer"), none.alias("conditions")))).otherwise(F.array(F.struct(F.lit("r1").alias("answer"), none.alias("conditions"))))
+    q = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), s("s_nationkey").alias("url"), F.lit("q").alias("question"), F.lit("s").alias("scenario"), answers.alias("answers"), (k == 2).alias("not_answerable"), make(none, F.array(F.lit("sells_in(X) :- lies_in(X)")), goal).alias("prolog"), F.struct(F.lit("").alias("hypothesis")).alias("fol"), no_constants.alias("constants"))
+    return answering.answered_by_proof(q, pages).select("id", "context_found", "question_type", "entails", F.array_join("predicted", "|").alias("predicted"))
+
+
+@query("""WITH v AS (SELECT s_suppkey, s_nationkey % 2 = 0 AS found, s_suppkey % 5 = 0 AS broken, s_nationkey % 4 = 0 AS right_ FROM supplier)
+SELECT count(*) AS total, count(*) FILTER (found) AS context_found, count(*) FILTER (NOT broken AND found AND right_) AS entailed, count(*) FILTER (NOT broken AND NOT (found AND right_)) AS not_entailed, count(*) FILTER (broken) AS errors FROM v""")
+def check_counts(spark, d):
+    """Goals checked against pages, some of them broken, and the counts of the run."""
+    block = "struct<facts:array<string>,rules:array<string>,optional_rules:array<string>,hypothesis:string>"
+    none, null = F.array().cast("array<string>"), F.lit(None).cast("string")
+    make = lambda facts, goal: F.struct(facts.alias("facts"), none.alias("rules"), none.alias("optional_rules"), goal.alias("hypothesis")).cast(block)
+    pages = _t(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_nationkey").cast("string").alias("url"), F.lit(1).alias("ordinal"), make(F.array(F.when(F.col("n_nationkey") % 4 == 0, "even(me)").otherwise("odd(me)")), null).alias("prolog"))
+    goal = F.when(F.col("s_suppkey") % 5 == 0, "even(me").otherwise("")
+    q = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").cast("string").alias("url"), F.lit(False).alias("not_answerable"), F.from_json(F.lit("[]"), S.ANSWERS).alias("answers"), make(none, goal).alias("prolog"), F.struct(F.lit("Even(me)").alias("hypothesis")).alias("fol"))
+    return S.check_summary(answering.checked(q, pages))
+
+
+@query(f"""WITH {_GOLD_SQL}, m AS (SELECT doc_id, k, toxic, len(l) > 0 AND len(list_filter(l, lambda v: v IN ('yes', 'no'))) > 0 AS yesno, len(l) > 0 AND len(list_filter(l, lambda v: v IN ('yes', 'no'))) = 0 AS extractive, toxic = 1 AND k IN (0, 1, 2) AS conditional,
+ CASE k WHEN 0 THEN (q = 'Yes')::INT::DOUBLE WHEN 1 THEN 0.5 WHEN 2 THEN (x = 'Yes')::INT / 2.0 ELSE 0.0 END AS em, CASE k WHEN 0 THEN (q = 'Yes' AND toxic = 0)::INT::DOUBLE WHEN 1 THEN 0.5 ELSE 0.0 END AS em_cond FROM g JOIN a USING (doc_id, k, toxic)),
+b AS (SELECT 'total' AS bucket, * FROM m UNION ALL SELECT 'yesno', * FROM m WHERE yesno UNION ALL SELECT 'extractive', * FROM m WHERE extractive UNION ALL SELECT 'conditional', * FROM m WHERE conditional)
+SELECT bucket, count(*) AS n, round(avg(em), 6)::DOUBLE AS em, round(avg(em_cond), 6)::DOUBLE AS em_cond, round(avg(em), 6)::DOUBLE AS f1, round(avg(em_cond), 6)::DOUBLE AS f1_cond FROM b GROUP BY bucket""")
+def official_run(spark, d):
+    """Every label as a question that is answered by yes: gold drives, and of two versions of gold and prediction the last counts."""
+    g = _gold(spark, d).select(F.col("doc_id").alias("id"), "answers")
+    old = g.withColumn("answers", F.from_json(F.lit("[]"), S.ANSWERS)).withColumn("ordinal", F.lit(1))
+    gold = old.unionByName(g.withColumn("ordinal", F.lit(2)))
+    p = g.select("id", F.array(F.lit("yes")).alias("predicted"), F.lit(2).alias("ordinal")).unionByName(g.select("id", F.array(F.lit("no")).alias("predicted"), F.lit(1).alias("ordinal")))
+    extra = g.select((F.col("id") + 10**9).alias("id"), F.array(F.lit("yes")).alias("predicted"), F.lit(3).alias("ordinal"))  # without gold
+    return answering.official(p.unionByName(extra), gold).select("bucket", "n", *[F.round(m, 6).alias(m) for m in S.METRICS])
+
+
+_SAID_SQL = f"""{_GOLD_SQL}, r AS (SELECT doc_id, CASE WHEN na THEN 'not_answerable' WHEN len(l) > 0 AND len(list_filter(l, lambda v: lower(trim(v)) NOT IN ('yes', 'no'))) = 0 THEN 'yesno' ELSE 'value' END AS kind,
+ CASE WHEN len(list_filter(l, lambda v: lower(trim(v)) = 'yes')) > 0 THEN 'yes' ELSE 'no' END AS gold, list_filter(list_transform(l, lambda v: lower(v)), lambda v: v IN ('yes', 'no'))[1] AS first, CASE WHEN doc_id % 11 = 0 THEN 'not answerable' WHEN doc_id % 3 = 0 THEN 'yes' WHEN doc_id % 3 = 1 THEN 'no' ELSE 'not answerable' END AS said, doc_id % 11 = 0 AS broken FROM a)"""
+
+
+def _said(spark, d):
+    """Labels as answered questions of a model; every eleventh fails."""
+    g = _gold(spark, d)
+    broken = F.col("doc_id") % 11 == 0
+    said = F.when(~broken & (F.col("doc_id") % 3 == 0), "yes").when(~broken & (F.col("doc_id") % 3 == 1), "no").otherwise("not answerable")
+    return g.select(F.col("doc_id").alias("id"), S.question_type(F.col("answers"), F.col("not_answerable")).alias("question_type"), F.col("answers").alias("gold_answers"), said.alias("predicted"), F.when(broken, "failed").alias("error"))
+
+
+@query(f"""WITH {_SAID_SQL} SELECT count(*) AS total, count(*) FILTER (broken) AS errors, count(*) FILTER (NOT broken AND said = 'yes') AS yes, count(*) FILTER (NOT broken AND said = 'no') AS no, count(*) FILTER (NOT broken AND said = 'not answerable') AS not_answerable,
+ count(*) FILTER (NOT broken AND kind = 'yesno') AS yesno, count(*) FILTER (NOT broken AND kind = 'yesno' AND said = gold) AS yesno_right, round(count(*) FILTER (NOT broken AND kind = 'yesno' AND said = gold) / count(*) FILTER (NOT broken AND kind = 'yesno')::DOUBLE, 6)::DOUBLE AS accuracy FROM r""")
+def model_counts(spark, d):
+    return S.model_summary(_said(spark, d)).withColumn("accuracy", F.round("accuracy", 6))
+
+
+@query(f"""WITH {_SAID_SQL}, c AS (SELECT count(*) FILTER (said = 'yes' AND gold = 'yes') AS tp, count(*) FILTER (said = 'yes' AND gold <> 'yes') AS fp, count(*) FILTER (said <> 'yes' AND gold = 'yes') AS fn, count(*) FILTER (said <> 'yes' AND gold <> 'yes') AS tn FROM r WHERE kind = 'yesno')
+SELECT tp, fp, fn, tn, round(tp / (tp + fp)::DOUBLE, 6)::DOUBLE AS precision, round(tp / (tp + fn)::DOUBLE, 6)::DOUBLE AS recall, round(2.0 * tp / (2 * tp + fp + fn), 6)::DOUBLE AS f1 FROM c""")
+def yes_no_confusion(spark, d):
+    x = _said(spark, d).filter("question_type = 'yesno'")
+    return S.yes_no_confusion(x, F.col("predicted"), S.gold_any_yes(F.col("gold_answers"))).select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
+@query(f"""WITH {_SAID_SQL} SELECT doc_id AS id, said AS predicted, first AS gold FROM r WHERE kind = 'yesno' AND first IS NOT NULL AND said <> first ORDER BY doc_id LIMIT 10""")
+def wrong_yes_no(spark, d):
+    """The first ten questions that were answered wrongly: a report of ten is the feature."""
+    return S.wrong_yes_no(_said(spark, d).withColumn("predicted", F.array("predicted"))).select("id", "predicted", "gold")
+
+
+@query(f"""WITH {_SAID_SQL} SELECT kind AS question_type, count(*) AS total, count(*) FILTER (said = 'yes') AS yes, count(*) FILTER (said = 'no') AS no, count(*) FILTER (said = 'not answerable') AS not_answerable FROM r GROUP BY kind""")
+def prediction_kinds(spark, d):
+    return S.prediction_breakdown(_said(spark, d))
+
+
+@query("""WITH s AS (SELECT quality = 1 AS hit FROM labels), b(bucket, n, v) AS (SELECT 'total', count(*), avg(hit::INT) FROM s UNION ALL SELECT 'yesno', count(*), avg(hit::INT) FROM s)
+SELECT bucket, n, format('{:.1f}%', round(100 * v, 6)) AS em, format('{:.1f}%', 0.0) AS f1 FROM b""")
+def metric_tables(spark, d):
+    zero = F.lit(0.0)
+    x = _t(spark, d, "labels").select(F.lit("yesno").alias("question_type"), F.lit(False).alias("conditional"), F.col("quality").cast("double").alias("em"), zero.alias("em_cond"), zero.alias("f1"), zero.alias("f1_cond"))
+    return S.metric_table(S.metric_buckets(x)).select("bucket", "n", "em", "f1")
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 2 = 0 THEN 1.0 ELSE 0.5 END::DOUBLE AS em, o_orderkey % 2 = 0 AS correct, CASE WHEN o_orderstatus = 'F' THEN (o_orderkey % 2 = 0)::INT::DOUBLE END AS precision FROM orders""")
+def question_rows(spark, d):
+    x = _verdicts(spark, d).withColumn("id", F.col("o_orderkey")).withColumn("em", F.when(F.col("o_orderkey") % 2 == 0, 1.0).otherwise(0.5))
+    for m in S.METRICS[1:]:
+        x = x.withColumn(m, F.lit(0.0))
+    return S.per_question(x).select("id", "em", "correct", "precision")
+
+
+_RULE_SQL = "E'\\n\\n% --- {label} ---\\n{head}(_A0, _A1) :- ' || {body} || '(_A0, _A1).'"
+
+
+@query("""WITH n AS (SELECT DISTINCT replace(p_name, ' ', '_') AS name FROM part)
+SELECT name, name || '(c, x).' || """ + _RULE_SQL.format(label="normalize", head="can_get_' || name || '", body="name") + " || " + _RULE_SQL.format(label="manual", head="a", body="'b'") + """ AS program, 'can_get_' || name || '(me, X)' AS goal FROM n""")
+def aligned_programs(spark, d):
+    """Typed constants, normal forms and given rules in one go, for each name a program of its own."""
+    kinds = "array<struct<id:string,type:string,gloss:string>>"
+    me = F.array(F.struct(F.lit("me").alias("id"), F.lit("person").alias("type"), F.lit("").alias("gloss"))).cast(kinds)
+    p = _phrases(spark, d).select("name", F.col("name").alias("kb"), F.concat(F.col("name"), F.lit("(c, x).")).alias("program"), F.concat(F.lit("can_get_"), F.col("name"), F.lit("(me, X)")).alias("goal"))
+    block = F.struct(F.array(F.concat(F.col("name"), F.lit("(c, x).")), F.lit("other(c)."), F.lit("z(a).")).alias("facts"), F.array().cast("array<string>").alias("rules"))
+    p = p.withColumn("context", block).withColumn("context_constants", F.lit(None).cast(kinds)).withColumn("scenario_constants", me)
+    out = B.align(p, B.Alignment(normalize=True, constant_align=True, bridge_rules=("a(_A0, _A1) :- b(_A0, _A1).",)))
+    return out.select("name", "program", "goal")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

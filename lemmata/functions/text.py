@@ -70,8 +70,12 @@ def is_exception(item: Column) -> Column:
     return F.coalesce(item.rlike("(?i)" + EXCEPTION), F.lit(False))
 
 
+# fixed values: where a camel-case name is cut, so that names agree with those that programs already use
+_CAMEL = ("(.)([A-Z][a-z]+)", "([a-z0-9])([A-Z])")
+
+
 def snake_case(name: Column) -> Column:
-    return F.lower(F.regexp_replace(F.regexp_replace(name, "(.)([A-Z][a-z]+)", "$1_$2"), "([a-z0-9])([A-Z])", "$1_$2"))
+    return F.lower(F.regexp_replace(F.regexp_replace(name, _CAMEL[0], "$1_$2"), _CAMEL[1], "$1_$2"))
 
 
 def content_tokens(name: Column, stop=STOP_TOKENS, fold: bool = True) -> Column:
@@ -103,6 +107,7 @@ def goal_variables(goal: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(goal, F.lit(r"\b([A-Z][A-Za-z0-9_]*)\b"), F.lit(1)))
 
 
+# fixed values: the shape of a quantifier and of an atom in first-order text
 _QUANTIFIER = r"(?i)(?<!\w)(?:exists|forall)\s*\(?\s*(\w+)\s*\)?"
 
 
@@ -125,7 +130,7 @@ def with_dot(clause: Column) -> Column:
 
 
 def parsed_answer(text: Column) -> Column:
-    """yes, no or not answerable, from what a model wrote."""
+    """yes, no or not answerable, from what a model wrote; how far it is read and the patterns are fixed values."""
     t = F.lower(F.trim(text))
     start, first = F.substring(t, 1, 60), F.regexp_extract(t, r"^\s*(\S*)", 1)
     return (

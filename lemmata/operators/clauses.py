@@ -12,9 +12,13 @@ from pyspark.sql import functions as F
 from lemmata.functions.text import clean_goal, fol_goal, with_dot
 
 PREDICATES = "array<struct<name:string,arity:int>>"
-# fixed values: the head of a clause on a line, and an atom in a goal
+# fixed values: the head of a clause on a line, an atom in a goal, a flat fact, an atom whose constants are replaced, and the
+# lines that begin the sections of a program
 HEAD = r"(?m)^\s*([a-z][a-z0-9_]*)\s*(?:\(([^)]*)\))?\s*(?::-|\.)"
 ATOM = r"([a-z][a-z0-9_]*)\s*\(([^)]*)\)"
+FLAT_FACT = r"^(\s*[a-z][a-z0-9_]*\s*)\(([^)]+)\)(\s*\.?\s*)$"
+TIGHT_ATOM = r"([a-z][a-z0-9_]*)\(([^)]*)\)"
+CONTEXT_MARK, SCENARIO_MARK = "% --- context KB ---", "% --- scenario KB ---"
 
 
 def top_level_commas(args: Column) -> Column:
@@ -97,7 +101,7 @@ def _wild(args: Column, constants: Column) -> Column:
 
 def fact_with_wildcards(clause: Column, constants: Column) -> Column:
     """A flat fact with the given constants as ``_``; rules and facts of another shape stay as they are."""
-    shape = r"^(\s*[a-z][a-z0-9_]*\s*)\(([^)]+)\)(\s*\.?\s*)$"
+    shape = FLAT_FACT
     new = F.concat(F.regexp_extract(clause, shape, 1), F.lit("("), _wild(F.regexp_extract(clause, shape, 2), constants), F.lit(")"), F.regexp_extract(clause, shape, 3))
     return F.when(clause.contains(":-") | ~clause.rlike(shape), clause).otherwise(new)
 
@@ -106,14 +110,14 @@ def context_with_wildcards(text: Column, constants: Column) -> Column:
     """A program whose facts between the two markers have the given constants as ``_``."""
     lines = F.transform(F.split(text, "\n"), lambda x: x)
     place = lambda mark: F.array_position(F.transform(lines, lambda x: x.contains(mark)), True)
-    a, b = place("% --- context KB ---"), place("% --- scenario KB ---")
+    a, b = place(CONTEXT_MARK), place(SCENARIO_MARK)
     inside = lambda i: (a > 0) & (i + 1 > a) & ((b == 0) | (i + 1 < b))
     return F.array_join(F.transform(lines, lambda x, i: F.when(inside(i) & (F.trim(x) != "") & ~F.trim(x).startswith("%"), fact_with_wildcards(x, constants)).otherwise(x)), "\n")
 
 
 def goal_with_wildcards(goal: Column, constants: Column, only: Column) -> Column:
     """A goal whose atoms of the predicates ``only`` have the given constants as ``_``."""
-    atom = r"([a-z][a-z0-9_]*)\(([^)]*)\)"
+    atom = TIGHT_ATOM
     atoms = F.regexp_extract_all(goal, F.lit(atom), F.lit(0))
     between = F.split(F.regexp_replace(goal, atom, "\u0001"), "\u0001")
     names = F.transform(only, lambda p: p["name"])

@@ -8,16 +8,16 @@ Derived facts form a set, so answers are distinct and sorted; a bridge that lead
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmata.scratch import keep
+
 #: Rounds of a recursion after which what is known is written as one table: plans stay short however many there are.
 COMPACT = 64
 
@@ -90,10 +90,6 @@ def _extend(bound: DataFrame | None, facts: DataFrame, literal: Literal, tag: in
     return joined.select("kb", *[F.coalesce(v, mine[v]).alias(v) if v in mine else F.col(v) for v in bound.columns if v != "kb"], *[F.col(c).alias(v) for v, c in mine.items() if v not in bound.columns])
 
 
-def _exact(facts: DataFrame, literal: Literal) -> bool:
-    return not facts.filter((F.col("pred") == literal.pred) & F.exists("args", lambda a: a.isNull())).limit(1).count()
-
-
 def _extend_exact(bound: DataFrame, facts: DataFrame, literal: Literal, tag: int) -> DataFrame:
     """As ``_extend`` where no wildcard is possible: an equi-join on the shared variables too."""
     rows = _extend(None, facts, Literal(literal.pred, literal.args), tag)
@@ -115,25 +111,9 @@ def derive(rule: Rule, facts: DataFrame, latest: DataFrame | None = None, use_la
     return bound.select("kb", F.lit(rule.head.pred).alias("pred"), F.lit(len(rule.head.args)).alias("arity"), (F.array(*values) if values else F.array().cast("array<string>")).alias("args")).distinct()
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the checkpoint folder, which all executors share; it goes when the session's JVM ends."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lemmata-")
-        spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/lemmata/{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
 def _written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the checkpoint folder, so that a long loop has a short lineage."""
-    path = scratch_path(df.sparkSession, "facts")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder, so that a long loop has a short lineage."""
+    return keep(df, "facts")
 
 
 def _recursive(rules: Sequence[Rule]) -> bool:

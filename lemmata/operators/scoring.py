@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType
 
-from lemmata.functions.text import answer_tokens, normalized_answer
+from lemmata.functions.text import answer_tokens, normalized_answer, percent
 from lemmata.shipping import ship
 
 ANSWERS = "array<struct<answer:string,conditions:array<string>>>"
@@ -55,10 +56,12 @@ def condition_f1(pred: Column, gold: Column) -> Column:
 
 def pair_metrics(pred: Column, ref: Column) -> Column:
     """em, em_cond, f1, f1_cond of one prediction and one reference, both (answer, conditions)."""
-    em = (normalized_answer(pred["answer"]) == normalized_answer(ref["answer"])).cast("double")
-    f1, c = answer_f1(ref["answer"], pred["answer"]), condition_f1(pred["conditions"], ref["conditions"])
-    parts = F.struct(em.alias("em"), f1.alias("f1"), c.alias("c"))
-    return let(parts, lambda x: F.struct(x["em"].alias("em"), (x["em"] * x["c"]).alias("em_cond"), x["f1"].alias("f1"), (x["f1"] * x["c"]).alias("f1_cond")))
+    words = lambda x: F.filter(F.split(F.coalesce(x, F.lit("")), " "), lambda t: t != "")
+    plain = F.struct(normalized_answer(pred["answer"]).alias("p"), normalized_answer(ref["answer"]).alias("g"))
+    both = let(plain, lambda t: F.struct((t["p"] == t["g"]).cast("double").alias("em"), words(t["g"]).alias("g"), words(t["p"]).alias("p")))
+    same = let(both, lambda t: F.struct(t["em"].alias("em"), multiset_f1(t["g"], t["p"]).alias("f1")))
+    parts = F.struct(same.alias("m"), condition_f1(pred["conditions"], ref["conditions"]).alias("c"))
+    return let(parts, lambda x: F.struct(x["m"]["em"].alias("em"), (x["m"]["em"] * x["c"]).alias("em_cond"), x["m"]["f1"].alias("f1"), (x["m"]["f1"] * x["c"]).alias("f1_cond")))
 
 
 # lists
@@ -264,6 +267,24 @@ def answer_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def check_summary(rows: DataFrame) -> DataFrame:
+    """One row of counts over checked goals: context_found, entails, error."""
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if("context_found").alias("context_found"), F.count_if(F.col("entails")).alias("entailed"), F.count_if(~F.col("entails")).alias("not_entailed"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
+def model_summary(rows: DataFrame) -> DataFrame:
+    """One row over a model's answers: errors, predictions of each kind, and how many yes/no questions it got right."""
+    said = lambda v: F.count_if(F.col("error").isNull() & F.coalesce(F.col("predicted") == v, F.lit(False)))
+    asked = (F.col("question_type") == "yesno") & F.col("error").isNull()
+    right = F.count_if(asked & F.coalesce(F.col("predicted") == gold_any_yes(F.col("gold_answers")), F.lit(False)))
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("error").isNotNull()).alias("errors"), said("yes").alias("yes"), said("no").alias("no"), said("not answerable").alias("not_answerable"), F.count_if(asked).alias("yesno"), right.alias("yesno_right"), ratio(right, F.count_if(asked)).alias("accuracy"))
+
+
+def metric_table(buckets: DataFrame, keep_empty: bool = False) -> DataFrame:
+    """bucket, n and metrics as percent, in the fixed order of the buckets; those without rows go unless they are kept."""
+    return buckets.filter(F.lit(keep_empty) | (F.col("n") > 0)).orderBy("place").select("bucket", "n", *[percent(F.col(m)).alias(m) for m in METRICS])
+
+
 def coverage(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: how many ids are in both, only in ``a`` and only in ``b``."""
     x = a.select(F.col(key).cast("string").alias("k"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b")).unionByName(b.select(F.col(key).cast("string").alias("k"), F.lit(0).alias("in_a"), F.lit(1).alias("in_b")))
@@ -272,8 +293,10 @@ def coverage(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def wrong_yes_no(rows: DataFrame, n: int = 10, order: str = "id") -> DataFrame:
-    """The first ``n`` yes/no questions whose prediction is not the gold answer."""
+    """The first ``n`` yes/no questions whose prediction (a string, or an array of one) is not the gold answer."""
     gold = gold_first_yes_no(F.col("gold_answers"))
+    if isinstance(rows.schema["predicted"].dataType, ArrayType):
+        rows = rows.withColumn("predicted", F.when(F.size("predicted") == 1, F.col("predicted")[0]))
     return rows.filter(F.col("question_type") == "yesno").withColumn("gold", gold).filter(F.col("gold").isNotNull() & ~F.col("gold").eqNullSafe(F.col("predicted"))).orderBy(order).limit(n)
 
 

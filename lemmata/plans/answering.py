@@ -77,15 +77,28 @@ def is_model_run(results: DataFrame) -> bool:
 def scored(results: DataFrame, gold: DataFrame, keep_unmatched: bool = False) -> DataFrame:
     """Results (id, question_type, predicted as an array) with metrics against gold (id, answers).
 
-    Results without gold are left out, or scored against no answers.
+    Results without gold are left out, or scored against no answers. Of gold rows with one id the last counts, in order of
+    ``ordinal`` if there is one, else in the order in which they are read.
     """
-    g = gold.select(F.col("id").cast("string").alias("_id"), F.col("answers").alias("reference"))
+    ids = gold.withColumn("_key", F.col("id").cast("string")).withColumn("_at", F.col("ordinal") if "ordinal" in gold.columns else F.monotonically_increasing_id())
+    g = last_of_each(ids, "_key", "_at").select(F.col("id").cast("string").alias("_id"), F.col("answers").alias("reference"))
     x = results.join(g, F.col("id").cast("string") == F.col("_id"), "left" if keep_unmatched else "inner").drop("_id")
     x = x.withColumn("reference", F.coalesce("reference", F.from_json(F.lit("[]"), LISTS))).withColumn("answer_list", scoring.as_answers(F.col("predicted")))
     x = x.withColumn("conditional", F.exists("reference", lambda a: F.coalesce(F.size(a["conditions"]), F.lit(0)) > 0))
     return scoring.answers_metrics(x, "answer_list", "reference")
 
 
+def official(predictions: DataFrame, gold: DataFrame) -> DataFrame:
+    """The official averages: gold (id, answers) drives, questions without a prediction (id, predicted) are skipped.
+
+    Of rows with one id the last counts on both sides.
+    """
+    ids = predictions.withColumn("_key", F.col("id").cast("string")).withColumn("_at", F.col("ordinal") if "ordinal" in predictions.columns else F.monotonically_increasing_id())
+    x = scored(last_of_each(ids, "_key", "_at").select("id", "predicted"), gold)
+    types = scoring.official_types(F.col("reference"))
+    return scoring.official_averages(x.withColumn("t", types).select(*scoring.METRICS, "t.yesno", "t.extractive", "t.conditional"))
+
+
 def evaluated(results: DataFrame, gold: DataFrame) -> dict[str, DataFrame]:
     """The tables of a run's score: buckets, confusion, yes/no confusion, outcomes, questions."""
     model = is_model_run(results)

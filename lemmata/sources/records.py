@@ -6,19 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from lemmata.scratch import keep
+
 
 def layout(spark: SparkSession, path: str) -> str:
-    """``array``, ``lines`` or ``blocks``, from the file's first lines.
+    """``array``, ``lines`` or ``blocks``, from the whole file: a blank line after the first record, however far, makes blocks.
 
     A single indented record counts as a block too.
     """
-    head = [r["value"] for r in spark.read.text(path).limit(200).collect()]
-    first = next((x.strip() for x in head if x.strip()), "")
+    text = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("n"), (F.trim(F.col("value"), F.lit(" \n\r\t")) == "").alias("blank"))
+    found = text.agg(F.min(F.when(~F.col("blank"), F.struct("n", "value"))).alias("first"), F.max(F.when(F.col("blank"), F.col("n"))).alias("blank")).first()
+    if found["first"] is None:
+        return "blocks"
+    first = found["first"]["value"].strip()
     if first.startswith("["):
         return "array"
-    begun = next((i for i, x in enumerate(head) if x.strip()), 0)
-    blank = any(not x.strip() for x in head[begun:])
-    return "blocks" if blank or first in ("{", "") or not first.endswith("}") else "lines"
+    blank = found["blank"] is not None and found["blank"] > found["first"]["n"]
+    return "blocks" if blank or first == "{" or not first.endswith("}") else "lines"
 
 
 def _blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -72,16 +76,25 @@ def last_of_each(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.filter(F.col(key).isNotNull() & (F.col(key).cast("string") != "")).withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-def chunked(df: DataFrame, size: int, order: str) -> DataFrame:
-    """chunk, rows: consecutive rows in groups of ``size``.
+def numbered(df: DataFrame, order: str, name: str = "index") -> DataFrame:
+    """``df`` with the number of each row in order of a column, from 0.
 
-    Rows are numbered by ranges: each of them is counted and sorted by itself, so no task numbers all rows.
+    Rows are dealt by ranges and sorted, and written down with their place in their range: whoever reads them finds the
+    same ranges. The ranges are then counted, so no task numbers all rows. Nulls come first; ties are in any order.
     """
-    ranged = df.repartitionByRange(order).withColumn("_part", F.spark_partition_id())
-    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    place = F.monotonically_increasing_id()  # the range in the upper bits, the place in it in the lower 33
+    dealt = df.withColumn("_order", F.col(order)).repartitionByRange(F.col("_order")).sortWithinPartitions("_order").withColumn("_place", place)
+    ranged = keep(dealt.drop("_order"), "numbered").withColumn("_part", F.shiftright("_place", 33))
+    counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each range
     starts = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-    numbered = ranged.withColumn("_i", F.row_number().over(Window.partitionBy("_part").orderBy(order)) - 1).join(F.broadcast(starts), "_part").withColumn("_i", F.col("_i") + F.col("_start"))
-    return numbered.groupBy(F.floor(F.col("_i") / size).cast("long").alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", *df.columns))), lambda x: F.struct(*[x[c].alias(c) for c in df.columns])).alias("rows"))
+    at = F.col("_start") + F.col("_place").bitwiseAND((1 << 33) - 1)
+    return ranged.join(F.broadcast(starts), "_part").select(*df.columns, at.alias(name))
+
+
+def chunked(df: DataFrame, size: int, order: str) -> DataFrame:
+    """chunk, rows: consecutive rows in groups of ``size``; all but the last are full."""
+    x = numbered(df, order, "_i")
+    return x.groupBy(F.floor(F.col("_i") / size).cast("long").alias("chunk")).agg(F.transform(F.sort_array(F.collect_list(F.struct("_i", *df.columns))), lambda x: F.struct(*[x[c].alias(c) for c in df.columns])).alias("rows"))
 
 
 def remaining(jobs: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -3,20 +3,26 @@ from pyspark.sql import functions as F
 from lemmata import catalogue
 from lemmata.operators import models
 from lemmata.operators import outline as H
+from lemmata.operators import prompting as P
 from lemmata.sources import records
 
-DEMO = ["<h1>Eligibility</h1>", "<p>Housing help can pay rent.</p>", "<p>You can only make a new claim if either of the following apply:</p>", "<li>you are old</li>", "<li>you are housed, unless you study</li>", "<h2>Rates</h2>", "<p>Paid weekly.</p>", "<tr>Rate | Amount</tr>", "<tr>Low | 10</tr>", "<tr>High</tr>"]
+SWIM = [
+    "<p>Opening hours are on the door.</p>", "<h2>Lanes</h2>", "<tr>Lane | Speed | Depth</tr>", "<tr>1 | slow</tr>", "<tr>2 | fast | 3 m</tr>",
+    "<h3>Bookings</h3>", "<p>All of the following apply to bookings:</p>", "<li>one lane each</li>", "<li>no refunds except for illness</li>",
+    "<h2>Lost things</h2>", "<p>You cannot collect things if one of the following is true:</p>", "<li>a month has passed</li>",
+]
 
 
 def test_semantic_tree(spark):
-    df = spark.createDataFrame([(1, DEMO)], "doc long, contents array<string>")
+    df = spark.createDataFrame([(1, SWIM)], "doc long, contents array<string>")
     nodes = H.semantic_tree(df).orderBy("pos").collect()
-    assert [(n["type"], n["depth"]) for n in nodes] == [("section", 0), ("text", 1), ("rule", 1), ("section", 1), ("text", 2), ("table", 2)]
-    rule, table = nodes[2], nodes[5]
-    assert (rule["outcome"], rule["operator"], rule["items"], rule["exceptions"]) == ("ELIGIBLE", "ANY", ["you are old"], ["you are housed, unless you study"])
-    assert table["columns"] == ["Rate", "Amount"] and table["rows"] == [{"Rate": "Low", "Amount": "10"}, {"Rate": "High", "Amount": ""}]
-    text = H.rendered(H.semantic_tree(df)).first()["text"]
-    assert text.startswith("# Eligibility\nHousing help can pay rent.\nYou can only") and "## Rates" in text and "[ANY of the following apply]" in text and text.endswith("Low | 10\nHigh | ")
+    assert [(n["type"], n["depth"]) for n in nodes] == [("text", 0), ("section", 0), ("table", 1), ("section", 1), ("text", 2), ("list", 2), ("section", 0), ("rule", 1)]
+    table, bookings, rule = nodes[2], nodes[5], nodes[7]
+    assert table["columns"] == ["Lane", "Speed", "Depth"] and table["rows"] == [{"Lane": "1", "Speed": "slow", "Depth": ""}, {"Lane": "2", "Speed": "fast", "Depth": "3 m"}]
+    assert (bookings["operator"], bookings["outcome"], bookings["items"], bookings["exceptions"]) == ("ALL", None, ["one lane each"], ["no refunds except for illness"])
+    assert (rule["outcome"], rule["items"], rule["exceptions"]) == ("NOT_ELIGIBLE", ["a month has passed"], [])
+    text = H.rendered(H.semantic_tree(df)).first()["text"].split("\n")
+    assert text[:3] == ["Opening hours are on the door.", "# Lanes", "Lane | Speed | Depth"] and "2 | fast | 3 m" in text and any(x.strip() == "Exception: no refunds except for illness" for x in text)
 
 
 def test_sections_follow_levels(spark):
@@ -58,6 +64,39 @@ def test_extraction_falls_back_to_single_items(spark):
     assert got == {"a": ('{"t": "a"}', None), "bad": (None, "RuntimeError: no"), "c": ('{"t": "c"}', None)}
 
 
+def test_layout_reads_the_whole_file(spark, tmp_path):
+    lines = [f'{{"i": {i}}}' for i in range(500)]
+    (tmp_path / "far.json").write_text("\n".join(lines) + "\n\n" + "\n".join(lines))
+    (tmp_path / "lines.json").write_text("\n\n" + "\n".join(lines))
+    (tmp_path / "empty.json").write_text("\n")
+    assert [records.layout(spark, f"file://{tmp_path}/{n}.json") for n in ("far", "lines", "empty")] == ["blocks", "lines", "blocks"]
+
+
+def test_chunks_hold_every_row(spark):
+    df = spark.range(20000).select("id", F.repeat(F.sha2(F.col("id").cast("string"), 256), 20).alias("wide")).repartition(7)
+    got = records.chunked(df, 64, "id").select("chunk", F.size("rows").alias("n"), F.col("rows")[0]["id"].alias("first")).orderBy("chunk").collect()
+    assert [(r["chunk"], r["n"], r["first"]) for r in got] == [(i, min(64, 20000 - 64 * i), 64 * i) for i in range(-(-20000 // 64))]
+    ties = spark.createDataFrame([(None,)] * 5 + [(1,)] * 6 + [(2,)], "k int")
+    assert sorted(r["index"] for r in records.numbered(ties, "k").collect()) == list(range(12))
+    assert records.chunked(spark.range(0), 4, "id").count() == 0
+
+
+def test_jobs_report_blank_samples(spark):
+    s = spark.createDataFrame([(3, "c", "u", ["x"]), (1, "a", "u", [" "]), (2, "b", "v", ["y", "z"]), (9, "d", "u", ["w"])], "n int, id string, url string, contents array<string>")
+    text = P.extractor("context", "contents")
+    got = P.jobs(s, text, "n", spark.createDataFrame([("u", "k")], "url string, known string"), where=F.col("n") < 9).orderBy("index").collect()
+    assert [(r["index"], r["id"], r["input_text"], r["known"]) for r in got] == [(0, "b", "y\nz", ""), (1, "c", "x", "k")]
+    assert [r["id"] for r in P.blank_samples(s, text).collect()] == ["a"]
+    try:
+        P.extractor("context", "nothing")
+    except ValueError as e:
+        assert "context/contents" in str(e)
+    else:
+        raise AssertionError
+    one = spark.range(1).select(P.batch_prompt(F.array(F.lit("A"), F.lit("B"))).alias("b"), P.user_prompt(F.lit("T"), F.lit("- p"), F.lit("")).alias("u")).first()
+    assert one["b"].endswith("\n\nA\n\nB") and one["u"].endswith("Known predicates:\n- p\n\nText:\nT")
+
+
 def test_chunks_and_remaining(spark):
     df = spark.range(10)
     got = {r["chunk"]: [x["id"] for x in r["rows"]] for r in records.chunked(df, 4, "id").collect()}
@@ -68,6 +107,6 @@ def test_chunks_and_remaining(spark):
 def test_prompts_hold_whole_texts(spark, tmp_path):
     texts = [" ".join(f"w{i}" for i in range(n)) for n in (1, 100, 3000)]
     spark.createDataFrame([(i, "fr" if i else "en", f"<p>{t}</p>") for i, t in enumerate(texts)], "doc_id long, lang string, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["prompt"] for r in catalogue.queries()["prompt_blocks_whole"](spark, str(tmp_path)).collect()}
+    got = {r["doc_id"]: r["prompt"] for r in catalogue.queries()["prompt_blocks"](spark, str(tmp_path)).collect()}
     known = "Known predicates:\n- written_in/2 — fr\n\n"
     assert got == {i: f"### Item {i}\n\n{known if i else ''}Text:\n{t}" for i, t in enumerate(texts)}
