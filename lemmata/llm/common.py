@@ -1,15 +1,14 @@
-"""Helpers shared by the training-data operators: shared scratch tables, hashes, text buffers."""
+"""Helpers shared by the training-data operators: hashes, text buffers, and tables in the shared folder."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lemmata.scratch import forget, keep, scratch_dir  # noqa: F401  used by the operators
+
 #: A word is a maximal run of characters that are neither a space nor one of \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -18,42 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from ``spark.checkpoint.dir``.
-
-    Only a local session that has none gets a temporary one; on a cluster a missing setting is an error.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + tempfile.mkdtemp(prefix="lemmata-")
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def keep(df: DataFrame, name: str, **options) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: the lineage ends there.
-
-    The table goes when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lemmata/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, **options)
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._lemmata_path = path
-    return out
-
-
-def forget(df: DataFrame) -> None:
-    """Delete a table that ``keep`` wrote, once nothing lazy reads it any more."""
-    spark = df.sparkSession
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(df._lemmata_path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
-
-
 def fresh(columns: list[str], name: str) -> str:
     """``name``, or a longer one that is none of ``columns``."""
     taken = {c.lower() for c in columns}
