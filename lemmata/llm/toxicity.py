@@ -21,12 +21,12 @@ from lemmata.llm.common import fold, mix64, runs, slices, text_buffers
 from lemmata.shipping import map_arrow
 
 WINDOW, STRIDE, INPUT, HIDDEN, ATTENTION = 48, 16, 16, 8, 8
-#: Numbers to an embedded byte, and bytes that a filter sees.
-BYTE, FILTER = 6, 3
+#: Numbers to an embedded byte, bytes that a filter sees, and words that are read letter by letter at once.
+BYTE, FILTER, WORDS = 6, 3, 8192
 GRAMS, GRAM_ROWS, LEAST_DOCS, MOST_WORDS = (3, 4), 1 << 13, 3, 20_000
 #: The bounded sample that is learned from: toxic and other labelled documents, and windows of each. Of a text with more
 #: windows, runs of RUN windows that are evenly spread over it teach.
-SAMPLE_TOXIC, SAMPLE_CLEAN, TOXIC_WINDOWS, CLEAN_WINDOWS, RUN = 2000, 4500, 384, 96, 8
+SAMPLE_TOXIC, SAMPLE_CLEAN, TOXIC_WINDOWS, CLEAN_WINDOWS, RUN = 2000, 4500, 256, 64, 8
 STEPS, BATCH, RATE = 450, 96, 8e-3
 
 _word_byte = np.zeros(256, bool)
@@ -57,6 +57,27 @@ def words(data: np.ndarray, offsets: np.ndarray) -> Words:
     return Words(data, start[first], (end - start)[first], hashed[first], which.astype(np.int64), np.searchsorted(start, offsets))
 
 
+def words_of(texts: list[bytes], most: int = 1 << 20) -> Words:
+    """The words of many texts, read in slices of about ``most`` bytes, as a slice takes some forty times its own size."""
+    size = np.array([len(t) for t in texts], np.int64)
+    group = np.cumsum(size) // most
+    parts, base = [], 0
+    for own in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(group)) + 1) if len(texts) else []:
+        data = np.frombuffer(b"".join(texts[i] for i in own), np.uint8)
+        w = words(data, np.concatenate([[0], np.cumsum(size[own])]))
+        parts.append((w, base))
+        base += len(data)
+    if not parts:
+        return words(np.zeros(0, np.uint8), np.zeros(1, np.int64))
+    hashed = np.concatenate([w.hashed for w, _ in parts])
+    _, first, which = np.unique(hashed, return_index=True, return_inverse=True)
+    at = np.cumsum([len(w.hashed) for w, _ in parts]) - [len(w.hashed) for w, _ in parts]
+    before = np.cumsum([w.offsets[-1] for w, _ in parts]) - [w.offsets[-1] for w, _ in parts]
+    start, length = (np.concatenate(x)[first] for x in ([w.start + b for w, b in parts], [w.length for w, _ in parts]))
+    offsets = np.concatenate([[0], *(w.offsets[1:] + n for (w, _), n in zip(parts, before, strict=True))])
+    return Words(np.concatenate([w.data for w, _ in parts]), start, length, hashed[first], which[np.concatenate([w.which + a for (w, _), a in zip(parts, at, strict=True)])], offsets)
+
+
 def grams(w: Words) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the n-gram table for each distinct word, one after another, and how many each has (one at least)."""
     counts = [np.maximum(w.length - n + 1, 1 if n == GRAMS[0] else 0) for n in GRAMS]
@@ -95,8 +116,11 @@ def windows(w: Words) -> tuple[np.ndarray, np.ndarray]:
     each = np.where(n > 0, 1 + np.maximum(0, -(-(n - WINDOW) // STRIDE)), 0)
     whose = np.repeat(np.arange(len(n)), each)
     k = np.arange(len(whose)) - np.repeat(np.cumsum(each) - each, each)
-    place = (w.offsets[:-1][whose] + k * STRIDE)[None] + np.arange(WINDOW)[:, None]
-    return np.where(place < w.offsets[1:][whose], w.which[np.minimum(place, max(0, len(w.which) - 1))] if len(w.which) else -1, -1), whose
+    first, end, step = w.offsets[:-1][whose] + k * STRIDE, w.offsets[1:][whose], np.full((WINDOW, len(whose)), -1, np.int32)
+    for t in range(WINDOW if len(whose) else 0):
+        inside = first + t < end
+        step[t, inside] = w.which[first[inside] + t]
+    return step, whose
 
 
 @dataclass
@@ -116,12 +140,18 @@ class Model:
         if not len(rows):
             return np.zeros((0, INPUT), np.float32)
         by_gram = np.add.reduceat(self.p["gram"][gram], np.cumsum(count) - count) / count[:, None].astype(np.float32)
-        by_place = self.p["byte"][seen].reshape(len(seen), -1) @ self.p["filter"]
-        by_letter = np.maximum.reduceat(by_place, begin)
+        by_letter = np.empty((len(rows), INPUT), self.p["filter"].dtype)
+        ends = np.append(begin[1:], len(seen))
+        for a in range(0, len(rows), WORDS):  # so that no more than these words' letters are unfolded at once
+            at, z = slice(a, a + WORDS), begin[a]
+            letters = seen[z : ends[min(a + WORDS, len(rows)) - 1]]
+            by_place = self.p["byte"][letters].reshape(len(letters), -1) @ self.p["filter"]
+            by_letter[at] = np.maximum.reduceat(by_place, begin[at] - z)
+            if keep is not None:
+                place = np.where(by_place == np.repeat(by_letter[at], (ends - begin)[at], axis=0), np.arange(len(letters))[:, None], len(letters))
+                keep.setdefault("places", []).append(np.minimum.reduceat(place, begin[at] - z) + z)
         if keep is not None:
-            size = np.diff(np.append(begin, len(seen)))
-            place = np.where(by_place == np.repeat(by_letter, size, axis=0), np.arange(len(seen))[:, None], len(seen))
-            keep["place"] = np.minimum.reduceat(place, begin)  # of each word and filter, the place that answers most
+            keep["place"] = np.concatenate(keep.pop("places"))  # of each word and filter, the place that answers most
         return self.p["word"][rows] + by_gram + by_letter
 
     def into(self, x: np.ndarray) -> np.ndarray:
@@ -229,7 +259,7 @@ def train(texts: list[bytes], toxic: np.ndarray, seed: int = 11) -> Model:
     windows that score highest, and half of the other windows are those that are mistaken most.
     """
     rng = np.random.default_rng(seed)
-    w = words(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64))
+    w = words_of(texts)
     whose_word = np.repeat(np.arange(len(texts)), np.diff(w.offsets))
     seen = np.bincount(np.unique(whose_word * max(1, len(w.hashed)) + w.which) % max(1, len(w.hashed)), minlength=len(w.hashed)) if len(w.which) else np.zeros(0, np.int64)
     often = np.flatnonzero(seen >= LEAST_DOCS)

@@ -294,6 +294,16 @@ def test_letter_gradients():
             assert abs((up - down) / (2 * eps) - g[at]) < 1e-3, (name, at)
 
 
+def test_words_in_slices_are_the_words():
+    rng = random.Random(2)
+    texts = [b" ".join(rng.choice([b"Abc", b"x", b"", b"zebra'd", b"-", "é".encode()]) for _ in range(rng.randrange(30))) for _ in range(50)]
+    whole = toxicity.words(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    for most in (40, 1 << 20):
+        w = toxicity.words_of(texts, most)
+        assert (w.hashed == whole.hashed).all() and (w.which == whole.which).all() and (w.offsets == whole.offsets).all()
+        assert [bytes(w.data[a : a + n]) for a, n in zip(w.start, w.length, strict=True)] == [bytes(whole.data[a : a + n]) for a, n in zip(whole.start, whole.length, strict=True)]
+
+
 @pytest.mark.parametrize("toxic", [0, 1])
 def test_toxicity_where_a_class_has_no_words(spark, toxic):
     docs = [(i, "... !" if i % 2 == toxic else "some words here") for i in range(40)] + [(100, "... ?"), (101, "other words")]
