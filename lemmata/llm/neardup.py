@@ -388,10 +388,11 @@ def deduplicated(docs: DataFrame, *, width: int = 5, similarity: int = 80) -> Da
     if repeated.isEmpty():
         ids = kept.select(F.col("doc_id").alias("k")).distinct()
         return docs.join(ids, docs["doc_id"].cast("long").eqNullSafe(ids["k"]), "left_semi")
-    once = kept.join(repeated.withColumnRenamed("doc_id", "r"), F.col("doc_id").eqNullSafe(F.col("r")), "left_anti").select(F.col("doc_id").alias("k")).distinct()
+    again = repeated.withColumnRenamed("doc_id", "r")
+    once = kept.join(again, kept["doc_id"].eqNullSafe(again["r"]), "left_anti").select(F.col("doc_id").alias("k")).distinct()
     single = docs.join(once, docs["doc_id"].cast("long").eqNullSafe(once["k"]), "left_semi")
     own = F.struct(*(docs[c] for c in docs.columns)).alias("own")
-    several = docs.join(repeated.withColumnRenamed("doc_id", "r"), docs["doc_id"].cast("long").eqNullSafe(F.col("r")), "left_semi")
+    several = docs.join(again, docs["doc_id"].cast("long").eqNullSafe(again["r"]), "left_semi")
     several = several.select(own).select("own", F.col("own.doc_id").cast("long").alias("doc_id"), F.col("own.text").cast("string").alias("text"))
     schema = StructType([*several.schema.fields, StructField("class", BinaryType())])
     several = several.transform(map_arrow, _classes_of(width), schema)

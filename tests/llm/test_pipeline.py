@@ -38,6 +38,34 @@ def test_stages(spark):
     assert ids["pack"] == ids["mix"]
 
 
+def test_stages_of_odd_rows(spark):
+    """Nulls in every column, empty and very long texts, repeated rows and columns whose names the stages use themselves."""
+    long = " ".join(f"the{i} and{i % 7}" for i in range(40_000))
+    odd = [(None, None, None, None, None), (None, "the and of to in with", None, None, None), (903, "", "en", "s", 0), (903, "", "en", "s", 0), (905, long, "en", "s0", None), (905, long, "en", "s0", None), (906, " \n ", "fr", None, 3)]
+    docs = _docs(spark).unionByName(spark.createDataFrame(odd, _docs(spark).schema)).repartition(3)
+    from pyspark.sql import functions as F
+
+    for name in ("class", "own", "k", "r", "label", "lang_pred", "score", "known", "size", "taken", "copy", "key", "row", "part", "length"):
+        docs = docs.withColumn(name, F.lit(7))
+    columns, kept = docs.columns, {}
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "").cache()
+        kept[name] = [(r["doc_id"], r["length"]) for r in docs.collect()]
+        if name != "pack":
+            assert docs.columns == columns and {n for _, n in kept[name]} == {7}
+    count = lambda name, i: sum(k == i for k, _ in kept[name])
+    assert count("language", 905) == 2 and count("near_duplicates", 905) == 1 and count("language", 903) == count("language", 906) == 0
+    assert count("near_duplicates", None) == count("secrets", None) == 1
+    assert sum(n for i, n in kept["pack"] if i == 905) > 40_000
+
+
+def test_stages_of_an_empty_table(spark):
+    docs = _docs(spark).limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, "")
+        assert docs.count() == 0 and (name == "pack" or docs.columns == COLUMNS)
+
+
 def test_stage_order():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language", "near_duplicates", "secrets", "mix", "pack"]
     assert packing.ROOM == 2048

@@ -63,6 +63,15 @@ def test_mix_of_nothing(spark):
     assert [r["taken"] for r in mixing.mix(table(spark, [(1, None, None, None)])).collect()] == [0]
 
 
+def test_mix_of_repeated_rows(spark):
+    rows = [(1, "a b c", "en", "s")] * 400 + [(None, "x y", "en", None)] * 30 + [(2, None, None, "t")] * 3
+    got = mixing.mix(table(spark, rows)).collect()
+    assert len(got) == 433 and all(0 <= r["taken"] <= 2 * r["size"] for r in got)
+    for size in (1200, 60):
+        own = [r for r in got if r["source_size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) < 1
+
+
 def test_mixed_documents_hold_the_words_taken(spark):
     docs = table(spark, ODD[:4] + [(i, f"w{i} " * (i % 9 + 1), "en", f"s{i % 3}") for i in range(10, 60)])
     taken = {r["doc_id"]: r["taken"] for r in mixing.mix(docs).collect()}
