@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lemmata.llm import langid, mixing, neardup, packing, secrets
-from lemmata.llm.common import keep, table
+from lemmata.llm.common import forget, keep, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
+    before = None
     for name, stage in STAGES[:-1]:
         docs = keep(stage(spark, docs, sf_dir), f"stage-{name}")
+        if before is not None:  # what a stage wrote has been read by the next
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
