@@ -561,6 +561,19 @@ def prover_answers(spark, d):
     return prover.answered(n.select("n_nationkey", C.program(context, scenario).alias("program"), F.lit("?- abroad(X).").alias("goal"))).select("n_nationkey", "entails", F.array_join("values", ",").alias("found"), "error")
 
 
+@query("""WITH c AS (SELECT c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey), p AS (SELECT * FROM c, (SELECT unnest([0, 1, 2, 3]) AS k))
+SELECT c_custkey, CASE k WHEN 0 THEN 'c' || c_custkey WHEN 1 THEN 'n' || c_nationkey WHEN 2 THEN 'r' || c_custkey % 5 ELSE 'world' END AS general, CASE k WHEN 0 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN CASE WHEN n_regionkey = c_custkey % 5 THEN 2 END ELSE NULL END AS depth FROM p""")
+def hyponym_depths(spark, d):
+    """How far below itself, its nation, some region and the world a customer is, looking two steps down."""
+    s = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    edge = lambda df, a, b: df.select(a.alias("src"), b.alias("dst"), F.lit("hypernym").alias("kind"))
+    c, n = _t(spark, d, "customer"), _t(spark, d, "nation")
+    edges = edge(c, s("c", "c_custkey"), s("n", "c_nationkey")).unionByName(edge(n, s("n", "n_nationkey"), s("r", "n_regionkey"))).unionByName(edge(n, s("r", "n_regionkey"), F.lit("world"))).distinct()
+    generals = F.explode(F.array(s("c", "c_custkey"), s("n", "c_nationkey"), F.concat(F.lit("r"), (F.col("c_custkey") % 5).cast("string")), F.lit("world")))
+    pairs = c.select("c_custkey", generals.alias("general"), s("c", "c_custkey").alias("specific"))
+    return B.hyponym_depths(pairs, edges, 2).select("c_custkey", "general", "depth")
+
+
 # prompts
 
 

@@ -108,6 +108,16 @@ def ancestors(seeds: DataFrame, edges: DataFrame, max_depth: int = 4, kinds=("hy
     return every.groupBy("synset", "ancestor").agg(F.min("depth").alias("depth"))
 
 
+def hyponym_depths(pairs: DataFrame, edges: DataFrame, max_depth: int = 4) -> DataFrame:
+    """``pairs`` (general, specific synsets) with ``depth``: the least number of steps down from the one to the other.
+
+    0 for a synset itself, null where ``max_depth`` steps do not reach it.
+    """
+    down = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "kind")
+    below = ancestors(pairs.select(F.col("general").alias("synset")), down, max_depth).select(F.col("synset").alias("general"), F.col("ancestor").alias("specific"), "depth")
+    return pairs.join(below, ["general", "specific"], "left")
+
+
 def entailment_scores(pairs: DataFrame, lemma_synset: DataFrame, edges: DataFrame, *, max_depth: int = 4, pos_mode: str = "verb_noun", causal_transitive: bool = True) -> DataFrame:
     """general, specific, score of each distinct pair of words: how far the specific word implies the general one.
 

@@ -166,10 +166,16 @@ def entailed(goals: DataFrame, facts: DataFrame, wildcards: bool = False) -> Dat
     if not wildcards:
         joined = goals.join(right.withColumn("_hit", F.lit(True)), on & (F.col("args") == F.col("_a")), "left")
         return joined.select(*goals.columns, F.coalesce("_hit", F.lit(False)).alias("entails"))
+    # goals and facts without wildcards meet by their arguments; only what holds one is compared within its predicate
+    open_ = lambda c: F.exists(c, lambda x: x.isNull())
     same = F.forall(F.arrays_zip("args", "_a"), lambda x: x["args"].isNull() | x["_a"].isNull() | (x["args"] == x["_a"]))
-    keyed = goals.withColumn("_id", F.monotonically_increasing_id())
-    hits = keyed.join(right, on & same, "left_semi").select("_id", F.lit(True).alias("_hit"))
-    return keyed.join(hits, "_id", "left").select(*goals.columns, F.coalesce("_hit", F.lit(False)).alias("entails"))
+    asked = goals.select("kb", "pred", "arity", "args").distinct()
+    exact, some = right.filter(~open_("_a")), right.filter(open_("_a"))
+    hits = asked.join(exact, on & (F.col("args") == F.col("_a")), "left_semi")
+    hits = hits.unionByName(asked.filter(open_("args")).join(exact, on & same, "left_semi")).unionByName(asked.join(some, on & same, "left_semi")).distinct()
+    hits = hits.select(F.col("kb").alias("_kb"), F.col("pred").alias("_p"), F.col("arity").alias("_n"), F.col("args").alias("_a"), F.lit(True).alias("_hit"))
+    told = goals.join(hits, on & F.col("args").eqNullSafe(F.col("_a")), "left")
+    return told.select(*goals.columns, F.coalesce("_hit", F.lit(False)).alias("entails"))
 
 
 def bindings(facts: DataFrame, goal: Literal) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmata.operators import bridging, clauses, models, prompting, prover, scoring
-from lemmata.sources.records import last_of_each, remaining
+from lemmata.scratch import forget, keep
+from lemmata.sources.records import last_of_each, numbered, remaining, write
 
 LISTS = "array<struct<answer:string,conditions:array<string>>>"
 
@@ -69,6 +70,54 @@ def extracted(jobs: DataFrame, call: Callable[[list[dict]], list[dict]], *, batc
     return models.extracted(jobs, call, batch)
 
 
+def run_extraction(jobs: DataFrame, call: Callable[[list[dict]], list[dict]], path: str, *, batch: int = 5, flush: int = 200) -> DataFrame:
+    """Extract the logic of all jobs into JSON lines under ``path``, ``flush`` batches at a time, and read them back.
+
+    What is there already counts as done, by id, whatever became of a run in between: a write is whole or is not there. The
+    results are index, id, logic_kb, error; failed items are results too.
+    """
+    spark = jobs.sparkSession
+    schema = "index long, id string, logic_kb string, error string"
+    left = jobs.withColumn("id", F.col("id").cast("string"))
+    if _exists(spark, path):
+        left = remaining(left, spark.read.schema(schema).json(path), "id")
+    left = keep(numbered(left, "index", "_n"), "jobs")
+    most = left.agg(F.max("_n")).first()[0]
+    for start in range(0, (-1 if most is None else most) + 1, batch * flush):
+        part = left.filter((F.col("_n") >= start) & (F.col("_n") < start + batch * flush)).drop("_n")
+        models.extracted(part, call, batch).write.mode("append").option("ignoreNullFields", False).json(path)
+    forget(left)
+    return spark.read.schema(schema).json(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything has been written whole under a path."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
+
+
+def write_questions(scored_: DataFrame, path: str) -> None:
+    """The per-question rows of a run as records."""
+    write(scoring.per_question(scored_), path)
+
+
+def write_checks(checks: DataFrame, path: str) -> DataFrame:
+    """The rows of a check as records, and its summary."""
+    write(checks, path)
+    return scoring.check_summary(checks)
+
+
+def valid_result(result: Column) -> Column:
+    """What is wrong with a model's record (JSON), or null: both blocks are there, names are small, arities are 1 to 8."""
+    v = F.from_json(result, "predicates array<struct<name:string,arity:int>>, fol struct<facts:array<string>>, prolog struct<facts:array<string>,rules:array<string>>")
+    bad = F.filter(v["predicates"], lambda p: ~F.coalesce(p["name"].rlike("^[a-z][a-z0-9_]*$") & p["arity"].between(1, 8), F.lit(False)))
+    return (
+        F.when(v.isNull() | (v["fol"].isNull() & v["prolog"].isNull() & v["predicates"].isNull()), "no record")
+        .when(v["fol"].isNull(), "no first-order block").when(v["prolog"].isNull(), "no Prolog block")
+        .when(F.size(bad) > 0, F.concat(F.lit("predicate "), F.coalesce(bad[0]["name"], F.lit("?")), F.lit("/"), F.coalesce(bad[0]["arity"].cast("string"), F.lit("?"))))
+    )
+
+
 def is_model_run(results: DataFrame) -> bool:
     """Whether results are of a model, from their columns."""
     return "raw_output" in results.columns

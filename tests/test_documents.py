@@ -4,6 +4,7 @@ from lemmata import catalogue
 from lemmata.operators import models
 from lemmata.operators import outline as H
 from lemmata.operators import prompting as P
+from lemmata.plans import answering
 from lemmata.sources import records
 
 SWIM = [
@@ -110,3 +111,34 @@ def test_prompts_hold_whole_texts(spark, tmp_path):
     got = {r["doc_id"]: r["prompt"] for r in catalogue.queries()["prompt_blocks"](spark, str(tmp_path)).collect()}
     known = "Known predicates:\n- written_in/2 — fr\n\n"
     assert got == {i: f"### Item {i}\n\n{known if i else ''}Text:\n{t}" for i, t in enumerate(texts)}
+
+
+def test_a_run_of_extraction_is_taken_up_again(spark, tmp_path):
+    jobs = spark.createDataFrame([(i, f"d{i}", f"text {i}") for i in range(23)], "index int, id string, input_text string").repartition(3)
+    path, broken = f"file://{tmp_path}/out", tmp_path / "broken"
+    broken.write_text("x")
+
+    def call(items, flag=str(broken)):
+        import os
+
+        if os.path.exists(flag) and any(x["index"] >= 12 for x in items):
+            os._exit(1)  # the worker is lost in the middle of the run
+        return [{"t": x["input_text"]} for x in items]
+
+    try:
+        answering.run_extraction(jobs, call, path, batch=3, flush=2)
+    except Exception:
+        pass
+    first = {r["id"] for r in spark.read.json(path).collect()}
+    assert first == {f"d{i}" for i in range(12)}
+    broken.unlink()
+    got = answering.run_extraction(jobs, call, path, batch=3, flush=2).collect()
+    assert sorted(r["index"] for r in got) == list(range(23)) and not any(r["error"] for r in got)
+    assert answering.run_extraction(jobs, call, path).count() == 23
+
+
+def test_results_are_judged(spark):
+    good = '{"predicates": [{"name": "pays", "arity": 2}], "fol": {"facts": []}, "prolog": {"facts": [], "rules": []}}'
+    rows = [good, good.replace("2", "9"), good.replace("pays", "Pays"), "[]", "{", '{"fol": {"facts": []}}', None]
+    got = [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string").orderBy("i").select(answering.valid_result(F.col("r"))).collect()]
+    assert got == [None, "predicate pays/9", "predicate Pays/2", "no record", "no record", "no Prolog block", "no record"]
