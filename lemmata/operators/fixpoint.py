@@ -121,18 +121,62 @@ def _recursive(rules: Sequence[Rule]) -> bool:
     return any(b.pred in heads for r in rules for b in r.body)
 
 
+def transitive(rules: Sequence[Rule]) -> tuple[str, str, bool] | None:
+    """(relation, base, whether the base comes first) of rules that say no more than ``r`` is the transitive closure of ``e``."""
+    if len(rules) != 2:
+        return None
+    one, two = sorted(rules, key=lambda r: len(r.body))
+    heads = {(r.head.pred, len(r.head.args)) for r in rules}
+    if len(heads) != 1 or len(one.body) != 1 or len(two.body) != 2 or any(b.negated or len(b.args) != 2 for r in rules for b in r.body):
+        return None
+    rel, base = one.head.pred, one.body[0].pred
+    (a, c), (p, q) = two.head.args if len(two.head.args) == 2 else ("", ""), two.body
+    names = {a, c, p.args[1]}
+    chain = len(names) == 3 and all(_is_variable(x) and not x.startswith("_") for x in names) and p.args == (a, p.args[1]) and q.args == (p.args[1], c)
+    plain = one.head.args == one.body[0].args and len(set(one.head.args)) == 2 and all(_is_variable(x) and not x.startswith("_") for x in one.head.args)
+    if not chain or not plain or base == rel or {p.pred, q.pred} != {rel, base}:
+        return None
+    return rel, base, p.pred == base
+
+
+def _doubled(facts: DataFrame, rel: str, base: str, base_first: bool, most_rounds: int | None) -> DataFrame:
+    """The facts of a transitive closure, by paths of doubling length.
+
+    ``known`` holds all paths of up to 2**k steps and ``power`` those of 2**k; a path of up to twice as many is one of the
+    second and one of the first. So a chain of n steps takes about log n rounds, and each of its pairs is found once.
+    """
+    pairs = lambda pred: facts.filter((F.col("pred") == pred) & (F.col("arity") == 2)).select("kb", F.col("args")[0].alias("a"), F.col("args")[1].alias("b")).distinct()
+    then = lambda x, y: x.select("kb", "a", F.col("b").alias("m")).join(y.select("kb", F.col("a").alias("m"), "b"), ["kb", "m"]).select("kb", "a", "b")
+    known = power = _written(pairs(base))
+    for done in count(1):
+        new = _written(then(power, known).distinct().join(known, ["kb", "a", "b"], "left_anti"))
+        if new.isEmpty():
+            break
+        if done == most_rounds:
+            raise RuntimeError(f"recursive rules still find facts in round {done}")
+        known, power = known.unionByName(new), _written(then(power, power).distinct())
+    given = pairs(rel)
+    if not given.isEmpty():  # facts of the relation itself go on along the base
+        known = known.unionByName(given).unionByName(then(known, given) if base_first else then(given, known)).distinct()
+    return known.select("kb", F.lit(rel).alias("pred"), F.lit(2).alias("arity"), F.array("a", "b").alias("args"))
+
+
 def closure(facts: DataFrame, rules: Sequence[Rule], *, wildcards: bool = False, most_rounds: int | None = None) -> DataFrame:
     """``facts`` and everything that the rules derive from them. Without recursion the whole is one plan.
 
     ``wildcards`` says that facts may hold nulls, which equal anything; joins are then on the knowledge base alone with
     the arguments as a condition. A recursive rule is followed until nothing is new; where ``most_rounds`` is given and
-    does not suffice, that is an error.
+    does not suffice, that is an error. Rules that are a transitive closure are followed by paths of doubling length.
     """
     facts = facts.select("kb", "pred", "arity", "args")
     for group in strata(rules):
         if not _recursive(group):
             facts = reduce(DataFrame.unionByName, [derive(r, facts, exact=not wildcards) for r in group], facts).distinct()
             continue
+        if not wildcards and (found := transitive(group)):
+            own = (F.col("pred") == found[0]) & (F.col("arity") == 2)
+            facts = facts.filter(~own).distinct().unionByName(_doubled(facts, *found, most_rounds))
+            continue
         known = _written(facts.distinct())
         latest: DataFrame = known
         for done in count(1):

@@ -69,12 +69,38 @@ def test_recursion_ends_when_nothing_is_new(spark, monkeypatch):
     rules = [X.Rule(X.Literal("far", ("A", "B")), (X.Literal("next", ("A", "B")),)), X.Rule(X.Literal("far", ("A", "C")), (X.Literal("next", ("A", "B")), X.Literal("far", ("B", "C"))))]
     got = {tuple(r["args"]) for r in X.closure(facts, rules).filter("pred = 'far'").collect()}
     assert got == {(str(a), str(b)) for a in range(n) for b in range(a + 1, n + 1)}
-    assert X.closure(facts, rules, most_rounds=n + 1).count() == n + len(got)
+    assert X.transitive(rules) == ("far", "next", True)
+    assert X.closure(facts, rules, most_rounds=5).count() == n + len(got)
     with pytest.raises(RuntimeError):
-        X.closure(facts, rules, most_rounds=4)
+        X.closure(facts, rules, most_rounds=3)
+    # the same by rounds of one step, as rules of any other shape are followed
+    other = [rules[0], X.Rule(X.Literal("far", ("A", "C")), (X.Literal("next", ("A", "B")), X.Literal("far", ("B", "C")), X.Literal("next", ("A", "D"))))]
+    assert X.transitive(other) is None
+    assert {tuple(r["args"]) for r in X.closure(facts, other).filter("pred = 'far'").collect()} == got
+    with pytest.raises(RuntimeError):
+        X.closure(facts, other, most_rounds=4)
     assert inspect.signature(X.closure).parameters["most_rounds"].default is None  # no end but that
 
 
+def test_transitive_closure_of_any_graph(spark):
+    rng = random.Random(8)
+    L = X.Literal
+    for base_first in (True, False):
+        edges = {(k, rng.choice("abcdefg"), rng.choice("abcdefg")) for k in ("k", "l") for _ in range(9)}
+        given = {("k", "z", "a"), ("l", "b", "z")}
+        rows = [(k, "e", 2, [a, b]) for k, a, b in edges] + [(k, "r", 2, [a, b]) for k, a, b in given] + [("k", "r", 1, ["a"])]
+        body = (L("e", ("A", "B")), L("r", ("B", "C"))) if base_first else (L("r", ("A", "B")), L("e", ("B", "C")))
+        rules = [X.Rule(L("r", ("A", "B")), (L("e", ("A", "B")),)), X.Rule(L("r", ("A", "C")), body)]
+        assert X.transitive(rules) == ("r", "e", base_first)
+        want, grown = edges | given, True
+        while grown:
+            more = {(k, a, d) for k, a, b in (edges if base_first else want) for j, c, d in (want if base_first else edges) if b == c and j == k} - want
+            want |= more
+            grown = bool(more)
+        got = X.closure(spark.createDataFrame(rows, X.FACT), rules).filter("pred = 'r' and arity = 2").collect()
+        assert sorted((r["kb"], *r["args"]) for r in got) == sorted(want)
+
+
 def test_wildcard_facts(spark):
     facts = spark.createDataFrame([("k", "pays", 2, [None, "tax"]), ("k", "lives", 1, ["me"])], X.FACT)
     L = X.Literal
