@@ -146,7 +146,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     Rows whose id is null, and vectors that are null, empty, zero or hold a null or non-finite component, take no part.
     A query meets vectors of its own length only, and none with its own id. A repeated query row is answered each time;
-    repeated vectors count each. Index and queries are dealt into blocks of bounded size, and every query block meets
+    repeated vectors count each. Extra columns are ignored; an empty
+    table on either side gives an empty table. Index and queries are dealt into blocks of bounded size, and every query block meets
     every index block of its length; what is dealt is one row for each such pair.
     """
     ship(vectors.sparkSession)

@@ -211,7 +211,8 @@ def identify(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row of ``docs`` (doc_id, text, lang), over its whole text.
 
     Without a model, one is fitted to the rows that are not held out. With no labelled row there is none, and every
-    answer is ``und``. Null ids stay null; repeated rows give repeated results; extra columns are ignored.
+    answer is ``und``. Null ids stay null; repeated rows give repeated results; extra columns are ignored. An
+    empty table gives an empty table.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
     model = model or fit(docs)

@@ -342,7 +342,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, similarity: int = 80) ->
     Sets of ``width``-word shingles (A-Z as small letters) are linked where 100 * intersection >= ``similarity`` * union.
     ``component_id`` is the smallest id that a document reaches over links, its own included; ``kept`` says that it is its
     own. A text without words, or null, is linked with nothing. A null id is never the smallest while there is another;
-    rows that repeat an id share its component where their texts are linked. Extra columns are ignored.
+    rows that repeat an id share its component where their texts are linked. Extra columns are ignored. An empty table gives
+    an empty table.
     """
     sketched, least = _components(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), width, similarity)
     out = sketched.select("doc_id", F.col("n").alias("n_shingles"), "class").join(least, "class", "left")

@@ -283,7 +283,8 @@ def _report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text) with the secrets found in the whole text.
 
-    A null or empty text has none. A null id stays null; repeated rows give repeated results. Extra columns are ignored.
+    A null or empty text has none. A null id stays null; repeated rows give repeated results. Extra columns are ignored. An
+    empty table gives an empty table.
     """
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(map_arrow, _report, _REPORT)
 

@@ -408,7 +408,8 @@ def remove_repeats(docs: DataFrame, *, least: int = LEAST, **how) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of ``docs`` (doc_id, text).
 
     A null text counts as empty; a null id as the largest. Of rows that repeat an id, those with the same text are judged
-    as one row, and others count as earlier and later in an order of their texts' hashes. Extra columns are ignored.
+    as one row, and others count as earlier and later in an order of their texts' hashes. Extra columns are ignored. An
+    empty table gives an empty table.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     docs = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc_id"), F.col("doc_id").cast("long").alias("own_id"), text.alias("text"), F.crc32(text.cast("binary")).alias("tag"))

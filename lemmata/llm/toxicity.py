@@ -372,7 +372,7 @@ def score(docs: DataFrame, labels: DataFrame, least: float = 0.7, model: Model |
 
     Without a model, one is fitted to the rows of ``labels`` (doc_id, toxic) that are not held out; where there is none to
     learn from, every score is 0. A text that is null or has no word scores 0. Null ids stay null; repeated rows give
-    repeated results; extra columns are ignored.
+    repeated results; extra columns are ignored. An empty table gives an empty table.
     """
     model = model or fit(docs, labels)
 
