@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,7 +26,31 @@ def ship(spark: SparkSession) -> None:
     context._lemmata_shipped = True
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker that waits for its next task, often of another kind, else keeps the most
+    that it ever needed, and all workers of an executor share its memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # a C library that has no such call
+        pass
+
+
+def lean(function):
+    """``function`` over batches, which gives memory back after every few of them and at the end."""
+
+    def run(batches):
+        for n, batch in enumerate(function(batches)):
+            yield batch
+            del batch
+            if n % 16 == 15:
+                give_back()
+        give_back()
+
+    return run
+
+
 def map_arrow(df: DataFrame, function, schema) -> DataFrame:
     """``df.mapInArrow`` with this package on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+    return df.mapInArrow(lean(function), schema)
