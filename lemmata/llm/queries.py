@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmata.llm import ann, langid, mixing, neardup, ogg, packing, secrets, suffix, toxicity, warc
+from lemmata.llm import ann, langid, lattice, linkgraph, mixing, neardup, ogg, packing, periodic, secrets, suffix, toxicity, warc
 from lemmata.llm.common import table
 
 
@@ -141,9 +141,101 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = periodic.collapse_repeats(periodic.planted(table(spark, sf_dir, "documents")))
+    higher = lambda a, r: F.when(a.isNull() | (r["length"] * a["period"] > a["length"] * r["period"]), r).otherwise(a)
+    best = F.aggregate("runs", F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>"), higher)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    digest = lambda c: F.sha2(c.cast("binary"), 256)
+    x = x.withColumn("best", best)
+    return x.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        digest(lines).alias("runs_sha256"), digest(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def op12_link_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkgraph.judge(table(spark, sf_dir, "pages"))
+
+
+_FITS = " ".join(
+    f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
+    for h, p in (("example.com", "/de/"), ("example.net", "/en/"), ("org", "/fr/"), ("net", "/"))
+)
+
+OP12_SQL = rf"""
+WITH RECURSIVE p AS (SELECT page_id, coalesce(url, '') AS url, html FROM pages),
+parsed AS (
+  SELECT page_id, translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, html FROM p),
+judged AS (SELECT page_id, host, path, CASE {_FITS} END AS rule FROM parsed),
+found AS (
+  SELECT host AS src, CASE WHEN starts_with(link, '//') THEN 'http:' || link ELSE link END AS link
+  FROM (SELECT host, unnest(regexp_extract_all(html, '(?i)href[ 	-]*=[ 	-]*["'']?[ 	-]*((?:[a-z][a-z0-9+.-]*:)?//[^"''<> 	-]+)', 1)) AS link FROM parsed)),
+links AS (
+  SELECT src, translate(regexp_extract(link, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(link, '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM found),
+urls AS (SELECT host, rule FROM judged UNION ALL SELECT host, CASE {_FITS} END FROM links),
+own AS (
+  SELECT host, count(*) AS n, count(*) FILTER (rule IN ('example.net/en/', 'org/fr/')) AS good, count(*) FILTER (rule IN ('net/', 'example.com/de/')) AS bad
+  FROM urls WHERE host <> '' GROUP BY host),
+ends AS (SELECT DISTINCT src, host AS dst FROM links WHERE src <> '' AND host <> '' AND src <> host),
+ways AS (
+  SELECT kind, src, dst, count(*) OVER (PARTITION BY kind, src) AS degree
+  FROM (SELECT 'trust' AS kind, src, dst FROM ends UNION ALL SELECT 'distrust', dst, src FROM ends)),
+mass AS (
+  SELECT 0 AS round, 'trust' AS kind, host, (good::HUGEINT * 1000000000 // n)::BIGINT AS mass FROM own WHERE good > 0
+  UNION ALL SELECT 0, 'distrust', host, (bad::HUGEINT * 1000000000 // n)::BIGINT FROM own WHERE bad > 0
+  UNION ALL
+  SELECT m.round + 1, m.kind, w.dst, sum(m.mass // (20 * w.degree) * 17)::BIGINT
+  FROM mass m JOIN ways w ON w.kind = m.kind AND w.src = m.host WHERE m.round < 20 AND m.mass >= 20 * w.degree GROUP BY ALL),
+scores AS (SELECT host, coalesce(sum(mass) FILTER (kind = 'trust'), 0) AS trust, coalesce(sum(mass) FILTER (kind = 'distrust'), 0) AS distrust FROM mass GROUP BY host)
+SELECT page_id, j.host, path, rule,
+       CASE WHEN rule IN ('net/', 'example.com/de/') THEN 'block' WHEN rule IS NOT NULL THEN 'allow'
+            WHEN distrust > trust AND 2 * distrust >= 1000000000 THEN 'block' ELSE 'allow' END AS verdict
+FROM judged j LEFT JOIN scores s ON s.host = j.host AND j.host <> ''
+"""
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS words FROM documents),
+told AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part,
+         list_filter([CASE WHEN len(words) < 50 THEN 'A' END, CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' END,
+                      CASE WHEN 100 * len(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * len(t) THEN 'C' END,
+                      CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' END,
+                      CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' END], lambda x: x IS NOT NULL) AS fails,
+         coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic
+  FROM d LEFT JOIN told USING (doc_id)),
+sets AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY part, fails),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE a.x NOT IN (b.x, c.x, d.x, e.x) AND b.x NOT IN (c.x, d.x, e.x) AND c.x NOT IN (d.x, e.x) AND d.x <> e.x),
+steps AS (SELECT filter_order, step::INT AS step, filter_order[step] AS own, string_split(filter_order[1:step - 1], '') AS before FROM orders, range(1, 6) AS r(step)),
+told_steps AS (
+  SELECT part, filter_order, step, own,
+         sum(CASE WHEN NOT list_has_any(fails, before) AND NOT list_contains(fails, own) THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN NOT list_has_any(fails, before) AND list_contains(fails, own) THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN list_has_any(fails, before) AND list_contains(fails, own) THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN fails = [own] THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN NOT list_has_any(fails, before) AND list_contains(fails, own) THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN NOT list_has_any(fails, before) AND list_contains(fails, own) THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM sets, steps GROUP BY part, filter_order, step, own)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley
+FROM told_steps
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media, "op5_secret_scan": op5_secret_scan, "secret_base": secret_base, "op6_best_fit_packing": op6_best_fit_packing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_language_id": op8_language_id, "op9_warc_segments": op9_warc_segments, "op10_one_bit_neighbours": op10_one_bit_neighbours}
+    return {"op1_suffix_dedup": op1_suffix_dedup, "op2_toxicity": op2_toxicity, "op3_mix_sources": op3_mix_sources, "op4_ogg_media": op4_ogg_media, "op5_secret_scan": op5_secret_scan, "secret_base": secret_base, "op6_best_fit_packing": op6_best_fit_packing, "op7_minhash_near_dedup": op7_minhash_near_dedup, "op8_language_id": op8_language_id, "op9_warc_segments": op9_warc_segments, "op10_one_bit_neighbours": op10_one_bit_neighbours, "op11_periodic_runs": op11_periodic_runs, "op12_link_graph": op12_link_graph, "op13_filter_audit": op13_filter_audit}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mix_sources": OP3_SQL, "secret_base": SECRET_BASE_SQL, "op9_warc_segments": OP9_SQL, "op10_one_bit_neighbours": OP10_SQL}
+    return {"op3_mix_sources": OP3_SQL, "secret_base": SECRET_BASE_SQL, "op9_warc_segments": OP9_SQL, "op10_one_bit_neighbours": OP10_SQL, "op12_link_graph": OP12_SQL, "op13_filter_audit": OP13_SQL}
