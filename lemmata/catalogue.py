@@ -16,7 +16,7 @@ from lemmata.operators import clauses as C
 from lemmata.operators import fixpoint as X
 from lemmata.operators import outline as H
 from lemmata.operators import prompting as P
-from lemmata.operators import prover
+from lemmata.operators import programs, prover
 from lemmata.operators import scoring as S
 from lemmata.plans import answering
 from lemmata.scratch import scratch_path
@@ -705,6 +705,70 @@ def check_counts(spark, d):
     return S.check_summary(answering.checked(q, pages))
 
 
+# programs as data: every customer is a knowledge base with rules of its own
+
+
+def _customer_programs(spark, d, rules, goal):
+    """kb columns, program and goal of each customer: its nation, that nation's region, its orders, and what ``rules`` adds."""
+    s = lambda c: F.col(c).cast("string")
+    orders = _t(spark, d, "orders").groupBy("o_custkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", F.lower("o_orderstatus").alias("status")))), lambda o: F.concat(F.lit("order(o"), o["o_orderkey"].cast("string"), F.lit(", "), o["status"], F.lit(")."))).alias("orders"))
+    place = F.array(F.concat(F.lit("home(n"), s("c_nationkey"), F.lit(").")), F.concat(F.lit("part_of(n"), s("c_nationkey"), F.lit(", r"), s("n_regionkey"), F.lit(").")))
+    x = _t(spark, d, "customer").join(_t(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+    lines = F.concat(place, F.coalesce("orders", F.array().cast("array<string>")), rules)
+    return x.select("c_custkey", F.array_join(lines, "\n").alias("program"), goal.alias("goal"))
+
+
+_PLACED_SQL = "c AS (SELECT c_custkey, c_nationkey, n_regionkey, c_custkey % 3 AS k FROM customer JOIN nation ON c_nationkey = n_nationkey), o AS (SELECT o_custkey AS c_custkey, o_orderkey, 'o' || o_orderkey AS name, lower(o_orderstatus) AS st FROM orders)"
+
+
+@query(f"""WITH {_PLACED_SQL}
+SELECT c_custkey, count(o_orderkey) > 0 AS entails, coalesce(string_agg(name, ',' ORDER BY o_orderkey), '') AS found
+FROM c LEFT JOIN o ON o.c_custkey = c.c_custkey AND CASE k WHEN 0 THEN st = 'f' WHEN 1 THEN st = 'o' AND n_regionkey = 1 ELSE st <> 'f' END GROUP BY ALL""".replace("SELECT c_custkey, count", "SELECT c.c_custkey, count"))
+def program_rules(spark, d):
+    """Orders that each customer's own rules, under names of its own, call good."""
+    key = F.col("c_custkey").cast("string")
+    good = F.concat(F.lit("good_"), key)
+    line = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y for y in x])
+    rules = F.when(F.col("c_custkey") % 3 == 0, F.array(line(good, "(X) :- order(X, f).")))
+    rules = rules.when(F.col("c_custkey") % 3 == 1, F.array(line(good, "(X) :- order(X, o), open_", key, "."), line("open_", key, " :- home(N), part_of(N, r1).")))
+    rules = rules.otherwise(F.array(line(good, "(X) :- order(X, S), \\+ bad_", key, "(S)."), line("bad_", key, "(f).")))
+    x = programs.answered(_customer_programs(spark, d, rules, line("?- ", good, "(X).")))
+    return x.select("c_custkey", "entails", F.array_join("values", ",").alias("found"))
+
+
+@query(f"""WITH {_PLACED_SQL}, s AS (SELECT c.c_custkey, count(*) FILTER (st = 'o') > 0 AS late, count(*) FILTER (st = 'f') > 0 AS done FROM c LEFT JOIN o ON o.c_custkey = c.c_custkey GROUP BY ALL)
+SELECT c_custkey, CASE WHEN c_custkey % 4 <> 0 THEN NOT late END AS entails, CASE WHEN c_custkey % 4 = 0 THEN 'a predicate depends on its own negation' END AS error FROM s""")
+def program_strata(spark, d):
+    """Rules that negate each other, each customer in its own strata; every fourth in a circle, which ends nobody else's."""
+    lines = lambda *x: F.array(*map(F.lit, x))
+    straight = lines("late :- order(_, o).", "settled :- \\+ late.", "praised :- settled, \\+ blamed.", "blamed :- \\+ settled, order(_, f).")
+    rules = F.when(F.col("c_custkey") % 4 == 0, lines("praised :- \\+ blamed.", "blamed :- order(_, _), \\+ praised.")).otherwise(straight)
+    return programs.answered(_customer_programs(spark, d, rules, F.lit("praised"))).select("c_custkey", "entails", "error")
+
+
+@query(f"""WITH {_PLACED_SQL}, found AS (SELECT c_custkey, 0 AS way, o_orderkey, name FROM o WHERE st = 'f' UNION ALL SELECT c_custkey, 1, o_orderkey, name FROM o)
+SELECT c.c_custkey, count(found.name)::INT AS n, coalesce(string_agg(name, ',' ORDER BY way, o_orderkey), '') AS found FROM c LEFT JOIN found ON found.c_custkey = c.c_custkey GROUP BY ALL""")
+def goal_bindings_ordered(spark, d):
+    """Solutions in the order and number of their proofs: what two rules say is found twice, the first rule's first."""
+    rules = F.array(F.lit("near(X) :- seen(X, f)."), F.lit("near(X) :- seen(X, _)."), F.lit("seen(X, S) :- order(X, S)."))
+    x = programs.answered(_customer_programs(spark, d, rules, F.lit("near(X)")))
+    return x.select("c_custkey", F.size("values").alias("n"), F.array_join("values", ",").alias("found"))
+
+
+@query(f"""WITH {_PLACED_SQL}, w AS (SELECT *, (c_custkey % 2 = 0)::INT + (n_regionkey = 1)::INT + (c_custkey % 5 = 0)::INT AS n FROM c)
+SELECT c_custkey, n > 0 AS entails, rtrim(repeat('[n' || c_nationkey || ',r' || n_regionkey || '] ', n)) AS found FROM w""")
+def program_wildcards(spark, d):
+    """Facts that hold for anything: a place or both may be open, and each that fits is a proof."""
+    s = lambda c: F.col(c).cast("string")
+    some = lambda when, *x: F.when(when, F.array(F.concat(*x))).otherwise(F.array().cast("array<string>"))
+    rules = F.concat(
+        some(F.col("c_custkey") % 2 == 0, F.lit("ships(n"), s("c_nationkey"), F.lit(", _).")), F.array(F.lit("ships(_, r1).")), some(F.col("c_custkey") % 5 == 0, F.lit("ships(_, _).")),
+        F.array(F.lit("can(X, Y) :- ships(X, Y)."), F.lit("ok(N, R) :- can(N, R), home(N), part_of(N, R).")),
+    )
+    x = programs.answered(_customer_programs(spark, d, rules, F.lit("ok(X, Y)")))
+    return x.select("c_custkey", "entails", F.array_join("values", " ").alias("found"))
+
+
 @query(f"""WITH {_GOLD_SQL}, m AS (SELECT doc_id, k, toxic, len(l) > 0 AND len(list_filter(l, lambda v: v IN ('yes', 'no'))) > 0 AS yesno, len(l) > 0 AND len(list_filter(l, lambda v: v IN ('yes', 'no'))) = 0 AS extractive, toxic = 1 AND k IN (0, 1, 2) AS conditional,
  CASE k WHEN 0 THEN (q = 'Yes')::INT::DOUBLE WHEN 1 THEN 0.5 WHEN 2 THEN (x = 'Yes')::INT / 2.0 ELSE 0.0 END AS em, CASE k WHEN 0 THEN (q = 'Yes' AND toxic = 0)::INT::DOUBLE WHEN 1 THEN 0.5 ELSE 0.0 END AS em_cond FROM g JOIN a USING (doc_id, k, toxic)),
 b AS (SELECT 'total' AS bucket, * FROM m UNION ALL SELECT 'yesno', * FROM m WHERE yesno UNION ALL SELECT 'extractive', * FROM m WHERE extractive UNION ALL SELECT 'conditional', * FROM m WHERE conditional)

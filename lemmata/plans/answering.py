@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmata.operators import bridging, clauses, models, prompting, prover, scoring
+from lemmata.operators import bridging, clauses, models, programs, prompting, prover, scoring
 from lemmata.scratch import forget, keep
 from lemmata.sources.records import last_of_each, numbered, remaining, write
 
@@ -34,13 +34,14 @@ def answered_by_proof(questions: DataFrame, contexts: DataFrame, how: bridging.A
     """One row a question: goal, verdict, values, prediction.
 
     ``questions``: id, url, question, scenario, answers, not_answerable, prolog, fol, constants; ``contexts``: url, ordinal,
-    prolog, constants. Where a question has no goal of its own, the first-order one may stand in.
+    prolog, constants. Where a question has no goal of its own, the first-order one may stand in. Flat programs are proved
+    together by relations, others by the bounded prover in ``steps``.
     """
     q = with_context(questions, contexts, {"prolog": "context", "constants": "context_constants"})
     q = q.withColumn("kb", F.col("id").cast("string")).withColumn("program", clauses.program(F.col("context"), F.col("prolog"))).withColumn("goal", clauses.goal_of(F.col("prolog"), F.col("fol") if fol_fallback else None))
     if how is not None:
         q = bridging.align(q.withColumn("scenario_block", F.col("prolog")).withColumn("scenario_constants", F.col("constants")), how, lemma_synset, edges)
-    v = prover.answered(q, "program", "goal", steps)
+    v = programs.answered(q, steps=steps)
     kind = scoring.question_type(F.col("answers"), F.col("not_answerable"))
     return v.withColumn("question_type", kind).select("id", "url", "question", "scenario", "question_type", F.col("goal").alias("prolog_goal"), "context_found", "entails", F.col("values").alias("predicted_values"), scoring.prediction(F.col("entails"), F.col("values"), F.col("question_type")).alias("predicted"), F.col("answers").alias("gold_answers"), "not_answerable", "error")
 
@@ -49,7 +50,7 @@ def checked(questions: DataFrame, contexts: DataFrame, steps: int = prover.STEPS
     """id, url, context_found, hypothesis_fol, prolog_goal, entails, error of each question; no goal falls back to logic."""
     q = with_context(questions, contexts, {"prolog": "context"})
     q = q.withColumn("program", clauses.program(F.col("context"), F.col("prolog"))).withColumn("goal", clauses.goal_of(F.col("prolog"), F.col("fol")))
-    v = prover.answered(q, "program", "goal", steps)
+    v = programs.answered(q, steps=steps)
     return v.select("id", "url", "context_found", F.col("fol.hypothesis").alias("hypothesis_fol"), F.col("goal").alias("prolog_goal"), "entails", "not_answerable", F.col("answers").alias("gold_answers"), "error")
 
 
