@@ -110,10 +110,13 @@ def _blocks(k: int, code: bool):
         order = np.lexsort((*v.T[::-1], ids)) if not code else np.lexsort((ids, *v.T[::-1]))
         ids, v = ids[order], v[order]
         if code and len(ids) > 1:
-            # of equal vectors only the k + 1 smallest ids can be among the k nearest of any other
+            # of equal vectors only the k + 1 smallest ids, and k rows of each, can be among the k nearest of any other
+            at = np.arange(len(ids))
             new = np.concatenate([[True], (v[1:] != v[:-1]).any(axis=1)])
-            start = np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
-            few = np.arange(len(ids)) - start <= k
+            other = new | np.concatenate([[True], ids[1:] != ids[:-1]])
+            start, own = (np.maximum.accumulate(np.where(x, at, 0)) for x in (new, other))
+            nth = np.cumsum(other)
+            few = (nth - nth[start] <= k) & (at - own < k)
             ids, v = ids[few], v[few]
         codes, f = encode(v) if code else (np.zeros(0, np.uint64), np.zeros(0))
         row = {"dim": [v.shape[1]], "g": [table.column("g")[0].as_py()], "ids": [ids.tobytes()], "vectors": [np.ascontiguousarray(v).tobytes()], "codes": [codes.tobytes()], "f": [f.tobytes()]}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -76,12 +78,24 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, base)]))
 
 
+#: Strings of more bytes are hashed by a digest: polynomials modulo 2**64 are equal for some long strings, in every odd base.
+LONG = 256
+
+
+def _digest_long(hashed: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray, base: np.uint64) -> np.ndarray:
+    """``hashed`` with 64 bits of a keyed digest in place of the hash of each long string."""
+    for k in np.flatnonzero(end - start > LONG).tolist():
+        hashed[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8, key=int(base).to_bytes(8, "little")).digest(), "little")
+    return hashed
+
+
 def substring_hashes(data: np.ndarray, offsets: np.ndarray, base: np.uint64 = _BASE) -> np.ndarray:
     """A 64-bit hash of each of the strings that lie one after another in ``data``."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(base, max(0, len(data) - 1))[: len(data)], out=sums[1:])
     back = powers(np.uint64(pow(int(base), -1, 1 << 64)), len(data))
-    return mix64((sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
+    hashed = mix64((sums[offsets[1:]] - sums[offsets[:-1]]) * back[offsets[:-1]] + np.diff(offsets).astype(np.uint64))
+    return _digest_long(hashed, data, offsets[:-1], offsets[1:], base)
 
 
 def runs(data: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -99,4 +113,5 @@ def runs(data: np.ndarray, offsets: np.ndarray, own: np.ndarray) -> tuple[np.nda
     # a polynomial of the bytes, each run's from one running sum
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, len(data) - 1), out=sums[1:])
-    return start, end, mix64((sums[end] - sums[start]) * powers(_INVERSE, len(data))[start] + (end - start).astype(np.uint64))
+    hashed = mix64((sums[end] - sums[start]) * powers(_INVERSE, len(data))[start] + (end - start).astype(np.uint64))
+    return start, end, _digest_long(hashed, data, start, end, _BASE)

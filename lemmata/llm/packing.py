@@ -147,7 +147,7 @@ class Encoder:
         return first, size
 
 
-#: Two odd numbers: parts count as equal if polynomials of their bytes in both, modulo 2**64, are equal.
+#: Two odd numbers: parts count as equal if polynomials of their bytes in both, modulo 2**64, are equal; long ones by a digest.
 _BASES = (np.uint64(0x100000001B3), np.uint64(0x9E3779B97F4A7C15))
 
 
