@@ -276,6 +276,16 @@ def kb_roundtrip(spark, d):
     return records.read(spark, path, "item_id long, text string")
 
 
+@query("SELECT doc_id, text, lang FROM documents")
+def crlf_records(spark, d):
+    """Indented records in a file whose lines end in CR LF, written as such and read back."""
+    path = scratch_path(spark, "records")
+    x = _t(spark, d, "documents").select("doc_id", "text", "lang")
+    lines = F.to_json(F.struct("*"), {"pretty": "true", "ignoreNullFields": "false"})
+    x.select(F.replace(lines, F.lit("\n"), F.lit("\r\n")).alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
+    return records.read(spark, path, "doc_id long, text string, lang string")
+
+
 # markup
 
 

@@ -21,8 +21,10 @@ def context_index(contexts: DataFrame, url: str = "url", order: str = "ordinal")
 
 def with_context(questions: DataFrame, contexts: DataFrame, columns: dict[str, str]) -> DataFrame:
     """``questions`` with the context of their url: columns under new names, null where there is none, and context_found."""
-    c = context_index(contexts).select(F.col("url").alias("_url"), *[F.col(k).alias(v) for k, v in columns.items()], F.lit(True).alias("_found"))
-    return questions.join(c, F.col("url") == F.col("_url"), "left").withColumn("context_found", F.coalesce("_found", F.lit(False))).drop("_url", "_found")
+    names = {x.lower() for x in [*questions.columns, *columns.values()]}
+    url, found = (next(x for i in range(len(names) + 1) if (x := f"{n}{'_' * i}") not in names) for n in ("context_url", "found"))
+    c = context_index(contexts).select(F.col("url").alias(url), *[F.col(k).alias(v) for k, v in columns.items()], F.lit(True).alias(found))
+    return questions.join(c, F.col("url") == F.col(url), "left").withColumn("context_found", F.coalesce(found, F.lit(False))).drop(url, found)
 
 
 def record_id(*ways: Column) -> Column:

@@ -1,3 +1,6 @@
+import json
+
+import pytest
 from pyspark.sql import functions as F
 
 from lemmata import catalogue
@@ -54,6 +57,61 @@ def test_record_files(spark, tmp_path):
     assert [r["i"] for r in records.read_valid(spark, f"file://{tmp_path}/broken.json", "i long").orderBy("ordinal").collect()] == [1, 3]
 
 
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_records_of_three_layouts(spark, tmp_path, end):
+    rows = [(i, f"é {i}\r\n\r\n" + "x" * (i % 7)) for i in range(60)]
+    texts = {
+        "array": json.dumps([{"i": i, "s": t} for i, t in rows], indent=1),
+        "blocks": "".join(json.dumps({"i": i, "s": t}, indent=2, ensure_ascii=False) + "\n\n" for i, t in rows),
+        "lines": "\n".join(json.dumps({"i": i, "s": t}) for i, t in rows) + "\n\n",
+    }
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700b")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1b")
+    try:
+        for kind, text in texts.items():
+            (tmp_path / kind).write_bytes(text.replace("\n", end).encode())
+            path = f"file://{tmp_path}/{kind}"
+            assert records.layout(spark, path) == kind
+            assert sorted(map(tuple, records.read(spark, path, "i long, s string").collect())) == rows
+            if kind != "array":
+                got = records.read_valid(spark, path, "i long, s string")
+                assert got.rdd.getNumPartitions() > 3  # one file, several tasks
+                assert [tuple(r)[1:] for r in got.orderBy("ordinal").collect()] == rows
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_broken_records(spark, tmp_path):
+    cases = [
+        ('{"i": 1}\n\n\n{"i": 2}\n{"i": 3}\n', None, [1]),  # two records in one block
+        ('{\n"i": 1\n}\n \n{\n"i": 3\n}\n', None, []),  # the line between is not empty
+        ('{"i": 1}\r\n\r\n{"i": 2}\n\n{"i": 3}\r\n\n{"i": 4}\n\r\n{"i": 5}', [1, 2, 3, 4, 5], [1, 2, 3, 4, 5]),
+        ('{"i": 1} x\n{"i": 2}\n', None, []),
+        ('{"i": 1}} \n{"i": 2}\n', None, []),
+        ('{"i": 1}\n{"i": 2}, "end": 0\n', None, [1]),
+        ('{"i": 1}\n{"i": 2', None, [1]),
+        ('{"i": 1}\n7\n{"i": 2}\n', None, [1, 2]),
+        ('[{"i": 1}]\n', [1], []),
+        ("[1", None, []),
+        ("\n \n", [], []),
+    ]
+    for k, (text, want, valid) in enumerate(cases):
+        (tmp_path / f"c{k}").write_bytes(text.encode())
+        path = f"file://{tmp_path}/c{k}"
+        assert [r["i"] for r in records.read_valid(spark, path, "i long").orderBy("ordinal").collect()] == valid, text
+        if want is None:
+            with pytest.raises(Exception, match="no record|MALFORMED|FAILFAST|parse"):
+                records.read(spark, path, "i long").collect()
+        else:
+            assert sorted(r["i"] for r in records.read(spark, path, "i long").collect()) == want, text
+
+
+def test_last_of_each_key(spark):
+    df = spark.createDataFrame([("a", 1, "x"), ("a", 2, "y"), ("b", None, "z"), (None, 3, "n"), ("", 4, "e"), ("c", None, None), ("c", 0, "w")], "k string, _rn int, v string")
+    assert sorted(map(tuple, records.last_of_each(df, "k", "_rn").collect())) == [("a", 2, "y"), ("b", None, "z"), ("c", 0, "w")]
+
+
 def test_extraction_falls_back_to_single_items(spark):
     def call(items):
         if any(x["id"] == "bad" for x in items):
