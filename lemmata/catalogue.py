@@ -560,6 +560,24 @@ def hypernym_score(spark, d):
     return B.entailment_scores(pairs, lemmas, edges).select("general", "specific", F.round("score", 6).alias("score"))
 
 
+@query("""WITH near AS (SELECT s_suppkey, i, n.n_name AS ctx, n.n_regionkey AS r, h.n_regionkey AS want FROM supplier, range(3) t(i) JOIN nation n ON n.n_nationkey = (s_nationkey + i) % 25 JOIN nation h ON h.n_nationkey = (s_nationkey + 1) % 25)
+SELECT s_suppkey, min_by(regexp_replace(lower(ctx), '[ _]', '', 'g'), i) AS nation, regexp_replace(lower(any_value(r_name)), '[ _]', '', 'g') AS region, 0.8::DOUBLE AS score FROM near JOIN region ON r_regionkey = want WHERE r = want GROUP BY s_suppkey""")
+def semantic_bridges(spark, d):
+    """Which of three nations stands for a region, for each supplier a vocabulary of its own, by a hierarchy of places."""
+    word = lambda c: F.regexp_replace(F.lower(c), "[ _]", "")
+    n, r = _t(spark, d, "nation"), _t(spark, d, "region")
+    names = n.select(word("n_name").alias("lemma"), F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("synset")).unionByName(r.select(word("r_name").alias("lemma"), F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("synset")))
+    lemmas = names.select("lemma", F.lit("noun").alias("pos"), "synset", F.lit(1).alias("rank"))
+    edges = n.select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("src"), F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("dst"), F.lit("hypernym").alias("kind"))
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("kb"), "s_nationkey")
+    near = s.select("kb", "s_nationkey", F.explode(F.array(*map(F.lit, range(3)))).alias("place"))
+    ctx = near.join(n, F.col("n_nationkey") == (F.col("s_nationkey") + F.col("place")) % 25).select("kb", word("n_name").alias("name"), F.lit(1).alias("arity"), "place")
+    home = s.join(n, F.col("n_nationkey") == (F.col("s_nationkey") + 1) % 25).join(r, F.col("n_regionkey") == F.col("r_regionkey"))
+    hyp = home.select("kb", F.concat(F.lit("can_be_"), word("r_name")).alias("name"), F.lit(1).alias("arity"), F.lit(0).alias("place"))
+    m = B.semantic_matches(hyp, ctx, lemmas, edges)
+    return m.select(F.col("kb").alias("s_suppkey"), F.col("ctx_name").alias("nation"), F.substring("name", 8, 99).alias("region"), F.round("score", 6).alias("score"))
+
+
 @query("""SELECT n_nationkey, n_regionkey <> 1 AS entails, CASE WHEN n_regionkey <> 1 THEN 'r' || n_regionkey ELSE '' END AS found, NULL::VARCHAR AS error FROM nation""")
 def prover_answers(spark, d):
     """One small program for each nation, with compound terms and negation, proved by search."""

@@ -125,33 +125,48 @@ def entailment_scores(pairs: DataFrame, lemma_synset: DataFrame, edges: DataFram
     0.9 (1 - k / (D + 1)), unless ``causal_transitive`` is off; the best of these, else 0.
     """
     pairs = pairs.select("general", "specific").distinct()
-    s = synsets(pairs.select(F.col("specific").alias("word")), lemma_synset, pos_mode)
-    g = synsets(pairs.select(F.col("general").alias("word")), lemma_synset, pos_mode).select(F.col("word").alias("general"), F.col("synset").alias("g_synset"))
+    found = entailing_words(pairs.select(F.col("general").alias("word")), pairs.select(F.col("specific").alias("word")), lemma_synset, edges, max_depth=max_depth, pos_mode=pos_mode, causal_transitive=causal_transitive)
+    return pairs.join(found, ["general", "specific"], "left").select("general", "specific", F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def entailing_words(general: DataFrame, specific: DataFrame, lemma_synset: DataFrame, edges: DataFrame, *, max_depth: int = 4, pos_mode: str = "verb_noun", causal_transitive: bool = True) -> DataFrame:
+    """general, specific, score of the words (word) of two vocabularies that have a score, as in ``entailment_scores``.
+
+    The specific words are indexed by every synset that they imply, with the score; the general ones look theirs up. So a
+    pair is made only where the one implies a synset of the other, or where the words are equal.
+    """
+    s = synsets(specific, lemma_synset, pos_mode)
     up = ancestors(s.select("synset"), edges, max_depth)
     scale = F.lit(float(max_depth + 1))
     reached = up.select("synset", F.col("ancestor").alias("to"), (1.0 - F.col("depth") / scale).alias("score"))
     entails = edges.filter("kind = 'entailment'").select(F.col("src").alias("synset"), F.col("dst").alias("to"), F.lit(0.9).alias("score"))
     cause = edges.filter("kind = 'cause'").select(F.col("src").alias("ancestor"), F.col("dst").alias("to"))
     caused = up.filter(F.lit(causal_transitive) | (F.col("depth") == 0)).join(cause, "ancestor").select("synset", "to", (0.9 * (1.0 - F.col("depth") / scale)).alias("score"))
-    ways = reached.unionByName(entails).unionByName(caused)
-    found = pairs.join(s.withColumnRenamed("word", "specific"), "specific").join(ways, "synset").join(g, (F.col("to") == F.col("g_synset")) & (pairs["general"] == g["general"])).groupBy(pairs["general"], "specific").agg(F.max("score").alias("score"))
-    same = F.when(F.col("general") == F.col("specific"), 1.0)
-    return pairs.join(found, ["general", "specific"], "left").select("general", "specific", F.coalesce(same, F.col("score"), F.lit(0.0)).alias("score"))
+    implied = s.withColumnRenamed("word", "specific").join(reached.unionByName(entails).unionByName(caused), "synset").groupBy("specific", "to").agg(F.max("score").alias("score"))
+    g = synsets(general, lemma_synset, pos_mode).select(F.col("word").alias("general"), F.col("synset").alias("to"))
+    met = g.join(implied, "to").select("general", "specific", "score")
+    same = general.select("word").distinct().join(specific.select("word").distinct(), "word").select(F.col("word").alias("general"), F.col("word").alias("specific"), F.lit(1.0).alias("score"))
+    return met.unionByName(same).groupBy("general", "specific").agg(F.max("score").alias("score"))
 
 
 def semantic_matches(hyp: DataFrame, ctx: DataFrame, lemma_synset: DataFrame, edges: DataFrame, *, threshold: float = 0.3, max_depth: int = 4, stop=STOP_TOKENS, pos_mode: str = "verb_noun", causal_transitive: bool = True) -> DataFrame:
     """kb, name, arity, ctx_name, ctx_arity, score: the best other context predicate by meaning.
 
-    A predicate's score is the mean over its content tokens of the best token of the other; ties go to the first.
+    A predicate's score is the mean over its content tokens of the best token of the other; ties go to the first. Words are
+    scored once for all knowledge bases, and predicates meet on words that have a score: with a threshold above 0 no other
+    pair can reach it. One of 0 or less also admits pairs without such words, within each knowledge base.
     """
     h = hyp.select("kb", "name", "arity", "place", content_tokens(F.col("name"), stop, fold=False).alias("t")).withColumn("n", F.size("t"))
     c = ctx.select("kb", F.col("name").alias("ctx_name"), F.col("arity").alias("ctx_arity"), F.col("place").alias("ctx_place"), content_tokens(F.col("name"), stop, fold=False).alias("u"))
-    pairs = h.join(c, "kb").filter("name <> ctx_name").select("kb", "name", "arity", "place", "n", "ctx_name", "ctx_arity", "ctx_place", F.posexplode("t").alias("i", "general"), "u")
-    pairs = pairs.select("*", F.explode("u").alias("specific")).drop("u")
-    scores = entailment_scores(pairs, lemma_synset, edges, max_depth=max_depth, pos_mode=pos_mode, causal_transitive=causal_transitive)
+    left, right = h.select("kb", "name", "arity", "place", "n", F.posexplode("t").alias("i", "general")), c.select("kb", "ctx_name", "ctx_arity", "ctx_place", F.explode("u").alias("specific"))
+    scores = entailing_words(left.select(F.col("general").alias("word")), right.select(F.col("specific").alias("word")), lemma_synset, edges, max_depth=max_depth, pos_mode=pos_mode, causal_transitive=causal_transitive)
     keys = ["kb", "name", "arity", "place", "n", "ctx_name", "ctx_arity", "ctx_place"]
-    best = pairs.join(scores, ["general", "specific"]).groupBy(*keys, "i").agg(F.max("score").alias("best"))
-    scored = best.groupBy(*keys).agg((F.sum("best") / F.first("n")).alias("score")).filter(F.col("score") >= threshold)
+    best = left.join(scores, "general").join(right, ["kb", "specific"]).filter("name <> ctx_name").groupBy(*keys, "i").agg(F.max("score").alias("best"))
+    scored = best.groupBy(*keys).agg((F.sum("best") / F.first("n")).alias("score"))
+    if threshold <= 0:
+        every = h.filter("n > 0").drop("t").join(c.filter(F.size("u") > 0).drop("u"), "kb").filter("name <> ctx_name")
+        scored = every.join(scored, keys, "left").select(*keys, F.coalesce("score", F.lit(0.0)).alias("score"))
+    scored = scored.filter(F.col("score") >= threshold)
     first = Window.partitionBy("kb", "name").orderBy(F.desc("score"), "ctx_place", "ctx_name")
     return scored.withColumn("rn", F.row_number().over(first)).filter("rn = 1").select("kb", "name", "arity", "place", "ctx_name", "ctx_arity", "score")
 
@@ -196,7 +211,9 @@ def align(df: DataFrame, how: Alignment, lemma_synset: DataFrame | None = None,
     if how.auto_bridge:
         missing = undefined(_table(df, "goal_preds"), _table(df, "defined"))
         df = _inject(df, jaccard_matches(missing, _table(df, "ctx_preds"), how.auto_bridge_threshold, how.auto_bridge_top_k), "auto_bridge")
-    if how.semantic_bridge and lemma_synset is not None and edges is not None:
+    if how.semantic_bridge:
+        if lemma_synset is None or edges is None:
+            raise ValueError("semantic_bridge needs lemma_synset and edges")
         now = df.withColumn("defined", C.defined_predicates(F.col("program")))
         missing = undefined(_table(now, "goal_preds"), _table(now, "defined"))
         found = semantic_matches(missing, _table(df, "ctx_preds"), lemma_synset, edges, threshold=how.semantic_bridge_threshold, max_depth=how.semantic_bridge_max_depth, stop=how.stop_tokens, pos_mode=how.semantic_bridge_pos)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from lemmata.functions import text as T
+from lemmata.scratch import keep
 from lemmata.shipping import ship
 
 EVENTS = "array<struct<tag:string,text:string,header:boolean,cells:array<array<string>>>>"
@@ -140,7 +141,7 @@ def table_rows(header: Column, cells: Column) -> Column:
 
 def outline(df: DataFrame, doc: str = "doc") -> DataFrame:
     """The node table of documents with ``events``: sections, texts, lists of consecutive items, tables; empty ones skipped."""
-    e = df.select(F.col(doc).alias("doc"), F.posexplode("events").alias("pos", "e")).select("doc", "pos", "e.*")
+    e = df.select(F.col(doc).alias("doc"), F.posexplode_outer("events").alias("pos", "e")).select("doc", "pos", "e.*")  # outer: else the size of events is asked first, and pages are parsed for that too
     e = e.filter((F.col("text") != "") | ((F.col("tag") == "table") & (F.size("cells") > 0)))
     level = F.when(F.col("tag").rlike("^h[1-4]$"), F.substring("tag", 2, 1).cast("int"))
     before = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -207,8 +208,10 @@ def rendered(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("doc").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", joined.alias("l")))), lambda x: x["l"]), "\n").alias("text"))
 
 
-def enriched(docs: DataFrame, contents: str = "contents", doc: str = "doc", key: str = "semantic_tree") -> DataFrame:
-    """``docs`` with the semantic nodes of each document as one JSON column; all other columns are kept."""
-    nodes = semantic_tree(docs, contents, doc)
-    packed = nodes.groupBy("doc").agg(F.to_json(F.sort_array(F.collect_list(F.struct("pos", *[c for c in nodes.columns if c not in ("doc", "pos", "rows")], F.to_json("rows").alias("rows"))))).alias(key))
-    return docs.join(packed.withColumnRenamed("doc", "_doc"), F.col(doc) == F.col("_doc"), "left").drop("_doc")
+def enriched(docs: DataFrame, contents: str = "contents", key: str = "semantic_tree") -> DataFrame:
+    """``docs`` with the semantic nodes of each row's document as one JSON column; all other columns are kept."""
+    row = next(x for i in range(len(docs.columns) + 1) if (x := "row" + "_" * i) not in {c.lower() for c in docs.columns})
+    numbered = keep(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    nodes = semantic_tree(numbered, contents, row)
+    packed = nodes.groupBy(F.col("doc").alias(row)).agg(F.to_json(F.sort_array(F.collect_list(F.struct("pos", *[c for c in nodes.columns if c not in ("doc", "pos", "rows")], F.to_json("rows").alias("rows"))))).alias(key))
+    return numbered.join(packed, row, "left").drop(row)

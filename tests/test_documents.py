@@ -112,6 +112,20 @@ def test_last_of_each_key(spark):
     assert sorted(map(tuple, records.last_of_each(df, "k", "_rn").collect())) == [("a", 2, "y"), ("b", None, "z"), ("c", 0, "w")]
 
 
+def test_enriched_rows_that_repeat_a_document(spark):
+    df = spark.createDataFrame([(1, ["<h1>A</h1>"], "x"), (1, ["<h2>B</h2>"], "y"), (2, [], "z"), (None, None, "n")], "doc long, contents array<string>, row string")
+    got = H.enriched(df)
+    assert got.columns == ["doc", "contents", "row", "semantic_tree"]
+    found = {r["row"]: r["semantic_tree"] for r in got.collect()}
+    assert [x["title"] for x in json.loads(found["x"])] == ["A"] and [x["title"] for x in json.loads(found["y"])] == ["B"]
+    assert found["z"] is None and found["n"] is None
+
+
+def test_pages_are_parsed_once(spark):
+    df = spark.createDataFrame([(1, ["<h1>A</h1>"])], "doc long, contents array<string>")
+    assert H.semantic_tree(df)._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+
+
 def test_extraction_falls_back_to_single_items(spark):
     def call(items):
         if any(x["id"] == "bad" for x in items):

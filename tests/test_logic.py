@@ -162,3 +162,16 @@ def test_answering_with_bridges(spark):
     assert {r["bucket"]: r["n"] for r in tables["buckets"].collect()}["yesno"] == 2
     model = answering.answered_by_model(q, spark.createDataFrame([("u", 1, ["<p>Policy</p>"])], "url string, ordinal long, contents array<string>"), lambda m: "Yes, of course", few_shot=True)
     assert {r["id"]: (r["predicted"], r["error"]) for r in model.collect()} == {1: ("yes", None), 2: ("not answerable", "context not found")}
+
+
+def test_meaning_needs_its_tables(spark):
+    with pytest.raises(ValueError, match="semantic_bridge"):
+        B.align(spark.createDataFrame([], f"kb string, program string, goal string, context {BLOCK}, scenario {BLOCK}"), B.Alignment(semantic_bridge=True))
+
+
+def test_meaning_of_words_without_a_hierarchy(spark):
+    preds = lambda *names: spark.createDataFrame([(k, n, 1, i) for k in "ab" for i, n in enumerate(names)], "kb string, name string, arity int, place int")
+    none = spark.createDataFrame([], "lemma string, pos string, synset string, rank int"), spark.createDataFrame([], "src string, dst string, kind string")
+    got = B.semantic_matches(preds("claim_tax_credit"), preds("pay_tax", "claim_tax", "is_the"), *none).collect()
+    assert sorted((r["kb"], r["ctx_name"], round(r["score"], 6)) for r in got) == [("a", "claim_tax", 0.666667), ("b", "claim_tax", 0.666667)]
+    assert {r["ctx_name"] for r in B.semantic_matches(preds("claim"), preds("pay", "give"), *none, threshold=0.0).collect()} == {"pay"}
