@@ -98,12 +98,14 @@ def token_jaccard(a: Column, b: Column) -> Column:
 
 def clean_goal(goal: Column) -> Column:
     """A goal without a leading ``?-``, a comment at its end and final dots."""
+    # fixed values: the mark before a goal, a comment behind it
     s = F.regexp_replace(F.regexp_replace(F.trim(goal), r"^\?-\s*", ""), r"\s*%.*$", "")
     return F.trim(F.rtrim(F.trim(s), F.lit(".")))
 
 
 def goal_variables(goal: Column) -> Column:
     """Names that begin with a capital, in order of first use."""
+    # fixed value: the shape of a variable
     return F.array_distinct(F.regexp_extract_all(goal, F.lit(r"\b([A-Z][A-Za-z0-9_]*)\b"), F.lit(1)))
 
 
@@ -116,6 +118,7 @@ def fol_goal(hypothesis: Column) -> Column:
     h = F.trim(hypothesis)
     bound = F.transform(F.regexp_extract_all(h, F.lit(_QUANTIFIER), F.lit(1)), F.lower)
     h = F.trim(F.regexp_replace(h, _QUANTIFIER + r"\s*", ""))
+    # fixed value: the shape of an atom in first-order text
     atom = r"(?s)^([A-Za-z_]\w*)\s*(?:\((.+)\))?\s*$"
     raw = F.regexp_extract(h, atom, 2)
     args = F.transform(F.split(raw, ","), lambda a: F.when(F.array_contains(bound, F.lower(F.trim(a))), F.upper(F.trim(a))).otherwise(F.trim(a)))
