@@ -13,7 +13,9 @@ import binascii
 import hashlib
 import json
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,13 +31,20 @@ KEYWORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "signed_token", "der_key", "ssh_key", "wrapped")
 
+ALPHABETS = ("A-Za-z0-9+/", "A-Za-z0-9_-")
 #: Runs of each base64 alphabet with whatever line ends lie within; '-' of armour is in the second alphabet only. The first
 #: look ahead passes over words: a candidate has 24 characters with its line ends and at most two signs of padding.
-RUNS = tuple(re.compile(rf"(?<![A-Za-z0-9+/_-])(?=[\r\n{c}]{{22}})[{c}]++(?:\r?\n[{c}]++)*+={{0,2}}") for c in ("A-Za-z0-9+/", "A-Za-z0-9_-"))
+RUNS = tuple(re.compile(rf"(?<![{c}])(?=[\r\n{c}]{{22}})[{c}]++(?:\r?\n[{c}]++)*+={{0,2}}") for c in ALPHABETS)
+#: Runs whose lines stand behind margins of blanks or quote marks. Their first line has 16 characters.
+MARGINS = tuple(re.compile(rf"(?<![{c}])[{c}]{{16,}}+(?:[ \t]*+\r?\n[ \t>]++[{c}]++)++={{0,2}}") for c in ALPHABETS)
 LINE = re.compile(r"[^\r\n]+")
+BEHIND_MARGIN = re.compile(r"[^\s>]+")
+#: What a secret may stand behind that its own alphabet holds too, and what stands between two such signs.
+SIGN = re.compile(r"[+/_-](?=[MAb])")
+PIECE = re.compile(r"[A-Za-z0-9]{22,}+={0,2}")
 ARMOUR = re.compile(r"-----BEGIN [A-Z0-9 ]+-----[ \t\r\n]*+([A-Za-z0-9+/ \t\r\n]++={0,2})[ \t\r\n]*+-----END ")
-TOKEN = re.compile(r"(?<![A-Za-z0-9_.-])(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
-ANY_HEX = re.compile(r"(?<![0-9A-Za-z])(?:[0-9a-f]{2}){24,}(?![0-9A-Za-z])|(?<![0-9A-Za-z])(?:[0-9A-F]{2}){24,}(?![0-9A-Za-z])")
+TOKEN = re.compile(r"(?<![A-Za-z0-9])(eyJ[A-Za-z0-9_-]*)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)(?![A-Za-z0-9_-])")
+ANY_HEX = re.compile(r"(?:(?<![0-9A-Za-z])|(?<=0[xX]))(?:(?:[0-9a-f]{2}){24,}|(?:[0-9A-F]{2}){24,})(?![0-9A-Za-z])")
 SSH_NAMES = (b"ssh-rsa", b"ssh-dss", b"ssh-ed25519", b"ecdsa-sha2-nistp256", b"ecdsa-sha2-nistp384", b"ecdsa-sha2-nistp521")
 
 Span = tuple[int, int, str]
@@ -150,6 +159,17 @@ def is_token_header(text: str) -> bool:
     return isinstance(header, dict) and isinstance(header.get("alg"), str) and bool(header["alg"])
 
 
+def tokens(text: str) -> list[Span]:
+    """Signed tokens, leftmost first. What only begins like one may hide one, so the search goes on behind its first part."""
+    out, at = [], 0
+    while m := TOKEN.search(text, at):
+        good = is_token_header(m[1])
+        if good:
+            out.append((m.start(), m.end(), "signed_token"))
+        at = m.end() if good else m.end(1)
+    return out
+
+
 def confirmed_as(data: bytes) -> str | None:
     if is_key(data):
         return "der_key"
@@ -159,7 +179,7 @@ def confirmed_as(data: bytes) -> str | None:
         text = data.decode("ascii")
     except UnicodeDecodeError:
         return None
-    if text.isprintable() and (base_spans(text) or any(is_token_header(m[1]) for m in TOKEN.finditer(text))):
+    if text.isprintable() and (base_spans(text) or bool(tokens(text))):
         return "wrapped"
     return None
 
@@ -186,62 +206,86 @@ def ssh_lengths(data: bytes) -> list[int]:
     return out[::-1]
 
 
-def run_spans(text: str, run: re.Match) -> list[Span]:
+def run_spans(text: str, start: int, stop: int) -> list[Span]:
     """What is confirmed in a run of base64: lines that belong together, wherever in the run they begin and end."""
-    lines = [(run.start() + m.start(), run.start() + m.end()) for m in LINE.finditer(run[0])]
-    if text[run.end() : run.end() + 1] in ("+", "/", "-", "_") and text[run.end() - 1] != "=" and not text.startswith("-----", run.end()):
-        lines.pop()  # the start of a word of the other alphabet
-    if not lines:
-        return []
+    lines = [(start + m.start(), start + m.end()) for m in LINE.finditer(text[start:stop])]
     out: list[Span] = []
     taken = [False] * len(lines)
 
-    def attempt(i: int, j: int) -> None:
-        if i <= j < len(lines) and lines[j][1] - lines[i][0] >= 24 and not any(taken[i : j + 1]):
-            if (raw := unbase64(text[lines[i][0] : lines[j][1]])) and (kind := confirmed_as(raw)):
-                out.append((lines[i][0], lines[j][1], kind))
+    def attempt(i: int, j: int, a: int | None = None, b: int | None = None) -> None:
+        """Lines i to j, the first from a on and the last up to b."""
+        if i <= j < len(lines) and not any(taken[i : j + 1]):
+            a, b = lines[i][0] if a is None else a, lines[j][1] if b is None else b
+            if b - a >= 24 and (raw := unbase64(text[a:b])) and (kind := confirmed_as(raw)):
+                out.append((a, b, kind))
                 taken[i : j + 1] = [True] * (j + 1 - i)
 
-    width = [b - a for a, b in lines]
-    # keys state how long they are, so the line that they end with follows from the line that they begin with
-    ends: list[int] = []
-    ends_at: dict[int, int] = {}
+    # keys state how long they are, so where they end follows from where they begin
+    ends = list(accumulate(len(text[a:b].rstrip("=")) for a, b in lines))
+
+    def key_ends(i: int, a: int, base: int, n: int) -> None:
+        """Attempt the key of n bytes that begins at a in line i, behind ``base`` characters of the run."""
+        to = base + (n * 8 + 5) // 6
+        j = bisect_left(ends, to)
+        if j < len(ends):
+            b = lines[j][0] + to - (ends[j - 1] if j else 0)
+            if ends[j] == to:
+                attempt(i, j, a)
+            elif not text[b].isalnum():
+                attempt(i, j, a, b)
+
     for i, (a, b) in enumerate(lines):
-        ends.append((ends[-1] if ends else 0) + len(text[a:b].rstrip("=")))
-        ends_at[ends[-1]] = i
-    for i, (a, b) in enumerate(lines if len(lines) > 1 else []):
-        if taken[i] or text[a] not in "MAb":
-            continue
-        head = unbase64(text[a : min(b, a + 40) - (min(b, a + 40) - a) % 4]) or b""
-        base = ends[i - 1] if i else 0
-        if (n := key_length(head)) is not None:
-            j = ends_at.get(base + (n * 8 + 5) // 6)
-            if j is not None:
-                attempt(i, j)
-        elif head.startswith(b"openssh-key-v1\0") or head[4 : 4 + int.from_bytes(head[:4], "big")] in SSH_NAMES:
-            rest = text[a : lines[-1][1]]
-            size = ends[-1] - base
-            raw = unbase64(rest) or unbase64(re.sub(r"[\r\n=]", "", rest)[: size - size % 4]) or b""
-            for n in ssh_lengths(raw):
-                j = ends_at.get(base + (n * 8 + 5) // 6)
-                if j is not None:
-                    attempt(i, j)
+        before = ends[i - 1] if i else 0
+        for p in [a, *(m.end() for m in SIGN.finditer(text, a, b))]:
+            if taken[i] or text[p] not in "MAb":
+                continue
+            to, base = min(b, p + 40), before + p - a
+            head = unbase64(text[p : to - (to - p) % 4]) or b""
+            if (n := key_length(head)) is not None:
+                key_ends(i, p, base, n)
+            elif head.startswith(b"openssh-key-v1\0") or head[4 : 4 + int.from_bytes(head[:4], "big")] in SSH_NAMES:
+                rest = text[p : lines[-1][1]]
+                size = ends[-1] - base
+                raw = unbase64(rest) or unbase64(re.sub(r"[\r\n=]", "", rest)[: size - size % 4]) or b""
+                for n in ssh_lengths(raw):
+                    key_ends(i, p, base, n)
+    if text[stop : stop + 1] in ("+", "/", "-", "_") and text[stop - 1] != "=" and not text.startswith("-----", stop):
+        lines.pop()  # the start of a word of the other alphabet
+    if not lines:
+        return out
     # other secrets: lines up to a short one, and lines of one width with a shorter last line, with and without what adjoins
+    width = [b - a for a, b in lines]
     for starts in ([i for i, w in enumerate(width) if i == 0 or w < 16], [i for i, w in enumerate(width) if i == 0 or w != width[i - 1]]):
         for i, after in zip(starts, [*starts[1:], len(lines)], strict=True):
             for first in (i, i + 1):
                 attempt(first, after)
                 attempt(first, after - 1)
-    for i in range(len(lines)):
+    for i, (a, b) in enumerate(lines):
         attempt(i, i)
+        for m in PIECE.finditer(text, a, b):
+            if m.end() - m.start() < b - a:
+                attempt(i, i, m.start(), m.end())
     return out
 
 
+def margin_spans(text: str, run: re.Match) -> list[Span]:
+    """What is confirmed in lines that stand behind margins, looked at without these."""
+    lines = [(run.start() + m.start(), run.start() + m.end()) for m in BEHIND_MARGIN.finditer(run[0])]
+    bare = "\n".join(text[a:b] for a, b in lines)
+    begins = [0, *accumulate(b - a + 1 for a, b in lines)]
+
+    def place(at: int) -> int:
+        i = bisect_right(begins, at) - 1
+        return lines[i][0] + at - begins[i]
+
+    return [(place(a), place(b - 1) + 1, kind) for a, b, kind in run_spans(bare, 0, len(bare))]
+
+
 def confirmed_spans(text: str) -> list[Span]:
     """(start, end, kind) of candidates that decode to something that holds together."""
     out: list[Span] = []
     if "eyJ" in text:
-        out += [(m.start(), m.end(), "signed_token") for m in TOKEN.finditer(text) if is_token_header(m[1])]
+        out += tokens(text)
     armoured = [] if "-----BEGIN " not in text else list(ARMOUR.finditer(text))
     for m in armoured:
         if (raw := unbase64(m[1])) and (kind := confirmed_as(raw)):
@@ -250,7 +294,11 @@ def confirmed_spans(text: str) -> list[Span]:
     for runs in RUNS:
         for m in runs.finditer(text):
             if m.end() - m.start() >= 24 and not any(a <= m.start() and m.end() <= b for a, b in known):
-                out += run_spans(text, m)
+                out += run_spans(text, m.start(), m.end())
+    known = [(a, b) for a, b, k in out if k != "signed_token"]
+    for runs in MARGINS:
+        for m in runs.finditer(text):
+            out += [s for s in margin_spans(text, m) if not any(a <= s[0] and s[1] <= b for a, b in known)]
     for m in ANY_HEX.finditer(text):
         if kind := confirmed_as(bytes.fromhex(m[0])):
             out.append((m.start(), m.end(), kind))

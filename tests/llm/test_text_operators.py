@@ -149,6 +149,41 @@ def test_wrapped_keys(width, end):
                 assert secrets.confirmed_spans(text) == [(len(before), len(before) + len(body), kind)], (name, before, behind)
 
 
+@pytest.mark.parametrize("width", [40, 64, 76])
+def test_keys_in_every_layout(width):
+    """Behind signs of their own alphabet, behind margins, in hex, with anything before and behind."""
+    import base64
+
+    for name, data, kind in _keys():
+        b64, url = base64.b64encode(data).decode(), base64.urlsafe_b64encode(data).decode()
+        lines = [b64[i : i + width] for i in range(0, len(b64), width)]
+        wrapped = {margin: f"\n{margin}".join(lines) for margin in ("    ", "\t", "> ", "> > ")}
+        layouts = [("", b64, ""), ('"', b64, '"'), ("key: ", b64, ", Thanks"), ("id-", b64, ""), ("id_", b64, " x"), ("/", b64, ""), ("a/b/", b64, "\nThanks"), ("x+", b64, "."), ("", url, ""), ("id-", url, ""), ("a/", url, ""), ("0x", data.hex(), ""), ("0X", data.hex().upper(), ";"), ("", data.hex(), "")]
+        layouts += [(f"key: |\n{m}", body, behind) for m, body in wrapped.items() for behind in ("", "\n", f"\n{m}Thanks a lot", "\nother: 1")]
+        layouts += [("path/", "\n".join(lines), ""), ("id-", "\n".join(lines), "\nThanks"), ("key: ", wrapped["    "], "\nThanks")]
+        if not b64.endswith("="):
+            layouts += [("", b64, "-old"), ("", b64, "/old")]
+        for before, body, behind in layouts:
+            text = before + body + behind
+            want = [(len(before), len(before) + len(body), kind)]
+            assert secrets.confirmed_spans(text) == want, (name, before, behind)
+            assert secrets.confirmed_spans(f"Some words.\n{text}") == [(a + 12, b + 12, k) for a, b, k in want], (name, before, behind)
+
+
+def test_tokens_and_wrapped_secrets_behind_signs():
+    import base64
+    import json
+
+    url = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    jwt = f"{url({'alg': 'HS256'})}.{url({'sub': 1})}.c2ln"
+    for before in (".", "a.", "id-", "eyJx.", "eyJx.eyJy.", "/"):
+        assert secrets.tokens(f"{before}{jwt} there") == [(len(before), len(before + jwt), "signed_token")], before
+    assert secrets.tokens("eyJx.eyJy.eyJz.eyJ") == []
+    hidden = base64.b64encode(b"the password=hunter222").decode()
+    for before, behind in (("a/", ""), ("id-", ""), ("", "/old"), ("x_", ".")):
+        assert secrets.confirmed_spans(before + hidden + behind) == [(len(before), len(before + hidden), "wrapped")], (before, behind)
+
+
 def test_wrapped_keys_with_any_last_line():
     import base64
 
