@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lemmata.llm import langid, mixing, neardup, packing, secrets
-from lemmata.llm.common import forget, keep, table
+from lemmata.llm.common import forget, keep, small_batches, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,7 +19,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.deduplicated(docs, width=5, similarity=80)
+    with small_batches(spark):  # sets of long texts come in batches of whatever size is allowed, on both sides
+        return neardup.deduplicated(docs, width=5, similarity=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
