@@ -31,7 +31,8 @@ def collapsed(s: Column) -> Column:
 def normalized_answer(s: Column) -> Column:
     """Small letters, no ASCII punctuation, no articles, single spaces."""
     plain = F.regexp_replace(F.lower(s), r"[!-/:-@\[-`{-~]", "")
-    return collapsed(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " "))
+    # boundaries as the scores of lists have them: a combining mark is no letter
+    return collapsed(F.regexp_replace(plain, r"(?<![\p{L}\p{N}_])(a|an|the)(?![\p{L}\p{N}_])", " "))
 
 
 def answer_tokens(s: Column) -> Column:

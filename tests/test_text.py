@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from lemmata.functions import text as T
+from lemmata.operators.scoring import _normal
 
 
 def run(spark, f, *values):
@@ -12,6 +13,11 @@ def test_normalized_answer(spark):
     assert run(spark, T.normalized_answer, "The  Cat, an <b>owl</b>!", "the", "<p>yes</p>", None) == ["cat bowlb", "", "pyesp", None]
 
 
+def test_normalized_answer_of_marks_and_letters(spark):
+    texts = ["a\u0301 cat", "\u00e1 the\u0301", "na an_a 1a the2 \u00e9a a\u00e9", "a a\u00a0an the a", "x\u0308a \u0627\u0644 a", "a"]
+    assert run(spark, T.normalized_answer, *texts) == [_normal(t) for t in texts]
+
+
 def test_answer_tokens_of_null_and_text(spark):
     assert run(spark, T.answer_tokens, None, "a b b c") == [[], ["b", "b", "c"]]
 
