@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lemmata.functions import sql
 from lemmata.functions import text as T
 from lemmata.operators import bridging as B
 from lemmata.operators import clauses as C
@@ -88,6 +89,22 @@ def pair_em_f1(spark, d):
     return docs.join(b, "k").withColumn("m", m).select("doc_id", "m.em", F.round("m.f1", 6).alias("f1"))
 
 
+@query(SQL["pair_em_f1"])
+def pair_em_f1_sql(spark, d):
+    """The pair metrics as SQL text over the session's functions."""
+    sql.register(spark)
+    b = _t(spark, d, "benchmark")
+    gold = records.chunked(b, 1, "item_id").select(F.col("chunk").alias("k"), F.col("rows")[0]["text"].alias("gold"))
+    text = "SELECT doc_id, answer_em(gold, text) AS em, round(answer_f1(gold, text), 6) AS f1 FROM {docs} JOIN {gold} ON doc_id % {n} = k"
+    return spark.sql(text, docs=_t(spark, d, "documents"), gold=gold, n=b.count())
+
+
+@query(SQL["norm_answer"])
+def norm_answer_sql(spark, d):
+    sql.register(spark)
+    return spark.sql("SELECT item_id, normalized_answer(text) AS norm FROM {items}", items=_t(spark, d, "benchmark"))
+
+
 @query("""
 WITH p AS (SELECT p_partkey, string_split(p_name, ' ') AS c FROM part),
 j AS (SELECT a.p_partkey, list_distinct(a.c) AS x, list_distinct(b.c) AS y FROM p a JOIN p b ON b.p_partkey = a.p_partkey + 1)

@@ -55,3 +55,18 @@ def test_intros(spark):
     assert run(spark, T.is_rule_intro, s, "Hello") == [True, False]
     assert run(spark, T.outcome, s, "You can claim") == ["NOT_ELIGIBLE", "ELIGIBLE"]
     assert run(spark, T.list_operator, "One of the following", "All of the following apply", "x") == ["ANY", "ALL", None]
+
+
+def test_sql_functions_are_the_column_functions(spark):
+    from lemmata.functions import sql
+    from lemmata.operators import scoring as S
+
+    sql.register(spark)
+    sql.register(spark)
+    rows = [("The cat, an owl!", "cat"), ("", ""), (None, "a"), (None, None), ("a a b b b", "b c b"), ("á thé", "x"), ("yes no", "no yes")]
+    df = spark.createDataFrame(rows, "g string, p string")
+    x, y, none = F.coalesce("g", F.lit("")), F.coalesce("p", F.lit("")), F.array().cast("array<string>").alias("conditions")
+    m = S.pair_metrics(F.struct(y.alias("answer"), none), F.struct(x.alias("answer"), none))
+    want = df.select("g", T.normalized_answer(F.col("g")), T.answer_tokens(F.col("g")), m["em"], S.answer_f1(F.col("g"), F.col("p"))).collect()
+    got = df.selectExpr("g", "normalized_answer(g)", "answer_tokens(g)", "answer_em(g, p)", "answer_f1(g, p)").collect()
+    assert [tuple(r) for r in got] == [tuple(r) for r in want]
