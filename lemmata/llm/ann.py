@@ -162,7 +162,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     index = pack(v, shards, True)
     asked = pack(q, blocks, False).select("dim", F.col("g").alias("block"), F.col("ids").alias("query_ids"), F.col("vectors").alias("queries"))
     asked = asked.withColumn("g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
-    met = asked.join(index, ["dim", "g"]).select("block", "query_ids", "queries", "ids", "vectors", "codes", "f")
+    # a row holds whole blocks, which no estimate of its size knows: neither side is for broadcasting
+    met = asked.join(index.hint("merge"), ["dim", "g"]).select("block", "query_ids", "queries", "ids", "vectors", "codes", "f")
     found = met.transform(map_arrow, _search(k), "block long, place long, query_id long, vec_id long, score double")
     order = Window.partitionBy("block", "place", "query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -205,6 +205,15 @@ def test_neighbours(spark):
     assert ann.search(df.limit(0), df.limit(0), 5).count() == 0
 
 
+def test_blocks_are_not_broadcast(spark):
+    rows = [(i, [float(i % 7 + 1), float(i)]) for i in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    found = ann.search(df, df.filter("vec_id % 50 = 0"), 5)
+    assert found.count() == 20
+    found.collect()
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_error_bounds_hold():
     rng = np.random.default_rng(2)
     v = rng.normal(size=(3000, 64))
