@@ -7,18 +7,22 @@ Sections, lists, rules and rendering are window and array expressions over a fla
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
 from lemmata.functions import text as T
 from lemmata.scratch import keep
-from lemmata.shipping import ship
+from lemmata.shipping import lean, ship
 
 EVENTS = "array<struct<tag:string,text:string,header:boolean,cells:array<array<string>>>>"
+_EVENTS = pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string()), ("header", pa.bool_()), ("cells", pa.list_(pa.list_(pa.string())))]))
+#: Characters of markup whose events are Python objects at a time; a longer page is by itself.
+AT_ONCE = 1 << 20
 _HEADINGS = {"h1", "h2", "h3", "h4"}
 _KEPT = _HEADINGS | {"p", "li", "table"}
 _BLOCKS = _KEPT | {"div", "ul", "ol", "section", "article", "footer", "header", "nav", "main", "tr", "td", "th", "h5", "h6", "blockquote", "pre"}
@@ -113,13 +117,28 @@ def read_events(html: str | None) -> list[dict]:
     return [{"tag": e["tag"], "text": _clean(e["text"]), "header": e["header"], "cells": None if e["cells"] is None else [[_clean(c) for c in row] for row in e["cells"]]} for e in reader.events]
 
 
+def read_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """The events of each page, in arrays of no more than about AT_ONCE characters of markup."""
+    for batch in batches:
+        found, size = [], 0
+        for page in batch:
+            html = page.as_py()
+            found.append(read_events(html))
+            size += len(html or "")
+            if size >= AT_ONCE:
+                yield pa.array(found, _EVENTS)
+                found, size = [], 0
+        if found or not len(batch):
+            yield pa.array(found, _EVENTS)
+
+
 def events(df: DataFrame, html: str) -> DataFrame:
     """``df`` with ``events`` of a markup column."""
     ship(df.sparkSession)
 
-    @pandas_udf(EVENTS)
-    def read(s: pd.Series) -> pd.Series:
-        return s.map(read_events)
+    @arrow_udf(EVENTS)
+    def read(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from lean(read_batches)(pages)
 
     return df.withColumn("events", read(F.col(html)))
 

@@ -1,5 +1,6 @@
 import json
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -214,3 +215,11 @@ def test_results_are_judged(spark):
     rows = [good, good.replace("2", "9"), good.replace("pays", "Pays"), "[]", "{", '{"fol": {"facts": []}}', None]
     got = [r[0] for r in spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r string").orderBy("i").select(answering.valid_result(F.col("r"))).collect()]
     assert got == [None, "predicate pays/9", "predicate Pays/2", "no record", "no record", "no Prolog block", "no record"]
+
+
+def test_events_of_a_batch_come_in_parts(monkeypatch):
+    pages = ["<p>a</p>" * 40, None, "", "<table><tr><th>x</th></tr></table>"] * 30
+    monkeypatch.setattr(H, "AT_ONCE", 1000)
+    parts = list(H.read_batches(iter([pa.array(pages)])))
+    assert len(parts) > 5 and max(len(x) for x in parts) <= 16
+    assert [e for x in parts for e in x.to_pylist()] == [H.read_events(x) for x in pages]
