@@ -10,6 +10,10 @@ the rounds until nothing is new, whatever the number of rules.
 Facts may hold nulls, which equal anything. They are then dealt by which places are null, and matches by which values are,
 and each pair of both meets on the places that both hold.
 
+All tables of an evaluation are dealt by the knowledge base, once each in a round. Whatever joins them meets on the knowledge
+base and more, so nothing is dealt again between the literals of a body, and nothing is broadcast: a table's file says little
+about the size of its rows.
+
 Negated literals wait for their stratum, and each knowledge base has strata of its own. With ``proofs`` a fact is one row for
 each of its proofs, with the clauses that the proof uses in the order in which it chooses them: sorted by these, the answers
 come in the order and number in which depth-first search finds them.
@@ -18,9 +22,11 @@ come in the order and number in which depth-first search finds them.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lemmata.functions.text import clean_goal
@@ -43,6 +49,24 @@ _ARGS = "array<struct<i:int,c:string>>"
 _LIT = f"struct<at:int,neg:boolean,pred:string,args:{_ARGS},mask:string>"
 
 
+@contextmanager
+def _by_kb(spark: SparkSession) -> Iterator[None]:
+    """What is executed inside joins tables that are ``_dealt`` as they lie, and broadcasts none."""
+    ours = {"spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1"}
+    before = {name: spark.conf.get(name, None) for name in ours}
+    try:
+        for name, value in ours.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def _dealt(df: DataFrame) -> DataFrame:
+    return df.repartition("kb")
+
+
 def _reserved() -> str:
     """A pattern for the names that mean something by themselves; texts that hold one are not flat."""
     own = {m.split("_", 2)[2] for m in dir(prover.Prover) if re.match(r"_\d_", m)} | set(prover._METHODS) | set(prover._TESTS) | set(prover._OF_LIST) | set(prover._COMPARE) | set(prover.UNSUPPORTED) | {"call", "is", "mod", "rem", "div"}
@@ -103,17 +127,20 @@ def strata(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
     if rules.filter(F.exists("body", lambda y: y["neg"])).isEmpty():
         return rules.withColumn("level", F.lit(0)), rules.select("kb").limit(0)
     needs = rules.select("kb", F.col("head.pred").alias("pred"), F.size("head.args").alias("n"), F.explode("body").alias("b")).select("kb", "pred", "n", F.col("b.pred").alias("p"), F.size("b.args").alias("m"), F.col("b.neg").cast("int").alias("neg")).distinct()
+    needs = _dealt(needs)
     some = needs.groupBy("kb").agg(F.max("neg").alias("neg")).filter("neg = 1").select("kb")
     needs = keep(needs.join(some, "kb"), "needs")
-    heads = rules.join(some, "kb", "left_semi").select("kb", F.col("head.pred").alias("pred"), F.size("head.args").alias("n")).distinct()
+    heads = _dealt(rules.select("kb", F.col("head.pred").alias("pred"), F.size("head.args").alias("n"))).distinct().join(_dealt(needs.select("kb")), "kb", "left_semi")
     level = keep(heads.join(heads.groupBy("kb").agg(F.count(F.lit(1)).alias("most")), "kb").withColumn("level", F.lit(0)).withColumn("rose", F.lit(True)), "levels")
     while not level.filter("rose and level <= most").isEmpty():
-        below = level.filter("level <= most").select("kb", F.col("pred").alias("p"), F.col("n").alias("m"), F.col("level").alias("under"))
-        least = needs.join(below, ["kb", "p", "m"]).groupBy("kb", "pred", "n").agg(F.max(F.col("under") + F.col("neg")).alias("least"))
-        risen = level.join(least, ["kb", "pred", "n"], "left").select("kb", "pred", "n", "most", F.greatest("level", F.coalesce("least", F.lit(0))).alias("level"), (F.coalesce("least", F.lit(0)) > F.col("level")).alias("rose"))
+        here = _dealt(level)
+        below = here.filter("level <= most").select("kb", F.col("pred").alias("p"), F.col("n").alias("m"), F.col("level").alias("under"))
+        least = _dealt(needs).join(below, ["kb", "p", "m"]).groupBy("kb", "pred", "n").agg(F.max(F.col("under") + F.col("neg")).alias("least"))
+        risen = here.join(least, ["kb", "pred", "n"], "left").select("kb", "pred", "n", "most", F.greatest("level", F.coalesce("least", F.lit(0))).alias("level"), (F.coalesce("least", F.lit(0)) > F.col("level")).alias("rose"))
         before, level = level, keep(risen, "levels")
         forget(before)
     forget(needs)
+    rules, level = _dealt(rules), _dealt(level)
     bad = level.filter("level > most").select("kb").distinct()
     own = level.select("kb", F.col("pred").alias("p"), F.col("n").alias("m"), "level")
     on = [rules["kb"] == own["kb"], rules["head.pred"] == F.col("p"), F.size(rules["head.args"]) == F.col("m")]
@@ -167,10 +194,11 @@ class _Step:
         vals = _VALUES.replace("lit.", f"{lit}.")
         if not self.wildcards:
             return partial.select("*", *own, F.expr(f"{lit}.mask").alias("mask"), F.expr(f"filter({vals}, (v, i) -> substring({lit}.mask, i + 1, 1) = '1')").alias("values")), f
-        p = self.kept(partial.select("*", *own, F.expr(vals).alias("vals"), F.expr(f"array_join(transform({vals}, v -> if(v is null, '0', '1')), '')").alias("bound")), "partial")
+        # what is written here is read twice, and would else be made twice for each literal
+        p = _dealt(self.kept(partial.select("*", *own, F.expr(vals).alias("vals"), F.expr(f"array_join(transform({vals}, v -> if(v is null, '0', '1')), '')").alias("bound")), "partial"))
         ways = f.select("kb", "pred", "n", "holds").distinct().join(p.select("kb", "pred", "n", "bound").distinct(), ["kb", "pred", "n"])
         both = "array_join(zip_with(split(holds, ''), split(bound, ''), (a, b) -> if(a = '1' and b = '1', '1', '0')), '')"
-        ways = self.kept(ways.withColumn("mask", F.expr(both)), "ways")
+        ways = ways.withColumn("mask", F.expr(both))
         p = p.join(ways, ["kb", "pred", "n", "bound"], "left").withColumn("values", F.expr("filter(vals, (v, i) -> substring(mask, i + 1, 1) = '1')"))
         f = f.join(ways.select("kb", "pred", "n", "holds", "mask").distinct(), ["kb", "pred", "n", "holds"])
         return p, f.withColumn("values", F.expr("filter(there, (v, i) -> substring(mask, i + 1, 1) = '1')"))
@@ -215,26 +243,28 @@ def closure(rules: DataFrame, facts: DataFrame, *, wildcards: bool = False, proo
     each = base.withColumn("d", F.explode("positive")).withColumn("todo", _masked(F.concat(F.array("d"), F.filter("positive", lambda y: y["at"] != F.col("d.at"))), none))
     plans = keep(begin(every, True).unionByName(begin(each, False)), "plans")
     asked = plans.select("kb", F.explode(F.concat(F.array("lit"), F.col("todo"), F.col("negs"))).alias("y")).filter("y is not null")
-    needs = keep(asked.select("kb", F.col("y.pred").alias("pred"), F.size("y.args").alias("n"), F.col("y.mask").alias("mask")).distinct(), "bound-places")
+    needs = keep(_dealt(asked.select("kb", F.col("y.pred").alias("pred"), F.size("y.args").alias("n"), F.col("y.mask").alias("mask"))).distinct(), "bound-places")
     longest = plans.groupBy("level").agg(F.max(F.size("todo") + F.col("lit").isNotNull().cast("int")).alias("body"), F.max(F.size("negs")).alias("negs"))
-    step = _Step(needs, wildcards, proofs)
+    step = _Step(_dealt(needs), wildcards, proofs)
     given = facts.select("kb", "pred", F.size("args").alias("n"), "args", *(["key"] if proofs else []))
-    known = step.kept(given if proofs else given.distinct(), "facts")
+    known = step.kept(given if proofs else _dealt(given).distinct(), "facts")
     growing = known.select("kb").limit(0)
     for level, body, negs in sorted(map(tuple, longest.collect())):  # a row for each stratum
-        here, latest = plans.filter(F.col("level") == level), None
+        here, latest = _dealt(plans.filter(F.col("level") == level)), None
         again = here.filter("not whole")
         for done in count(1):
-            all_known = step.indexed(known)
+            # none of these is null; said here, the optimizer adds no such filter to some of the uses, and all share one exchange
+            so_far = _dealt(known.filter(" and ".join(f"{c} is not null" for c in step.identity)))
+            all_known = step.indexed(so_far)
             p = (here.filter("whole") if latest is None else again).drop("whole", "level")
             for k in range(body):
-                p = step.extend(p, step.indexed(latest) if k == 0 and latest is not None else all_known)
+                p = step.extend(p, step.indexed(_dealt(latest)) if k == 0 and latest is not None else all_known)
             for _ in range(negs):
                 p = step.without(p, all_known)
-            latest = step.kept(step.heads(p).join(known, step.identity, "left_anti"), "facts")
+            latest = step.kept(step.heads(p).join(so_far, step.identity, "left_anti"), "facts")
             known = known.unionByName(latest)
             first = again.select("kb", F.col("lit.pred").alias("pred"), F.expr("size(lit.args)").alias("n"))
-            if latest.join(first, ["kb", "pred", "n"], "left_semi").isEmpty():  # no rule of the stratum starts from what is new
+            if _dealt(latest).join(first, ["kb", "pred", "n"], "left_semi").isEmpty():  # no rule of the stratum starts from what is new
                 break
             if done == most_rounds:
                 growing = growing.unionByName(latest.select("kb")).distinct()
@@ -263,11 +293,12 @@ def flat_programs(df: DataFrame, program: str, goal: str) -> tuple[DataFrame, Da
     c = keep(read_clauses(lines), "clauses")
     denies = F.exists("body", lambda y: y["neg"] & F.exists(y["args"], lambda a: a["i"].isNotNull()))
     variables = F.filter(F.transform("head.args", lambda a: a["i"]), lambda i: i.isNotNull())
-    told = c.groupBy("kb").agg(F.min("safe").alias("safe"), F.max(_open()).alias("open"), F.max(F.size(variables) > F.size(F.array_distinct(variables))).alias("repeats"), F.max(denies).alias("denies"))
-    odd = told.filter(~F.col("safe") | F.col("open") & (F.col("repeats") | F.col("denies"))).select("kb")
-    good = c.join(odd, "kb", "left_anti")
-    facts = good.filter(F.size("body") == 0).select("kb", F.col("head.pred").alias("pred"), F.transform("head.args", lambda a: a["c"]).alias("args"), F.array("clause").alias("key"))
-    return good.filter(F.size("body") > 0), facts, odd
+    of_heads = _dealt(c.select("kb", "safe", _open().alias("open"), (F.size(variables) > F.size(F.array_distinct(variables))).alias("repeats"), denies.alias("denies")))
+    told = of_heads.groupBy("kb").agg(F.min("safe").alias("safe"), F.max("open").alias("open"), F.max("repeats").alias("repeats"), F.max("denies").alias("denies"))
+    odd = keep(told.filter(~F.col("safe") | F.col("open") & (F.col("repeats") | F.col("denies"))).select("kb"), "odd")
+    good = lambda x: _dealt(x).join(_dealt(odd), "kb", "left_anti")
+    facts = c.filter(F.size("body") == 0).select("kb", F.col("head.pred").alias("pred"), F.transform("head.args", lambda a: a["c"]).alias("args"), F.array("clause").alias("key"))
+    return good(c.filter(F.size("body") > 0)), good(facts), odd
 
 
 def answered(df: DataFrame, program: str = "program", goal: str = "goal", *, steps: int = prover.STEPS, most_rounds: int = ROUNDS) -> DataFrame:
@@ -285,23 +316,27 @@ def answered(df: DataFrame, program: str = "program", goal: str = "goal", *, ste
     flat = next(x for x in (f"flat{'_' * i}" for i in count()) if x not in names)
     x = keep(df.withColumn(row, F.monotonically_increasing_id()).withColumn(flat, is_flat(F.col(program), clean)), "questions")
     asked = x.filter(flat).select(F.col(row).alias("kb"), F.col(program).alias("program"), clean.alias("goal"))
-    rules, facts, odd = flat_programs(asked, "program", "goal")
-    rules, bad = strata(rules)
-    rules, facts = keep(rules, "rules"), keep(facts, "facts")
-    wild = not facts.filter(F.exists("args", lambda v: v.isNull())).isEmpty() or not rules.filter(_open()).isEmpty()
-    all_, _ = closure(rules, facts, wildcards=wild)
-    hit = all_.filter(F.col("pred") == ANSWER).select("kb", "n").distinct()
-    with_values = hit.filter("n > 0").select("kb")
-    proved, endless = closure(rules.join(with_values, "kb", "left_semi"), facts.join(with_values, "kb", "left_semi"), wildcards=wild, proofs=True, most_rounds=most_rounds)
-    shown = F.transform("args", lambda v: F.coalesce(v, F.lit("_")))
-    value = F.when(F.col("n") == 1, shown[0]).otherwise(F.concat(F.lit("["), F.array_join(shown, ","), F.lit("]")))
-    values = proved.filter(F.col("pred") == ANSWER).groupBy("kb").agg(F.transform(F.sort_array(F.collect_list(F.struct("key", value.alias("value")))), lambda v: v["value"]).alias("values"))
-    found = asked.select("kb").join(odd, "kb", "left_anti").join(hit.select("kb").withColumn("hit", F.lit(True)), "kb", "left").join(values, "kb", "left")
-    found = found.join(bad.withColumn("bad", F.lit(True)), "kb", "left").join(endless.withColumn("endless", F.lit(True)), "kb", "left")
-    error = F.when(F.col("bad"), F.lit("a predicate depends on its own negation")).when(F.col("endless"), F.lit("timeout"))
-    none = F.array().cast("array<string>")
-    found = found.select(F.col("kb").alias("found_kb"), F.when(error.isNull(), F.coalesce("hit", F.lit(False))).alias("entails"), F.when(error.isNull(), F.coalesce("values", none)).otherwise(none).alias("values"), error.alias("error"))
-    told = x.join(found, F.col(row) == F.col("found_kb"))
-    rest = x.join(found.select("found_kb"), F.col(row) == F.col("found_kb"), "left_anti")
+    with _by_kb(df.sparkSession):
+        rules, facts, odd = flat_programs(asked, "program", "goal")
+        rules, bad = strata(rules)
+        rules = keep(rules, "rules")
+        body = _dealt(rules.select("kb", F.explode("body").alias("b"))).select("kb", F.col("b.pred").alias("p"), F.size("b.args").alias("m"))
+        asks = [facts["kb"] == body["kb"], F.col("pred") == F.col("p"), F.size("args") == F.col("m")]
+        facts = keep(facts.join(body, asks, "left_semi"), "facts")  # no literal meets the others
+        wild = not facts.filter(F.exists("args", lambda v: v.isNull())).isEmpty() or not rules.filter(_open()).isEmpty()
+        all_, _ = closure(rules, facts, wildcards=wild)
+        hit = _dealt(all_.filter(F.col("pred") == ANSWER).select("kb", "n")).distinct()
+        with_values = hit.filter("n > 0").select("kb")
+        proved, endless = closure(_dealt(rules).join(with_values, "kb", "left_semi"), _dealt(facts).join(with_values, "kb", "left_semi"), wildcards=wild, proofs=True, most_rounds=most_rounds)
+        shown = F.transform("args", lambda v: F.coalesce(v, F.lit("_")))
+        value = F.when(F.col("n") == 1, shown[0]).otherwise(F.concat(F.lit("["), F.array_join(shown, ","), F.lit("]")))
+        values = _dealt(proved.filter(F.col("pred") == ANSWER)).groupBy("kb").agg(F.transform(F.sort_array(F.collect_list(F.struct("key", value.alias("value")))), lambda v: v["value"]).alias("values"))
+        found = _dealt(asked.select("kb")).join(_dealt(odd), "kb", "left_anti").join(hit.select("kb").withColumn("hit", F.lit(True)), "kb", "left").join(values, "kb", "left")
+        found = found.join(_dealt(bad).withColumn("bad", F.lit(True)), "kb", "left").join(_dealt(endless).withColumn("endless", F.lit(True)), "kb", "left")
+        error = F.when(F.col("bad"), F.lit("a predicate depends on its own negation")).when(F.col("endless"), F.lit("timeout"))
+        none = F.array().cast("array<string>")
+        found = keep(found.select(F.col("kb").alias("found_kb"), F.when(error.isNull(), F.coalesce("hit", F.lit(False))).alias("entails"), F.when(error.isNull(), F.coalesce("values", none)).otherwise(none).alias("values"), error.alias("error")), "found")
+    told = x.join(found.hint("merge"), F.col(row) == F.col("found_kb"))
+    rest = x.join(found.select("found_kb").hint("merge"), F.col(row) == F.col("found_kb"), "left_anti")
     out = prover.answered(rest, program, goal, steps)
     return told.select(*df.columns, "entails", "values", "error").unionByName(out.select(*df.columns, "entails", "values", "error"))

@@ -93,3 +93,20 @@ def test_no_job_for_each_rule(spark):
         return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
 
     assert jobs(30) <= jobs(2) + 15  # adaptive execution may start a job for an exchange more or less
+
+
+def test_evaluation_broadcasts_nothing(spark, monkeypatch):
+    """What is executed is dealt by the knowledge base, whatever the files' sizes say; settings are as before."""
+    plans, keep = [], programs.keep
+
+    def kept(df, name, **options):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(df, name, **options)
+
+    monkeypatch.setattr(programs, "keep", kept)
+    names = ("spark.sql.requireAllClusterKeysForCoPartition", "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = [spark.conf.get(x, None) for x in names]
+    df = spark.createDataFrame([(1, "e(a, b).\nu(c).\np(X) :- e(X, Y), \\+ e(Y, X).", "p(X)")], "id long, program string, goal string")
+    assert [tuple(r) for r in programs.answered(df).select("entails", "values").collect()] == [(True, ["a"])]
+    assert any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
+    assert [spark.conf.get(x, None) for x in names] == before
