@@ -1,6 +1,7 @@
 """Policy pages as typed document trees.
 
-Only reading markup is Python (events of headings, paragraphs, items and tables, in one Arrow pass over the documents).
+Only reading markup is Python (events of headings, paragraphs, items and tables, in one Arrow pass over the documents, which
+are dealt out by document before it).
 Sections, lists, rules and rendering are window and array expressions over a flat node table
 (doc, pos, parent, depth, type, level, title, text, intro, operator, outcome, items, exceptions, columns, rows).
 """
@@ -132,15 +133,18 @@ def read_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             yield pa.array(found, _EVENTS)
 
 
-def events(df: DataFrame, html: str) -> DataFrame:
-    """``df`` with ``events`` of a markup column."""
+def events(df: DataFrame, html: str | Column, doc: str = "doc") -> DataFrame:
+    """``df`` with ``events`` of a markup column.
+
+    Rows are dealt out by ``doc`` first, or few files would be parsed by as few tasks. Equal pages stay apart.
+    """
     ship(df.sparkSession)
 
     @arrow_udf(EVENTS)
     def read(pages: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield from lean(read_batches)(pages)
 
-    return df.withColumn("events", read(F.col(html)))
+    return df.repartition(F.col(doc)).withColumn("events", read(F.col(html) if isinstance(html, str) else html))
 
 
 def table_columns(header: Column, cells: Column) -> Column:
@@ -208,8 +212,8 @@ def semantic(nodes: DataFrame) -> DataFrame:
 
 def semantic_tree(df: DataFrame, contents: str = "contents", doc: str = "doc") -> DataFrame:
     """The semantic node table of documents (``doc``, ``contents`` array of lines)."""
-    markup = F.concat(F.lit("<div>"), F.array_join(joined_rows(F.col(contents)), "\n"), F.lit("</div>"))
-    return semantic(outline(events(df.select(F.col(doc).alias("doc"), markup.alias("html")), "html")))
+    markup = F.concat(F.lit("<div>"), F.array_join(joined_rows(F.col("contents")), "\n"), F.lit("</div>"))
+    return semantic(outline(events(df.select(F.col(doc).alias("doc"), F.col(contents).alias("contents")), markup)))
 
 
 def rendered(nodes: DataFrame) -> DataFrame:

@@ -223,3 +223,16 @@ def test_events_of_a_batch_come_in_parts(monkeypatch):
     parts = list(H.read_batches(iter([pa.array(pages)])))
     assert len(parts) > 5 and max(len(x) for x in parts) <= 16
     assert [e for x in parts for e in x.to_pylist()] == [H.read_events(x) for x in pages]
+
+
+def test_pages_of_one_file_are_parsed_by_many_tasks(spark):
+    df = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc"), F.format_string("<p>%d</p>", "id").alias("html"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few pages are one task again
+    try:
+        got = H.events(df, "html").select("doc", F.col("events")[0]["text"].alias("text"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {r["doc"]: r["text"] for r in got} == {i: str(i) for i in range(400)}
+    assert len({r["task"] for r in got}) == 4
+    plan = H.semantic_tree(df.select("doc", F.array("html").alias("contents")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.rindex("Exchange hashpartitioning(doc")  # the parser reads what is dealt out
