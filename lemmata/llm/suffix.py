@@ -18,6 +18,7 @@ from __future__ import annotations
 import gc
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,8 +30,11 @@ from lemmata.llm.common import _BASE, _INVERSE
 from lemmata.shipping import map_arrow
 
 LEAST, K = 100, 32
-#: Symbols in one transform, and contexts of one anchor that are given to one task.
-SYMBOLS, GROUP = 1_500_000, 8_000
+#: Symbols in one transform, as many as a processor's cache holds (any number gives the same result), and contexts of one
+#: anchor that are given to one task.
+SYMBOLS, GROUP = 300_000, 8_000
+#: Bytes of texts that are hashed together; whole texts, so one that is longer stands alone.
+PIECE = 1 << 16
 
 
 def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
@@ -41,13 +45,23 @@ def _slide(x: np.ndarray, width: int, f) -> np.ndarray:
     return f(x[: len(x) - (width - n)], x[width - n :]) if n < width else x
 
 
+@lru_cache(2)
+def _few_powers(base: np.uint64, n: int) -> np.ndarray:
+    return powers(base, n)
+
+
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    """base ** 0 .. base ** n modulo 2**64; those of buffers of usual size are kept."""
+    return _few_powers(base, PIECE)[: n + 1] if n <= PIECE else powers(base, n)
+
+
 class Hashes:
     """Hashes of any substring of a buffer in constant time, modulo 2**64."""
 
     def __init__(self, data: np.ndarray):
         self.sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_BASE, max(0, len(data) - 1))[: len(data)], out=self.sums[1:])
-        self.inverse = powers(_INVERSE, len(data))
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data))[: len(data)], out=self.sums[1:])
+        self.inverse = _powers(_INVERSE, len(data))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return (self.sums[end] - self.sums[start]) * self.inverse[start]
@@ -71,51 +85,118 @@ def anchors(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, k: int =
     return place, text, gram[place], around
 
 
-def transform_classes(symbols: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in order of their first ``least`` symbols, and whether each begins a new class of equal prefixes.
+def anchors_by_piece(data: np.ndarray, offsets: np.ndarray, least: int = LEAST, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors``, found in pieces that a processor's cache holds."""
+    found, i, n = [], 0, len(offsets) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + PIECE, "right")) - 1)
+        place, text, gram, around = anchors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], least, k)
+        found.append((place + offsets[i], text + i, gram, around))
+        i = j
+    return tuple(map(np.concatenate, zip(*found, strict=True))) if found else anchors(data, offsets, least, k)
+
 
-    ``symbols`` are small integers; prefixes that meet the end go round, which callers exclude.
+def _dense(code: np.ndarray) -> tuple[np.ndarray, int]:
+    """The rank of each of some small numbers among the different ones, and how many there are."""
+    used = np.bincount(code) > 0
+    return (np.cumsum(used) - 1)[code], int(np.count_nonzero(used))
+
+
+def _ahead(rank: np.ndarray, step: int) -> np.ndarray:
+    """The ranks ``step`` places further on, going round."""
+    step %= len(rank)
+    return np.concatenate([rank[step:], rank[:step]]) if step else rank
+
+
+def _sorted_suffixes(rank: np.ndarray, count: int, least: int) -> np.ndarray:
+    """Suffixes in order of their first ``least`` symbols. ``rank`` are the symbols, all numbers below ``count``.
+
+    Ranks by some symbols are joined to ranks by several times as many: by counting while there are few pairs, then by sorting
+    keys that have the suffix's number in their lower bits.
     """
-    n = len(symbols)
-    used = np.bincount(symbols) > 0
-    dense = (np.cumsum(used) - 1)[symbols]
-    bits = max(1, int(used.sum() - 1).bit_length())
-    key, have = dense, 1
-    while have * 2 * bits <= 62 and have * 2 <= least:
-        key, have = (key << (bits * have)) | np.roll(key, -have), have * 2
+    n, have = len(rank), 1
     wide = max(1, int(n - 1).bit_length())
+    while 2 * have <= least and count * count <= 4 * n:
+        rank, count = _dense(rank * count + _ahead(rank, have))
+        have *= 2
     while True:
-        order = np.argsort(key)
-        ordered = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+        bits = max(1, (count - 1).bit_length())
+        parts = min((63 - wide) // bits, -(-least // have))
+        apart = parts < min(2, -(-least // have))  # too many suffixes for their numbers to fit
+        if apart:
+            parts = 2
+        reach = min(parts * have, least)
+        key = rank
+        for j in range(1, parts):
+            key = (key << bits) | _ahead(rank, min(j * have, reach - have))
+        if apart:
+            order = np.argsort(key)
+            key = key[order]
+        else:
+            key = np.sort((key << wide) | np.arange(n))
+            order = key & ((1 << wide) - 1)
+            key >>= wide
+        have = reach
         if have >= least:
-            break
-        step = min(have, least - have)  # the next symbols, or the last of the wanted ones
-        key, have = (rank << wide) | np.roll(rank, -step), have + step
-        if 3 * wide <= 63 and have < least:  # three ranks fit one key
-            last = min(step, least - have)
-            key, have = (key << wide) | np.roll(rank, -(have - step + last)), have + last
+            return order
+        ranked = np.zeros(n, np.int64)
+        np.cumsum(key[1:] != key[:-1], out=ranked[1:])
+        count = int(ranked[-1]) + 1
+        rank = np.empty(n, np.int64)
+        rank[order] = ranked
+
+
+def transform_classes(symbols: np.ndarray, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes in order of their first ``least`` symbols, and whether each begins a new class of equal prefixes.
+
+    ``symbols`` are small integers; prefixes that meet the end go round, which callers exclude. Intervals are extended over
+    the runs of the transform: in an interval the first place of a symbol is the interval's start or a run's.
+    """
+    n = len(symbols)
+    dense, count = _dense(symbols)
+    order = _sorted_suffixes(dense, count, least)
     before = dense[order - 1]  # the transform: the symbol before each suffix
-    by_symbol = np.argsort(before.astype(np.uint16), kind="stable")
-    back = np.empty(n, np.int64)  # where the suffix that is one symbol longer stands
-    back[by_symbol] = np.arange(n)
-    same = np.concatenate([[False], before[by_symbol][1:] == before[by_symbol][:-1]])
-    last_seen, next_seen = np.full(n, -1), np.full(n, n)
-    last_seen[by_symbol[1:][same[1:]]] = by_symbol[:-1][same[1:]]
-    next_seen[by_symbol[:-1][same[1:]]] = by_symbol[1:][same[1:]]
+    turn = np.concatenate([[True], before[1:] != before[:-1]])
+    head = np.flatnonzero(turn)
+    run_of = np.cumsum(turn) - 1
+    size = np.diff(np.append(head, n))
+    tail = head + size - 1
+    symbol = before[head]
+    by_symbol = np.argsort(symbol.astype(np.uint16), kind="stable")
+    # how far from a suffix of a run the suffix stands that is one symbol longer
+    away = np.empty(len(head), np.int64)
+    away[by_symbol] = np.cumsum(size[by_symbol]) - size[by_symbol]
+    away -= head
+    left, right = by_symbol[:-1], by_symbol[1:]
+    same = symbol[left] == symbol[right]
+    last_seen, next_seen = np.full(len(head), -1), np.full(len(head), len(head))
+    last_seen[right[same]] = left[same]
+    next_seen[left[same]] = right[same]
     open_ = np.ones(n + 1, bool)  # boundaries whose common prefix is not known yet
     open_[[0, n]] = False
     low, high = np.array([0]), np.array([n - 1])
     for _ in range(least):
-        width = high - low + 1
+        one, end = run_of.take(low), run_of.take(high)
+        several = one != end
+        lone = np.flatnonzero(~several)  # one symbol comes before all of such an interval
+        far = away.take(one.take(lone))
+        lone_low, lone_high = low.take(lone) + far, high.take(lone) + far
+        several = np.flatnonzero(several)
+        low, high, one, end = (x.take(several) for x in (low, high, one, end))
+        width = end - one + 1
+        stop = np.cumsum(width)
         whose = np.repeat(np.arange(len(low)), width)
-        at = np.arange(len(whose)) - np.repeat(np.cumsum(width) - width, width) + low[whose]
+        run = np.arange(len(whose)) + (one - stop + width).take(whose)
         # each different symbol before an interval: its first place gives the longer interval's start, its last the end
-        start = np.sort(back[at[last_seen[at] < low[whose]]])
-        end = np.sort(back[at[next_seen[at] > high[whose]]])
-        new = open_[end + 1]
-        low, high = start[new], end[new]
+        into = np.flatnonzero(last_seen.take(run) < one.take(whose))
+        r = run.take(into)
+        start = np.sort(away.take(r) + np.maximum(low.take(whose.take(into)), head.take(r)))
+        into = np.flatnonzero(next_seen.take(run) > end.take(whose))
+        r = run.take(into)
+        end = np.sort(away.take(r) + np.minimum(high.take(whose.take(into)), tail.take(r)))
+        low, high = np.concatenate([start, lone_low]), np.concatenate([end, lone_high])
+        new = np.flatnonzero(open_.take(high + 1))
+        low, high = low.take(new), high.take(new)
         open_[high + 1] = False
         if not len(low):
             break
@@ -134,11 +215,12 @@ def repeats(contexts: list[bytes], order_key: np.ndarray, start: np.ndarray, lea
     ends = np.cumsum(size + 1) - 1
     joined[ends] = 0
     order, first = transform_classes(joined, least)
-    whose = np.searchsorted(ends, order)
-    offset = order - (ends - size)[whose]
-    wanted = offset + least <= size[whose]
+    owner = np.repeat(np.arange(len(size)), size + 1)
+    wanted = (np.arange(len(joined)) + least <= ends[owner])[order]
     group = np.cumsum(first)[wanted]
-    whose, offset = whose[wanted], offset[wanted]
+    order = order[wanted]
+    whose = owner[order]
+    offset = order - (ends - size)[whose]
     if not len(whose):
         return whose, offset
     place = (order_key[whose] << 32) + start[whose] + offset
@@ -166,11 +248,16 @@ _ANCHORS = "h long, s long, doc_id long, at long, sure boolean"
 
 def _later(h: np.ndarray, s: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Which anchors have the context of another one at an earlier place."""
-    order = np.lexsort((at, doc, s, h))
+    out = np.zeros(len(h), bool)
+    order = np.argsort(s)
+    same = s[order[1:]] == s[order[:-1]]
+    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])]  # the others are alone with their context
+    if not len(order):
+        return out
+    order = order[np.lexsort((at[order], doc[order], s[order], h[order]))]
     h, s, doc, at = h[order], s[order], doc[order], at[order]
     new = np.concatenate([[True], (h[1:] != h[:-1]) | (s[1:] != s[:-1])])
     lead = np.repeat(np.flatnonzero(new), np.diff(np.append(np.flatnonzero(new), len(h))))
-    out = np.zeros(len(h), bool)
     out[order] = (doc != doc[lead]) | (at != at[lead])
     return out
 
@@ -205,7 +292,7 @@ def _find(batches: Iterator[pa.RecordBatch], least: int, k: int) -> Iterator[pa.
             if gone:
                 doc, t, size = (np.array(x, np.int64) for x in zip(*gone, strict=True))
                 yield rows(mix64(doc.view(np.uint64)), size, doc, t << 32, True)
-            place, text, h, s = anchors(data, offsets, least, k)
+            place, text, h, s = anchors_by_piece(data, offsets, least, k)
             mine = fresh[text]
             place, text, h, s = place[mine], text[mine], h[mine], s[mine]
             if not len(place):

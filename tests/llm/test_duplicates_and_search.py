@@ -30,6 +30,47 @@ def test_transform_classes():
         assert first[0] and all(bool(first[i]) == (prefixes[i] != prefixes[i - 1]) for i in range(1, len(prefixes)))
 
 
+def test_transform_works_on_runs(monkeypatch):
+    rng = random.Random(3)
+    passage = [rng.randrange(60) + 1 for _ in range(400)]
+    s = np.array([x for i in range(60) for x in (*passage[i % 7 : 200 + 3 * i], 0)])
+    made = []
+    repeat = np.repeat
+    monkeypatch.setattr(suffix.np, "repeat", lambda *args: made.append(len(out := repeat(*args))) or out)
+    order, first = suffix.transform_classes(s, 100)
+    monkeypatch.undo()
+    assert sum(made) < len(s)  # places looked at in all intervals together; place by place they are 6 times the symbols
+    twice = np.concatenate([s, s])
+    prefixes = [tuple(twice[i : i + 100]) for i in order]
+    assert prefixes == sorted(prefixes) and [bool(f) for f in first] == [i == 0 or prefixes[i] != prefixes[i - 1] for i in range(len(s))]
+
+
+def test_transform_of_very_many_suffixes():
+    n, least = (1 << 21) + 50_000, 8  # ranks and the suffix's number do not fit one key
+    s = np.random.default_rng(5).integers(0, 200, n)
+    s[1_500_000:1_600_000] = s[:100_000]
+    order, first = suffix.transform_classes(s, least)
+    key = np.zeros(n, np.uint64)
+    for i in range(least):
+        key = (key << np.uint64(8)) | np.roll(s, -i).astype(np.uint64)
+    key = key[order]
+    assert (np.bincount(order, minlength=n) == 1).all() and (key[1:] >= key[:-1]).all()
+    assert first[0] and (first[1:] == (key[1:] != key[:-1])).all()
+
+
+def test_anchors_by_piece(monkeypatch):
+    rng = random.Random(6)
+    sizes = [0, 300, 20, 5000, 0, 99, 100, 700, 1200, 40, 0]
+    data = np.array([rng.randrange(3) + 97 for _ in range(sum(sizes))], np.uint8)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    want = suffix.anchors(data, offsets)
+    whole, seen = suffix.anchors, []
+    monkeypatch.setattr(suffix, "anchors", lambda part, *args: seen.append(len(part)) or whole(part, *args))
+    monkeypatch.setattr(suffix, "PIECE", 1000)
+    assert all((a == b).all() for a, b in zip(want, suffix.anchors_by_piece(data, offsets), strict=True))
+    assert max(seen) == 5000 and sum(seen) == len(data) and sum(x > 1000 for x in seen) == 2  # single texts that are longer
+
+
 def plain_removal(rows, least=100):
     seen, out = set(), {}
     for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
